@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import mixing
+from kinetrace.llm import mixing, quality
 
-MODULES = [mixing]
+MODULES = [mixing, quality]
 
 
 def queries() -> dict:
