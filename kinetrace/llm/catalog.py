@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import mixing, quality
+from kinetrace.llm import chat, mixing, packing, quality, token_counts
 
-MODULES = [mixing, quality]
+MODULES = [chat, mixing, packing, quality, token_counts]
 
 
 def queries() -> dict:
