@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import chat, html, language, mixing, packing, quality, sharding, token_counts
+from kinetrace.llm import chat, html, language, mixing, neardup, packing, quality, sharding, token_counts, vectors
 
-MODULES = [chat, html, language, mixing, packing, quality, sharding, token_counts]
+MODULES = [chat, html, language, mixing, neardup, packing, quality, sharding, token_counts, vectors]
 
 
 def queries() -> dict:
