@@ -67,7 +67,8 @@ def count_items(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_word
 
     words = labelled.select("lang", "text").mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
-    every = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), lambda i, n=n: F.substring(marked, i, F.lit(n))) for n in range(1, LONGEST + 1)]))
+    cut_at = lambda n: lambda i: F.substring(marked, i, F.lit(n))
+    every = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), cut_at(n)) for n in range(1, LONGEST + 1)]))
     grams = words.select("lang", "n", F.explode(every).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
     return top(words, most_words), top(grams, most_grams)
 
