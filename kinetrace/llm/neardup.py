@@ -5,10 +5,10 @@ on a scale of powers of BASE: a register of a SetSketch, mergeable by maximum. E
 doc_id stands for it from here on. Runs of registers make band keys; classes that share one are candidates. Candidate
 pairs are judged by the likelihood of their registers given both set sizes, and those not ruled out are verified on the sets.
 
-Only what decides components is compared. In each shared bucket a few pivots, from the smallest components first, are
-compared with all members of other components, then retire from that bucket; found links merge components, and a bucket
-whose members are all in one component is done. Rounds go on, with four times as many pivots each, until no bucket is left:
-no cap on a bucket, no pair left out that could join two components, and no pairs inside a group that is already joined.
+Only what decides components is compared. In each shared bucket a pivot, from the smallest component, is compared with all
+members of other components, then retires from the bucket; links merge components, and a bucket whose members are all in one
+component is done. What is still open after PIVOTS such rounds hangs together in clusters, and each is compared exactly, in
+blocks: no cap on a bucket, no pair left out that could join two components, and no list of all pairs of a group.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,9 @@ BASE = 1.02
 #: A pair is ruled out by its registers only if they are e**RULED_OUT times likelier at another similarity, below the threshold.
 RULED_OUT = 15.0
 SLICE = 1 << 20
+#: Rounds of pivots, and documents in a block of what they leave open.
+PIVOTS = 2
+BLOCK = 256
 
 
 class Hashes:
@@ -202,25 +206,37 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, seed: int = SEED) -
     known = stored(reps.join(nodes, "rep").select("rep", "n_shingles", "registers"), "registers")
     mine = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
     sets = stored(shingle_sets(mine.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), seed), "sets")
-    labels = _merge(members, known, sets, percent)
+    labels = _merge(members, known, sets, percent).select("rep", "component")
     named = classes.join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("_component"))
     out = sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (rep, component, size) after merging the components that links (a, b: components) connect."""
+    merged = components(links).select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    renamed = labels.select("rep", "component").join(merged, "component", "left").select("rep", F.coalesce("_new", "component").alias("component"))
+    renamed = cut(renamed)
+    return cut(renamed.join(renamed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("rep", "component", "size"))
+
+
+def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, rep, component, size) of the buckets whose members are not all in one component."""
+    rows = members.join(labels, "rep")
+    several = rows.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter("_least < _most").select("key")
+    return cut(rows.join(several, "key"))
+
+
 def _merge(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, component) of all members, by rounds of pivots."""
+    """(rep, component) of all members."""
     labels = cut(members.select("rep").distinct().select("rep", F.col("rep").alias("component"), F.lit(1).cast("long").alias("size")))
-    judge, pivots = possible(percent), 1
-    while True:
-        rows = members.join(labels, "rep")
-        several = rows.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter("_least < _most").select("key")
-        rows = cut(rows.join(several, "key"))
+    judge = possible(percent)
+    for _ in range(PIVOTS):
+        rows = _open_rows(members, labels)
         if rows.isEmpty():
-            return labels.select("rep", "component")
-        lane = F.pmod(F.xxhash64("rep", F.lit(pivots)), F.lit(pivots))
-        chosen = rows.groupBy("key", lane.alias("_lane")).agg(F.min(F.struct("size", "rep", "component")).alias("p")).select("key", F.col("p.rep").alias("_pivot"), F.col("p.component").alias("_other"))
+            return labels
+        chosen = rows.groupBy("key").agg(F.min(F.struct("size", "rep", "component")).alias("p")).select("key", F.col("p.rep").alias("_pivot"), F.col("p.component").alias("_other"))
         pairs = rows.join(chosen, "key").filter("component <> _other").select(F.least("rep", "_pivot").alias("a"), F.greatest("rep", "_pivot").alias("b")).distinct()
         a, b = (known.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab")
         pairs = pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -231,12 +247,67 @@ def _merge(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int)
         links = checked.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
         now = labels.select("rep", "component")
         ends = links.join(now.withColumnRenamed("rep", "a").withColumnRenamed("component", "ca"), "a").join(now.withColumnRenamed("rep", "b").withColumnRenamed("component", "cb"), "b")
-        merged = components(ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        renamed = now.join(merged.select(F.col("node").alias("component"), F.col("component").alias("_new")), "component", "left")
-        renamed = cut(renamed.select("rep", F.coalesce("_new", "component").alias("component")))
-        labels = cut(renamed.join(renamed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("rep", "component", "size"))
+        labels = _relabelled(labels, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
         members = cut(rows.select("key", "rep").join(chosen.select("key", F.col("_pivot").alias("rep")), ["key", "rep"], "left_anti"))
-        pivots *= 4
+    rows = _open_rows(members, labels)
+    return labels if rows.isEmpty() else _relabelled(labels, _cluster_links(rows, sets, percent))
+
+
+def _cluster_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components, from comparing all documents of open buckets that hang together, block by block on their full sets.
+
+    In such a cluster the largest component's documents need no comparing among themselves: blocks of the others meet all
+    blocks. A task compares two blocks of at most about BLOCK documents each and sends on a spanning forest of what it found.
+    """
+    first = rows.groupBy("key").agg(F.min("rep").alias("_first"))
+    clusters = components(rows.join(first, "key").select(F.col("rep").alias("a"), F.col("_first").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    docs = cut(rows.select("rep", "component").distinct().join(clusters, "rep"))
+    held = docs.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    shape = held.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    shape = shape.select("cluster", F.col("m.component").alias("_main"), blocks(F.col("all") - F.col("m.n")).alias("_small"), blocks(F.col("m.n")).alias("_large"))
+    dealt = docs.join(shape, "cluster").withColumn("_in_main", F.col("component") == F.col("_main"))
+    own = F.when(F.col("_in_main"), F.col("_small") + F.pmod(F.xxhash64("rep"), F.col("_large"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("_small"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("_in_main"), F.col("_small")).otherwise(F.col("_small") + F.col("_large")) - 1)
+    dealt = dealt.withColumn("block", own).withColumn("_with", F.explode(others))
+    dealt = dealt.select("rep", "component", "cluster", "block", F.least("block", "_with").alias("i"), F.greatest("block", "_with").alias("j"))
+    dealt = dealt.join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        block, labels = table.column("block").to_numpy(), table.column("component").to_numpy()
+        held = table.column("shingles").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy())])
+        values = held.flatten().to_numpy()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        size = np.diff(ends)
+        owner = np.repeat(np.arange(len(right)), size[right])
+        flat = np.concatenate([values[ends[r] : ends[r + 1]] for r in right]) if len(right) else values[:0]
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        found = []
+        for a in left:
+            mine = values[ends[a] : ends[a + 1]]
+            low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
+            times = high - low
+            places = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            both = np.bincount(owner[places], minlength=len(right))
+            for b in right[(100 * both >= percent * (size[a] + size[right] - both)) & (labels[right] != labels[a])]:
+                x, y = find(int(labels[a])), find(int(labels[b]))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    found.append((int(labels[a]), int(labels[b])))
+        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
