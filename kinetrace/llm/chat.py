@@ -56,9 +56,10 @@ def format_chats(turns: DataFrame, max_tokens: int = MAX_TOKENS, history_tokens:
         (n_words(F.coalesce(quoted("text"), F.lit(""))) if tokens is None else tokens).alias("_tokens"),
     )
     rows = rows.withColumn("_cost", F.col("_tokens") + TURN_COST)
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text", "_cost")).alias("f")).filter("f.role = 'system'")
+    first = first.select("conv_id", F.col("f.role").alias("_system_role"), F.col("f.text").alias("_system"), F.col("f._cost").alias("_system_cost"))
     rows = rows.withColumn("_bucket", F.coalesce(F.floor(F.col("turn") / 64), F.lit(-(2**62))))
     rows = running_before(rows, ["conv_id"], "_bucket", [F.col("turn").asc_nulls_first(), "role", "text"], F.col("_cost"), "_start", "_total")
-    first = rows.filter("_start = 0 AND role = 'system'").select("conv_id", F.col("role").alias("_system_role"), F.col("text").alias("_system"), F.col("_cost").alias("_system_cost"))
     rows = same(rows, first.select("conv_id", "_system_cost"), ["conv_id"], "left").withColumn("_system_cost", F.coalesce("_system_cost", F.lit(0)))
     stride = F.greatest(F.lit(1), F.floor((F.lit(max_tokens - history_tokens) - F.col("_system_cost")) / 2))
     window_at = lambda start: F.greatest(F.lit(0), F.floor((start - F.col("_system_cost")) / F.col("_stride"))).cast("long")
