@@ -24,6 +24,7 @@ SHARDS = 8
 BUCKET_BYTES = 8 << 20
 #: Records are counted in this many hash classes; buckets are runs of them, so there are no more buckets than this.
 CLASSES = 1 << 20
+MOST_PARTITIONS = 100_000
 
 
 def record_hash(seed: int) -> Column:
@@ -60,6 +61,7 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
         *[quoted(c).alias(x) for c, x in zip(columns, names, strict=True)], bucket("_class").alias("_bucket"), record_hash(seed + 1).alias("_order"), record_hash(seed + 2).alias("_second")
     )
     schema = T.StructType([T.StructField(x, docs.schema[c].dataType) for c, x in zip(columns, names, strict=True)] + [T.StructField("position", T.LongType())])
+    scattered = scattered.repartition(min(buckets, MOST_PARTITIONS), "_bucket")  # about a bucket each, whatever the session's number of shuffle partitions
     out = scattered.groupBy("_bucket").applyInArrow(permute, schema)
     return out.select(*[F.col(x).alias(c) for c, x in zip(columns, names, strict=True)], "position"), n
 
