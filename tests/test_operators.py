@@ -198,4 +198,4 @@ def test_encoder_output_is_checked(spark):
 def test_global_index_is_gapless(spark):
     out = K.global_index(spark.range(500).select((F.col("id") * 37 % 101).alias("x"), "id"), ["x", "id"])
     rows = out.orderBy("index").collect()
-    assert [r.index for r in rows] == list(range(500)) and rows == sorted(rows, key=lambda r: (r.x, r.id))
+    assert [r["index"] for r in rows] == list(range(500)) and rows == sorted(rows, key=lambda r: (r.x, r.id))
