@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinetrace.plans.shared import shipped
+
 Encoder = Callable[[list], np.ndarray]
 
 
@@ -28,7 +30,7 @@ def extract_features(frames: DataFrame, keys: list[str], payload: str, make_enco
                 yield part[keys].assign(features=list(out.reshape(len(out), -1)), shape=[list(shape)] * len(out), extractor_id=extractor)
 
     kinds = ", ".join(f"`{k}` {frames.schema[k].dataType.simpleString()}" for k in keys)
-    return wanted.mapInPandas(encode, f"{kinds}, features array<double>, shape array<int>, extractor_id string")
+    return shipped(wanted).mapInPandas(encode, f"{kinds}, features array<double>, shape array<int>, extractor_id string")
 
 
 def extract_text_features(prompts: DataFrame, text: str, make_encoder: Callable[[], Encoder], extractor: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrace.plans.shared import cut, running_before, same, shared_dir
+from kinetrace.plans.shared import cut, running_before, same, shared_dir, shipped
 
 
 def write_manifests(windows: DataFrame, path: str, fmt: str = "json") -> DataFrame:
@@ -74,7 +74,7 @@ def quarantine(df: DataFrame, fn: Callable[[dict], dict], out: T.StructType, key
             yield pd.DataFrame(rows, columns=["_key", "error_type", "message", *names]).astype(object)
 
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("error_type", T.StringType()), T.StructField("message", T.StringType()), *[T.StructField(f.name, f.dataType) for f in out.fields]])
-    done = cut(df.mapInPandas(run, schema))
+    done = cut(shipped(df).mapInPandas(run, schema))
     failures = done.filter("error_type IS NOT NULL").select(F.col("_key").alias(key), "error_type", "message")
     return done.filter("error_type IS NULL").select(F.col("_key").alias(key), *names), failures
 

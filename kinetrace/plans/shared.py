@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
 
 
+_sent_to: set[str] = set()
+
+
+def shipped(df: DataFrame) -> DataFrame:
+    """df, with this package sent to the executors (once an application): Python tasks import it there, installed or not."""
+    context = df.sparkSession.sparkContext
+    if context.applicationId not in _sent_to:
+        package = Path(__file__).resolve().parent.parent
+        folder = Path(tempfile.mkdtemp(prefix="spark-"))
+        shutil.copytree(package, folder / "src" / package.name, ignore=shutil.ignore_patterns("__pycache__"))
+        context.addPyFile(shutil.make_archive(str(folder / package.name), "zip", folder / "src"))  # Spark hands it on from the driver
+        _sent_to.add(context.applicationId)
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: the rows are computed once, and survive the loss of any executor."""
     shared_dir(df.sparkSession)

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetrace.plans.shared import shipped
 from kinetrace.sources import schemas
 
 
@@ -38,7 +39,7 @@ def read_episodes(spark: SparkSession, paths: str) -> DataFrame:
                         rows.append((member.name, member.name.split("/")[0], episode["video_name"], episode.get("anno_type"), ids, hashlib.sha256(payload).hexdigest()))
                 yield pd.DataFrame(rows, columns=["member", "source", "video_name", "anno_type", "frame_ids", "payload_sha256"])
 
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInPandas(load, schemas.EPISODE)
+    return shipped(spark.read.format("binaryFile").load(paths).select("path", "content")).mapInPandas(load, schemas.EPISODE)
 
 
 def scan_members(index: DataFrame, member: str, source: str) -> DataFrame:
@@ -118,7 +119,7 @@ def read_segments(spark: SparkSession, paths: str) -> DataFrame:
                 rows += [(held["clip"], s["hand"], k, int(s["start"]), int(s["end"]), np.asarray(s["traj3d"], float).tolist()) for k, s in enumerate(held["segments"])]
             yield pd.DataFrame(rows, columns=["clip", "hand", "segment", "start", "end", "traj3d"])
 
-    return spark.read.format("binaryFile").load(paths).select("content").mapInPandas(load, schemas.SEGMENT)
+    return shipped(spark.read.format("binaryFile").load(paths).select("content")).mapInPandas(load, schemas.SEGMENT)
 
 
 def media_only(rows: DataFrame, path: str, suffixes: list[str]) -> DataFrame:
