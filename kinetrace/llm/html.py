@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from kinetrace.llm.text import quoted
+from kinetrace.plans.shared import shipped
 
 SMOOTHING = 1.0
 #: The content region holds at least this share of the text above the threshold.
@@ -182,7 +183,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.record_batch([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     mine = pages.select(quoted("page_id").cast("long").alias("page_id"), quoted("url").cast("string").alias("url"), quoted("html").cast("string").alias("html"))
-    return mine.mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    return shipped(mine).mapInArrow(extract, "page_id long, url string, text string, n_chars long")
 
 
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

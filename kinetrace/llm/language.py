@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.text import quoted
+from kinetrace.plans.shared import shipped
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -65,7 +66,7 @@ def count_items(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_word
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "item", "n"])
 
-    words = labelled.select("lang", "text").mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    words = shipped(labelled.select("lang", "text")).mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
     cut_at = lambda n: lambda i: F.substring(marked, i, F.lit(n))
     every = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), cut_at(n)) for n in range(1, LONGEST + 1)]))
@@ -154,7 +155,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     mine = docs.select(quoted("text").cast("string").alias("_text"), *[quoted(c) for c in others])
     schema = docs.select(*[quoted(c) for c in others]).schema.add("lang_pred", "string").add("score", "double")
-    return mine.mapInArrow(predict, schema)
+    return shipped(mine).mapInArrow(predict, schema)
 
 
 def language_filter(docs: DataFrame, least_score: float = 0.5, **bounds) -> DataFrame:

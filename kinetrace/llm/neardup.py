@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.components import components
 from kinetrace.llm.text import quoted
-from kinetrace.plans.shared import cut, stored
+from kinetrace.plans.shared import cut, shipped, stored
 
 SEED = 2
 SHINGLE = 5
@@ -148,7 +148,7 @@ def sketches(docs: DataFrame, seed: int = SEED) -> DataFrame:
                 yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), bands, rows], ["doc_id", "n_shingles", "set_id", "bands", "registers"])
 
     mine = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
-    return mine.mapInArrow(sketch, "doc_id long, n_shingles long, set_id binary, bands array<long>, registers binary")
+    return shipped(mine).mapInArrow(sketch, "doc_id long, n_shingles long, set_id binary, bands array<long>, registers binary")
 
 
 def shingle_sets(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -162,7 +162,7 @@ def shingle_sets(docs: DataFrame, seed: int = SEED) -> DataFrame:
                 rows = pa.array([mine.shingles(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))
                 yield pa.record_batch([part.column("doc_id"), rows], ["doc_id", "shingles"])
 
-    return docs.mapInArrow(sets, "doc_id long, shingles array<long>")
+    return shipped(docs).mapInArrow(sets, "doc_id long, shingles array<long>")
 
 
 def likelihoods(greater: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, similarity: np.ndarray) -> np.ndarray:
@@ -307,7 +307,7 @@ def _cluster_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     found.append((int(labels[a]), int(labels[b])))
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return shipped(dealt).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

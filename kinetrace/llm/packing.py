@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.llm.text import quoted
-from kinetrace.plans.shared import running_before, spread, stored
+from kinetrace.plans.shared import running_before, shipped, spread, stored
 
 CAPACITY = 1024
 END_ID = 2
@@ -100,7 +100,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=False)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
 
     mine = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
-    return mine.mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return shipped(mine).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
 def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
@@ -217,7 +217,7 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFra
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     first, each, sequence, offset = seats(plan(histogram, capacity))
-    hashed = pieces.withColumn("_hash", F.xxhash64(*key)).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(spread(sum(histogram.values())))))
+    hashed = shipped(pieces).withColumn("_hash", F.xxhash64(*key)).withColumn("_bucket", F.pmod(F.col("_hash"), F.lit(spread(sum(histogram.values())))))
     ranked = running_before(hashed, ["length"], "_bucket", ["_hash", *key], F.lit(1), "_rank")
 
     @F.pandas_udf("sequence_id long, offset long")

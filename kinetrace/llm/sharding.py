@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kinetrace.llm.text import quoted, text_of, without
-from kinetrace.plans.shared import cut
+from kinetrace.plans.shared import cut, shipped
 
 SEED = 6
 SHARDS = 8
@@ -62,7 +62,7 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
     )
     schema = T.StructType([T.StructField(x, docs.schema[c].dataType) for c, x in zip(columns, names, strict=True)] + [T.StructField("position", T.LongType())])
     scattered = scattered.repartition(min(buckets, MOST_PARTITIONS), "_bucket")  # about a bucket each, whatever the session's number of shuffle partitions
-    out = scattered.groupBy("_bucket").applyInArrow(permute, schema)
+    out = shipped(scattered).groupBy("_bucket").applyInArrow(permute, schema)
     return out.select(*[F.col(x).alias(c) for c, x in zip(columns, names, strict=True)], "position"), n
 
 

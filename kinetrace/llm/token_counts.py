@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from kinetrace.llm.text import quoted
+from kinetrace.plans.shared import shipped
 
 CHUNK = 32_768
 OVERLAP = 512
@@ -117,7 +118,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT) -
             yield pa.record_batch([batch.column("doc_id"), pc.cast(pc.binary_length(text), pa.int64()), n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     mine = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
-    return mine.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return shipped(mine).mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

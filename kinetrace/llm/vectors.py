@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from kinetrace.llm.components import components
 from kinetrace.llm.text import quoted
-from kinetrace.plans.shared import cut, stored
+from kinetrace.plans.shared import cut, shipped, stored
 
 SEED = 7
 THRESHOLD = 0.93
@@ -71,7 +71,7 @@ def with_codes(classes: DataFrame, seed: int) -> DataFrame:
                     code[r] = c.tobytes()
             yield from table.append_column("code", pa.array(code, pa.binary())).append_column("factor", pa.array(factor)).to_batches()
 
-    return classes.mapInArrow(add, T.StructType([*classes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())]))
+    return shipped(classes).mapInArrow(add, T.StructType([*classes.schema.fields, T.StructField("code", T.BinaryType()), T.StructField("factor", T.DoubleType())]))
 
 
 def forest(n: int, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
@@ -130,7 +130,7 @@ def link_blocks(coded: DataFrame, threshold: float, seed: int) -> DataFrame:
             "other": pa.array(np.concatenate([np.zeros(len(own), np.int64), rep[kept[:, 1]]]), mask=np.arange(len(rows)) < len(own)),
         })
 
-    return coded.groupBy("label", "dimensions", "i", "j").applyInArrow(compare, "low long, high long, rep long, links long, other long")
+    return shipped(coded).groupBy("label", "dimensions", "i", "j").applyInArrow(compare, "low long, high long, rep long, links long, other long")
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, seed: int = SEED) -> DataFrame:
