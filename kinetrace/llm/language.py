@@ -1,8 +1,8 @@
 """Language identification by words first, backing off to ever shorter character n-grams for words not seen.
 
-Training counts words by language over labelled documents, whole texts, in Spark; character n-grams of words, with marks
-for word start and end, are counted from the word counts. The model is bounded by parameters: so many words and n-grams a
-language. A known word scores by its smoothed log frequency in each language, an unknown one by the mean over those of its
+Training counts words by language over labelled documents, whole texts, in Spark, and keeps the commonest; character n-grams
+of those, with marks for word start and end, are counted from their counts. The model is bounded by parameters: so many
+words and n-grams a language. A known word scores by its smoothed log frequency in each language, an unknown one by the mean over those of its
 n-grams that are known, at the greatest length at which any is.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.text import quoted
-from kinetrace.plans.shared import shipped
+from kinetrace.plans.shared import cut, shipped
 
 LETTERS = re.compile(r"[^\W\d_]+")
 LONGEST = 5
@@ -67,11 +67,12 @@ def count_items(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_word
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "item", "n"])
 
     words = shipped(labelled.select("lang", "text")).mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    words = cut(top(words, most_words))
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
     cut_at = lambda n: lambda i: F.substring(marked, i, F.lit(n))
     every = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), cut_at(n)) for n in range(1, LONGEST + 1)]))
     grams = words.select("lang", "n", F.explode(every).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    return top(words, most_words), top(grams, most_grams)
+    return words, top(grams, most_grams)
 
 
 class Model:
