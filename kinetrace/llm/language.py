@@ -13,6 +13,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -69,9 +70,9 @@ def count_items(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_word
     words = shipped(labelled.select("lang", "text")).mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
     words = cut(top(words, most_words))
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
-    cut_at = lambda n: lambda i: F.substring(marked, i, F.lit(n))
-    every = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(marked) - n + 1, F.lit(1))), cut_at(n)) for n in range(1, LONGEST + 1)]))
-    grams = words.select("lang", "n", F.explode(every).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    places = words.repartition(labelled.sparkSession.sparkContext.defaultParallelism, "item").select("lang", "n", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.length(marked))).alias("i"))
+    at = F.array_compact(F.array(*[F.when(F.col("i") + k <= F.length("w") + 1, F.substring("w", F.col("i"), F.lit(k))) for k in range(1, LONGEST + 1)]))
+    grams = places.select("lang", "n", F.explode(at).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
     return words, top(grams, most_grams)
 
 
@@ -137,7 +138,8 @@ class Model:
 def train(docs: DataFrame, **bounds) -> Model:
     """Fit on doc_id, text, lang; rows without text or lang are left out. The model's size is bounded by the parameters, so it may pass through the driver."""
     words, grams = count_items(docs, **bounds)
-    return Model([tuple(r) for r in words.select("lang", "item", "n").collect()], [tuple(r) for r in grams.select("lang", "item", "n").collect()])
+    rows = lambda df: list(zip(*df.select("lang", "item", "n").toArrow().to_pydict().values(), strict=True))
+    return Model(rows(words), rows(grams))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -147,22 +149,22 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     language in order; whole texts count, however long.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
-    others = [c for c in docs.columns if c.lower() not in ("lang_pred", "score")]
+    others = [c for c in docs.columns if c.lower() not in ("lang_pred", "score", "_told")]
 
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [held.value.predict(t) for t in batch.column(0).to_pylist()]
-            yield pa.record_batch([*batch.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    mine = docs.select(quoted("text").cast("string").alias("_text"), *[quoted(c) for c in others])
-    schema = docs.select(*[quoted(c) for c in others]).schema.add("lang_pred", "string").add("score", "double")
-    return shipped(mine).mapInArrow(predict, schema)
+    # Only texts go to Python. Taken as not deterministic, so that a filter on the result doesn't run it twice.
+    told = shipped(docs).select(*[quoted(c) for c in others], predict.asNondeterministic()(quoted("text").cast("string")).alias("_told"))
+    return told.select(*[quoted(c) for c in others], "_told.lang_pred", "_told.score")
 
 
 def language_filter(docs: DataFrame, least_score: float = 0.5, **bounds) -> DataFrame:
     """Documents whose language can be told, with their own columns. The model is fitted on the documents themselves."""
-    told = identify(docs.withColumn("_kt_doc", F.struct(*[quoted(c) for c in docs.columns])).select("text", "_kt_doc"), train(docs, **bounds))
-    return told.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("_kt_doc.*")
+    mine = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], quoted("text").alias("text"))
+    told = identify(mine, train(docs, **bounds)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+    return told.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
