@@ -70,13 +70,8 @@ def spread_indices(indices: Column, count: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.get(indices, at(i)))
 
 
-def draw(seed: int, *keys: str) -> Column:
-    """A number in [0, 1) that depends on seed and keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(k) for k in keys]), F.lit(2**52)) / F.lit(float(2**52))
-
-
 def hex_draw(seed: int, *keys: str) -> Column:
-    """As draw, from a SHA-256, so that other engines repeat it."""
+    """A number in [0, 1) that depends on seed and keys alone, from a SHA-256, so that other engines repeat it."""
     text = F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])
     return F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long") / F.lit(float(2**48))
 
