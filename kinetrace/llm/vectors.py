@@ -56,7 +56,7 @@ def codes(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def with_codes(classes: DataFrame, seed: int) -> DataFrame:
-    """Add code and factor to classes whose vectors have `dimensions` components each."""
+    """Add code and factor to classes; `dimensions` says how many components a vector has."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
