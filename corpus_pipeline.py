@@ -17,6 +17,9 @@ from kinetrace.llm.packing import pack_documents
 from kinetrace.llm.quality import quality_filter
 from kinetrace.plans.shared import stored
 
+#: Jaccard similarity of 5-word shingles, in percent, from which near_dedup takes two documents as copies. The 85 of op2 is that query's own.
+NEAR_PERCENT = 80
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rule and the risk-controlled rules of their language."""
@@ -29,8 +32,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group."""
-    return keep_one(docs)
+    """One document of each group of near copies, linked from NEAR_PERCENT."""
+    return keep_one(docs, percent=NEAR_PERCENT)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,19 @@ def test_near_dedup(stages):
     assert {r.doc_id for r in after.collect()} == {i for i in ids if root[i] == i}
 
 
+def test_near_dedup_takes_copies_from_80_percent(spark):
+    rows = []
+    for k in range(12):
+        words = [f"w{k}_{i}" for i in range(100)]
+        for copy, places in enumerate(((), (30, 70), (20, 50, 80))):  # 96 shingles; a changed word takes 5: 86 of 106 and 81 of 111 in common
+            rows.append((3 * k + copy, " ".join(f"x{copy}_{w}" if i in places else w for i, w in enumerate(words))))
+    sets = {i: shingles(t) for i, t in rows}
+    alike = {(i % 3, j % 3): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in ((0, 1), (0, 2), (1, 2))}
+    assert 0.80 <= alike[0, 1] < 0.85 and alike[0, 2] < 0.75 and alike[1, 2] < 0.75
+    after = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert sorted(r.doc_id for r in after.collect()) == [i for i, _ in rows if i % 3 != 1]
+
+
 def test_mix(stages):
     before, after = stages[3]
     size = {r.doc_id: len(r.text.encode().split()) for r in before.collect()}
