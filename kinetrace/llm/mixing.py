@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinetrace.llm.text import bucket_of, hex_order, n_words, quoted, text_of
-from kinetrace.plans.shared import cut, running_before, same, spread
+from kinetrace.plans.shared import cut, running_before, same, spread, stored
 
 SEED = 20
 WEIGHTS = (3, 1, 2)
@@ -69,18 +69,19 @@ def slots(targets: DataFrame, block_words: Column | int, cells_a_row: int = 4096
     return running_before(dealt, ["source"], "_bucket", ["slot"], F.lit(1), "rank").select("source", "slot", "rank")
 
 
-def mix_segments(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_epochs: int = MOST_EPOCHS, slots_wanted: int = 2**17, block_range: tuple[int, int] = (16, 4096)) -> tuple[DataFrame, DataFrame]:
+def mix_segments(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = WEIGHTS, share_percent: int = SHARE_PERCENT, most_epochs: int = MOST_EPOCHS, slots_wanted: int = 2**17, block_range: tuple[int, int] = (16, 4096), row: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The mix as spans of documents, and the documents it drew on.
 
     Takes doc_id, text, source. Returns (segments, rows): rows has _row, doc_id, source, size, source_size, target for
     every document; segments has _row, slot, epoch, from_word, to_word: slot by slot what the mix reads. `_row` is the
-    row's place in docs, which must be a table that reads alike each time (Parquet, or anything checkpointed).
+    column of docs named by `row`, which must be unique; without it rows are numbered here, once, and only the two results share the numbers.
 
     Defined cases: a null or empty text has no words and is in no segment; null is a source like any other; rows with
     equal doc_id are separate documents; an empty table gives empty results; other columns are not looked at.
     """
     spark = docs.sparkSession
-    base = docs.select(quoted("doc_id").alias("doc_id"), quoted("source").alias("source"), n_words(text_of()).alias("size"), F.monotonically_increasing_id().alias("_row"))
+    number = F.monotonically_increasing_id() if row is None else quoted(row)
+    base = docs.select(quoted("doc_id").alias("doc_id"), quoted("source").alias("source"), n_words(text_of()).alias("size"), number.alias("_row"))
     base = cut(base.withColumn("_order", hex_order(seed, F.col("doc_id"))))
     n = base.count()
     base = base.withColumn("_bucket", bucket_of(F.col("_order"), spread(n)))
@@ -101,12 +102,16 @@ def mix_segments(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = W
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix in whole documents, with the columns of docs: a document is read once for each pass of which the mix takes at least half its words."""
-    segments, _ = mix_segments(docs, **options)
-    mine = docs.withColumn("_row", F.monotonically_increasing_id())
-    size = n_words(text_of())
+    """The mix in whole documents, with the columns of docs: a document is read once for each pass of which the mix takes at least half its words.
+
+    Rows are numbered once, in a stored table that the mix and the result are both read from: another scan of docs may number them otherwise.
+    """
+    held = stored(docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row")), "mix")
+    at = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    segments, _ = mix_segments(held.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")], "_row"), row="_row", **options)
     passes = segments.groupBy("_row", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
-    return mine.join(passes, "_row").filter(2 * F.col("_taken") >= size).select(*[quoted(c) for c in docs.columns])
+    taken = held.join(passes, "_row").filter(2 * F.col("_taken") >= n_words(text_of(at["text"])))
+    return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,6 +90,29 @@ def test_mix_on_odd_rows(spark, odd):
     assert mixing.mix_segments(odd.limit(0))[0].count() == 0
 
 
+def test_mix_when_the_second_scan_splits_otherwise(spark, documents, odd, tmp_path, monkeypatch):
+    documents.repartition(12, "doc_id").write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    expected = Counter(r.doc_id for r in mixing.mix_documents(docs).collect())
+    size = {r.doc_id: r["size"] for r in mixing.mix_segments(docs)[1].collect()}
+    segments = mixing.mix_segments
+
+    def and_then_executors_come(*args, **options):
+        out = segments(*args, **options)
+        spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # each file is a partition of its own from here on
+        return out
+
+    before = docs.rdd.getNumPartitions()
+    monkeypatch.setattr(mixing, "mix_segments", and_then_executors_come)
+    try:
+        got = mixing.mix_documents(docs)
+        assert Counter(r.doc_id for r in got.collect()) == expected and sum(size[i] * n for i, n in expected.items()) > 0
+        assert spark.read.parquet(str(tmp_path / "docs")).rdd.getNumPartitions() != before
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {r["_row"] for r in mixing.mix_documents(odd).collect()} == {"_row"}
+
+
 # near duplicates
 
 
