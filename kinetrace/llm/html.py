@@ -2,8 +2,9 @@
 
 The standard library's parser streams a page into lines, one for each run of text inside a block, with its length, the
 tags around it and its open elements. Lines under menus, forms, adverts, comments and the like are set aside by element,
-role and class. The text-to-tag ratios of the others are smoothed with a Gaussian and split at a threshold; the element
-that holds most text above it is the content region, and all its lines are kept but for link lists below the threshold.
+role and class. The text-to-tag ratios of the others are smoothed with a Gaussian and split at a threshold. The article or
+main element that holds most text above it is kept whole; without one, every outermost element that has none of the page's
+frame (menus, page head and foot) in it is kept whole if it has content, a line above the threshold that is not mainly links.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from kinetrace.llm.text import quoted
 from kinetrace.plans.shared import shipped
 
 SMOOTHING = 1.0
-#: The content region holds at least this share of the text above the threshold.
+#: An article or main that is the content region holds at least this share of the text above the threshold.
 REGION_SHARE = 0.8
 LINK_SHARE = 0.6
 
@@ -36,6 +37,8 @@ ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog for
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
+#: What of the set aside makes up the frame of a page: an element around it is not the article alone. Others stand inside articles too.
+FRAME = frozenset("banner contentinfo footer masthead menu menubar nav navbar navigation".split())
 #: A head of the page is set aside, a head inside the article is not.
 HEADS = frozenset(("header", "head"))
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
@@ -48,10 +51,11 @@ class Lines(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []
-        self.aside = self.links = self.articles = self.count = 0
+        self.open: list[tuple[str, bool, bool, int]] = []
+        self.aside = self.frames = self.links = self.articles = self.count = 0
         self.path: list[int] = []
         self.kinds: dict[int, str] = {}
+        self.framed: set[int] = set()
         self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.words: list[str] = []
         self.tags = self.link_chars = 0
@@ -73,17 +77,25 @@ class Lines(HTMLParser):
             return True
         if (attrs.get("role") or "").lower() in ROLES:
             return True
-        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()
-        marks = set(re.split(r"[^a-z]+", names))
+        marks = self.marks(attrs)
         return bool(marks & MARKS) or not self.articles and (tag == "header" or bool(marks & HEADS))
 
+    @staticmethod
+    def marks(attrs: dict[str, str | None]) -> set[str]:
+        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()
+        return set(re.split(r"[^a-z]+", names))
+
+    def of_frame(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        return tag in FRAME or tag == "header" or (attrs.get("role") or "").lower() in FRAME or bool(self.marks(attrs) & (FRAME - {"banner"} | HEADS))
+
     def close(self) -> None:
         super().close()
         self.end_line()
 
     def pop(self) -> None:
-        tag, aside, region = self.open.pop()
+        tag, aside, frame, region = self.open.pop()
         self.aside -= aside
+        self.frames -= frame
         self.links -= tag == "a"
         self.articles -= tag in ("article", "main")
         if region:
@@ -105,14 +117,16 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         aside = bool(attrs) and self.unwanted(tag, dict(attrs)) or not attrs and (tag in SET_ASIDE or tag == "header" and not self.articles)
+        frame = aside and self.of_frame(tag, dict(attrs))
         region = 0
         if tag in REGIONS:
             self.count += 1
             region = self.count
             self.kinds[region] = tag
             self.path.append(region)
-        self.open.append((tag, aside, region))
+        self.open.append((tag, aside, frame, region))
         self.aside += aside
+        self.frames += frame
         self.links += tag == "a"
         self.articles += tag in ("article", "main")
 
@@ -133,6 +147,8 @@ class Lines(HTMLParser):
             self.words.append(data)
             if self.links:
                 self.link_chars += len(data)
+        elif self.frames and not data.isspace():
+            self.framed.update(self.path)
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -160,12 +176,16 @@ def main_text(html: str) -> str:
         if r >= threshold:
             weight.update(dict.fromkeys(path, len(text) - min(link_chars, len(text))))
     total = max(weight.values(), default=0)
-    best = [p for p, w in weight.items() if w >= REGION_SHARE * total]
-    named = [p for p in best if parser.kinds[p] in ("article", "main")]
-    region = min(named) if named else max(best, default=0)  # numbers rise inwards
+    named = [p for p, w in weight.items() if w >= REGION_SHARE * total and parser.kinds[p] in ("article", "main")]
+    if named:
+        region = min(named)  # numbers rise inwards
+        return " ".join(text for text, _, _, path in lines if region in path)
+    linked = [link_chars >= LINK_SHARE * len(text) for text, _, link_chars, _ in lines]
+    part = [next((p for p in path if p not in parser.framed), 0) for _, _, _, path in lines]
+    content = {p for p, link, r in zip(part, linked, ratio, strict=True) if p and r >= threshold and not link}
     kept = []
-    for (text, _, link_chars, path), r in zip(lines, ratio, strict=True):
-        if (region in path or not region) and not (r < threshold and link_chars >= LINK_SHARE * len(text)):
+    for (text, _, _, _), p, link, r in zip(lines, part, linked, ratio, strict=True):
+        if p in content or not p and not (link and r < threshold):
             kept.append(text)
     return " ".join(kept)
 

@@ -332,6 +332,23 @@ def test_main_text():
     assert pages.main_text("just text &lt;") == "just text <" and pages.main_text("<p>a<p>b<b>c") == "a bc" and pages.main_text("<nav>x</nav>") == ""
 
 
+def test_main_text_is_whole_without_article():
+    words = lambda n: "<p>" + " ".join(f"word{i}" for i in range(n)) + ".</p>"
+    plain = lambda n: " ".join(f"word{i}" for i in range(n)) + "."
+    frame = lambda x: f"<body><nav><a href=/>Home</a></nav><div class=header>Site</div>{x}<div id=footer>Imprint</div></body>"
+    apart = f"<div id=content><h1>Title</h1><p>intro</p><div class=share>Share</div><div class=body>{words(90)}{words(80)}</div><aside>More</aside></div>"
+    assert pages.main_text(frame(apart)) == f"Title intro {plain(90)} {plain(80)}"
+    unequal = f"<div class=part>{words(85)}</div><div class=part>{words(15)}</div>"
+    assert pages.main_text(frame(unequal)) == pages.main_text(frame(f"<div id=content>{unequal}</div>")) == f"{plain(85)} {plain(15)}"
+    cells = f"<section><h2>One</h2>{words(90)}</section><section><h2>Two</h2><table><tr><td>a</td><td>b</td></tr></table></section>"
+    assert pages.main_text(frame(f"<div>{cells}</div>")) == f"One {plain(90)} Two a b"
+    references = "<ul>" + "".join(f"<li><a href={i}>Reference {i}</a></li>" for i in range(9)) + "</ul>"
+    listed = " ".join(f"Reference {i}" for i in range(9))
+    for tag in ("article", "div"):
+        assert pages.main_text(frame(f"<{tag}>{words(90)}{references}</{tag}>")) == f"{plain(90)} {listed}"
+    assert pages.main_text(frame(f"<div>{references}</div><div>{words(90)}</div>")) == plain(90)
+
+
 def test_pages_on_odd_rows(spark):
     df = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "u", "<p>" + "x " * 100000), (2, "u", "<p>a")], "page_id long, url string, html string").withColumn("text", F.lit("z"))
     rows = pages.extract_pages(df).collect()
