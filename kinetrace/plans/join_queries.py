@@ -32,8 +32,8 @@ def j3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j4(spark: SparkSession, d: str) -> DataFrame:
-    prompts = read(spark, d, "benchmark").select(F.lower(F.substring("text", 1, 2)).alias("prompt")).groupBy("prompt").agg(F.count(F.lit(1)).alias("weight"))
-    hit, miss = J.attach_features(read(spark, d, "documents").select("doc_id", F.lower(F.substring("text", 1, 2)).alias("prompt")), prompts, ["prompt"])
+    prompts = read(spark, d, "benchmark").select(F.col("text").alias("prompt")).groupBy("prompt").agg(F.count(F.lit(1)).alias("weight"))
+    hit, miss = J.attach_features(read(spark, d, "documents").select("doc_id", F.col("text").alias("prompt")), prompts, ["prompt"])
     return hit.select("doc_id", "prompt", "weight").unionByName(miss.select("doc_id", "prompt", F.lit(None).cast("long").alias("weight")))
 
 
