@@ -122,7 +122,7 @@ def a17(spark: SparkSession, d: str) -> DataFrame:
 
 def a18(spark: SparkSession, d: str) -> DataFrame:
     turns = read(spark, d, "conversations").filter("role <> 'system'")
-    spans = turns.select(F.col("conv_id").alias("episode"), F.when(F.col("role") == "user", "left").otherwise("right").alias("hand"), F.col("turn").alias("place"), (F.col("turn") * 3).alias("start"), (F.col("turn") * 3 + 5).alias("end"), F.substring("text", 1, 12).alias("text"))
+    spans = turns.select(F.col("conv_id").alias("episode"), F.when(F.col("role") == "user", "left").otherwise("right").alias("hand"), F.col("turn").alias("place"), (F.col("turn") * 3).alias("start"), (F.col("turn") * 3 + 5).alias("end"), "text")
     return A.distinct_prompts(spans)
 
 

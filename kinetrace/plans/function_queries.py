@@ -78,7 +78,7 @@ def p11(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p12(spark: SparkSession, d: str) -> DataFrame:
-    said = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.struct("turn", F.substring("text", 1, 20).alias("t"))))["t"], F.lit(""))
+    said = lambda role: F.coalesce(F.min(F.when(F.col("role") == role, F.struct("turn", F.col("text").alias("t"))))["t"], F.lit(""))
     by = read(spark, d, "conversations").groupBy("conv_id").agg(said("system").alias("l"), said("user").alias("r"))
     return by.select("conv_id", E.compose_prompt(F.col("l"), F.col("r"), F.when(F.col("conv_id") % 2 == 0, "left").otherwise("right")).alias("prompt"))
 
@@ -149,7 +149,7 @@ def p21(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p22(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "conversations").select("conv_id", "turn", F.split(F.substring("text", 1, 30), " ").alias("words"), F.when(F.col("role") == "assistant", F.array("turn")).alias("extra"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.split("text", " ").alias("words"), F.when(F.col("role") == "assistant", F.array("turn")).alias("extra"))
     out = E.pad_group(rows, "conv_id", {"words": F.lit(""), "extra": F.lit(0).cast("long")})
     return out.select("conv_id", "turn", F.size("words").alias("size"), F.size(F.filter("words", lambda w: w == "")).alias("padding"), F.array_join("partial", ",").alias("partial"))
 

@@ -216,7 +216,7 @@ def x1(spark: SparkSession, d: str) -> DataFrame:
 def x2(spark: SparkSession, d: str) -> DataFrame:
     import numpy as np
 
-    prompts = read(spark, d, "documents").select(F.substring("text", 1, 40).alias("prompt")).filter("prompt <> ''")
+    prompts = read(spark, d, "documents").select(F.col("text").alias("prompt")).filter("prompt <> ''")
     out = X.extract_text_features(prompts, "prompt", lambda: lambda rows: np.array([[len(t), t.count(" ") + 1] for t in rows], float), "counts-v1")
     return out.select("prompt", F.round(F.get("features", 0), 6).alias("x"), F.round(F.get("features", 1), 6).alias("y"), "extractor_id")
 
