@@ -14,7 +14,7 @@ OFFSETS, TOLERANCE = [-7200.0, 0.0, 7200.0, 14400.0], 5400.0
 
 def j1(spark: SparkSession, d: str) -> DataFrame:
     frames = timelines(spark, d)
-    lines = frames.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "pts"))), lambda x: x["pts"]).alias("pts")).filter("video % 10 <> 3")
+    lines = frames.groupBy("video").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "pts"))), lambda x: x["pts"]).alias("pts"))
     asked = frames.select("event_id", "video", (F.col("event_id") % 90).alias("frame"))
     return J.attach_pts(asked, lines, ["video"]).select("event_id", F.round("pts", 4).alias("pts"), "pts_status")
 
@@ -38,7 +38,7 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j5(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").filter("doc_id % 3 <> 0").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    docs = read(spark, d, "documents").select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
     return J.align_one_to_one(docs, read(spark, d, "labels").select("doc_id", "quality"), "doc_id", ["quality"])
 
 
@@ -67,12 +67,12 @@ def j8_all(spark: SparkSession, d: str) -> DataFrame:
 
 def j9(spark: SparkSession, d: str) -> DataFrame:
     frames = timelines(spark, d).select("video", "frame", "pts")
-    out = J.nearest_time_join(frames.filter("frame % 5 = 0").select("video", F.col("frame").alias("anchor"), "pts"), frames, OFFSETS, TOLERANCE)
+    out = J.nearest_time_join(frames.select("video", F.col("frame").alias("anchor"), "pts"), frames, OFFSETS, TOLERANCE)
     return out.select("video", "anchor", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"), F.round("worst", 3).alias("worst"), "eligible")
 
 
 def j10(spark: SparkSession, d: str) -> DataFrame:
-    return J.densify_nearest(timelines(spark, d).filter("frame % 3 <> 1").select("video", "frame", "value"), "video", 2)
+    return J.densify_nearest(timelines(spark, d).select("video", "frame", "value"), "video", 2)
 
 
 def j11(spark: SparkSession, d: str) -> DataFrame:
@@ -106,8 +106,8 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
 
 
 def j15(spark: SparkSession, d: str) -> DataFrame:
-    a = read(spark, d, "part").filter("p_partkey % 11 <> 3")
-    b = read(spark, d, "part").filter("p_partkey % 13 <> 5").withColumns({"p_retailprice": F.col("p_retailprice") * (1 + (F.col("p_partkey") % 5) * 1e-5), "p_size": F.col("p_size") + (F.col("p_partkey") % 50 == 0).cast("int")})
+    a = read(spark, d, "part")
+    b = read(spark, d, "part").withColumns({"p_retailprice": F.col("p_retailprice") * (1 + (F.col("p_partkey") % 5) * 1e-5), "p_size": F.col("p_size") + (F.col("p_partkey") % 50 == 0).cast("int")})
     return J.compare_tables(a, b, ["p_partkey"], ["p_retailprice", "p_size"]).withColumn("max_error", F.round("max_error", 6))
 
 
