@@ -105,9 +105,9 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    """The first ten components as scores for ten labels."""
+    """Components as scores for as many labels."""
     vectors = read(spark, d, "embeddings")
-    return vectors.select("vec_id", F.col("label").alias("target"), F.array_contains(A.top_k(F.slice("embedding", 1, 10), k), F.col("label")).alias("hit"))
+    return vectors.select("vec_id", F.col("label").alias("target"), F.array_contains(A.top_k(F.col("embedding"), k), F.col("label")).alias("hit"))
 
 
 def a16(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ scored AS (SELECT event_type, sum(s) AS s, sum(n) AS n, sum(l) AS l, count(*) AS
 _PAIRS = "pairs AS (SELECT a.vec_id, list_transform(a.embedding, lambda x: x::DOUBLE) AS p, list_transform(b.embedding, lambda x: x::DOUBLE) AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
 _HITS = """hits AS (
   SELECT vec_id, label, label IN (SELECT unnest(r[1:{k}])) AS hit FROM (
-    SELECT vec_id, label, list_transform(list_sort(list_transform(range(0, 10), lambda i: {{'s': -embedding[i + 1], 'i': i}})), lambda x: x.i) AS r FROM embeddings))"""
+    SELECT vec_id, label, list_transform(list_sort(list_transform(range(0, len(embedding)), lambda i: {{'s': -embedding[i + 1], 'i': i}})), lambda x: x.i) AS r FROM embeddings))"""
 _QS = "[0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0]"
 
 ORACLE = {
@@ -270,7 +270,7 @@ UNION ALL SELECT 'cosine', round(avg(list_cosine_similarity(p, t)), 4) FROM pair
 WITH {_HITS.format(k=5)}, s AS (SELECT *, unnest(list_filter(['overall', CASE WHEN vec_id % 5 = 0 THEN 'tail' END, CASE WHEN vec_id % 7 = 0 THEN 'unseen' END], lambda x: x IS NOT NULL)) AS subset FROM hits)
 SELECT subset, round(avg(r), 4) AS recall, count(*) AS classes, sum(n)::BIGINT AS rows FROM (SELECT subset, label, avg(hit::INT) AS r, count(*) AS n FROM s GROUP BY ALL) GROUP BY subset""",
     "a18_distinct_prompts": """
-WITH i AS (SELECT conv_id AS e, CASE role WHEN 'user' THEN 'Left' ELSE 'Right' END AS hand, turn, turn * 3 AS a, turn * 3 + 5 AS b, left(text, 12) AS text FROM conversations WHERE role <> 'system'),
+WITH i AS (SELECT conv_id AS e, CASE role WHEN 'user' THEN 'Left' ELSE 'Right' END AS hand, turn, turn * 3 AS a, turn * 3 + 5 AS b, text FROM conversations WHERE role <> 'system'),
 cuts AS (SELECT DISTINCT e, x FROM (SELECT e, unnest([a, b, 0]) AS x FROM i)), starts AS (SELECT c.e, x FROM cuts c JOIN (SELECT e, max(b) AS m FROM i GROUP BY e) m ON c.e = m.e AND x < m.m),
 shown AS (SELECT s.e, s.x, hand, arg_min(text, turn) AS text FROM starts s JOIN i ON i.e = s.e AND a <= x AND x < b GROUP BY ALL)
 SELECT DISTINCT coalesce(string_agg(hand || ' hand: ' || text, ' ' ORDER BY hand || ' hand: ' || text), '') AS prompt FROM starts s LEFT JOIN shown USING (e, x) GROUP BY s.e, s.x""",

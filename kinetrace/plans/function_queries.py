@@ -192,7 +192,7 @@ FROM frames q LEFT JOIN frames f ON f.video = q.video AND f.frame = q.event_id %
 WITH c AS (SELECT c_custkey, c_acctbal, least(greatest(c_acctbal / 5000, 0), 1) AS c FROM customer)
 SELECT c_custkey, CASE WHEN c >= 0.25 THEN c_acctbal ELSE 0 END AS value, c >= 0.25 AS valid, round(c, 6) AS confidence FROM c""",
     "p12_compose_prompt": """
-WITH s AS (SELECT conv_id, coalesce(arg_min(left(text, 20), turn) FILTER (role = 'system'), '') AS l, coalesce(arg_min(left(text, 20), turn) FILTER (role = 'user'), '') AS r FROM conversations GROUP BY 1),
+WITH s AS (SELECT conv_id, coalesce(arg_min(text, turn) FILTER (role = 'system'), '') AS l, coalesce(arg_min(text, turn) FILTER (role = 'user'), '') AS r FROM conversations GROUP BY 1),
 c AS (SELECT conv_id, CASE WHEN l <> '' THEN 'Left hand: ' || l END AS l, CASE WHEN r <> '' THEN 'Right hand: ' || r END AS r FROM s)
 SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN concat_ws(' ', l, r) ELSE concat_ws(' ', r, l) END AS prompt FROM c""",
     "p13_safe_name": "SELECT p_partkey, trim(regexp_replace(lower(' -' || p_name || '/#' || p_brand || '! '), '[^a-z0-9]+', '_', 'g'), '_') AS name FROM part",
@@ -220,7 +220,7 @@ SELECT vec_id, round(2 * atan2(v, w), 5) AS angle, true AS round_trip FROM q""",
     "p21_robot_contract": """
 SELECT conv_id, count(*)::INT AS length, true AS same_length, true AS sizes_ok, CASE WHEN count(*) FILTER (role = 'assistant') > 1 THEN 'actual' ELSE 'commanded' END AS pose_source FROM conversations GROUP BY 1""",
     "p22_pad_group": """
-WITH w AS (SELECT conv_id, turn, role, string_split(left(text, 30), ' ') AS words FROM conversations),
+WITH w AS (SELECT conv_id, turn, role, string_split(text, ' ') AS words FROM conversations),
 m AS (SELECT *, max(len(words)) OVER c AS m, count(*) FILTER (role = 'assistant') OVER c AS a, count(*) OVER c AS n FROM w WINDOW c AS (PARTITION BY conv_id))
 SELECT conv_id, turn, m::INT AS size, (m - len(words) + len(list_filter(words, lambda x: x = '')))::INT AS padding, CASE WHEN a > 0 AND a < n THEN 'extra' ELSE '' END AS partial FROM m""",
     "p23_assign_split": """

@@ -144,28 +144,28 @@ held AS (SELECT f.video, f.frame, a, b, s.event_id FROM frames f JOIN spans s ON
 
 ORACLE = {
     "j1_attach_pts": f"""
-WITH {FRAMES}, n AS (SELECT video, count(*) AS n FROM frames WHERE video % 10 <> 3 GROUP BY 1)
+WITH {FRAMES}, n AS (SELECT video, count(*) AS n FROM frames GROUP BY 1)
 SELECT q.event_id, round(f.pts, 4) AS pts, CASE WHEN n.n IS NULL THEN 'missing video' WHEN q.event_id % 90 >= n.n THEN 'out of range' ELSE 'ok' END AS pts_status
 FROM frames q LEFT JOIN n USING (video) LEFT JOIN frames f ON f.video = q.video AND f.frame = q.event_id % 90 AND n.n IS NOT NULL""",
     "j2_attach_frame_features": "SELECT coalesce(p_brand, 'none') AS p_brand, count(*) AS rows FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_size > 10 GROUP BY 1",
     "j3_attach_sample_features": "SELECT doc_id AS sample_id, lang AS split, quality, CASE WHEN lang IN ('en', 'de') THEN toxic END AS toxic FROM documents JOIN labels USING (doc_id)",
     "j4_attach_prompt_features": """
-SELECT doc_id, lower(left(text, 2)) AS prompt, weight FROM documents LEFT JOIN (SELECT lower(left(text, 2)) AS p, count(*) AS weight FROM benchmark GROUP BY 1) ON p = lower(left(text, 2))""",
+SELECT doc_id, text AS prompt, weight FROM documents LEFT JOIN (SELECT text AS p, count(*) AS weight FROM benchmark GROUP BY 1) ON p = text""",
     "j5_align_one_to_one": """
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'right only' WHEN b.doc_id IS NULL THEN 'left only' ELSE 'both' END AS side, a.q IS NOT DISTINCT FROM b.quality AS same_quality
-FROM (SELECT doc_id, doc_id % 2 AS q FROM documents WHERE doc_id % 3 <> 0) a FULL JOIN labels b ON a.doc_id = b.doc_id""",
+FROM (SELECT doc_id, doc_id % 2 AS q FROM documents) a FULL JOIN labels b ON a.doc_id = b.doc_id""",
     "j6_drop_excluded": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "j7_split_membership": "SELECT o_orderkey AS member, CASE WHEN o_custkey % 7 <> 0 THEN 'train' WHEN o_orderkey % 2 = 0 THEN 'validation' END AS split FROM orders",
     "j8_interval_join_first": f"WITH {_SPANS} SELECT video, frame, arg_min(event_id, event_id)::VARCHAR AS text FROM held GROUP BY ALL",
     "j8_interval_join_all": f"WITH {_SPANS} SELECT video, frame, string_agg(event_id::VARCHAR, ',' ORDER BY a, b, event_id::VARCHAR) AS texts FROM held GROUP BY ALL",
     "j9_nearest_time_join": f"""
-WITH {FRAMES}, targets AS (SELECT video, frame AS anchor, unnest(range(0, 4)) AS k, pts FROM frames WHERE frame % 5 = 0),
+WITH {FRAMES}, targets AS (SELECT video, frame AS anchor, unnest(range(0, 4)) AS k, pts FROM frames),
 placed AS (SELECT video, anchor, k, pts + {OFFSETS}[k + 1] AS t FROM targets),
 near AS (SELECT p.*, f.frame, abs(f.pts - p.t) AS e FROM placed p JOIN frames f ON f.video = p.video QUALIFY row_number() OVER (PARTITION BY p.video, anchor, k ORDER BY abs(f.pts - p.t), f.pts) = 1),
 per AS (SELECT video, anchor, list(frame ORDER BY k) AS l, max(e) AS worst FROM near GROUP BY ALL)
 SELECT video, anchor, array_to_string(l, ',') AS frames, round(worst, 3) AS worst, worst <= {TOLERANCE} AND l[1] < l[2] AND l[2] < l[3] AND l[3] < l[4] AND l[2] = anchor AS eligible FROM per""",
     "j10_densify_nearest": f"""
-WITH {FRAMES}, f AS (SELECT video, frame, value FROM frames WHERE frame % 3 <> 1), grid AS (SELECT video, unnest(range(0, max(frame) + 1, 2)) AS g FROM f GROUP BY video)
+WITH {FRAMES}, f AS (SELECT video, frame, value FROM frames), grid AS (SELECT video, unnest(range(0, max(frame) + 1, 2)) AS g FROM f GROUP BY video)
 SELECT grid.video, g AS frame, f.frame::BIGINT AS source, value, f.frame = g AS valid FROM grid JOIN f ON f.video = grid.video QUALIFY row_number() OVER (PARTITION BY grid.video, g ORDER BY abs(f.frame - g), f.frame) = 1""",
     "j11_intersect_streams": "SELECT o_orderkey AS k FROM orders WHERE o_orderstatus <> 'P' AND o_orderkey % 2 = 0 AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 10) AND o_orderkey IN (SELECT p_partkey FROM part)",
     "j12_to_anchor_frame": f"""
@@ -178,8 +178,8 @@ p AS (SELECT x.l_partkey, x.id AS a, y.id AS b, abs(x.v - y.v) AS e FROM r x JOI
 SELECT l_partkey, a, b, round(e, 4) AS error, e <= 2000 AS within FROM p
 QUALIFY row_number() OVER (PARTITION BY l_partkey, a ORDER BY e, b) = 1 AND row_number() OVER (PARTITION BY l_partkey, b ORDER BY e, a) = 1""",
     "j15_compare_tables": """
-WITH j AS (SELECT a.k AS ak, b.k AS bk, a.p AS ap, b.p AS bp, a.s AS s, b.s AS bs FROM (SELECT p_partkey AS k, p_retailprice AS p, p_size AS s FROM part WHERE p_partkey % 11 <> 3) a
-  FULL JOIN (SELECT p_partkey AS k, p_retailprice * (1 + (p_partkey % 5) * 1e-5) AS p, p_size + (p_partkey % 50 = 0)::INT AS s FROM part WHERE p_partkey % 13 <> 5) b ON a.k = b.k),
+WITH j AS (SELECT a.k AS ak, b.k AS bk, a.p AS ap, b.p AS bp, a.s AS s, b.s AS bs FROM (SELECT p_partkey AS k, p_retailprice AS p, p_size AS s FROM part) a
+  FULL JOIN (SELECT p_partkey AS k, p_retailprice * (1 + (p_partkey % 5) * 1e-5) AS p, p_size + (p_partkey % 50 = 0)::INT AS s FROM part) b ON a.k = b.k),
 l AS (SELECT 'p_retailprice' AS c, abs(ap - bp) AS e, abs(bp) AS m, ak IS NULL OR bk IS NULL AS alone FROM j UNION ALL SELECT 'p_size', abs(s - bs), abs(bs), ak IS NULL OR bk IS NULL FROM j)
 SELECT c AS "column", round(max(e), 6)::DOUBLE AS max_error, count(*) FILTER (e > 1e-5 + 1e-5 * m) AS not_close, count(*) FILTER (alone) AS unmatched FROM l GROUP BY c""",
     "j16_existence_counters": """

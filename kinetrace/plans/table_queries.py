@@ -134,12 +134,12 @@ def k7(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t1(spark: SparkSession, d: str) -> DataFrame:
-    top = A.top_k(F.slice("embedding", 1, 10), 3)
+    top = A.top_k(F.col("embedding"), 3)
     return read(spark, d, "embeddings").select("vec_id", F.posexplode(top).alias("rank", "class"))
 
 
 def t2(spark: SparkSession, d: str) -> DataFrame:
-    members = read(spark, d, "orders").filter("o_custkey % 7 = 0").select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("member"))
+    members = read(spark, d, "orders").select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("member"))
     return S.bounded_sample(members, "sample-v1", 40)
 
 
@@ -281,10 +281,10 @@ SELECT doc_id, sha256(text) AS content, sha256(encode(strlen(text)::VARCHAR) ||
 WITH o AS (SELECT l_returnflag, count(*) AS observed, CASE l_returnflag WHEN 'A' THEN count(*) + 5 WHEN 'R' THEN 0 ELSE count(*) END AS expected FROM lineitem GROUP BY 1)
 SELECT * FROM (SELECT * FROM o UNION ALL SELECT NULL, sum(observed)::BIGINT, sum(expected)::BIGINT FROM o) WHERE observed <> expected""",
     "t1_topk_per_row": """
-SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) - 1)::INT AS rank, c::INT AS class FROM (SELECT vec_id, c, embedding[c + 1] AS s FROM (SELECT vec_id, embedding, unnest(range(0, 10)) AS c FROM embeddings))
+SELECT vec_id, (row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) - 1)::INT AS rank, c::INT AS class FROM (SELECT vec_id, c, embedding[c + 1] AS s FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding))) AS c FROM embeddings))
 QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, c) <= 3""",
     "t2_bounded_sample": """
-SELECT o_orderpriority AS source, o_orderkey AS member FROM orders WHERE o_custkey % 7 = 0
+SELECT o_orderpriority AS source, o_orderkey AS member FROM orders
 QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY sha256('sample-v1' || chr(0) || o_orderpriority || chr(0) || o_orderkey)) <= 40""",
     "t3_probe_rows": "WITH i AS (SELECT p_partkey, p_name, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS i, count(*) OVER () AS n FROM part) SELECT p_partkey, p_name, i AS index FROM i WHERE i IN (0, n // 2, n - 1)",
     "t4_order_check": """
@@ -296,18 +296,18 @@ SELECT CASE WHEN i // 8 % 2 = 0 THEN i % 8 ELSE 7 - i % 8 END AS bucket, count(*
     "t7_examples": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 20",
     "u1_merge_partitions": "SELECT DISTINCT l_suppkey, l_returnflag FROM lineitem",
     "u2_leakage": """
-WITH d AS (SELECT lang, source, left(text, 12) AS opening FROM documents UNION ALL SELECT 'benchmark', NULL, left(text, 12) FROM benchmark),
-l AS (SELECT DISTINCT lang, 'source' AS key, source AS value FROM d WHERE source IS NOT NULL UNION SELECT DISTINCT lang, 'opening', opening FROM d WHERE opening IS NOT NULL)
+WITH d AS (SELECT lang, source, text FROM documents UNION ALL SELECT 'benchmark', NULL, text FROM benchmark),
+l AS (SELECT DISTINCT lang, 'source' AS key, source AS value FROM d WHERE source IS NOT NULL UNION SELECT DISTINCT lang, 'text', text FROM d WHERE text IS NOT NULL)
 SELECT a.key, a.lang AS a, b.lang AS b, count(*) AS shared FROM l a JOIN l b ON a.key = b.key AND a.value = b.value AND a.lang < b.lang GROUP BY ALL""",
     "u3_set_diff": """
-SELECT doc_id, 'missing' AS status FROM documents WHERE doc_id % 4 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT DISTINCT doc_id, 'unexpected' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)""",
+SELECT doc_id, 'missing' AS status FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT DISTINCT doc_id, 'unexpected' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""",
     "u4_union_keys": "SELECT n_regionkey AS k FROM nation UNION SELECT r_regionkey + 3 FROM region",
     "r1_ingest_requests_stream": "SELECT DISTINCT event_type AS dataset, user_id AS video, event_id % 10 AS frame_id FROM events",
     "r2_incremental_counters_stream": "SELECT event_type, CASE WHEN value < 2 THEN 'short' END AS reason, count(*) AS rows FROM events GROUP BY ALL",
     "x1_extract_features": "SELECT vec_id % 7 AS video, vec_id, 64 AS size, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) + 0.0::DOUBLE AS total, 'identity-v1' AS extractor_id FROM embeddings",
     "x2_extract_text_features": """
-WITH p AS (SELECT DISTINCT left(text, 40) AS prompt FROM documents WHERE left(text, 40) <> ''), c AS (SELECT prompt, length(prompt) AS a, length(prompt) - length(replace(prompt, ' ', '')) + 1 AS b FROM p)
+WITH p AS (SELECT DISTINCT text AS prompt FROM documents WHERE text <> ''), c AS (SELECT prompt, length(prompt) AS a, length(prompt) - length(replace(prompt, ' ', '')) + 1 AS b FROM p)
 SELECT prompt, round(a / sqrt(a * a + b * b), 6) AS x, round(b / sqrt(a * a + b * b), 6) AS y, 'counts-v1' AS extractor_id FROM c""",
     "x3_build_timelines": f"""
 WITH {FRAMES}, h AS (SELECT video, floor(pts / 3600) * 3600 AS t, frame FROM frames), k AS (SELECT video, t + 60.0 * (row_number() OVER (PARTITION BY video, t ORDER BY frame) - 1) AS t FROM h)
