@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a new temporary one where that is unset (local tests)."""
+    """The folder all executors see: spark.checkpoint.dir. Only where that is unset and the master is local (tests), a new temporary one."""
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if named is None and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+    return named or context.getCheckpointDir()
 
 
 _sent_to: set[str] = set()
@@ -40,12 +44,44 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
-    """Write as Parquet in the shared folder and read back: as `cut`, with columns that later reads can leave out."""
+def _written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write as Parquet in the shared folder and read back: as `cut`, with columns that later reads can leave out."""
+    return _written(df, name)[0]
+
+
+class Scratch:
+    """Tables in the shared folder for the steps of one job, deleted when it is done. What it returns must be stored outside.
+
+    A table stored under a name that is in use takes the place of the earlier one, so a loop holds one table a name.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        for name in list(self.paths):
+            self.drop(name)
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        out, path = _written(df, name)
+        self.drop(name)
+        self.paths[name] = path
+        return out
+
+    def drop(self, name: str) -> None:
+        if name in self.paths:
+            where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
+            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
