@@ -1,17 +1,19 @@
 """Main text of web pages from parser events and text-to-tag ratios.
 
-The standard library's parser streams a page into lines, one for each run of text inside a block, with its length, the
-tags around it and its open elements. Lines under menus, forms, adverts, comments and the like are set aside by element,
-role and class. The text-to-tag ratios of the others are smoothed with a Gaussian and split at a threshold. The article or
-main element that holds most text above it is kept whole; without one, every outermost element that has none of the page's
-frame (menus, page head and foot) in it is kept whole if it has content, a line above the threshold that is not mainly links.
+The standard library's parser streams a page into lines, one for each run of text inside a block, with its length without
+links and the tags around it. The logarithms of these text-to-tag ratios are smoothed with a Gaussian and clustered around
+two centres, one held at zero: lines nearest to that one and lines of links are frame, the others content.
+
+Content lines select regions. Elements named as frame (menus, page heads and feet, sidebars) are set aside; a class or role
+that speaks of frame only weighs against the share of content its element holds, so a wrapper with such a name stays. The
+article or main element that holds most content is kept whole. Without one the page is gone through from the top: an
+element without content lines goes, one that holds together is kept whole, and any other is split into its children.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
@@ -22,84 +24,85 @@ from kinetrace.llm.text import quoted
 from kinetrace.plans.shared import shipped
 
 SMOOTHING = 1.0
-#: An article or main that is the content region holds at least this share of the text above the threshold.
+#: An article or main that is the content region holds at least this share of the content.
 REGION_SHARE = 0.8
+#: An element whose class or role speaks of frame alone stays only if it holds this share of the content; one with half such words, half of it.
+MARKED_SHARE = 0.9
 LINK_SHARE = 0.6
+ROUNDS = 50
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html iframe legend li main menu nav noscript ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul video audio canvas object svg".split()
 )
-REGIONS = frozenset("article body center div html main section table tbody td tr".split())
-SET_ASIDE = frozenset("aside audio button canvas dialog footer form head iframe menu nav noscript object optgroup option script search select style svg template textarea title video".split())
+#: Elements whose text is never part of an article, and those that are the frame of a page or stand beside its text.
+UNREAD = frozenset("audio button canvas head iframe noscript object optgroup option script select style svg template textarea title video".split())
+FRAMING = frozenset("aside dialog footer menu nav search".split())
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-#: Words in a class or id that mark what is not the article.
+#: Words in a class or id that speak of what is not the article.
 MARKS = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination paywall popup promo promotion promoted recommended related replies reply respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget".split()
 )
-#: What of the set aside makes up the frame of a page: an element around it is not the article alone. Others stand inside articles too.
-FRAME = frozenset("banner contentinfo footer masthead menu menubar nav navbar navigation".split())
+#: Which of these make up the frame of a page: an element around them is not the article alone. Others stand inside articles too.
+PAGE_FRAME = frozenset("banner contentinfo footer header masthead menu menubar nav navbar navigation".split())
 #: A head of the page is set aside, a head inside the article is not.
 HEADS = frozenset(("header", "head"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT_BLOCKS = HEADINGS | frozenset("blockquote dd dt figcaption li p pre".split())
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 #: An implied end does not reach out of these.
 HOLDS = frozenset("article aside body div dl footer form header html main menu nav ol section table td th ul blockquote".split())
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, path of open regions) for each line that isn't set aside."""
+    """Collects lines (text, tags, characters of links, block), and blocks by number: parent (a smaller number), tag, and how much speaks for frame, from 0 to 1."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, bool, int]] = []
-        self.aside = self.frames = self.links = self.articles = self.count = 0
-        self.path: list[int] = []
-        self.kinds: dict[int, str] = {}
-        self.framed: set[int] = set()
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.open: list[tuple[str, int, bool]] = []
+        self.parent, self.tag, self.mark, self.framing = [0], ["html"], [0.0], [False]
+        self.block = 0
+        self.unread = self.links = self.articles = self.tags = self.link_chars = 0
+        self.lines: list[tuple[str, int, int, int]] = []
         self.words: list[str] = []
-        self.tags = self.link_chars = 0
 
     def end_line(self) -> None:
         text = " ".join("".join(self.words).split())
         if text:
-            self.lines.append((text, self.tags, self.link_chars, tuple(self.path)))
+            self.lines.append((text, self.tags, self.link_chars, self.block))
             self.tags = 0
         self.words.clear()
         self.link_chars = 0
 
-    def unwanted(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in SET_ASIDE:
-            return True
-        if tag in ("html", "body", "article", "main"):
-            return False
-        if "hidden" in attrs or attrs.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", attrs.get("style") or ""):
-            return True
-        if (attrs.get("role") or "").lower() in ROLES:
-            return True
-        marks = self.marks(attrs)
-        return bool(marks & MARKS) or not self.articles and (tag == "header" or bool(marks & HEADS))
-
-    @staticmethod
-    def marks(attrs: dict[str, str | None]) -> set[str]:
-        names = re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{attrs.get('class') or ''} {attrs.get('id') or ''}").lower()
-        return set(re.split(r"[^a-z]+", names))
-
-    def of_frame(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        return tag in FRAME or tag == "header" or (attrs.get("role") or "").lower() in FRAME or bool(self.marks(attrs) & (FRAME - {"banner"} | HEADS))
-
     def close(self) -> None:
         super().close()
         self.end_line()
 
+    @staticmethod
+    def hidden(attrs: dict[str, str | None]) -> bool:
+        return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or ""))
+
+    def frame_of(self, tag: str, attrs: dict[str, str | None]) -> tuple[float, bool]:
+        """How much of its tag, role and class speaks for frame, and whether for the frame of the page."""
+        if tag in FRAMING or tag == "header" and not self.articles:
+            return 1.0, tag in PAGE_FRAME
+        if not attrs or tag in ("html", "body", "article", "main"):
+            return 0.0, False
+        role = (attrs.get("role") or "").lower()
+        if role in ROLES:
+            return 1.0, role in PAGE_FRAME
+        names = [set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(k) or "").lower())) for k in ("class", "id")]
+        known = MARKS if self.articles else MARKS | HEADS
+        share, words = max((len(w & known) / len(w), sorted(w & known)) for w in [n or {""} for n in names])
+        return max(share, float(tag == "form")), any(w in PAGE_FRAME or w in HEADS for w in words)
+
     def pop(self) -> None:
-        tag, aside, frame, region = self.open.pop()
-        self.aside -= aside
-        self.frames -= frame
+        tag, unread, block = self.open.pop()
+        self.unread -= unread
         self.links -= tag == "a"
         self.articles -= tag in ("article", "main")
-        if region:
-            self.path.pop()
+        if block:
+            self.block = self.parent[self.block]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
@@ -116,39 +119,43 @@ class Lines(HTMLParser):
                     break
         if tag in VOID:
             return
-        aside = bool(attrs) and self.unwanted(tag, dict(attrs)) or not attrs and (tag in SET_ASIDE or tag == "header" and not self.articles)
-        frame = aside and self.of_frame(tag, dict(attrs))
-        region = 0
-        if tag in REGIONS:
-            self.count += 1
-            region = self.count
-            self.kinds[region] = tag
-            self.path.append(region)
-        self.open.append((tag, aside, frame, region))
-        self.aside += aside
-        self.frames += frame
+        given = dict(attrs)
+        mark, framing = self.frame_of(tag, given)
+        block = tag in BLOCKS or mark > 0
+        if block:
+            self.end_line()
+            self.parent.append(self.block)
+            self.block = len(self.tag)
+            self.tag.append(tag)
+            self.mark.append(mark)
+            self.framing.append(framing)
+        unread = tag in UNREAD or tag not in ("html", "body", "article", "main") and self.hidden(given)
+        self.open.append((tag, unread, block))
+        self.unread += unread
         self.links += tag == "a"
         self.articles += tag in ("article", "main")
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        if tag in BLOCKS:
-            self.end_line()
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
+                if tag in BLOCKS or self.open[k][2]:
+                    self.end_line()
                 while len(self.open) > k:
+                    if self.open[-1][2]:
+                        self.end_line()
                     self.pop()
-                return
+                break
             if self.open[k][0] in HOLDS and tag not in BLOCKS:
-                return
+                break
+        if tag in BLOCKS:
+            self.end_line()
 
     def handle_data(self, data: str) -> None:
-        if not self.aside:
+        if not self.unread:
             self.words.append(data)
             if self.links:
                 self.link_chars += len(data)
-        elif self.frames and not data.isspace():
-            self.framed.update(self.path)
 
 
 def smoothed(values: list[float], sigma: float) -> list[float]:
@@ -161,33 +168,109 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
     return out
 
 
+def content_lines(ratios: list[float], sigma: float = SMOOTHING) -> list[bool]:
+    """Which lines are content: by smoothed log ratio, those nearer to the mean of all such lines than to zero."""
+    level = smoothed([math.log1p(r) for r in ratios], sigma)
+    centre = sum(level) / len(level)
+    for _ in range(ROUNDS):
+        mine = [x for x in level if 2 * x >= centre]
+        if centre == (centre := sum(mine) / len(mine)):
+            break
+    return [2 * x >= centre for x in level]
+
+
+def sums(parser: Lines, of_lines: list[float]) -> list[float]:
+    """By block, the sum over the lines in it and in the blocks inside it."""
+    out = [0.0] * len(parser.parent)
+    for (_, _, _, block), v in zip(parser.lines, of_lines, strict=True):
+        out[block] += v
+    for k in range(len(out) - 1, 0, -1):
+        out[parser.parent[k]] += out[k]
+    return out
+
+
+def set_aside(parser: Lines, worth: list[float]) -> list[bool]:
+    """By block: whether it, or one around it, is frame. worth: content characters of each line.
+
+    First go framing elements and those that speak of frame alone, unless these hold nearly all content; then, of what is
+    left, those that speak of it in part and hold a small share. Where an article or main has content, all go that hold none of it.
+    """
+    out = [False] * len(parser.parent)
+    named = [t in ("article", "main") for t in parser.tag]
+    for k in range(1, len(named)):
+        named[k] = named[k] or named[parser.parent[k]]
+    of_article = sums(parser, [w * named[line[3]] for line, w in zip(parser.lines, worth, strict=True)])
+    for least in (1.0, 0.0):
+        held = sums(parser, [0.0 if out[line[3]] else w for line, w in zip(parser.lines, worth, strict=True)])
+        for k in range(1, len(out)):
+            mark, tag = parser.mark[k], parser.tag[k]
+            framed = tag in FRAMING or tag == "header" and mark == 1
+            out[k] = out[k] or out[parser.parent[k]] or mark > 0 and mark >= least and (framed or of_article[0] > of_article[k] == 0 or held[k] < MARKED_SHARE * mark * held[0])
+    return out
+
+
 def main_text(html: str) -> str:
     """The article's blocks in page order, joined by a space; empty if there is none."""
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = parser.lines
+    lines, n = parser.lines, len(parser.parent)
     if not lines:
         return ""
-    ratio = smoothed([len(text) / max(tags, 1) for text, tags, _, _ in lines], SMOOTHING)
-    threshold = sum(ratio) / len(ratio) / 2
-    weight: Counter = Counter()
-    for (text, _, link_chars, path), r in zip(lines, ratio, strict=True):
-        if r >= threshold:
-            weight.update(dict.fromkeys(path, len(text) - min(link_chars, len(text))))
-    total = max(weight.values(), default=0)
-    named = [p for p, w in weight.items() if w >= REGION_SHARE * total and parser.kinds[p] in ("article", "main")]
-    if named:
-        region = min(named)  # numbers rise inwards
-        return " ".join(text for text, _, _, path in lines if region in path)
-    linked = [link_chars >= LINK_SHARE * len(text) for text, _, link_chars, _ in lines]
-    part = [next((p for p in path if p not in parser.framed), 0) for _, _, _, path in lines]
-    content = {p for p, link, r in zip(part, linked, ratio, strict=True) if p and r >= threshold and not link}
-    kept = []
-    for (text, _, _, _), p, link, r in zip(lines, part, linked, ratio, strict=True):
-        if p in content or not p and not (link and r < threshold):
-            kept.append(text)
-    return " ".join(kept)
+    near = content_lines([max(len(text) - links, 0) / max(tags, 1) for text, tags, links, _ in lines])
+    content = [c and links < LINK_SHARE * len(text) for c, (text, _, links, _) in zip(near, lines, strict=True)]  # smoothing lifts a menu beside the text
+    worth = [max(len(text) - links, 0) * c for (text, _, links, _), c in zip(lines, content, strict=True)]
+    aside = set_aside(parser, worth)
+    left = [not aside[block] for _, _, _, block in lines]
+    held = sums(parser, [w * x for w, x in zip(worth, left, strict=True)])
+    region = next((k for k in range(1, n) if parser.tag[k] in ("article", "main") and not aside[k] and held[k] >= REGION_SHARE * held[0] > 0), None)
+    kept = within(parser, region) if region else parts(parser, content, left, aside)
+    return " ".join(line[0] for line, k, x in zip(lines, kept, left, strict=True) if k and x)
+
+
+def within(parser: Lines, region: int) -> list[bool]:
+    inside = [False] * len(parser.parent)
+    for k in range(1, len(inside)):
+        inside[k] = k == region or inside[parser.parent[k]]
+    return [inside[block] for _, _, _, block in parser.lines]
+
+
+def parts(parser: Lines, content: list[bool], left: list[bool], aside: list[bool]) -> list[bool]:
+    """Lines of the parts with content of a page without article.
+
+    A block is split if it is of the page rather than of its text: the page itself, one with menus or page heads and feet in
+    it, one with a child of links without content beside children that hold content, or one around such a block without text
+    of its own. Of a split block's children, and of its own lines, those with content stay, and headings right before what stays.
+    """
+    n, lines = len(parser.parent), parser.lines
+    high = sums(parser, [float(c and x) for c, x in zip(content, left, strict=True)])
+    size = sums(parser, [len(line[0]) * x for line, x in zip(lines, left, strict=True)])
+    links = sums(parser, [min(line[2], len(line[0])) * x for line, x in zip(lines, left, strict=True)])
+    there = sums(parser, [float(not x) for x in left])
+    own_text, split = [False] * n, [parser.tag[k] in ("html", "body") for k in range(n)]
+    for (_, _, _, block), c, x in zip(lines, content, left, strict=True):
+        if c and x:
+            own_text[parser.parent[block] if parser.tag[block] in TEXT_BLOCKS else block] = True
+    framed = [aside[k] and parser.framing[k] and there[k] > 0 for k in range(n)]
+    for k in range(n - 1, 0, -1):
+        framed[parser.parent[k]] = framed[parser.parent[k]] or framed[k]
+    for k in range(1, n):
+        up = parser.parent[k]
+        split[k] = split[k] or framed[k]
+        if not aside[k] and not high[k] and size[k] and links[k] >= LINK_SHARE * size[k] and not own_text[up]:
+            split[up] = True
+    for k in range(n - 1, 0, -1):
+        up = parser.parent[k]
+        split[up] = split[up] or split[k] and not own_text[up]
+    whole = [False] * n
+    for k in range(1, n):
+        up = parser.parent[k]
+        whole[k] = whole[up] or (up == 0 or split[up]) and high[k] > 0 and not split[k]
+        split[k] = split[k] and (up == 0 or split[up])
+    kept = [x and (whole[line[3]] or c and (line[3] == 0 or split[line[3]])) for line, c, x in zip(lines, content, left, strict=True)]
+    for i in range(len(lines) - 2, -1, -1):
+        kept[i] = kept[i] or left[i] and kept[i + 1] and parser.tag[lines[i][3]] in HEADINGS
+    return kept
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
