@@ -1,14 +1,17 @@
 """Best-fit packing of tokenised documents by a configuration linear program over the length histogram.
 
 Documents become pieces of at most `capacity` tokens. The histogram of piece lengths, at most `capacity` numbers, is all
-that the plan needs: a multiplicative-weights solver covers it with configurations (which lengths share a sequence),
-pricing each by a knapsack dynamic program over the current weights; the solution is rounded to whole sequences and what
-is left is put in by best fit. Spark then ranks the pieces of each length, and a piece's rank says its sequence and place.
+that the plan needs: how many sequences to make of each configuration (which lengths share a sequence), so that all pieces
+are covered by as few as can be. Multiplicative weights solve it: a length's price falls by the share of its pieces that is
+covered, one knapsack dynamic program over the prices gives the best use of any room, and so a configuration for each
+length; each is taken in whole sequences, as many as the pieces left allow. Configurations that leave no room are taken
+first; where none is left, ever more room is allowed, until every piece has its place. Spark then ranks the pieces of each
+length, and a piece's rank says its sequence and place.
 """
 
 from __future__ import annotations
 
-import bisect
+import json
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -25,7 +28,8 @@ from kinetrace.plans.shared import running_before, shipped, spread, stored
 
 CAPACITY = 1024
 END_ID = 2
-ROUNDS = 600
+#: Step size of the weights, and power of the length in its price: over 1, so that what is hard to place goes first. Each pair is solved for, and the fewest sequences are kept.
+PRICES = ((0.1, 1.3), (0.1, 1.5), (0.3, 1.5), (0.5, 1.5))
 
 
 def tokenizer_path() -> str:
@@ -49,7 +53,8 @@ class TextIds:
     """Byte-level BPE ids as little-endian bytes.
 
     Ids are those of the tokenizers library for `path`. Texts that hold a special string go through it; all others through
-    tiktoken, several times faster, which merges by the same ranks: a token's id is its rank in this kind of vocabulary.
+    tiktoken, several times faster, if the file says that it cuts words by PATTERN and merges by rank, the ids being the
+    ranks; a file that says anything else is left to the library.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,10 +65,22 @@ class TextIds:
         self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         byte_of = byte_letters()
         ranks = {bytes(byte_of[c] for c in token): i for token, i in self.model.get_vocab(with_added_tokens=True).items() if token not in self.special}
-        self.merger = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.merger = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}) if self.plain(path) else None
+
+    @staticmethod
+    def plain(path: str) -> bool:
+        """Whether the file is a byte-level merge model as tiktoken knows it: nothing before the cutting, merges in the order of ids."""
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        cutting, model = said.get("pre_tokenizer") or {}, said["model"]
+        by_rank = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model.get("merges", [])]
+        return (
+            cutting.get("type") == "ByteLevel" and not cutting.get("add_prefix_space") and cutting.get("use_regex", True) and not said.get("normalizer")
+            and model.get("type", "BPE") == "BPE" and not any(model.get(k) for k in ("dropout", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")) and None not in by_rank and by_rank == sorted(by_rank)
+        )
 
     def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
+        if self.merger is None or any(s in text for s in self.special):
             return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.merger.encode_ordinary(text), "<u4").tobytes()
 
@@ -103,96 +120,64 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return shipped(mine).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def best_configuration(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> dict[int, int]:
-    """The unbounded knapsack: which lengths, how often, are worth most within the capacity."""
+def best_uses(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> list[int]:
+    """The unbounded knapsack: for each room, which length (its place) is put in next for the most worth, or -1 to leave one token empty."""
     value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for room in range(1, capacity + 1):
-        n = bisect.bisect_right(lengths, room)
+        n = fitting[room]
         value[room] = value[room - 1]
         if n:
             each = worth[:n] + value[room - lengths[:n]]
             k = int(each.argmax())
             if each[k] > value[room]:
                 value[room], last[room] = each[k], k
-    room, out = capacity, Counter()
-    while room > 0:
-        if last[room] < 0:
-            room -= 1
-            continue
-        out[int(lengths[last[room]])] += 1
-        room -= int(lengths[last[room]])
-    return dict(out)
-
-
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, step: float = 0.25) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how many sequences each makes, that hold exactly the pieces of the histogram."""
-    left = Counter({length: n for length, n in histogram.items() if n})
-    if not left:
-        return []
-    lengths = np.array(sorted(left))
-    need = np.array([left[x] for x in lengths], float)
-    place = {int(x): i for i, x in enumerate(lengths)}
-    covered = np.zeros(len(lengths))
-    amounts: dict[tuple, float] = {}
-    for _ in range(rounds):
-        if covered.min() >= 1:
-            break
-        worth = np.where(covered < 1, np.exp(-4 * covered), 0) * lengths
-        chosen = best_configuration(lengths, worth, capacity)
-        if not chosen:
-            break
-        amount = step * min(need[place[x]] / a for x, a in chosen.items())
-        for x, a in chosen.items():
-            covered[place[x]] += a * amount / need[place[x]]
-        key = tuple(sorted(chosen.items()))
-        amounts[key] = amounts.get(key, 0) + amount
-    out: list[tuple[dict[int, int], int]] = []
-    for key, amount in sorted(amounts.items(), key=lambda x: -x[1]):
-        whole = min(int(amount), *(left[x] // a for x, a in key))
-        if whole > 0:
-            out.append((dict(key), whole))
-            left.subtract({x: a * whole for x, a in key})
-    return out + best_fit(left, capacity)
-
-
-def best_fit(left: Counter, capacity: int) -> list[tuple[dict[int, int], int]]:
-    """Best fit, largest first, over lengths and counts: a run of equal pieces goes to equally filled sequences together."""
-    open_bins: dict[int, list[list]] = {}
-    rooms: list[int] = []
-    done: list[tuple[dict[int, int], int]] = []
-
-    def put(config: dict[int, int], count: int, room: int) -> None:
-        if not room:
-            done.append((config, count))
-        else:
-            if room not in open_bins:
-                bisect.insort(rooms, room)
-            open_bins.setdefault(room, []).append([config, count])
-
-    for length in sorted((x for x, n in left.items() if n > 0), reverse=True):
-        n = left[length]
-        while n:
-            at = bisect.bisect_left(rooms, length)
-            if at == len(rooms):
-                per = capacity // length
-                if n >= per:
-                    put({length: per}, n // per, capacity - per * length)
-                    n %= per
+    return last.tolist()
+
+
+def covered(histogram: dict[int, int], capacity: int, step: float, power: float) -> Counter:
+    """Configurations (sorted (length, how often) pairs) and their numbers of sequences, which hold exactly the pieces of the histogram."""
+    left = dict(histogram)
+    out: Counter = Counter()
+    allowed = 0
+    while left:
+        lengths = np.array(sorted(left))
+        n = np.array([left[x] for x in lengths.tolist()], float)
+        share = 1 - n / np.array([histogram[x] for x in lengths.tolist()])
+        worth = lengths**power * np.exp(-step * share) * (1 - 1 / (1 + n))  # the last few of a length are worth less: they can't fill many
+        uses, names = best_uses(lengths, worth, capacity), lengths.tolist()
+        taken = False
+        for first in reversed(names):
+            if first not in left:
+                continue
+            config, room = Counter({first: 1}), capacity - first
+            while room > 0:
+                x = names[uses[room]] if uses[room] >= 0 else 0
+                if x and config[x] < left.get(x, 0):
+                    config[x] += 1
+                    room -= x
                 else:
-                    put({length: n}, 1, capacity - n * length)
-                    n = 0
+                    room -= 1
+            if capacity - sum(x * a for x, a in config.items()) > allowed:
                 continue
-            room = rooms[at]
-            config, count = open_bins[room].pop()
-            if not open_bins[room]:
-                del open_bins[room]
-                rooms.pop(at)
-            used = min(n, count)
-            put(config | {length: config.get(length, 0) + 1}, used, room - length)
-            if count > used:
-                put(config, count - used, room)
-            n -= used
-    return done + [(config, count) for bins in open_bins.values() for config, count in bins]
+            config = {x: a for x, a in config.items() if a}
+            amount = min(left[x] // a for x, a in config.items())
+            out[tuple(sorted(config.items()))] += amount
+            taken = True
+            for x, a in config.items():
+                left[x] -= a * amount
+                if not left[x]:
+                    del left[x]
+        if not taken:
+            allowed = 2 * allowed + 1
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how many sequences each makes, that hold exactly the pieces of the histogram."""
+    histogram = {length: n for length, n in histogram.items() if n}
+    solved = [covered(histogram, capacity, step, power) for step, power in PRICES]
+    return [(dict(config), n) for config, n in min(solved, key=lambda c: sum(c.values())).items()]
 
 
 def seats(configurations: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
@@ -231,7 +216,11 @@ def pack(pieces: DataFrame, key: list[str], capacity: int = CAPACITY) -> DataFra
 
 
 def pack_documents(docs: DataFrame, **options) -> DataFrame:
-    """Tokenise once, keep the pieces (spans, no ids) in the shared folder, and pack them."""
+    """Tokenise once, keep the pieces (spans, no ids) in the shared folder, and pack them: a row a piece.
+
+    Defined cases: a null or empty text is one piece of end_id alone; rows with equal or null doc_id are separate documents,
+    and pieces that are equal in all columns may swap places; other columns are not looked at; an empty table stays empty.
+    """
     pieces = stored(token_pieces(docs, **options), "pieces")
     return pack(pieces, ["doc_id", "piece", "start", "ids_crc32"])
 
