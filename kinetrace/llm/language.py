@@ -1,33 +1,35 @@
 """Language identification by words first, backing off to ever shorter character n-grams for words not seen.
 
-Training counts words by language over labelled documents, whole texts, in Spark, and keeps the commonest; character n-grams
-of those, with marks for word start and end, are counted from their counts. The model is bounded by parameters: so many
-words and n-grams a language. A known word scores by its smoothed log frequency in each language, an unknown one by the mean over those of its
-n-grams that are known, at the greatest length at which any is.
+Training counts the words of a bounded sample of labelled documents, drawn by language, whole texts, in Spark; character
+n-grams of all of them, with marks for word start and end, are counted from their counts. No word or n-gram of the sample is
+left out, so its bound, a parameter, is the model's. A known word scores by its smoothed log frequency in each language, an
+unknown one by the mean over those of its n-grams that are known, at the greatest length at which any is. A word is a run
+of letters with the marks attached to them; numbers, also those written as letters or in circles, are none.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.compute as pc
+import regex
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.llm.text import quoted
 from kinetrace.plans.shared import cut, shipped
 
-LETTERS = re.compile(r"[^\W\d_]+")
+#: Letters with their marks, of any script.
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5
-#: Labelled documents trained on at most, about; beyond it a hashed share of them is used.
-MOST_DOCUMENTS = 20_000
-#: Words, and n-grams, kept of each language, by count.
-MOST_WORDS = 50_000
-MOST_GRAMS = 50_000
+#: Characters of labelled text trained on at most, about, in all languages together. Each language gets an equal part, and uses what it has of it.
+MOST_CHARACTERS = 16_000_000
+#: Languages a model can tell apart: those with most labelled text, the rest is taken for unlabelled.
+MOST_LANGUAGES = 1_000
 #: The score is a softmax over mean log frequency times the number of words, up to so many.
 CERTAIN_WORDS = 25
 REMEMBERED = 100_000
@@ -46,17 +48,23 @@ def training_share(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string")) % 4
 
 
-def top(counts: DataFrame, most: int) -> DataFrame:
-    """The `most` commonest items of each language. Few languages, and a bounded number of training texts: the windows are bounded too."""
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "item"))
-    return counts.withColumn("_place", place).filter(F.col("_place") <= most).drop("_place")
+def sampled(docs: DataFrame, most_characters: int = MOST_CHARACTERS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
+    """lang, text of a hashed sample of the documents with text and lang; whole texts, by language a share that comes to an equal part of the bound."""
+    labelled = docs.select(quoted("text").cast("string").alias("text"), quoted("lang").cast("string").alias("lang"), F.xxhash64(quoted("doc_id"), quoted("text")).alias("_h")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()  # a row a language
+    left, shares = most_characters, {}
+    for k, row in enumerate(sorted(sizes, key=lambda r: r["n"])):  # what small languages leave of their parts goes to larger ones
+        part = min(row["n"] or 0, left // (len(sizes) - k))
+        left -= part
+        shares[row["lang"]] = part / max(1, row["n"] or 0)
+    if not shares:
+        return labelled.select("lang", "text").filter(F.lit(False))
+    share = F.element_at(F.create_map(*[F.lit(x) for pair in shares.items() for x in pair]), F.col("lang"))
+    return labelled.filter(F.pmod("_h", F.lit(2**20)) < F.ceil(share * 2**20)).select("lang", "text")
 
 
-def count_items(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS) -> tuple[DataFrame, DataFrame]:
-    """Word and n-gram counts by language (lang, item, n) from documents with text and lang."""
-    labelled = docs.select(quoted("text").alias("text"), quoted("lang").alias("lang"), F.xxhash64(quoted("doc_id")).alias("h")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    share = min(1.0, most_documents / max(1, labelled.count()))
-    labelled = labelled.filter(F.pmod("h", F.lit(2**20)) < int(share * 2**20)) if share < 1 else labelled
+def count_items(docs: DataFrame, **bounds) -> tuple[DataFrame, DataFrame]:
+    """Word and n-gram counts by language (lang, item, n) from a sample of documents with text and lang."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,36 +75,34 @@ def count_items(docs: DataFrame, most_documents: int = MOST_DOCUMENTS, most_word
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "item", "n"])
 
-    words = shipped(labelled.select("lang", "text")).mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    words = cut(top(words, most_words))
+    words = shipped(sampled(docs, **bounds)).mapInArrow(count, "lang string, item string, n long").groupBy("lang", "item").agg(F.sum("n").alias("n"))
+    words = cut(words)
     marked = F.concat(F.lit("<"), F.col("item"), F.lit(">"))
-    places = words.repartition(labelled.sparkSession.sparkContext.defaultParallelism, "item").select("lang", "n", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.length(marked))).alias("i"))
+    places = words.select("lang", "n", marked.alias("w"), F.explode(F.sequence(F.lit(1), F.length(marked))).alias("i"))
     at = F.array_compact(F.array(*[F.when(F.col("i") + k <= F.length("w") + 1, F.substring("w", F.col("i"), F.lit(k))) for k in range(1, LONGEST + 1)]))
-    grams = places.select("lang", "n", F.explode(at).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
-    return words, top(grams, most_grams)
+    return words, places.select("lang", "n", F.explode(at).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
 class Model:
     """Log frequencies by language of words and n-grams, as two tables from item to row."""
 
-    def __init__(self, words: list[tuple[str, str, int]], grams: list[tuple[str, str, int]]) -> None:
-        self.langs = sorted({lang for lang, _, _ in words})
-        self.words, self.word_rows = self.table(words, lambda w: 0)
-        self.grams, self.gram_rows = self.table(grams, len)
+    def __init__(self, words: pa.Table, grams: pa.Table) -> None:
+        self.langs = sorted(pc.unique(words.column("lang")).to_pylist())
+        self.words, self.word_rows = self.table(words, by_length=False)
+        self.grams, self.gram_rows = self.table(grams, by_length=True)
         self.seen: dict[str, np.ndarray] = {}
 
-    def table(self, counts: list[tuple[str, str, int]], kind: Callable[[str], int]) -> tuple[dict[str, int], np.ndarray]:
-        index: dict[str, int] = {}
-        for _, item, _ in counts:
-            index.setdefault(item, len(index))
-        n = np.zeros((len(index), len(self.langs)))
-        for lang, item, count in counts:
-            n[index[item], self.langs.index(lang)] += count
-        kinds = np.array([kind(item) for item in index])
+    def table(self, counts: pa.Table, by_length: bool) -> tuple[dict[str, int], np.ndarray]:
+        items = counts.column("item").combine_chunks().dictionary_encode()
+        index = {item: i for i, item in enumerate(items.dictionary.to_pylist())}
+        n = np.zeros((len(index), len(self.langs)), np.float32)
+        column = pc.index_in(counts.column("lang"), pa.array(self.langs, pa.string())).to_numpy()
+        np.add.at(n, (items.indices.to_numpy(), column), counts.column("n").to_numpy())
+        kinds = np.array([len(item) if by_length else 0 for item in index])
         for k in set(kinds.tolist()):
             of = kinds == k
-            n[of] = np.log((n[of] + 0.5) / (n[of].sum(axis=0) + 0.5 * of.sum()))
-        return index, n.astype(np.float32)
+            n[of] = np.log((n[of] + 0.5) / (n[of].sum(axis=0, dtype=np.float64) + 0.5 * of.sum()))
+        return index, n
 
     def unseen(self, word: str) -> np.ndarray:
         found = self.seen.get(word)
@@ -136,10 +142,9 @@ class Model:
 
 
 def train(docs: DataFrame, **bounds) -> Model:
-    """Fit on doc_id, text, lang; rows without text or lang are left out. The model's size is bounded by the parameters, so it may pass through the driver."""
+    """Fit on doc_id, text, lang; rows without text or lang are left out. The model holds items of the sample alone, whose size is bounded, so it may pass through the driver."""
     words, grams = count_items(docs, **bounds)
-    rows = lambda df: list(zip(*df.select("lang", "item", "n").toArrow().to_pydict().values(), strict=True))
-    return Model(rows(words), rows(grams))
+    return Model(*(df.select("lang", "item", "n").toArrow() for df in (words, grams)))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -161,10 +166,15 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def language_filter(docs: DataFrame, least_score: float = 0.5, **bounds) -> DataFrame:
-    """Documents whose language can be told, with their own columns. The model is fitted on the documents themselves."""
+    """Documents whose language can be told, with their own columns; where lang is null it becomes the language told.
+
+    The model is fitted on a sample of the documents that say their language. Defined cases: null, empty and letterless
+    texts go; so do all if none says its language; rows with equal or null doc_id are judged each by its text; an empty table stays empty.
+    """
     mine = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], quoted("text").alias("text"))
     told = identify(mine, train(docs, **bounds)).filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
-    return told.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    said = lambda c, i: F.coalesce(F.col(f"c{i}"), "lang_pred") if c == "lang" else F.col(f"c{i}")
+    return told.select(*[said(c, i).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
