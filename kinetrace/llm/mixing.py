@@ -102,21 +102,24 @@ def mix_segments(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = W
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix in whole documents, with the columns of docs: a document is read once for each pass of which the mix takes at least half its words.
+    """The mix in whole documents, in the order of its schedule, with the columns of docs, whatever their names: a document is read once for each pass of which the mix takes at least half its words.
 
-    Rows are numbered once, in a stored table that the mix and the result are both read from: another scan of docs may number them otherwise.
+    A pass stands where the schedule first reads of it. Rows are numbered once, in a stored table that the mix and the result are both read from:
+    another scan of docs may number them otherwise. Defined cases: a null or empty text has no words and is not in the mix; null
+    is a source like any other; rows with equal or null doc_id are separate documents; an empty table stays empty.
     """
     held = stored(docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("_row")), "mix")
     at = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
-    segments, _ = mix_segments(held.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")], "_row"), row="_row", **options)
-    passes = segments.groupBy("_row", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"))
-    taken = held.join(passes, "_row").filter(2 * F.col("_taken") >= n_words(text_of(at["text"])))
+    segments, rows = mix_segments(held.select(*[F.col(at[c]).alias(c) for c in ("doc_id", "text", "source")], "_row"), row="_row", **options)
+    passes = segments.groupBy("_row", "epoch").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("_taken"), F.min("slot").alias("_slot"))
+    passes = passes.join(rows.select("_row", "size"), "_row").filter(2 * F.col("_taken") >= F.col("size"))
+    taken = held.join(passes.select("_row", "epoch", "_slot"), "_row").orderBy("_slot", "epoch", "_row")
     return taken.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     segments, rows = mix_segments(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = segments.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"), F.min("slot").alias("first_slot"))
+    taken = segments.groupBy("_row").agg(F.sum(F.col("to_word") - F.col("from_word")).alias("taken"))
     out = rows.join(taken, "_row", "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

@@ -2,7 +2,8 @@
 
 Pass one counts rows by seeded hash bucket, which gives each bucket its place in the new order. Pass two scatters the
 records into the buckets, each a few MB, and a Fisher-Yates shuffle permutes each bucket in memory. The new order is then
-cut into shards whose row counts differ by one at most. Hashes are of whole records, so no key can be hot.
+cut into shards whose row counts differ by one at most. Hashes are of doc_id and text together, so neither a hot text nor a
+hot id fills a bucket; only rows that agree in both share one, and a bucket grows with the copies of such a row.
 """
 
 from __future__ import annotations
@@ -57,9 +58,8 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
         return out.append_column("position", pa.array(first[b] + np.arange(table.num_rows), pa.int64()))
 
     names = [f"c{i}" for i in range(len(columns))]
-    scattered = docs.withColumn("_class", klass).select(
-        *[quoted(c).alias(x) for c, x in zip(columns, names, strict=True)], bucket("_class").alias("_bucket"), record_hash(seed + 1).alias("_order"), record_hash(seed + 2).alias("_second")
-    )
+    scattered = docs.select(*[quoted(c).alias(x) for c, x in zip(columns, names, strict=True)], klass.alias("_class"), record_hash(seed + 1).alias("_order"), record_hash(seed + 2).alias("_second"))
+    scattered = scattered.select(*names, bucket("_class").alias("_bucket"), "_order", "_second")
     schema = T.StructType([T.StructField(x, docs.schema[c].dataType) for c, x in zip(columns, names, strict=True)] + [T.StructField("position", T.LongType())])
     scattered = scattered.repartition(min(buckets, MOST_PARTITIONS), "_bucket")  # about a bucket each, whatever the session's number of shuffle partitions
     out = shipped(scattered).groupBy("_bucket").applyInArrow(permute, schema)
