@@ -5,10 +5,11 @@ on a scale of powers of BASE: a register of a SetSketch, mergeable by maximum. E
 doc_id stands for it from here on. Runs of registers make band keys; classes that share one are candidates. Candidate
 pairs are judged by the likelihood of their registers given both set sizes, and those not ruled out are verified on the sets.
 
-Only what decides components is compared. In each shared bucket a pivot, from the smallest component, is compared with all
+Only what decides components is compared. In each shared bucket a pivot, from a smallest component, is compared with all
 members of other components, then retires from the bucket; links merge components, and a bucket whose members are all in one
-component is done. What is still open after PIVOTS such rounds hangs together in clusters, and each is compared exactly, in
-blocks: no cap on a bucket, no pair left out that could join two components, and no list of all pairs of a group.
+component is done. What is still open after PIVOTS such rounds hangs together in clusters, which are compared exactly by an
+index of each set's rarest shingles: a cluster within one task where it fits, in pairs of blocks beyond. No cap on a bucket,
+no pair left out that could join two components, and no list of all pairs of a group.
 """
 
 from __future__ import annotations
@@ -26,21 +27,22 @@ from pyspark.sql import functions as F
 
 from kinetrace.llm.components import components
 from kinetrace.llm.text import quoted
-from kinetrace.plans.shared import cut, shipped, stored
+from kinetrace.plans.shared import Scratch, shipped, stored
 
 SEED = 2
 SHINGLE = 5
 #: Jaccard similarity in percent from which documents are linked.
 PERCENT = 85
-BANDS, ROWS = 40, 8
+BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 BASE = 1.02
 #: A pair is ruled out by its registers only if they are e**RULED_OUT times likelier at another similarity, below the threshold.
 RULED_OUT = 15.0
 SLICE = 1 << 20
-#: Rounds of pivots, and documents in a block of what they leave open.
+#: Rounds of pivots, kinds of pivots (buckets of one kind and the same members take the same one), and shingles in a block of what they leave open.
 PIVOTS = 2
-BLOCK = 256
+KINDS = 4
+BLOCK = 1 << 19
 
 
 class Hashes:
@@ -128,27 +130,38 @@ def hashes(seed: int) -> Hashes:
 
 
 def sketches(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, n_shingles, set_id (a 128-bit digest of the set; null if empty), bands, registers of each row of docs."""
+    """doc_id, n_shingles, set_id (a 128-bit digest of the set; null if empty) and registers of each row of docs."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = hashes(seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                n, ids, registers = [], [], np.zeros((part.num_rows, REGISTERS), np.uint16)
-                for i, text in enumerate(part.column("text").to_pylist()):
+                n, ids, registers = [], [], []
+                for text in part.column("text").to_pylist():
                     shingles = mine.shingles(text)
                     n.append(len(shingles))
                     ids.append(hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None)
-                    if len(shingles):
-                        registers[i] = mine.registers(shingles)
-                keys = mine.bands(registers)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * BANDS, pa.int32()), pa.array(keys.ravel()))
-                rows = pa.array([r.tobytes() for r in registers], pa.binary())
-                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), bands, rows], ["doc_id", "n_shingles", "set_id", "bands", "registers"])
+                    registers.append(mine.registers(shingles).tobytes() if len(shingles) else None)
+                yield pa.record_batch([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(registers, pa.binary())], ["doc_id", "n_shingles", "set_id", "registers"])
 
-    mine = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
-    return shipped(mine).mapInArrow(sketch, "doc_id long, n_shingles long, set_id binary, bands array<long>, registers binary")
+    return shipped(texts(docs)).mapInArrow(sketch, "doc_id long, n_shingles long, set_id binary, registers binary")
+
+
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
+
+
+def band_keys(reps: DataFrame, seed: int) -> DataFrame:
+    """rep, registers to rep, key: one row a band."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = hashes(seed)
+        for batch in batches:
+            keys = mine.bands(np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS))
+            yield pa.record_batch([pa.array(np.repeat(batch.column("rep").to_numpy(), BANDS)), pa.array(keys.ravel())], ["rep", "key"])
+
+    return shipped(reps).mapInArrow(keyed, "rep long, key long")
 
 
 def shingle_sets(docs: DataFrame, seed: int = SEED) -> DataFrame:
@@ -196,77 +209,69 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, seed: int = SEED) -
     are one shingle; rows with the same doc_id count as one document with several texts; rows with null doc_id are
     linked with nothing, have a null component_id and are kept; other columns are not looked at; an empty table stays empty.
     """
-    sketch = stored(sketches(docs, seed), "sketches")
-    classes = sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    reps = sketch.join(classes, (sketch["set_id"] == classes["set_id"]) & (sketch["doc_id"] == classes["rep"])).select("rep", "n_shingles", "bands", "registers")
-    banded = reps.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("rep").alias("_least"), F.max("rep").alias("_most")).filter("_least < _most").select("key")
-    members = stored(banded.join(shared, "key").distinct(), "members")
-    nodes = members.select("rep").distinct()
-    known = stored(reps.join(nodes, "rep").select("rep", "n_shingles", "registers"), "registers")
-    mine = docs.select(quoted("doc_id").cast("long").alias("doc_id"), quoted("text").cast("string").alias("text"))
-    sets = stored(shingle_sets(mine.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), seed), "sets")
-    labels = _merge(members, known, sets, percent).select("rep", "component")
-    named = classes.join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("_component"))
-    out = sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """labels (rep, component, size) after merging the components that links (a, b: components) connect."""
-    merged = components(links).select(F.col("node").alias("component"), F.col("component").alias("_new"))
-    renamed = labels.select("rep", "component").join(merged, "component", "left").select("rep", F.coalesce("_new", "component").alias("component"))
-    renamed = cut(renamed)
-    return cut(renamed.join(renamed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("rep", "component", "size"))
-
-
-def _open_rows(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, rep, component, size) of the buckets whose members are not all in one component."""
-    rows = members.join(labels, "rep")
-    several = rows.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter("_least < _most").select("key")
-    return cut(rows.join(several, "key"))
-
-
-def _merge(members: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(rep, component) of all members."""
-    labels = cut(members.select("rep").distinct().select("rep", F.col("rep").alias("component"), F.lit(1).cast("long").alias("size")))
+    with Scratch(docs.sparkSession) as temp:
+        sketch = temp.stored(sketches(docs, seed), "sketches")
+        classes = temp.stored(sketch.filter("set_id IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
+        reps = sketch.join(classes, (sketch["set_id"] == classes["set_id"]) & (sketch["doc_id"] == classes["rep"])).select("rep", "n_shingles", "registers")
+        banded = band_keys(reps.select("rep", "registers"), seed)
+        shared = banded.groupBy("key").agg(F.min("rep").alias("_least"), F.max("rep").alias("_most")).filter("_least < _most").select("key")
+        members = temp.stored(banded.join(shared, "key").distinct(), "members")
+        labels = merged(members, reps, texts(docs), percent, seed, temp)
+        named = classes.join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("_component"))
+        out = sketch.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("_component", "doc_id"))
+        out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+        return stored(out, "near_duplicates")
+
+
+def merged(members: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, seed: int, temp: Scratch) -> DataFrame:
+    """(rep, component) of all members (key, rep) of shared buckets, by rounds of pivots."""
+    nodes = temp.stored(members.select("rep").distinct(), "nodes")
+    known = temp.stored(reps.join(nodes, "rep").select("rep", "n_shingles", "registers"), "registers")
+    sets = temp.stored(shingle_sets(docs.join(nodes.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), seed), "sets")
+    labels = temp.stored(nodes.select("rep", F.col("rep").alias("component"), F.lit(1).cast("long").alias("size")), "labels")
     judge = possible(percent)
     for _ in range(PIVOTS):
-        rows = _open_rows(members, labels)
-        if rows.isEmpty():
+        rows = opened(members, labels, temp)
+        pick = F.struct("size", F.xxhash64(F.pmod("key", F.lit(KINDS)), "rep"), "rep", "component")
+        pivots = rows.groupBy("key").agg(F.min(pick).alias("p")).select("key", F.col("p.rep").alias("_pivot"), F.col("p.component").alias("_other"))
+        pivots = temp.stored(pivots, "pivots")
+        if pivots.isEmpty():
             return labels
-        chosen = rows.groupBy("key").agg(F.min(F.struct("size", "rep", "component")).alias("p")).select("key", F.col("p.rep").alias("_pivot"), F.col("p.component").alias("_other"))
-        pairs = rows.join(chosen, "key").filter("component <> _other").select(F.least("rep", "_pivot").alias("a"), F.greatest("rep", "_pivot").alias("b")).distinct()
-        a, b = (known.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab")
-        pairs = pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        pairs = pairs.withColumn("_possible", judge("r_a", "r_b", "n_a", "n_b")).filter("_possible").select("a", "b")
-        x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
-        common = F.size(F.array_intersect("s_a", "s_b"))
-        checked = pairs.join(x, "a").join(y, "b").select("a", "b", common.cast("long").alias("both"), (F.size("s_a") + F.size("s_b")).cast("long").alias("sum"))
-        links = checked.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+        rows = rows.join(pivots, "key")
+        pairs = rows.filter("component <> _other").select(F.least("rep", "_pivot").alias("a"), F.greatest("rep", "_pivot").alias("b")).distinct()
+        links = temp.stored(confirmed(pairs, known, sets, percent, judge), "links")
         now = labels.select("rep", "component")
-        ends = links.join(now.withColumnRenamed("rep", "a").withColumnRenamed("component", "ca"), "a").join(now.withColumnRenamed("rep", "b").withColumnRenamed("component", "cb"), "b")
-        labels = _relabelled(labels, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-        members = cut(rows.select("key", "rep").join(chosen.select("key", F.col("_pivot").alias("rep")), ["key", "rep"], "left_anti"))
-    rows = _open_rows(members, labels)
-    return labels if rows.isEmpty() else _relabelled(labels, _cluster_links(rows, sets, percent))
+        ends = links.join(now.select(F.col("rep").alias("a"), F.col("component").alias("ca")), "a").join(now.select(F.col("rep").alias("b"), F.col("component").alias("cb")), "b")
+        labels = relabelled(labels, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), temp)
+        members = temp.stored(rows.filter("rep <> _pivot").select("key", "rep"), "members")
+    rows = opened(members, labels, temp)
+    return labels if rows.isEmpty() else relabelled(labels, cluster_links(rows, known, sets, percent, temp), temp)
 
 
-def _cluster_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between components, from comparing all documents of open buckets that hang together, block by block on their full sets.
+def opened(members: DataFrame, labels: DataFrame, temp: Scratch) -> DataFrame:
+    """(key, rep, component, size) of the buckets whose members are not all in one component."""
+    rows = temp.stored(members.join(labels, "rep"), "rows")
+    several = rows.groupBy("key").agg(F.min("component").alias("_least"), F.max("component").alias("_most")).filter("_least < _most").select("key")
+    return temp.stored(rows.join(temp.stored(several, "several"), "key"), "open")
+
+
+def cluster_links(rows: DataFrame, known: DataFrame, sets: DataFrame, percent: int, temp: Scratch) -> DataFrame:
+    """Links between components, from comparing all documents of open buckets that hang together on their full sets.
 
     In such a cluster the largest component's documents need no comparing among themselves: blocks of the others meet all
-    blocks. A task compares two blocks of at most about BLOCK documents each and sends on a spanning forest of what it found.
+    blocks. A task compares two blocks of about BLOCK shingles each and sends on a spanning forest of what it found, so
+    a document is sent once for each BLOCK shingles that the cluster holds outside its largest component.
     """
     first = rows.groupBy("key").agg(F.min("rep").alias("_first"))
-    clusters = components(rows.join(first, "key").select(F.col("rep").alias("a"), F.col("_first").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    docs = cut(rows.select("rep", "component").distinct().join(clusters, "rep"))
-    held = docs.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    joined = components(rows.join(temp.stored(first, "first"), "key").select(F.col("rep").alias("a"), F.col("_first").alias("b")), temp, "clusters")
+    docs = rows.select("rep", "component").distinct().join(joined.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep")
+    docs = temp.stored(docs.join(known.select("rep", "n_shingles"), "rep"), "open_docs")
+    held = docs.groupBy("cluster", "component").agg(F.sum("n_shingles").alias("n"))
     shape = held.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("m"), F.sum("n").alias("all"))
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     shape = shape.select("cluster", F.col("m.component").alias("_main"), blocks(F.col("all") - F.col("m.n")).alias("_small"), blocks(F.col("m.n")).alias("_large"))
-    dealt = docs.join(shape, "cluster").withColumn("_in_main", F.col("component") == F.col("_main"))
+    dealt = docs.join(temp.stored(shape, "shape"), "cluster").withColumn("_in_main", F.col("component") == F.col("_main"))
     own = F.when(F.col("_in_main"), F.col("_small") + F.pmod(F.xxhash64("rep"), F.col("_large"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("_small"))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("_in_main"), F.col("_small")).otherwise(F.col("_small") + F.col("_large")) - 1)
     dealt = dealt.withColumn("block", own).withColumn("_with", F.explode(others))
@@ -276,44 +281,77 @@ def _cluster_links(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         block, labels = table.column("block").to_numpy(), table.column("component").to_numpy()
-        held = table.column("shingles").combine_chunks()
-        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(held).to_numpy())])
-        values = held.flatten().to_numpy()
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        size = np.diff(ends)
-        owner = np.repeat(np.arange(len(right)), size[right])
-        flat = np.concatenate([values[ends[r] : ends[r + 1]] for r in right]) if len(right) else values[:0]
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        root: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while root.setdefault(x, x) != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        found = []
-        for a in left:
-            mine = values[ends[a] : ends[a + 1]]
-            low, high = np.searchsorted(flat, mine, "left"), np.searchsorted(flat, mine, "right")
-            times = high - low
-            places = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            both = np.bincount(owner[places], minlength=len(right))
-            for b in right[(100 * both >= percent * (size[a] + size[right] - both)) & (labels[right] != labels[a])]:
-                x, y = find(int(labels[a])), find(int(labels[b]))
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    found.append((int(labels[a]), int(labels[b])))
+        lists = table.column("shingles").combine_chunks()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        found = block_links(labels, ends, lists.flatten().to_numpy(), np.flatnonzero(block == i), np.flatnonzero(block == j), percent)
         return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
-    return shipped(dealt).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return temp.stored(shipped(dealt).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long"), "cluster_links")
+
+
+def block_links(labels: np.ndarray, ends: np.ndarray, values: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the labels of sets (values[ends[k]:ends[k + 1]], sorted) of left and right that are as similar as `percent`, none between labels already linked.
+
+    Sets of n and m that share `percent` of their union share one of each other's n - ceil(n * percent / 100) + 1 rarest members, rare by any common order.
+    """
+    size = np.diff(ends)
+    _, place, times = np.unique(values, return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((place, times[place], owner))
+    nth = np.arange(len(values)) - np.repeat(ends[:-1], size)
+    rare = nth < np.repeat(size + 1 - -(-size * percent // 100), size)
+    keys, owners = place[order][rare], owner[rare]
+    starts = np.searchsorted(owners, np.arange(len(size) + 1))
+    in_right = np.isin(owners, right)
+    by_key = np.argsort(keys[in_right], kind="stable")
+    index_keys, index_owners = keys[in_right][by_key], owners[in_right][by_key]
+    group = np.unique(labels, return_inverse=True)[1]
+    out = []
+    for a in left:
+        mine = keys[starts[a] : starts[a + 1]]
+        low, high = np.searchsorted(index_keys, mine, "left"), np.searchsorted(index_keys, mine, "right")
+        near = np.unique(np.concatenate([index_owners[x:y] for x, y in zip(low, high, strict=True)] or [index_owners[:0]]))
+        near = near[(group[near] != group[a]) & (100 * np.minimum(size[near], size[a]) >= percent * np.maximum(size[near], size[a]))]
+        if not len(near):
+            continue
+        own, theirs = values[ends[a] : ends[a + 1]], np.concatenate([values[ends[b] : ends[b + 1]] for b in near])
+        hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+        both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(size[near])[:-1]]), dtype=np.int64)
+        for b in near[100 * both >= percent * (size[a] + size[near] - both)]:
+            if group[a] != group[b]:
+                out.append((int(labels[a]), int(labels[b])))
+                group[group == group[b]] = group[a]
+    return out
+
+
+def confirmed(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int, judge) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are as similar as `percent`: judged by size and registers, then counted on the full sets."""
+    a, b = (known.select(F.col("rep").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}")) for x in "ab")
+    pairs = pairs.join(a, "a").join(b, "b").filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    pairs = pairs.withColumn("_possible", judge("r_a", "r_b", "n_a", "n_b")).filter("_possible").select("a", "b")
+    x, y = (sets.select(F.col("doc_id").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("s_a", "s_b")).cast("long")
+    checked = pairs.join(x, "a").join(y, "b").select("a", "b", both.alias("both"), (F.size("s_a") + F.size("s_b")).cast("long").alias("sum"))
+    return checked.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
+
+
+def relabelled(labels: DataFrame, links: DataFrame, temp: Scratch) -> DataFrame:
+    """labels (rep, component, size) after merging the components that links (a, b: components) connect."""
+    found = components(links, temp, "merged").select(F.col("node").alias("component"), F.col("component").alias("_new"))
+    renamed = temp.stored(labels.select("rep", "component").join(found, "component", "left").select("rep", F.coalesce("_new", "component").alias("component")), "renamed")
+    sizes = temp.stored(renamed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component_sizes")
+    return temp.stored(renamed.join(sizes, "component").select("rep", "component", "size"), "labels")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each near-duplicate group, with all its columns: the smallest doc_id. Rows without doc_id stay."""
+    """One document of each near-duplicate group, with all its columns, whatever their names: the smallest doc_id.
+
+    Defined cases: rows without doc_id, and those without words, stay; rows that share a doc_id stay or go together; an empty table stays empty.
+    """
     dropped = near_duplicates(docs, **options).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, quoted("doc_id") == F.col("_gone"), "left_anti")
+    at = {c.lower(): f"c{i}" for i, c in enumerate(docs.columns)}
+    kept = docs.select(*[quoted(c).alias(f"c{i}") for i, c in enumerate(docs.columns)]).join(dropped, F.col(at["doc_id"]) == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op2_setsketch_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,17 @@ and rotated vector. Dividing a code's product with another rotated vector by tha
 without bias, and the factor also bounds the error. Pairs whose upper bound is below the threshold are done; the others are
 recomputed exactly, in double precision.
 
-Rows are compared only under one label. Equal vectors are one class with a count. Each label's classes are dealt into
-blocks of bounded size, and a task screens one block against another: it sends on no pairs, but each class's number of
-links and, of the links it found, a spanning forest, which is all that components need.
+Rows are compared only under one label. Equal vectors are one class with a count. A label of up to CELL classes is one cell.
+A larger one is dealt into cells by a few of its codes' bits, the more the larger it is, in as many tables as it takes for
+a pair at the threshold to share a cell in one of them but for MISSED of all such pairs; a pair counts in the first table
+where it does. So a class is compared with about CELL others a table, not with the whole label. Cells are dealt into blocks
+of bounded size, and a task screens one block against another: it sends on no pairs, but each class's number of links and,
+of the links it found, a spanning forest, which is all that components need.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -23,7 +27,7 @@ from pyspark.sql import types as T
 
 from kinetrace.llm.components import components
 from kinetrace.llm.text import quoted
-from kinetrace.plans.shared import cut, shipped, stored
+from kinetrace.plans.shared import Scratch, shipped, stored
 
 SEED = 7
 THRESHOLD = 0.93
@@ -31,6 +35,8 @@ BLOCK = 1024
 #: Error bounds hold but for a share of about exp(-CERTAINTY**2 / 2) of pairs.
 CERTAINTY = 6.0
 CODE_BITS = 256
+CELL = 8192
+MISSED = 1e-6
 
 
 @lru_cache(maxsize=4)
@@ -103,11 +109,44 @@ def screened(x: np.ndarray, y_code: np.ndarray, y_factor: np.ndarray, threshold:
     return np.nonzero(estimate >= (threshold - slack).astype(np.float32))
 
 
+def tables_for(bits: int, threshold: float) -> int:
+    """How many tables of `bits` bits a pair at the threshold needs. Bits of one rotation aren't quite independent, so each is taken to differ a sixth more often."""
+    agree = max(1 - 7 / 6 * math.acos(threshold) / math.pi, 0.05) ** bits
+    return 1 if not bits else math.ceil(math.log(MISSED) / math.log1p(-agree))
+
+
+def bands(n_bits: int, bits: int, tables: int, seed: int) -> np.ndarray:
+    """tables x bits: the places in the code that each table deals by."""
+    rng = np.random.Generator(np.random.PCG64([seed, n_bits, bits]))
+    return np.stack([rng.permutation(n_bits)[:bits] for _ in range(tables)])
+
+
+def cells(sized: DataFrame, threshold: float, seed: int) -> DataFrame:
+    """low, high, label, dimensions, bits, trial, cell: the cells of each class, one in each of its label's tables. Takes code and `bits`, the number of bits to deal by."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.table(batch)
+            size = np.array([len(c) for c in table.column("code").to_pylist()])
+            k = table.column("bits").to_numpy()
+            for n_bytes, bits in sorted({*zip(size.tolist(), k.tolist(), strict=True)}):
+                rows = np.flatnonzero((size == n_bytes) & (k == bits))
+                mine = table.take(pa.array(rows))
+                signs = np.unpackbits(np.frombuffer(b"".join(mine.column("code").to_pylist()), np.uint8).reshape(len(rows), n_bytes), axis=1)
+                for t, places in enumerate(bands(8 * n_bytes, bits, tables_for(bits, threshold), seed)):
+                    cell = signs[:, places].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                    out = mine.drop_columns(["code"]).append_column("trial", pa.array(np.full(len(rows), t, np.int32))).append_column("cell", pa.array(cell))
+                    yield from out.to_batches()
+
+    fields = [f for f in sized.schema.fields if f.name != "code"]
+    return shipped(sized).mapInArrow(deal, T.StructType([*fields, T.StructField("trial", T.IntegerType()), T.StructField("cell", T.LongType())]))
+
+
 def link_blocks(coded: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """(low, high, links, other): a class's links in one pair of blocks (other null), and forest links (links 0, other a rep)."""
+    """(low, high, rep, links, other): a class's links in one pair of blocks (other null), and forest links (links 0, other a rep)."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[2].as_py(), key[3].as_py()
+        bits, trial, i, j = key[2].as_py(), key[3].as_py(), key[5].as_py(), key[6].as_py()
         block = table.column("block").to_numpy()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         x = unit_rows(table.column("embedding"))
@@ -117,7 +156,18 @@ def link_blocks(coded: DataFrame, threshold: float, seed: int) -> DataFrame:
         a, b = left[a], right[b]
         if i == j:
             a, b = a[a < b], b[a < b]
-        near = np.concatenate([np.einsum("nd,nd->n", x[a[k : k + 65536]], x[b[k : k + 65536]]) >= threshold for k in range(0, len(a), 65536)] or [np.zeros(0, bool)])
+        deals = np.zeros((trial, 8 * code.shape[1]), np.float32)
+        for t, places in enumerate(bands(8 * code.shape[1], bits, tables_for(bits, threshold), seed)[:trial]):
+            deals[t, places] = 1
+        near = [np.zeros(0, bool)]
+        for k in range(0, len(a), 65536):
+            p, q = a[k : k + 65536], b[k : k + 65536]
+            near.append(np.einsum("nd,nd->n", x[p], x[q]) >= threshold)
+            if trial:  # not if they met in an earlier table
+                found = np.flatnonzero(near[-1])
+                met = (np.unpackbits(code[p[found]] ^ code[q[found]], axis=1).astype(np.float32) @ deals.T == 0).any(axis=1)
+                near[-1][found[met]] = False
+        near = np.concatenate(near)
         a, b = a[near], b[near]
         links = np.bincount(a, times[b], len(x)) + np.bincount(b, times[a], len(x))
         own = np.flatnonzero(links)
@@ -130,33 +180,41 @@ def link_blocks(coded: DataFrame, threshold: float, seed: int) -> DataFrame:
             "other": pa.array(np.concatenate([np.zeros(len(own), np.int64), rep[kept[:, 1]]]), mask=np.arange(len(rows)) < len(own)),
         })
 
-    return shipped(coded).groupBy("label", "dimensions", "i", "j").applyInArrow(compare, "low long, high long, rep long, links long, other long")
+    return shipped(coded).groupBy("label", "dimensions", "bits", "trial", "cell", "i", "j").applyInArrow(compare, "low long, high long, rep long, links long, other long")
 
 
-def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """vec_id, n_links, component_id, kept for each row of vec_id, embedding, label.
+def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, cell: int = CELL, seed: int = SEED) -> DataFrame:
+    """vec_id, n_links, component_id, kept for each row of vec_id, embedding (numbers, taken in the precision they come in), label.
 
     Defined cases: null vectors, zero ones, ones with null or non-finite components and ones with a null label are linked
     with nothing; vectors of different length are not compared; rows with null vec_id are linked with nothing, have a null
     component_id and are kept; rows with the same vec_id count as one vector with several values in components, each with
     its own links; other columns are not looked at; an empty table stays empty.
     """
-    mine = vectors.select(quoted("vec_id").cast("long").alias("vec_id"), quoted("embedding").cast("array<float>").alias("embedding"), quoted("label").alias("label"))
+    given = vectors.schema["embedding"].dataType
+    kind = "array<float>" if isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType) else "array<double>"
+    mine = vectors.select(quoted("vec_id").cast("long").alias("vec_id"), quoted("embedding").cast(kind).alias("embedding"), quoted("label").alias("label"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     usable = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
     keyed = mine.withColumn("low", F.when(usable, F.xxhash64(F.lit(1), "label", "embedding"))).withColumn("high", F.when(usable, F.xxhash64(F.lit(2), "label", "embedding")))
     classes = keyed.filter("low IS NOT NULL").groupBy("low", "high").agg(
         F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("times"), F.first("label").alias("label"), F.first("embedding").alias("embedding")
     )
-    classes = stored(with_codes(classes.withColumn("dimensions", F.size("embedding")), seed), "codes")
-    dealt = classes.join(classes.groupBy("label", "dimensions").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), ["label", "dimensions"])
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("low", "high"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "_with")).withColumn("j", F.greatest("block", "_with"))
-    found = stored(link_blocks(paired.drop("_with", "blocks"), threshold, seed), "links")
-    counts = found.filter("other IS NULL").groupBy("low", "high").agg(F.sum("links").alias("links"))
-    named = components(found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    whole = classes.select("low", "high", "rep", "times").join(counts, ["low", "high"], "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
-    whole = cut(whole.select("low", "high", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("_component")))
+    with Scratch(vectors.sparkSession) as temp:
+        classes = temp.stored(with_codes(classes.withColumn("dimensions", F.size("embedding")), seed), "codes")
+        bits = F.greatest(F.ceil(F.log2(F.count(F.lit(1)) / cell)), F.lit(0)).cast("int")
+        labels = temp.stored(classes.groupBy("label", "dimensions").agg(bits.alias("bits")), "labels")
+        dealt = temp.stored(cells(classes.select("low", "high", "label", "dimensions", "code").join(labels, ["label", "dimensions"]), threshold, seed), "cells")
+        at = ["label", "dimensions", "bits", "trial", "cell"]
+        sizes = temp.stored(dealt.groupBy(*at).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")), "sizes")
+        paired = dealt.join(sizes, at).withColumn("block", F.pmod(F.xxhash64("low", "high"), F.col("blocks")).cast("int"))
+        paired = paired.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "_with")).withColumn("j", F.greatest("block", "_with"))
+        paired = paired.drop("_with", "blocks").join(classes.drop("label", "dimensions"), ["low", "high"])
+        found = temp.stored(link_blocks(paired, threshold, seed), "links")
+        counts = found.filter("other IS NULL").groupBy("low", "high").agg(F.sum("links").alias("links"))
+        named = components(found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")), temp, "components")
+        whole = classes.select("low", "high", "rep", "times").join(counts, ["low", "high"], "left").join(named.withColumnRenamed("node", "rep"), "rep", "left")
+        whole = stored(whole.select("low", "high", (F.col("times") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("_component")), "near_vectors")
     out = keyed.select("vec_id", "low", "high").join(whole, ["low", "high"], "left")
     component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
