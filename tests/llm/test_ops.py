@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,9 +31,16 @@ def odd(spark):
         (1, "one two three four five six", "en", "a", 1), (1, "one two three four five six", "en", "a", 1), (2, None, None, None, None), (None, "one two three four five six", "en", None, 3), (3, "", "en", "b", 0),
         (4, " \n\t ", "de", "b", 3), (5, long, "en", "a", len(long)), (6, "a  b <|endoftext|> <s>", "fr", "c", 5), (7, "12 34 !!", None, "c", 5), (None, None, None, None, None), (8, "word", "de", "b", 4),
     ]
-    names = ("size", "slot", "shard", "kept", "position", "lang_pred", "score", "length", "n_words", "_row", "Bucket", "sequence_id")
+    names = ("size", "slot", "shard", "kept", "position", "lang_pred", "score", "length", "n_words", "_row", "Bucket", "sequence_id", "epoch", "_taken", "_slot", "_class", "_bucket", "_order", "_gone", "_doc", "stratum", "rep", "c0")
     df = spark.createDataFrame(rows, DOCS)
-    return df.withColumns({n: F.lit(n) for n in names})
+    return df.withColumns({n: F.concat_ws("|", F.lit(n), "doc_id", "source") for n in names})
+
+
+def unharmed(out):
+    """Columns of odd that are not the operator's own still belong to their rows."""
+    rows = out.collect()
+    assert all(r[n] == "|".join([n, *[str(v) for v in (r.doc_id, r.source) if v is not None]]) for r in rows for n in ("_row", "epoch", "_taken", "_slot", "_class", "_bucket", "_order", "_gone", "_doc", "stratum", "rep", "c0"))
+    return rows
 
 
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
@@ -86,7 +94,7 @@ def test_segments_cover_what_is_taken(spark, documents):
 def test_mix_on_odd_rows(spark, odd):
     segments, rows = mixing.mix_segments(odd)
     assert rows.count() == odd.count() and segments.filter("to_word <= from_word").count() == 0
-    assert mixing.mix_documents(odd).columns == odd.columns
+    assert mixing.mix_documents(odd).columns == odd.columns and unharmed(mixing.mix_documents(odd))
     assert mixing.mix_segments(odd.limit(0))[0].count() == 0
 
 
@@ -110,7 +118,16 @@ def test_mix_when_the_second_scan_splits_otherwise(spark, documents, odd, tmp_pa
         assert spark.read.parquet(str(tmp_path / "docs")).rdd.getNumPartitions() != before
     finally:
         spark.conf.unset("spark.sql.files.openCostInBytes")
-    assert {r["_row"] for r in mixing.mix_documents(odd).collect()} == {"_row"}
+
+
+def test_mix_in_the_order_of_its_schedule(documents):
+    segments, rows = mixing.mix_segments(documents)
+    first = segments.groupBy("_row", "epoch").agg(F.min("slot").alias("slot"), F.sum(F.col("to_word") - F.col("from_word")).alias("n")).join(rows, "_row").filter(2 * F.col("n") >= F.col("size"))
+    slots = defaultdict(list)
+    for r in first.orderBy("slot").collect():
+        slots[r.doc_id].append(r.slot)
+    order = [slots[r.doc_id].pop(0) for r in mixing.mix_documents(documents).collect()]
+    assert order == sorted(order) and not any(slots.values())
 
 
 # near duplicates
@@ -144,6 +161,55 @@ def test_near_duplicates_of_a_dense_group(spark):
     assert [got[i].component_id for i in range(len(texts))] == root and [got[i].n_shingles for i in range(len(texts))] == list(map(len, sets))
 
 
+def test_near_duplicates_of_a_large_group(spark):
+    """Ten thousand documents, 1500 of them variants of one text at several distances from it."""
+    rng = np.random.default_rng(11)
+    base, texts = [f"w{i}" for i in range(150)], []
+    for k in range(10_000):
+        if k % 20 < 3:
+            changed = {*rng.choice(150, rng.integers(0, 6), replace=False).tolist()}
+            words = [f"x{k}_{i}" if i in changed else w for i, w in enumerate(base)]
+        else:
+            words = [f"y{rng.integers(0, 400)}" for _ in range(rng.integers(1, 40))]
+        texts.append(" ".join(words))
+    sets, numbers = [shingles(t) for t in texts], {}
+    group = [k for k in range(10_000) if k % 20 < 3]
+    held = np.zeros((len(group), len(set().union(*[sets[k] for k in group]))), np.float32)
+    for row, k in enumerate(group):
+        held[row, [numbers.setdefault(x, len(numbers)) for x in sets[k]]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    near = 100 * both >= 85 * (size[:, None] + size[None, :] - both)
+    label, before = np.arange(len(group)), None
+    while before is None or (before != label).any():
+        before = label
+        label = np.minimum(label, np.array([before[r].min() for r in near]))
+    want = {k: group[label[row]] for row, k in enumerate(group)}
+    whole: dict = {}
+    for k, x in enumerate(sets):
+        if k % 20 >= 3:
+            want[k] = whole.setdefault(x, k)  # unlike texts of this kind share far less
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(set(want.values())) < 9_300 and {r.doc_id: r.component_id for r in got} == want
+
+
+def test_block_links_find_what_brute_force_finds():
+    rng = np.random.default_rng(2)
+    base = np.sort(rng.choice(10**6, 40, replace=False))
+    sets = [np.unique(np.where(rng.random(40) < rng.random() * 0.2, rng.integers(0, 10**6, 40), base)) for _ in range(120)]
+    ends, values, labels = np.concatenate([[0], np.cumsum([len(x) for x in sets])]), np.concatenate(sets), np.arange(120) * 3
+    near = [(i, j) for i in range(120) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+
+    def parts(links):
+        root = {int(x): int(x) for x in labels}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root = {k: low if v == high else v for k, v in root.items()}
+        return root
+
+    found = neardup.block_links(labels, ends, values, np.arange(120), np.arange(120), 80)
+    assert len(near) > 100 and parts(found) == parts([(3 * i, 3 * j) for i, j in near]) and len(found) == 120 - len(set(parts(found).values()))
+
+
 def test_registers_estimate_similarity():
     h, rng = neardup.hashes(2), np.random.default_rng(3)
     a = np.unique(rng.integers(0, 2**63, 1000, dtype=np.uint64))
@@ -169,7 +235,7 @@ def test_near_duplicates_on_odd_rows(spark, odd):
     assert len(rows) == odd.count()
     assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
     assert neardup.near_duplicates(odd.limit(0)).count() == 0
-    assert neardup.keep_one(odd).columns == odd.columns
+    assert neardup.keep_one(odd).columns == odd.columns and unharmed(neardup.keep_one(odd))
 
 
 # chats
@@ -247,10 +313,30 @@ def test_packing(spark, documents, odd):
     assert packing.pack_documents(odd.limit(0)).count() == 0
 
 
+def test_most_pieces_go_to_full_sequences(documents):
+    histogram = {r.length: r["count"] for r in packing.token_pieces(documents).groupBy("length").count().collect()}
+    for h in (histogram, dict(Counter(np.random.default_rng(6).integers(1, 1025, 40000).tolist()))):
+        plan = packing.plan(h)
+        least = -(-sum(k * n for k, n in h.items()) // 1024)
+        assert sum(n for _, n in plan) <= max(least + 6, least * 1.003)
+    full = sum(n * sum(c.values()) for c, n in plan if sum(k * a for k, a in c.items()) == 1024)
+    assert full >= 0.9 * sum(h.values())
+
+
+def test_a_file_of_another_kind_is_left_to_the_library(tmp_path):
+    import json
+
+    said = json.loads(open(packing.tokenizer_path(), encoding="utf-8").read())
+    said["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said), encoding="utf-8")
+    assert packing.TextIds(packing.tokenizer_path()).merger is not None and packing.TextIds(str(path)).merger is None
+
+
 def test_plan_holds_the_histogram_exactly():
     rng = np.random.default_rng(5)
     histogram = Counter(rng.integers(1, 1025, 20000).tolist()) + Counter({512: 5000, 3: 4000})
-    plan = packing.plan(histogram, rounds=150)
+    plan = packing.plan(histogram)
     held = Counter()
     for config, n in plan:
         assert sum(k * a for k, a in config.items()) <= 1024
@@ -270,6 +356,7 @@ def test_shards(spark, documents, odd):
         assert len(out) == n and max(sizes.values()) - min([sizes.get(s, 0) for s in range(8)]) <= 1
         assert all(sorted(r.slot for r in out if r.shard == s) == list(range(sizes[s])) for s in sizes)
         assert Counter((r.doc_id, r.text) for r in out) == Counter((r.doc_id, r.text) for r in df.collect())
+    unharmed(sharding.shard(odd))
     assert sharding.shard(odd.limit(0)).count() == 0
     again = sharding.shard(documents, bucket_bytes=1 << 16)
     assert [(r.doc_id, r.slot) for r in again.orderBy("shard", "slot").collect()] == [(r.doc_id, r.slot) for r in again.orderBy("shard", "slot").collect()]
@@ -309,6 +396,26 @@ def test_vectors_in_several_blocks(spark):
     assert [got[i].n_links for i in range(300)] == near.sum(axis=1).tolist() and [got[i].component_id for i in range(300)] == root
 
 
+def test_vectors_in_several_cells(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(40, 32))
+    x = centres[rng.integers(0, 40, 2400)] + rng.normal(size=(2400, 32)) * 0.26
+    x[:700] = centres[0] + rng.normal(size=(700, 32)) * 0.2
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = u @ u.T >= 0.93
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, r.tolist(), "one") for i, r in enumerate(x)], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df, block=100, cell=150).collect()}
+    assert near.sum() > 10_000 and [got[i] for i in range(len(x))] == near.sum(axis=1).tolist()
+
+
+def test_vectors_keep_their_precision(spark):
+    angle = np.arccos(0.93 + 1e-9)
+    rows = [(1, [1.0, 0.0], 1), (2, [float(np.cos(angle)), float(np.sin(angle))], 1), (3, [float(np.cos(angle + 1e-8)), -float(np.sin(angle + 1e-8))], 1)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: r.n_links for r in got} == {1: 1, 2: 1, 3: 0}
+
+
 def test_estimates_hold_their_bounds():
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 64))
@@ -332,6 +439,50 @@ def test_main_text():
     assert pages.main_text("just text &lt;") == "just text <" and pages.main_text("<p>a<p>b<b>c") == "a bc" and pages.main_text("<nav>x</nav>") == ""
 
 
+ROOM = "river ran under old stone bridges while people watched from windows above the market square".split()
+
+
+def plain_page(rng):
+    """A page without names: menu, article, side links and foot are divs, told apart by their text alone. Returns the page and its article."""
+    some = lambda n: " ".join(rng.choice(ROOM, n))
+    menu = "<div>" + "".join(f"<a href=/{i}>{some(1)}</a> " for i in range(rng.integers(4, 9))) + "</div>"
+    side = "<div>" + "".join(f"<div><a href=/s{i}>{some(3)}</a></div>" for i in range(rng.integers(4, 9))) + "</div>"
+    head, parts = some(5), [some(rng.integers(20, 90)) for _ in range(rng.integers(3, 8))]
+    body = f"<div><h1>{head}</h1>" + "".join(f"<p>{x}</p>" for x in parts) + "</div>"
+    return f"<html><body><div id=w>{menu}<div>{body}{side}</div><div><div>{some(2)}</div><div>{some(1)}</div></div></div></body></html>", " ".join([head, *parts])
+
+
+def test_clusters_decide_on_pages_without_names(monkeypatch):
+    rng = np.random.default_rng(9)
+    labelled = [plain_page(rng) for _ in range(200)]
+    right = lambda: sum(pages.main_text(page) == text for page, text in labelled)
+    assert right() >= 196
+    monkeypatch.setattr(pages, "content_lines", lambda ratios: [True] * len(ratios))
+    assert right() == 0
+
+
+@pytest.mark.parametrize("name", ["layout-with-sidebar", "has-sidebar", "post comments-open", "page-header-fixed", "no-ads", "content widget-area", "article-share-enabled", "related-article main"])
+def test_a_wrapper_keeps_its_article(name):
+    body = "A long paragraph of the article with many words in it, and then some. " * 3
+    page = f'<body><nav><a href=/>Home</a></nav><div class="{name}"><h1>Heading</h1><p>{body}</p><p>Short.</p></div><footer>Foot</footer></body>'
+    assert pages.main_text(page) == f"Heading {body.strip()} Short."
+    page = f'<body><div class="{name}"><article><p>{body}</p></article></div><div class="comments"><p>{body * 20}</p></div></body>'
+    assert pages.main_text(page) == body.strip()
+
+
+def test_pages_of_the_table(spark):
+    """Their markup says where the article is: what stands in it, without tags, is the text."""
+    import html
+    import re
+
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: (r.text, r.n_chars) for r in pages.extract_pages(table).collect()}
+    for r in table.collect():
+        inner = re.sub(r"</?b>", "", re.search(r"<article>(.*)</article>", r.html, re.DOTALL)[1])
+        text = " ".join(html.unescape(re.sub(r"<[^>]*>", " ", inner)).split())
+        assert got[r.page_id] == (text, len(text))
+
+
 def test_main_text_is_whole_without_article():
     words = lambda n: "<p>" + " ".join(f"word{i}" for i in range(n)) + ".</p>"
     plain = lambda n: " ".join(f"word{i}" for i in range(n)) + "."
@@ -393,7 +544,7 @@ def test_binomial_bound(spark):
 
 def test_quality_on_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (5, None)], "doc_id long, quality int")
-    assert quality.quality_filter(odd, labels).columns == odd.columns
+    assert quality.quality_filter(odd, labels).columns == odd.columns and unharmed(quality.quality_filter(odd, labels)) == []
     assert quality.quality_filter(odd.limit(0), labels.limit(0)).count() == 0
 
 
@@ -406,13 +557,67 @@ def test_held_out_language(spark):
 
 
 def test_unseen_words_back_off():
-    model = language.Model([("de", "haus", 5), ("en", "house", 5)], [(lang, g, 5) for lang, w in (("de", "haus"), ("en", "house")) for n in range(1, 6) for g in language.grams_of(w, n)])
+    table = lambda rows: pa.table({"lang": [r[0] for r in rows], "item": [r[1] for r in rows], "n": [5 for _ in rows]})
+    known = [("de", "haus"), ("en", "house")]
+    model = language.Model(table(known), table([(lang, g) for lang, w in known for n in range(1, 6) for g in language.grams_of(w, n)]))
     assert model.predict("häuser haust")[0] == "de" and model.predict("housed")[0] == "en" and model.predict("123 !?") == ("und", 0.0) and model.predict(None) == ("und", 0.0)
 
 
+def test_words_are_letters_with_marks():
+    assert language.words_of("½ ² ② Ⅷ 12 _ ٣") == []
+    assert language.words_of("हिन्दी ภาษาไทย e\u0301t\u0301 don't ab1c") == ["हिन्दी", "ภาษาไทย", "e\u0301t\u0301", "don", "t", "ab", "c"]
+
+
+def test_predictions_by_hand(spark, documents):
+    """The same rule written plainly, from the sample's words counted one by one."""
+    import math
+
+    share = language.training_share(F.col("doc_id"))
+    words, grams = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter))
+    for r in language.sampled(documents.filter(share != 2)).collect():
+        words[r.lang].update(language.words_of(r.text))
+    langs = sorted(words)
+    for lang in langs:
+        for w, n in words[lang].items():
+            for size in range(1, 6):
+                for g in language.grams_of(w, size):
+                    grams[size][lang][g] += n
+    room = {"w": set().union(*words.values())} | {size: set().union(*grams[size].values()) for size in grams}
+    total = {("w", lang): sum(words[lang].values()) for lang in langs} | {(size, lang): sum(grams[size][lang].values()) for size in grams for lang in langs}
+    log = lambda count, kind, lang: math.log((count + 0.5) / (total[kind, lang] + 0.5 * len(room[kind])))
+
+    def score(word, lang):
+        if word in room["w"]:
+            return log(words[lang][word], "w", lang)
+        for size in range(5, 0, -1):
+            known = [g for g in language.grams_of(word, size) if g in room[size]]
+            if known:
+                return sum(log(grams[size][lang][g], size, lang) for g in known) / len(known)
+        return 0.0
+
+    got = {r.doc_id: r for r in language.op10_language_id(spark, SF).collect()}
+    assert len(got) == documents.count()
+    for r in documents.collect():
+        told = Counter(language.words_of(r.text or ""))
+        if not told:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        n = sum(told.values())
+        logits = [sum(c * score(w, lang) for w, c in told.items()) / n * min(n, 25) for lang in langs]
+        share = 1 / sum(math.exp(x - max(logits)) for x in logits)
+        assert got[r.doc_id].lang_pred == langs[logits.index(max(logits))] and abs(got[r.doc_id].score - share) < 1e-3
+
+
+def test_samples_leave_no_language_out(spark):
+    rows = [(i, "wort " * 50, "de") for i in range(400)] + [(1000 + i, "word " * 5, "en") for i in range(3)]
+    out = language.sampled(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most_characters=20_000)
+    n = {r.lang: r["count"] for r in out.groupBy("lang").count().collect()}
+    assert n["en"] == 3 and 40 <= n["de"] <= 120
+
+
 def test_language_on_odd_rows(spark, odd):
     model = language.train(odd)
     out = language.identify(odd, model)
     assert out.count() == odd.count() and {r.lang_pred for r in out.filter("text IS NULL OR NOT text RLIKE '[a-z]'").collect()} == {"und"}
-    assert language.language_filter(odd).columns == odd.columns
+    assert language.language_filter(odd).columns == odd.columns and unharmed(language.language_filter(odd))
     assert language.identify(odd.limit(0), language.train(odd.limit(0))).count() == 0

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kinetrace.llm import catalog, language, neardup
+from kinetrace.llm import catalog, language
 from kinetrace.plans.shared import stored
 from tests.helpers import SF
 from tests.llm.test_ops import check_packing, shingles
@@ -50,7 +51,7 @@ def test_near_dedup(stages):
     for n, i in enumerate(ids):
         for j in ids[:n]:
             both = len(docs[i] & docs[j])
-            if both and 100 * both >= neardup.PERCENT * (len(docs[i]) + len(docs[j]) - both):
+            if both and 100 * both >= 80 * (len(docs[i]) + len(docs[j]) - both):
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if r == high else r for k, r in root.items()}
     assert {r.doc_id for r in after.collect()} == {i for i in ids if root[i] == i}
@@ -96,3 +97,27 @@ def test_mix(stages):
 def test_packing(stages):
     used, least = check_packing(stages[4][0], stages[4][1].collect())
     assert used <= least * 1.03 + 1
+
+
+def test_run_is_the_chain_of_stages(spark, stages):
+    row = lambda r: (r.doc_id, r.piece, r.start, r.length, r.ids_crc32)
+    assert Counter(map(row, corpus_pipeline.run(spark, SF).collect())) == Counter(map(row, stages[4][1].collect()))
+
+
+def test_run_on_odd_and_empty_tables(spark, tmp_path):
+    good = " ".join(f"word{i} about things" for i in range(30))
+    rows = [(1, good, "en", "a", 1, "x"), (1, good, "en", "a", 1, "x"), (2, None, None, None, None, None), (None, good + " more", "en", None, 3, "y"), (3, "", "en", "b", 0, "z"), (4, good.replace("about", "over"), None, "b", 4, "z"), (5, "12 " * 50, "en", "b", 4, "z")]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, epoch string").withColumns({"_row": F.lit(7), "_gone": F.lit(8), "c0": F.lit(9)})
+    labels = spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("empty", odd.limit(0))):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+        out = corpus_pipeline.run(spark, str(tmp_path / name)).collect()
+        assert {r.doc_id for r in out} <= {1, 4, None} and bool(out) == (name == "odd")
+    docs = spark.read.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path / "odd")), "stage")
+        assert docs.columns == odd.columns and {(r._row, r._gone, r.c0) for r in docs.collect()} == {(7, 8, 9)}
+        assert all({1: "x", 4: "z", None: "y"}[r.doc_id] == r.epoch for r in docs.collect())
+    told = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, odd, SF).collect()}
+    assert told[4] == "en" and 5 not in told and 3 not in told
