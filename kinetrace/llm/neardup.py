@@ -165,14 +165,14 @@ def band_keys(reps: DataFrame, seed: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, shingles: the full sets, as sorted 64-bit hashes."""
+    """doc_id, shingles: the full sets, as 64-bit hashes sorted as signed numbers."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = hashes(seed)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                rows = pa.array([mine.shingles(t).view(np.int64) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))
+                rows = pa.array([np.sort(mine.shingles(t).view(np.int64)) for t in part.column("text").to_pylist()], pa.list_(pa.int64()))
                 yield pa.record_batch([part.column("doc_id"), rows], ["doc_id", "shingles"])
 
     return shipped(docs).mapInArrow(sets, "doc_id long, shingles array<long>")
