@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.operators.joins import matmul, rigid_inverse
 
-__all__ = ["cross", "geodesic_angle", "matmul", "quaternion_to_matrix", "relative_pose_errors", "rigid_inverse", "rot6d_decode", "rot6d_encode", "rotation_of", "transform_point", "translation_of"]
+__all__ = ["cross", "geodesic_angle", "joints_to_wrist", "matmul", "quaternion_to_matrix", "relative_pose_errors", "rigid_inverse", "rot6d_decode", "rot6d_encode", "rotation_of", "transform_point", "translation_of"]
 
 
 def quaternion_to_matrix(q: Column) -> Column:
@@ -58,6 +58,12 @@ def transform_point(pose: Column, point: Column) -> Column:
     return F.array(*[at[4 * i] * p[0] + at[4 * i + 1] * p[1] + at[4 * i + 2] * p[2] + at[4 * i + 3] for i in range(3)])
 
 
+def joints_to_wrist(wrist: Column, joints: Column) -> Column:
+    """Points (arrays of 3) as seen from the wrist of the same instant."""
+    back = rigid_inverse(wrist)
+    return F.transform(joints, lambda p: transform_point(back, p))
+
+
 def geodesic_angle(a: Column, b: Column) -> Column:
     """Angle between two rotations, as atan2 of sine and cosine, which is exact near 0 and near a half turn."""
     x, y = [F.get(a, i) for i in range(9)], [F.get(b, i) for i in range(9)]

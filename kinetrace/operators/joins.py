@@ -19,8 +19,14 @@ def attach_features(rows: DataFrame, features: DataFrame, keys: list[str]) -> tu
     return rows.join(features, keys), rows.join(features.select(*keys), keys, "left_anti")
 
 
-def attach_sample_features(samples: DataFrame, history: DataFrame, future: DataFrame, splits: list[str]) -> DataFrame:
-    """History features for every sample that has them, future ones only in the listed splits."""
+def attach_sample_features(samples: DataFrame, history: DataFrame, future: DataFrame, splits: list[str], strict: bool = False) -> DataFrame:
+    """History features for every sample that has them, future ones only in the listed splits. strict: a feature key that repeats, or a sample without history, is an error."""
+    if strict:
+        for name, features in (("history", history), ("future", future)):
+            if not features.groupBy("sample_id").count().filter("count > 1").isEmpty():
+                raise ValueError(f"{name} features have more than one row for a sample")
+        if not samples.join(history, "sample_id", "left_anti").isEmpty():
+            raise ValueError("samples without history features")
     with_history = samples.join(history, "sample_id")
     return with_history.join(future.withColumn("_s", F.lit(True)), "sample_id", "left").withColumns({c: F.when(F.col("split").isin(*splits), F.col(c)) for c in future.columns if c != "sample_id"}).drop("_s")
 
@@ -34,7 +40,10 @@ def align_one_to_one(left: DataFrame, right: DataFrame, key: str, equal: list[st
     return joined.select(F.coalesce("_lk", "_rk").alias(key), side.alias("side"), *[F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")).alias(f"same_{c}") for c in equal])
 
 
-def drop_excluded(rows: DataFrame, excluded: DataFrame, key: str) -> DataFrame:
+def drop_excluded(rows: DataFrame, excluded: DataFrame, key: str, marker: DataFrame | None = None) -> DataFrame:
+    """Rows whose key isn't excluded. marker: one row that says whether the index of exclusions is `complete`; if it doesn't, nothing may be read by it."""
+    if marker is not None and marker.agg(F.bool_and("complete")).first()[0] is not True:
+        raise ValueError("the index of exclusions is not complete")
     return rows.join(excluded.select(key).distinct(), key, "left_anti")
 
 
@@ -47,17 +56,19 @@ def split_membership(rows: DataFrame, videos: DataFrame, members: DataFrame) ->
 
 
 def interval_join(points: DataFrame, intervals: DataFrame, key: str, point: str, mode: str = "first", width: int = 64) -> DataFrame:
-    """Points with the half-open intervals of their key that hold them: the first listed (by place), or all, ordered by (start, end).
+    """Every row of points, equal ones too, with the half-open intervals of its key that hold it: the first listed (by place), or all, ordered by (start, end).
 
-    Intervals are cut into cells of `width` points, so the join is on (key, cell) and a residual, also for keys with very many of both.
+    A point that none holds has an empty text, or no texts. Intervals are cut into cells of `width` points, so the join is on
+    (key, cell) and a residual, also for keys with very many of both; it is done once for each distinct point.
     """
     cells = intervals.filter("start < end").withColumn("_cell", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width))))
-    near = points.withColumn("_cell", F.floor(F.col(point) / width)).join(cells, [key, "_cell"]).filter(f"start <= {point} AND {point} < end").drop("_cell")
+    asked = points.select(key, point).distinct().withColumn("_cell", F.floor(F.col(point) / width))
+    near = asked.join(cells, [key, "_cell"]).filter(f"start <= {point} AND {point} < end").groupBy(key, point)
     if mode == "all":
-        order = F.array_sort(F.collect_list(F.struct("start", "end", "text")))
-        return near.groupBy(*points.columns).agg(order.alias("_a")).select(*points.columns, F.col("_a.text").alias("texts"))
-    best = near.groupBy(*points.columns).agg(F.min(F.struct("place", "text")).alias("_f"))
-    return best.select(*points.columns, "_f.text")
+        found = near.agg(F.array_sort(F.collect_list(F.struct("start", "end", "text"))).alias("_a")).select(key, point, F.col("_a.text").alias("_texts"))
+        return points.join(found, [key, point], "left").select(*[points[c] for c in points.columns], F.coalesce("_texts", F.array().cast("array<string>")).alias("texts"))
+    found = near.agg(F.min(F.struct("place", "text")).alias("_f")).select(key, point, F.col("_f.text").alias("_text"))
+    return points.join(found, [key, point], "left").select(*[points[c] for c in points.columns], F.coalesce("_text", F.lit("")).alias("text"))
 
 
 def nearest_time_join(anchors: DataFrame, frames: DataFrame, offsets: list[float], tolerance: float) -> DataFrame:
@@ -127,12 +138,33 @@ def rigid_inverse(m: Column) -> Column:
     return F.array(*[x for i in range(3) for x in (*turned[i], moved[i])], *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
 
 
+def poses_to_anchor(steps: DataFrame, group: list[str], poses: dict[str, str], anchor: str = "last_observed", own: tuple[str, ...] = (), frame: str = "camera", metres: float = 1.0) -> DataFrame:
+    """inv(T_anchor) @ T_t for each pose column (16 numbers), in windows `group` of steps; history is step <= 0.
+
+    poses names each pose column's validity column. The anchor is `frame`'s pose at the last or the first step of history
+    (last_observed, first_observed); a pose in `own` is taken relative to itself there. A pose whose own step there, or whose
+    frame's, isn't valid is not valid in the whole window, and null where it isn't. Translations are multiplied by `metres` (0.001 for millimetres).
+    """
+    at = (F.max if anchor == "last_observed" else F.min)(F.when(F.col("step") <= 0, F.col("step"))).over(Window.partitionBy(*group))
+    rows = steps.withColumn("_here", F.col("step") == at)
+    whole = Window.partitionBy(*group)
+    held = {f"_at_{c}": F.max(F.when(F.col("_here") & F.col(valid), F.col(c))).over(whole) for c, valid in poses.items()}
+    rows = rows.withColumns(held)
+    scaled = lambda m: F.transform(m, lambda x, i: F.when((i % 4 == 3) & (i < 12), x * metres).otherwise(x))
+    out, ok = {}, {}
+    for c, valid in poses.items():
+        base = f"_at_{c if c in own else frame}"
+        ok[valid] = F.coalesce(F.col(valid), F.lit(False)) & F.col(f"_at_{c}").isNotNull() & F.col(base).isNotNull()
+        out[c] = F.when(ok[valid], scaled(matmul(rigid_inverse(F.col(base)), F.col(c))))
+    return rows.withColumns(out | ok).drop("_here", *held)
+
+
 def compose_odometry(steps: DataFrame, group: list[str], anchor: int) -> DataFrame:
     """Poses relative to the anchor step from transforms of each step to the one before: products after it, inverses before it. steps: step, transform (16 numbers).
 
-    Groups are windows of bounded length: each is folded, in order, in its row.
+    Groups are windows of bounded length: each is folded, in order, in its row. A group without the anchor step has no poses.
     """
-    rows = steps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("step", "transform"))).alias("_s"))
+    rows = steps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("step", "transform"))).alias("_s")).filter(F.exists("_s", lambda x: x["step"] == anchor))
     identity = F.array(*map(F.lit, IDENTITY))
     zero = F.struct(identity.alias("now"), F.expr("CAST(array() AS ARRAY<STRUCT<step: INT, pose: ARRAY<DOUBLE>>>)").alias("out"))
 

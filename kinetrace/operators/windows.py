@@ -114,13 +114,18 @@ def oracle_window(segments: DataFrame, stream_frames: Column, fps: float = 30.0,
     return steps.withColumns({"phase": phase, "frame": frame.cast("long"), "valid": valid})
 
 
-def velocity(steps: DataFrame, group: list[str], least_step: float = 1e-4) -> DataFrame:
-    """Difference to the step before over max(dt, least_step), among valid steps; the first valid step has none. steps has step, time, value, valid."""
+def velocity(steps: DataFrame, group: list[str], least_step: float = 1e-4, from_history: bool = False) -> DataFrame:
+    """Difference to the step before over max(dt, least_step), among valid steps; the first valid step has none. steps has step, time, value, valid.
+
+    from_history: steps <= 0 are history, whose times end at 0. Only later steps have a velocity, the first of them from the
+    last valid point of history over its own time.
+    """
     order = Window.partitionBy(*group).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    was = F.last(F.when(F.col("valid"), F.struct("time", "value")), ignorenulls=True).over(order)
-    out = steps.withColumn("_was", was)
-    speed = (F.col("value") - F.col("_was.value")) / F.greatest(F.col("time") - F.col("_was.time"), F.lit(least_step))
-    return out.withColumn("velocity", F.when(F.col("valid"), speed)).drop("_was")
+    was = F.last(F.when(F.col("valid"), F.struct("step", "time", "value")), ignorenulls=True).over(order)
+    since = F.when(F.lit(from_history) & (F.col("_was.step") <= 0), F.lit(0.0)).otherwise(F.col("_was.time"))
+    speed = (F.col("value") - F.col("_was.value")) / F.greatest(F.col("time") - since, F.lit(least_step))
+    asked = F.col("valid") & (F.col("step") > 0) if from_history else F.col("valid")
+    return steps.withColumn("_was", was).withColumn("velocity", F.when(asked, speed)).drop("_was")
 
 
 def last_valid_step(steps: DataFrame, group: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import exprs as E
 from kinetrace.functions import poses as P
+from kinetrace.plans.join_queries import moved_sql, pose_at, pose_sql, turned_sql
 from kinetrace.plans.proxy import FRAMES, read, timelines
 
 
@@ -129,7 +130,7 @@ def p19(spark: SparkSession, d: str) -> DataFrame:
 
 def a12(spark: SparkSession, d: str) -> DataFrame:
     """Pose errors of each vector against the next, by label: translation in cm, rotation in degrees; and of the wrist seen from the camera."""
-    pose = lambda c, k: F.concat(*[F.concat(F.slice(P.quaternion_to_matrix(F.slice(c, k, 4)), 3 * i + 1, 3), F.slice(c, k + 4 + i, 1)) for i in range(3)], F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
+    pose = lambda c, k: pose_at(F.col(c), k)
     v = read(spark, d, "embeddings").select("vec_id", "label", _wide("embedding", 64).alias("v"))
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("v").alias("t"))
     both = v.join(nxt, "vec_id").select("label", pose("v", 1).alias("ca"), pose("t", 1).alias("cb"), pose("v", 11).alias("wa"), pose("t", 11).alias("wb"))
@@ -167,7 +168,26 @@ QUERIES = {
     "p21_robot_contract": p21, "p22_pad_group": p22, "p23_assign_split": p23,
 }
 
+
+def _apart(name: str, a: str, b: str) -> str:
+    """SQL columns name_m, name_deg: how far translations are apart, and the angle between rotations, of a_r, a_t and b_r, b_t."""
+    cell = lambda i, j: turned_sql(f"{a}_r", f"{b}_r", i, j)
+    sine = " + ".join(f"power({cell(i, j)} - {cell(j, i)}, 2)" for i, j in ((2, 1), (0, 2), (1, 0)))
+    return f"sqrt({' + '.join(f'power({a}_t[{i}] - {b}_t[{i}], 2)' for i in (1, 2, 3))}) AS {name}_m, degrees(atan2(sqrt({sine}) / 2, ({cell(0, 0)} + {cell(1, 1)} + {cell(2, 2)} - 1) / 2)) AS {name}_deg"
+
+
+def _relative(name: str, camera: str, wrist: str) -> str:
+    cells = ", ".join(turned_sql(f"{camera}_r", f"{wrist}_r", i, j) for i in range(3) for j in range(3))
+    return f"[{cells}] AS {name}_r, [{', '.join(moved_sql(f'{camera}_r', f'{camera}_t', f'{wrist}_t', i) for i in range(3))}] AS {name}_t"
+
+
 ORACLE = {
+    "a12_pose_errors": f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS (SELECT a.label, {pose_sql("ca", 1, "a.v")}, {pose_sql("cb", 1, "b.v")}, {pose_sql("wa", 11, "a.v")}, {pose_sql("wb", 11, "b.v")} FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+q AS (SELECT *, {_relative("ra", "ca", "wa")}, {_relative("rb", "cb", "wb")} FROM p),
+d AS (SELECT label, {_apart("camera", "ca", "cb")}, {_apart("wrist", "ra", "rb")} FROM q)
+SELECT label, round(avg(camera_m) * 100, 4) AS camera_cm, round(avg(camera_deg), 4) AS camera_deg, round(avg(wrist_m) * 100, 4) AS wrist_cm, round(avg(wrist_deg), 4) AS wrist_deg FROM d GROUP BY label""",
     "p1_member_identity": r"""
 SELECT page_id, replace(regexp_extract(url, '//([^/?#]+)', 1), '.', '-') AS source, lower(regexp_extract(url, '//[^/]*/(\w+)', 1)) || '_x' AS video, page_id::INT AS episode FROM pages""",
     "p2_to_physical": "SELECT n_nationkey, CASE n_name WHEN 'NATION_1' THEN 'NATION_0' WHEN 'NATION_7' THEN 'NATION_5' ELSE n_name END AS physical FROM nation",

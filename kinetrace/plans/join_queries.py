@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetrace.functions import poses as P
 from kinetrace.operators import joins as J
 from kinetrace.operators import windows as W
 from kinetrace.plans.proxy import FRAMES, read, timelines
@@ -89,6 +90,24 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
     return J.to_anchor_frame(steps, ["video", "start"], ["value"]).select("video", "start", "step", (F.round("value", 4) + F.lit(0.0)).alias("value"), "valid")
 
 
+def pose_at(v: Column, k: int) -> Column:
+    """The pose that a vector's components k to k + 6 (from 1) make: a quaternion and a translation."""
+    turn = P.quaternion_to_matrix(F.slice(v, k, 4))
+    return F.concat(*[F.concat(F.slice(turn, 3 * i + 1, 3), F.slice(v, k + 4 + i, 1)) for i in range(3)], F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
+
+
+def j12_poses(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of eight vectors, steps -3 to 4: camera and left wrist from the last camera of history, the right wrist from its own pose there, in millimetres."""
+    v = read(spark, d, "embeddings").withColumn("v", F.transform("embedding", lambda x: x.cast("double")))
+    steps = v.select(
+        F.floor(F.col("vec_id") / 8).alias("window"), (F.col("vec_id") % 8 - 3).cast("int").alias("step"), pose_at(F.col("v"), 1).alias("camera"), pose_at(F.col("v"), 11).alias("left"), pose_at(F.col("v"), 21).alias("right"),
+        F.lit(True).alias("camera_ok"), (F.get("v", 40) > -0.1).alias("left_ok"), (F.get("v", 41) > -0.1).alias("right_ok"),
+    )
+    out = J.poses_to_anchor(steps, ["window"], {"camera": "camera_ok", "left": "left_ok", "right": "right_ok"}, own=("right",), metres=0.001)
+    cell = lambda c, i: (F.round(F.get(c, i), 6) + F.lit(0.0)).alias(f"{c}_{i}")
+    return out.select("window", "step", "left_ok", "right_ok", *[cell(c, i) for c in ("camera", "left", "right") for i in (0, 3, 6, 11)])
+
+
 def j13(spark: SparkSession, d: str) -> DataFrame:
     """Windows of 22 frames; each frame's transform turns by value / 100 about z and moves by (value, 1, 0)."""
     c, s, v = F.cos(F.col("value") / 100), F.sin(F.col("value") / 100), F.col("value")
@@ -96,7 +115,7 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     matrix = F.array(c, -s, o, v, s, c, o, i, o, o, i, o, o, o, o, i)
     steps = timelines(spark, d).select("video", F.floor(F.col("frame") / 22).alias("window"), (F.col("frame") % 22).cast("int").alias("step"), matrix.alias("transform"))
     poses = J.compose_odometry(steps, ["video", "window"], 5)
-    return poses.select("video", "window", "step", F.round(F.get("pose", 3), 4).alias("x"), F.round(F.get("pose", 7), 4).alias("y"))
+    return poses.select("video", "window", "step", (F.round(F.get("pose", 3), 4) + F.lit(0.0)).alias("x"), (F.round(F.get("pose", 7), 4) + F.lit(0.0)).alias("y"))
 
 
 def j14(spark: SparkSession, d: str) -> DataFrame:
@@ -135,14 +154,49 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "j1_attach_pts": j1, "j2_attach_frame_features": j2, "j3_attach_sample_features": j3, "j4_attach_prompt_features": j4, "j5_align_one_to_one": j5, "j6_drop_excluded": j6,
     "j7_split_membership": j7, "j8_interval_join_first": j8_first, "j8_interval_join_all": j8_all, "j9_nearest_time_join": j9, "j10_densify_nearest": j10, "j11_intersect_streams": j11,
-    "j12_to_anchor_frame": j12, "j13_compose_odometry": j13, "j14_match_windows": j14, "j15_compare_tables": j15, "j16_existence_counters": j16, "j17_fan_out_once": j17,
+    "j12_to_anchor_frame": j12, "j12_poses_to_anchor": j12_poses, "j13_compose_odometry": j13, "j14_match_windows": j14, "j15_compare_tables": j15, "j16_existence_counters": j16, "j17_fan_out_once": j17,
     "j18_eligible_set": j18, "j19_attach_or_mask": j19,
 }
 
 _SPANS = f"""{FRAMES}, spans AS (SELECT video, frame AS a, frame + 4 + event_id % 9 AS b, event_id FROM frames WHERE event_type = 'error'),
 held AS (SELECT f.video, f.frame, a, b, s.event_id FROM frames f JOIN spans s ON f.video = s.video AND a <= f.frame AND f.frame < b)"""
 
+
+
+def pose_sql(name: str, k: int, v: str = "v") -> str:
+    """SQL columns name_r (9 numbers) and name_t (3) of the pose in components k to k + 6 of the list v."""
+    n = f"sqrt({' + '.join(f'{v}[{k + i}] * {v}[{k + i}]' for i in range(4))})"
+    w, x, y, z = (f"({v}[{k + i}] / {n})" for i in range(4))
+    cells = [
+        f"1 - 2 * ({y} * {y} + {z} * {z})", f"2 * ({x} * {y} - {w} * {z})", f"2 * ({x} * {z} + {w} * {y})",
+        f"2 * ({x} * {y} + {w} * {z})", f"1 - 2 * ({x} * {x} + {z} * {z})", f"2 * ({y} * {z} - {w} * {x})",
+        f"2 * ({x} * {z} - {w} * {y})", f"2 * ({y} * {z} + {w} * {x})", f"1 - 2 * ({x} * {x} + {y} * {y})",
+    ]
+    return f"[{', '.join(cells)}] AS {name}_r, {v}[{k + 4}:{k + 6}] AS {name}_t"
+
+
+def turned_sql(a: str, b: str, i: int, j: int) -> str:
+    """Cell (i, j) of transpose(a) times b, of lists of 9."""
+    return "(" + " + ".join(f"{a}[{3 * k + i + 1}] * {b}[{3 * k + j + 1}]" for k in range(3)) + ")"
+
+
+def moved_sql(a: str, at: str, t: str, i: int) -> str:
+    """Component i of transpose(a) times (t - at)."""
+    return "(" + " + ".join(f"{a}[{3 * k + i + 1}] * ({t}[{k + 1}] - {at}[{k + 1}])" for k in range(3)) + ")"
+
+
+def _seen(name: str, base: str, ok: str) -> str:
+    cells = {0: turned_sql(f"{base}_r", f"{name}_r", 0, 0), 6: turned_sql(f"{base}_r", f"{name}_r", 1, 2), 3: f"0.001 * {moved_sql(f'{base}_r', f'{base}_t', f'{name}_t', 0)}", 11: f"0.001 * {moved_sql(f'{base}_r', f'{base}_t', f'{name}_t', 2)}"}
+    return ", ".join(f"round(CASE WHEN {ok} THEN {c} END, 6) + 0.0::DOUBLE AS {name}_{i}" for i, c in cells.items())
+
+
 ORACLE = {
+    "j12_poses_to_anchor": f"""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+s AS (SELECT vec_id // 8 AS win, (vec_id % 8 - 3)::INT AS step, {pose_sql("camera", 1)}, {pose_sql("left", 11)}, {pose_sql("right", 21)}, v[41] > -0.1 AS l, v[42] > -0.1 AS r FROM e),
+p AS (SELECT s.*, a.camera_r AS a_r, a.camera_t AS a_t, a.right_r AS o_r, a.right_t AS o_t, s.l AND coalesce(a.l, false) AS left_ok, s.r AND coalesce(a.r, false) AS right_ok
+  FROM s LEFT JOIN (SELECT * FROM s WHERE step <= 0 QUALIFY row_number() OVER (PARTITION BY win ORDER BY step DESC) = 1) a ON a.win = s.win)
+SELECT win AS "window", step, left_ok, right_ok, {_seen("camera", "a", "a_r IS NOT NULL")}, {_seen("left", "a", "left_ok")}, {_seen("right", "o", "right_ok")} FROM p""",
     "j1_attach_pts": f"""
 WITH {FRAMES}, n AS (SELECT video, count(*) AS n FROM frames GROUP BY 1)
 SELECT q.event_id, round(f.pts, 4) AS pts, CASE WHEN n.n IS NULL THEN 'missing video' WHEN q.event_id % 90 >= n.n THEN 'out of range' ELSE 'ok' END AS pts_status
@@ -156,8 +210,8 @@ SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN '
 FROM (SELECT doc_id, doc_id % 2 AS q FROM documents) a FULL JOIN labels b ON a.doc_id = b.doc_id""",
     "j6_drop_excluded": "SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
     "j7_split_membership": "SELECT o_orderkey AS member, CASE WHEN o_custkey % 7 <> 0 THEN 'train' WHEN o_orderkey % 2 = 0 THEN 'validation' END AS split FROM orders",
-    "j8_interval_join_first": f"WITH {_SPANS} SELECT video, frame, arg_min(event_id, event_id)::VARCHAR AS text FROM held GROUP BY ALL",
-    "j8_interval_join_all": f"WITH {_SPANS} SELECT video, frame, string_agg(event_id::VARCHAR, ',' ORDER BY a, b, event_id::VARCHAR) AS texts FROM held GROUP BY ALL",
+    "j8_interval_join_first": f"WITH {_SPANS} SELECT f.video, f.frame, coalesce(min(h.event_id)::VARCHAR, '') AS text FROM frames f LEFT JOIN held h USING (video, frame) GROUP BY f.event_id, f.video, f.frame",
+    "j8_interval_join_all": f"WITH {_SPANS} SELECT f.video, f.frame, coalesce(string_agg(h.event_id::VARCHAR, ',' ORDER BY a, b, h.event_id::VARCHAR), '') AS texts FROM frames f LEFT JOIN held h USING (video, frame) GROUP BY f.event_id, f.video, f.frame",
     "j9_nearest_time_join": f"""
 WITH {FRAMES}, targets AS (SELECT video, frame AS anchor, unnest(range(0, 4)) AS k, pts FROM frames),
 placed AS (SELECT video, anchor, k, pts + {OFFSETS}[k + 1] AS t FROM targets),
@@ -172,6 +226,17 @@ SELECT grid.video, g AS frame, f.frame::BIGINT AS source, value, f.frame = g AS
 WITH {FRAMES}, w AS (SELECT DISTINCT video, unnest(list_concat(range(0, n - 21, 16), [n - 22]))::INT AS start FROM (SELECT video, count(*)::INT AS n FROM frames GROUP BY 1) WHERE n >= 22)
 SELECT w.video, start, f.frame - start - 5 AS step, round(CASE WHEN a.event_type <> 'error' THEN f.value - a.value END, 4) + 0.0::DOUBLE AS value, f.event_type <> 'error' AND a.event_type <> 'error' AS valid
 FROM w JOIN frames f ON f.video = w.video AND f.frame BETWEEN start AND start + 21 JOIN frames a ON a.video = w.video AND a.frame = start + 5""",
+    "j13_compose_odometry": f"""
+WITH RECURSIVE {FRAMES}, t AS (SELECT video, frame // 22 AS win, frame % 22 AS step, cos(value / 100) AS c, sin(value / 100) AS s, value AS v FROM frames),
+fwd AS (
+  SELECT video, win, step, 1.0::DOUBLE AS c, 0.0::DOUBLE AS s, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM t WHERE step = 5
+  UNION ALL SELECT t.video, t.win, t.step, f.c * t.c - f.s * t.s, f.s * t.c + f.c * t.s, f.c * t.v - f.s + f.x, f.s * t.v + f.c + f.y FROM fwd f JOIN t ON t.video = f.video AND t.win = f.win AND t.step = f.step + 1),
+bwd AS (
+  SELECT video, win, step, 1.0::DOUBLE AS c, 0.0::DOUBLE AS s, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y FROM t WHERE step = 5
+  UNION ALL SELECT t.video, t.win, t.step - 1, b.c * t.c + b.s * t.s, b.s * t.c - b.c * t.s,
+    b.x - (b.c * t.c + b.s * t.s) * t.v - (b.c * t.s - b.s * t.c), b.y - (b.s * t.c - b.c * t.s) * t.v - (b.s * t.s + b.c * t.c)
+  FROM bwd b JOIN t ON t.video = b.video AND t.win = b.win AND t.step = b.step WHERE t.step > 0)
+SELECT video, win AS "window", step::INT AS step, round(x, 4) + 0.0::DOUBLE AS x, round(y, 4) + 0.0::DOUBLE AS y FROM (SELECT * FROM fwd UNION ALL SELECT * FROM bwd WHERE step < 5)""",
     "j14_match_windows": """
 WITH r AS (SELECT l_partkey, l_returnflag, l_orderkey * 10 + l_linenumber AS id, min(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
 p AS (SELECT x.l_partkey, x.id AS a, y.id AS b, abs(x.v - y.v) AS e FROM r x JOIN r y USING (l_partkey) WHERE x.l_returnflag = 'A' AND y.l_returnflag = 'R')

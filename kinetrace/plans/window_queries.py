@@ -92,6 +92,14 @@ def w10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.velocity(_steps(spark, sf_dir), ["video"]).select("video", "step", (F.round("velocity", 6) + F.lit(0.0)).alias("velocity"))
 
 
+def w10_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frame 10 is step 0 of each video: times count from there."""
+    frames = timelines(spark, sf_dir)
+    zero = frames.filter("frame = 10").select("video", F.col("pts").alias("_zero"))
+    steps = frames.join(zero, "video").select("video", (F.col("frame") - 10).alias("step"), (F.col("pts") - F.col("_zero")).alias("time"), "value", (F.col("event_type") != "error").alias("valid"))
+    return W.velocity(steps, ["video"], from_history=True).select("video", "step", (F.round("velocity", 6) + F.lit(0.0)).alias("velocity"))
+
+
 def w11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.last_valid_step(_steps(spark, sf_dir), ["video"])
 
@@ -122,7 +130,7 @@ def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "forecast_baselines": forecast_baselines, "w1_check_monotonic": w1, "w2_repair_duplicates": w2, "w3_make_windows": w3, "w4_complete_windows": w4,
-    "w5_native_anchors": w5, "w6_sample_window": w6, "w7_sample_start": w7, "w8_context_indices": w8, "w9_oracle_window": w9, "w10_velocity": w10,
+    "w5_native_anchors": w5, "w6_sample_window": w6, "w7_sample_start": w7, "w8_context_indices": w8, "w9_oracle_window": w9, "w10_velocity": w10, "w10_velocity_from_history": w10_history,
     "w11_last_valid_step": w11, "w12_horizon_weighted_error": w12, "w14_moving_average": w14, "w15_holdout_groups": w15, "w16_round_robin": w16,
 }
 
@@ -189,6 +197,11 @@ FROM placed GROUP BY ALL""",
 WITH {FRAMES}, was AS (SELECT video, frame, pts, value, event_type <> 'error' AS valid, last_value(CASE WHEN event_type <> 'error' THEN pts END IGNORE NULLS) OVER w AS t0, last_value(CASE WHEN event_type <> 'error' THEN value END IGNORE NULLS) OVER w AS v0
   FROM frames WINDOW w AS (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT video, frame AS step, round(CASE WHEN valid THEN (value - v0) / greatest(pts - t0, 1e-4) END, 6) + 0.0::DOUBLE AS velocity FROM was""",
+    "w10_velocity_from_history": f"""
+WITH {FRAMES}, s AS (SELECT video, f.frame - 10 AS step, f.pts - z.pts AS t, value, event_type <> 'error' AS valid FROM frames f JOIN (SELECT video, pts FROM frames WHERE frame = 10) z USING (video)),
+was AS (SELECT *, last_value(CASE WHEN valid THEN step END IGNORE NULLS) OVER w AS s0, last_value(CASE WHEN valid THEN t END IGNORE NULLS) OVER w AS t0, last_value(CASE WHEN valid THEN value END IGNORE NULLS) OVER w AS v0
+  FROM s WINDOW w AS (PARTITION BY video ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT video, step, round(CASE WHEN valid AND step > 0 THEN (value - v0) / greatest(t - CASE WHEN s0 <= 0 THEN 0 ELSE t0 END, 1e-4) END, 6) + 0.0::DOUBLE AS velocity FROM was""",
     "w11_last_valid_step": f"WITH {FRAMES} SELECT video, arg_max(value, frame) AS value, max(frame) AS step FROM frames WHERE event_type <> 'error' GROUP BY video",
     "w12_horizon_weighted_error": """
 WITH steps AS (SELECT user_id, epoch_us(ts) / 1e6 - 1704067200 AS t, value, event_type <> 'error' AS valid FROM events),
