@@ -63,8 +63,9 @@ def build_timelines(videos: DataFrame, readers: list[Callable[[dict], tuple[list
         distinct = sorted(set(times))
         following = dict(zip(distinct, [*distinct[1:], float("inf")], strict=True))
         out: list[float] = []
+        nth = 0
         for i, t in enumerate(times):
-            nth = i - times.index(t) if i and times[i - 1] == t else 0
+            nth = nth + 1 if i and times[i - 1] == t else 0
             fixed = t + nth * tick
             if nth and fixed >= following[t]:
                 raise ValueError("repair reaches the next time")

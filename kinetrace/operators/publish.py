@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrace.plans.shared import cut, running_before, same, shared_dir, shipped
+from kinetrace.plans.shared import cut, same, shared_dir, shipped
 
 
 def write_manifests(windows: DataFrame, path: str, fmt: str = "json") -> DataFrame:
@@ -20,11 +20,15 @@ def write_manifests(windows: DataFrame, path: str, fmt: str = "json") -> DataFra
 
 
 def global_index(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
-    """Add each row's place in the global order. Rows are dealt into ranges of the order; only counts by range meet in one task."""
-    parts = parts or df.sparkSession.sparkContext.defaultParallelism * 4
-    dealt = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    dealt = cut(dealt)  # the ranges are sampled anew if the plan runs again
-    return running_before(dealt, [], "_part", order, F.lit(1), "index").drop("_part")
+    """Add each row's place in the global order. Rows move once, into sorted ranges of the order, as many as the session's shuffles have unless `parts` says; after that only counts by range move."""
+    ranges = df.repartitionByRange(parts, *order) if parts else df.repartitionByRange(*order)
+    dealt = cut(ranges.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))  # the ranges are sampled anew if the plan runs again
+    dealt = dealt.withColumn("_part", F.shiftright("_id", 33))  # such numbers are the partition's, then the row's in it
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # over a row a range
+    counts = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    first = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    place = F.col("_first") + F.col("_id").bitwiseAND(F.lit(2**33 - 1))
+    return dealt.join(F.broadcast(first), "_part").withColumn("index", place).drop("_part", "_id", "_first")
 
 
 def reshard(df: DataFrame, order: list[str], rows_a_shard: int) -> DataFrame:
