@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.plans.shared import cut, running_before
+
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 STEP_THRESHOLDS = (4, 8, 12, 16, 24, 32, 48, 60)
 
@@ -59,12 +61,22 @@ def reach_mask(value: Column, thresholds: tuple = STEP_THRESHOLDS) -> Column:
 
 
 def quantiles(rows: DataFrame, value: str, by: str | None = None, qs: tuple = QUANTILES) -> DataFrame:
-    """Exact quantiles, linear between ranks, in long form; groups without values are absent. With `by`, rows of source 'all' come too."""
-    ps = F.percentile(value, F.array(*map(F.lit, qs)))
-    grouped = rows.filter(F.col(value).isNotNull()).groupingSets([[F.col(by)], []], by) if by else rows.filter(F.col(value).isNotNull()).groupBy()
-    out = grouped.agg(ps.alias("_q"), F.count(F.lit(1)).alias("n"), *([F.grouping(by).alias("_all")] if by else []))
-    out = out.filter("n > 0").select(*([F.when(F.col("_all") == 1, "all").otherwise(F.col(by).cast("string")).alias("source")] if by else []), "n", F.posexplode("_q").alias("_i", "value"))
-    return out.withColumn("q", F.element_at(F.array(*map(F.lit, qs)), F.col("_i") + 1)).drop("_i")
+    """Exact quantiles, linear between ranks, in long form; groups without values are absent. With `by`, rows of source 'all' come too.
+
+    Equal values of a group are counted first, then dealt into ranges of (group, value); sums by range give each value the
+    ranks it covers, and only the two values around each asked rank go on. No task holds a group.
+    """
+    rows = rows.filter(F.col(value).isNotNull())
+    groups = F.array(F.struct(F.lit(0).alias("_all"), F.col(by).cast("string").alias("source")), F.struct(F.lit(1).alias("_all"), F.lit("all").alias("source"))) if by else F.array(F.struct(F.lit(1).alias("_all"), F.lit("all").alias("source")))
+    counted = rows.select(F.col(value).cast("double").alias("_v"), F.inline(groups)).groupBy("_all", "source", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    dealt = cut(counted.repartitionByRange("_all", "source", "_v").withColumn("_part", F.spark_partition_id()))  # the ranges are sampled anew if the plan runs again
+    ranked = running_before(dealt, ["_all", "source"], "_part", ["_v"], F.col("_c"), "_before", "n")
+    asked = F.explode(F.transform(F.array(*[F.lit(float(q)) for q in qs]), lambda q: F.struct(q.alias("q"), (q * (F.col("n") - 1)).alias("at"))))
+    held = lambda rank: (F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_c"))
+    near = ranked.withColumn("_a", asked).select("_all", "source", "n", "_v", "_a.q", "_a.at", held(F.floor("_a.at")).alias("_low"), held(F.ceil("_a.at")).alias("_high")).filter("_low OR _high")
+    ends = near.groupBy("_all", "source", "n", "q", "at").agg(F.max(F.when(F.col("_low"), F.col("_v"))).alias("_l"), F.max(F.when(F.col("_high"), F.col("_v"))).alias("_h"))
+    part = F.col("at") - F.floor("at")
+    return ends.select(*(["source"] if by else []), "n", ((1 - part) * F.col("_l") + part * F.col("_h")).alias("value"), "q")
 
 
 def population_moments(rows: DataFrame, axes: list[str], by: str) -> DataFrame:
@@ -106,7 +118,8 @@ def joint_errors(joints: DataFrame, fingertips: tuple[int, ...] = (4, 8, 12, 16,
     """joint, px, py, pz, tx, ty, tz to mean distance over all joints and over fingertips, and the 90 % quantile of the displacement."""
     distance = F.sqrt(sum(((F.col(f"p{a}") - F.col(f"t{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
     rows = joints.withColumn("_d", distance)
-    return rows.agg(F.avg("_d").alias("joint_error"), F.avg(F.when(F.col("joint").isin(*fingertips), F.col("_d"))).alias("fingertip_error"), F.percentile("_d", F.lit(0.9)).alias("p90"))
+    means = rows.agg(F.avg("_d").alias("joint_error"), F.avg(F.when(F.col("joint").isin(*fingertips), F.col("_d"))).alias("fingertip_error"))
+    return means.join(quantiles(rows, "_d", None, (0.9,)).select(F.col("value").alias("p90")), how="left")  # one row each
 
 
 def stream_mse(pairs: DataFrame, streams: dict[str, tuple[int, int]], prediction: str, target: str) -> DataFrame:
