@@ -118,17 +118,23 @@ def phase(t: Column, gap: float = 1.0) -> Column:
     return F.when(t <= 0, "history").when(t <= gap, "gap").otherwise("execution")
 
 
-def assemble_features(mode: str, camera: Column, wrists: Column, hands: Column, wrist_valid: Column, hand_valid: Column) -> Column:
-    """(features, valid) for a subset: c(amera) 9, w(rists) 18 + 2 flags, h(ands) 126 + 2 flags, or several. Invalid parts are zero.
+def assemble_features(mode: str, camera: Column, wrists: Column, hands: Column, wrist_valid: Column | tuple, hand_valid: Column | tuple, future: Column | None = None) -> Column:
+    """(features, valid) for a subset: c(amera) 9, w(rists) 18 + 2 flags, h(ands) 126 + 2 flags, or several. Validity is of both sides, or a (left, right) pair.
 
-    With the camera every row is valid; without it a row needs a valid wrist or hand among the parts asked for.
+    Invalid parts are zero, and so are components that aren't numbers. With the camera a row is valid if its camera is finite;
+    without it a row needs a valid wrist or hand among the parts asked for. future: the past-only control, in which rows for
+    which it is true aren't valid. A row that isn't valid is zero throughout.
     """
-    zeroed = lambda x, ok, n: F.when(ok, F.transform(x, lambda v: F.nanvl(v, F.lit(0.0)))).otherwise(F.array_repeat(F.lit(0.0), n))
-    flags = lambda ok: F.array(ok.cast("double"), ok.cast("double"))
-    parts = {"c": [camera], "w": [zeroed(wrists, wrist_valid, 18), flags(wrist_valid)], "h": [zeroed(hands, hand_valid, 126), flags(hand_valid)]}
-    some = [ok for m, ok in (("w", wrist_valid), ("h", hand_valid)) if m in mode]
-    valid = F.lit(True) if "c" in mode else reduce(lambda a, b: a | b, some)
-    return F.struct(F.concat(*[p for m in mode for p in parts[m]]).alias("features"), valid.alias("valid"))
+    sides = lambda ok: ok if isinstance(ok, tuple) else (ok, ok)
+    finite = lambda x: F.transform(x, lambda v: F.nanvl(v, F.lit(0.0)))
+    zeroed = lambda x, ok, n: F.concat(*[F.when(side, F.slice(x, 1 + n * i, n)).otherwise(F.array_repeat(F.lit(0.0), n)) for i, side in enumerate(sides(ok))])
+    flags = lambda ok: F.array(*[side.cast("double") for side in sides(ok)])
+    parts = {"c": [finite(camera)], "w": [finite(zeroed(wrists, wrist_valid, 9)), flags(wrist_valid)], "h": [finite(zeroed(hands, hand_valid, 63)), flags(hand_valid)]}
+    some = [side for m, ok in (("w", wrist_valid), ("h", hand_valid)) if m in mode for side in sides(ok)]
+    valid = all_finite(camera, 9) if "c" in mode else reduce(lambda a, b: a | b, some)
+    valid = valid & ~future if future is not None else valid
+    features = F.transform(F.concat(*[p for m in mode for p in parts[m]]), lambda x: F.when(valid, x).otherwise(0.0))
+    return F.struct(features.alias("features"), valid.alias("valid"))
 
 
 def total(vector: Column) -> Column:
@@ -162,6 +168,28 @@ def all_finite(vector: Column, size: int | None = None) -> Column:
     return F.coalesce(ok & (F.size(vector) == size) if size is not None else ok, F.lit(False))
 
 
+def sample_checks(width: int, streams: dict[str, tuple[int, int]]) -> dict[str, Column]:
+    """Rules of a training sample, each true where it holds; a null part breaks its rules.
+
+    For p in history, future: p_state (rows of `width` numbers), p_time, p_stream_mask (rows of a boolean a stream), p_state_mask
+    (as p_state, booleans); future_query_mask (as future_stream_mask): streams that are asked for; intrinsics (4 numbers).
+    streams: first coordinate (from 0) and size of each.
+    """
+    n = len(streams)
+    shaped = lambda c, like, size: (F.size(c) == F.size(like)) & F.forall(c, lambda r: F.size(r) == size)
+    inside = lambda mask, limit: F.forall(F.flatten(F.zip_with(mask, limit, lambda a, b: F.zip_with(a, b, lambda x, y: ~x | y))), lambda x: x)
+    widened = lambda m: F.transform(m, lambda row: F.concat(*[F.array_repeat(F.get(row, i), size) for i, (_, size) in enumerate(sorted(streams.values()))]))
+    out = {}
+    for p in ("history", "future"):
+        out[f"{p}_shape"] = F.forall(f"{p}_state", lambda r: F.size(r) == width) & (F.size(f"{p}_time") == F.size(f"{p}_state"))
+        out[f"{p}_mask_shape"] = shaped(f"{p}_stream_mask", f"{p}_state", n) & shaped(f"{p}_state_mask", f"{p}_state", width)
+        out[f"{p}_coordinates_in_streams"] = inside(F.col(f"{p}_state_mask"), widened(F.col(f"{p}_stream_mask")))
+        out[f"{p}_finite"] = F.forall(f"{p}_state", lambda r: all_finite(r)) & all_finite(F.col(f"{p}_time"))
+    out["supervision_is_asked"] = inside(F.col("future_stream_mask"), F.col("future_query_mask"))
+    out["intrinsics"] = F.size("intrinsics") == 4
+    return {name: F.coalesce(ok, F.lit(False)) for name, ok in out.items()}
+
+
 def robot_contract(columns: dict[str, int | None], actual: str, commanded: str, allow_commanded: bool) -> dict[str, Column]:
     """Column checks of a robot episode: arrays of one length, fixed sizes inside, and which end effector pose is used."""
     first = next(iter(columns))
@@ -182,8 +210,8 @@ def pad_group(rows: DataFrame, key: str, arrays: dict[str, Column]) -> DataFrame
     return out.withColumn("partial", partial).withColumns(padded).drop("_all", *[f"_{x}_{c}" for x in "mn" for c in arrays])
 
 
-def assign_split(rows: DataFrame, name: str, rules: DataFrame) -> DataFrame:
-    """The split of a name by its part after the last underscore; `matches` other than 1 is an error to report. rules: suffix, split (a small table)."""
-    by = rules.groupBy("suffix").agg(F.count(F.lit(1)).alias("matches"), F.min("split").alias("split"))
-    joined = rows.withColumn("suffix", F.substring_index(name, "_", -1)).join(by, "suffix", "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+def assign_split(rows: DataFrame, name: str, rules: DataFrame, by: str = "suffix") -> DataFrame:
+    """The split of a name by its part after the last underscore (by: suffix) or before the first (prefix); `matches` other than 1 is an error to report. rules: that part, split (a small table)."""
+    known = rules.groupBy(by).agg(F.count(F.lit(1)).alias("matches"), F.min("split").alias("split"))
+    joined = rows.withColumn(by, F.substring_index(name, "_", -1 if by == "suffix" else 1)).join(known, by, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
     return joined.withColumn("split", F.when(F.col("matches") == 1, F.col("split")))

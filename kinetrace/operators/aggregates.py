@@ -91,13 +91,18 @@ def masked_mean(value: Column, mask: Column) -> Column:
     return F.sum(F.when(mask, value).otherwise(0.0)) / F.greatest(F.count_if(mask), F.lit(1))
 
 
-def ade_fde(errors: DataFrame, window: list[str], by: list[str]) -> DataFrame:
+def ade_fde(errors: DataFrame, window: list[str], by: list[str], camera: tuple[str, str] | None = None) -> DataFrame:
     """Mean error over all valid steps, pooled, and mean error at each window's last valid step; windows without valid steps don't count.
 
-    errors has step, error, valid and the columns named. The sums for pooling further are kept.
+    errors has step, error, valid and the columns named. The sums for pooling further are kept. camera names an error and its
+    validity: camera_error is its mean over the valid steps of the windows that count.
     """
-    each = errors.filter("valid").groupBy(*window, *by).agg(F.sum("error").alias("_sum"), F.count(F.lit(1)).alias("_n"), F.max_by("error", "step").alias("_last"))
-    out = each.groupBy(*by).agg(F.sum("_sum").alias("error_sum"), F.sum("_n").alias("steps"), F.sum("_last").alias("last_sum"), F.count(F.lit(1)).alias("windows"))
+    ok = F.col("valid")
+    rows = errors if camera else errors.filter("valid")
+    seen = [F.sum(F.when(F.col(camera[1]), F.col(camera[0]))).alias("_cs"), F.count_if(camera[1]).alias("_cn")] if camera else []
+    each = rows.groupBy(*window, *by).agg(F.sum(F.when(ok, F.col("error"))).alias("_sum"), F.count_if(ok).alias("_n"), F.max_by(F.when(ok, F.col("error")), F.when(ok, F.col("step"))).alias("_last"), *seen).filter("_n > 0")
+    mean = [(F.sum("_cs") / F.greatest(F.sum("_cn"), F.lit(1))).alias("camera_error")] if camera else []
+    out = each.groupBy(*by).agg(F.sum("_sum").alias("error_sum"), F.sum("_n").alias("steps"), F.sum("_last").alias("last_sum"), F.count(F.lit(1)).alias("windows"), *mean)
     return out.withColumns({"ade": F.col("error_sum") / F.col("steps"), "fde": F.col("last_sum") / F.col("windows")}).withColumn("selection", (F.col("ade") + F.col("fde")) / 2)
 
 
@@ -122,6 +127,12 @@ def joint_errors(joints: DataFrame, fingertips: tuple[int, ...] = (4, 8, 12, 16,
     return means.join(quantiles(rows, "_d", None, (0.9,)).select(F.col("value").alias("p90")), how="left")  # one row each
 
 
+def repeat_last(joints: DataFrame, window: list[str]) -> DataFrame:
+    """Each valid later joint beside where it was at the anchor (step 0), for joint_errors: how far a forecast that repeats it is off. joints: step, joint, x, y, z, valid."""
+    last = joints.filter("step = 0").select(*window, "joint", *[F.col(a).alias(f"p{a}") for a in "xyz"])
+    return joints.filter("step > 0 AND valid").select(*window, "step", "joint", *[F.col(a).alias(f"t{a}") for a in "xyz"]).join(last, [*window, "joint"])
+
+
 def stream_mse(pairs: DataFrame, streams: dict[str, tuple[int, int]], prediction: str, target: str) -> DataFrame:
     """Mean squared error over each stream's slice (from 1) of two arrays."""
     square = lambda a, n: F.aggregate(F.zip_with(F.slice(prediction, a, n), F.slice(target, a, n), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -194,6 +205,20 @@ def split_profile(rows: DataFrame, split: str, keys: list[str]) -> DataFrame:
     return rows.groupBy(split).agg(F.count(F.lit(1)).alias("records"), *[F.count_distinct(k).alias(f"n_{k}") for k in keys])
 
 
+def coverage_report(segments: DataFrame, streams: DataFrame, wrists: DataFrame, by: str) -> DataFrame:
+    """How many segments of each split have no pose stream, an anchor beyond it, a window cut short by it, a whole window, and a wrist at the anchor: either hand, any, both.
+
+    segments: recording, anchor, last (frames) and the split. streams: recording, frames. wrists: recording, frame, hand0, hand1.
+    """
+    at = wrists.groupBy("recording", F.col("frame").alias("anchor")).agg(F.bool_or("hand0").alias("_0"), F.bool_or("hand1").alias("_1"))
+    rows = segments.join(streams.select("recording", F.col("frames").alias("_n")), "recording", "left").join(at, ["recording", "anchor"], "left")
+    here = lambda c: F.coalesce(F.col(c), F.lit(False))
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("segments"), F.count_if(F.col("_n").isNull()).alias("without_pose"), F.count_if(F.col("anchor") >= F.col("_n")).alias("anchor_beyond"), F.count_if(F.col("last") >= F.col("_n")).alias("truncated"),
+        F.count_if(F.col("last") < F.col("_n")).alias("whole"), F.count_if(here("_0")).alias("hand0"), F.count_if(here("_1")).alias("hand1"), F.count_if(here("_0") | here("_1")).alias("any_hand"), F.count_if(here("_0") & here("_1")).alias("both_hands"),
+    )
+
+
 def temporal_bins(spans: list[tuple[float, int]], fps: float = 30.0) -> list[tuple[int, int, int, int]]:
     """(span, bin, low, high) frame ranges over the last seconds of each span, integer-truncated and evenly spaced; neighbours share a frame, ends count."""
     out = []

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.operators.aggregates import quantiles
+
 
 def attach_pts(frames: DataFrame, timelines: DataFrame, keys: list[str]) -> DataFrame:
     """Frame ids to seconds by place in the video's pts array; `pts_status` is ok, missing video or out of range."""
@@ -83,7 +87,8 @@ def nearest_time_join(anchors: DataFrame, frames: DataFrame, offsets: list[float
     rows = frames.select("video", F.col("pts").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(anchors.schema["anchor"].dataType).alias("anchor"), F.lit(None).cast("int").alias("place"), "frame", F.col("pts").alias("ft"))
     order = Window.partitionBy("video").orderBy("t", "kind")
     before = F.last(F.when(F.col("kind") == 1, F.struct("frame", "ft")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    after = F.first(F.when(F.col("kind") == 1, F.struct("frame", "ft")), ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    back = Window.partitionBy("video").orderBy(F.desc("t"), F.desc("kind"))  # frames that reach to the end of a partition would be summed anew for each row
+    after = F.last(F.when(F.col("kind") == 1, F.struct("frame", "ft")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     both = targets.unionByName(rows).withColumns({"_b": before, "_a": after}).filter("kind = 0")
     earlier = F.col("_a").isNull() | (F.col("t") - F.col("_b.ft") <= F.col("_a.ft") - F.col("t"))
     picked = both.withColumn("_p", F.when(F.col("_b").isNotNull() & earlier, F.col("_b")).otherwise(F.col("_a")))
@@ -99,7 +104,7 @@ def densify_nearest(frames: DataFrame, key: str, step: int) -> DataFrame:
     grid = frames.groupBy(key).agg(F.max("frame").alias("_m")).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m").cast("long"), F.lit(step).cast("long"))).alias("frame"))
     both = grid.join(frames.select(key, F.col("frame").cast("long").alias("frame"), F.struct("frame", "value").alias("_v")), [key, "frame"], "full_outer").join(grid.withColumn("_g", F.lit(True)), [key, "frame"], "left")
     order = Window.partitionBy(key).orderBy("frame")
-    both = both.withColumns({"_b": F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.first("_v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    both = both.withColumns({"_b": F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last("_v", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0))})
     use = F.when(F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("frame") - F.col("_b.frame") <= F.col("_a.frame") - F.col("frame"))), F.col("_b")).otherwise(F.col("_a"))
     return both.filter("_g").withColumn("_u", use).select(key, "frame", F.col("_u.frame").cast("long").alias("source"), F.col("_u.value").alias("value"), (F.col("_u.frame") == F.col("frame")).alias("valid"))
 
@@ -121,10 +126,15 @@ def to_anchor_frame(steps: DataFrame, group: list[str], values: list[str], ancho
     return rows.withColumns({c: F.when(F.col("_ok"), F.col(c) - F.col(f"_a_{c}")) for c in values} | {"valid": F.col("valid") & F.col("_ok")}).drop("_ok", *[f"_a_{c}" for c in values])
 
 
+def bound(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def matmul(a: Column, b: Column) -> Column:
     """Product of two 4 x 4 matrices held as arrays of 16 numbers, row by row."""
-    cell = lambda i: F.aggregate(F.sequence(F.lit(0), F.lit(3)), F.lit(0.0), lambda s, k: s + F.get(a, (F.floor(i / 4) * 4 + k).cast("int")) * F.get(b, (k * 4 + i % 4).cast("int")))
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), cell)
+    cell = lambda m, i, j: sum((F.get(m["a"], 4 * i + k) * F.get(m["b"], 4 * k + j) for k in range(1, 4)), F.get(m["a"], 4 * i) * F.get(m["b"], j))
+    return bound(F.struct(a.alias("a"), b.alias("b")), lambda m: F.array(*[cell(m, i, j) for i in range(4) for j in range(4)]))
 
 
 IDENTITY = [float(i % 5 == 0) for i in range(16)]
@@ -132,10 +142,14 @@ IDENTITY = [float(i % 5 == 0) for i in range(16)]
 
 def rigid_inverse(m: Column) -> Column:
     """Inverse of a rotation and translation held as 16 numbers."""
-    rows = [F.get(m, i) for i in range(16)]
-    turned = [[rows[4 * j + i] for j in range(3)] for i in range(3)]
-    moved = [-(turned[i][0] * rows[3] + turned[i][1] * rows[7] + turned[i][2] * rows[11]) for i in range(3)]
-    return F.array(*[x for i in range(3) for x in (*turned[i], moved[i])], *[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)])
+
+    def of(x: Column) -> Column:
+        rows = [F.get(x, i) for i in range(16)]
+        turned = [[rows[4 * j + i] for j in range(3)] for i in range(3)]
+        moved = [-(turned[i][0] * rows[3] + turned[i][1] * rows[7] + turned[i][2] * rows[11]) for i in range(3)]
+        return F.array(*[v for i in range(3) for v in (*turned[i], moved[i])], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
+
+    return bound(m, of)
 
 
 def poses_to_anchor(steps: DataFrame, group: list[str], poses: dict[str, str], anchor: str = "last_observed", own: tuple[str, ...] = (), frame: str = "camera", metres: float = 1.0) -> DataFrame:
@@ -185,23 +199,44 @@ def compose_odometry(steps: DataFrame, group: list[str], anchor: int) -> DataFra
 def match_windows(a: DataFrame, b: DataFrame, key: list[str], value: str, tolerance: float) -> DataFrame:
     """Pairs of one key that are each other's nearest by absolute error (ties by id), and whether they are within the tolerance. a, b: id and value.
 
-    Mutual nearest instead of first come, first served: the result doesn't depend on the order of rows.
+    Mutual nearest instead of first come, first served: the result doesn't depend on the order of rows. Of equal values of a
+    side only the least id can be chosen; rows without a value never are. Values of both sides are sorted into one order, where
+    two that choose each other are neighbours, so no pairs of a key are listed.
     """
-    x, y = a.select(*key, F.col("id").alias("a"), F.col(value).alias("_x")), b.select(*key, F.col("id").alias("b"), F.col(value).alias("_y"))
-    pairs = x.join(y, key).withColumn("error", F.abs(F.col("_x") - F.col("_y")))
-    place = lambda side, other: F.row_number().over(Window.partitionBy(*key, side).orderBy("error", other))
-    best = pairs.withColumns({"_pa": place("a", "b"), "_pb": place("b", "a")}).filter("_pa = 1 AND _pb = 1")
-    return best.select(*key, "a", "b", "error", (F.col("error") <= tolerance).alias("within"))
-
-
-def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], rtol: float = 1e-5, atol: float = 1e-5) -> DataFrame:
-    """One row a value column: greatest error, values that aren't close, and keys on one side alone."""
-    x = a.select(*[F.col(k).alias(f"_a_{k}") for k in keys], *[F.col(v).alias(f"_x_{v}") for v in values])
-    y = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[F.col(v).alias(f"_y_{v}") for v in values])
+    side = lambda df, k: df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v")).agg(F.min("id").alias("_id")).withColumn("_side", F.lit(k))
+    rows = side(a, 0).unionByName(side(b, 1))
+    up = Window.partitionBy(*key).orderBy("_v", "_side")
+    down = Window.partitionBy(*key).orderBy(F.desc("_v"), F.desc("_side"))
+    seen = lambda k, order: F.last(F.when(F.col("_side") == k, F.struct("_v", "_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumns({f"_{name}": F.when(F.col("_side") == 0, seen(1, order)).otherwise(seen(0, order)) for name, order in (("below", up), ("above", down))})
+    choice = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._v") - F.col("_v")).alias("error"), F.col(f"{c}._id").alias("id")))
+    rows = rows.withColumn("_pick", F.least(choice("_below"), choice("_above")))
+    after = F.lead(F.struct("_side", "_id", "_pick")).over(up)
+    pairs = rows.withColumn("_next", after).filter("_next._side <> _side AND _pick.id = _next._id AND _next._pick.id = _id")
+    first = F.col("_side") == 0
+    found = pairs.select(*key, F.when(first, F.col("_id")).otherwise(F.col("_next._id")).alias("a"), F.when(first, F.col("_next._id")).otherwise(F.col("_id")).alias("b"), F.col("_pick.error").alias("error"))
+    return found.withColumn("within", F.col("error") <= tolerance)
+
+
+def match_report(pairs: DataFrame, a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """(measure, value) of matched windows: pairs, how many are within the tolerance, rows of either side without a partner, greatest error, and its 50 and 95 % quantiles."""
+    one = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.count_if("within").alias("within"), F.max("error").alias("max"))
+    names = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value")) for m in ("pairs", "within", "max")])
+    alone = lambda df, side: df.select(*key, F.col("id").alias(side)).join(pairs.select(*key, side), [*key, side], "left_anti").agg(F.lit(f"unmatched {side}").alias("measure"), F.count(F.lit(1)).cast("double").alias("value"))
+    spread = quantiles(pairs, "error", None, (0.5, 0.95)).select(F.format_string("p%d", F.round(F.col("q") * 100).cast("int")).alias("measure"), "value")
+    return one.select(F.inline(names)).unionByName(alone(a, "a")).unionByName(alone(b, "b")).unionByName(spread)
+
+
+def compare_tables(a: DataFrame, b: DataFrame, keys: list[str], values: list[str], rtol: float = 1e-5, atol: float = 1e-5, by: str | None = None) -> DataFrame:
+    """One row a value column, or a source (the column `by` of both tables) and value column: greatest error, values that aren't close, and keys on one side alone."""
+    own = [by] if by else []
+    x = a.select(*[F.col(k).alias(f"_a_{k}") for k in keys], *[F.col(v).alias(f"_x_{v}") for v in values], *[F.col(c).alias("_a_by") for c in own])
+    y = b.select(*[F.col(k).alias(f"_b_{k}") for k in keys], *[F.col(v).alias(f"_y_{v}") for v in values], *[F.col(c).alias("_b_by") for c in own])
     on = [F.col(f"_a_{k}") == F.col(f"_b_{k}") for k in keys]
     joined = x.join(y, on, "full_outer").withColumn("_alone", F.col(f"_a_{keys[0]}").isNull() | F.col(f"_b_{keys[0]}").isNull())
-    long = joined.select("_alone", F.inline(F.array(*[F.struct(F.lit(v).alias("column"), F.abs(F.col(f"_x_{v}") - F.col(f"_y_{v}")).alias("_e"), F.abs(F.col(f"_y_{v}")).alias("_m")) for v in values])))
-    return long.groupBy("column").agg(F.max("_e").alias("max_error"), F.count_if(F.col("_e") > atol + rtol * F.col("_m")).alias("not_close"), F.count_if("_alone").alias("unmatched"))
+    sources = [F.coalesce("_a_by", "_b_by").alias(c) for c in own]
+    long = joined.select("_alone", *sources, F.inline(F.array(*[F.struct(F.lit(v).alias("column"), F.abs(F.col(f"_x_{v}") - F.col(f"_y_{v}")).alias("_e"), F.abs(F.col(f"_y_{v}")).alias("_m")) for v in values])))
+    return long.groupBy(*own, "column").agg(F.max("_e").alias("max_error"), F.count_if(F.col("_e") > atol + rtol * F.col("_m")).alias("not_close"), F.count_if("_alone").alias("unmatched"))
 
 
 def existence_counters(wanted: DataFrame, listings: dict[str, DataFrame], key: str, by: str) -> DataFrame:
@@ -223,6 +258,18 @@ def eligible_set(official: DataFrame, asked: DataFrame, key: str) -> tuple[DataF
     return asked.join(listed, key, "left_semi"), asked.join(listed, key, "left_anti")
 
 
+def eligibility(official: DataFrame, asked: DataFrame, key: str, wanted: dict[str, Column] | None = None, archives: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    """Asked keys with their status: not listed, wrong device (a column of the official list isn't what is wanted), absent archive, or eligible. strict: anything but eligible is an error."""
+    fits = F.coalesce(F.bool_and(reduce(lambda x, y: x & y, [F.col(c) == v for c, v in (wanted or {}).items()], F.lit(True))), F.lit(False))
+    rows = asked.join(official.groupBy(key).agg(fits.alias("_fits")), key, "left")
+    rows = rows.join(archives.select(key, F.lit(True).alias("_there")).distinct(), key, "left") if archives is not None else rows.withColumn("_there", F.lit(True))
+    status = F.when(F.col("_fits").isNull(), "not listed").when(~F.col("_fits"), "wrong device").when(F.col("_there").isNull(), "absent archive").otherwise("eligible")
+    out = rows.withColumn("status", status).drop("_fits", "_there")
+    if strict and not out.filter("status <> 'eligible'").isEmpty():
+        raise ValueError("not every asked key is eligible")
+    return out
+
+
 def attach_or_mask(rows: DataFrame, optional: DataFrame, key: str, zeros: dict[str, Column]) -> DataFrame:
     """Left join; what is missing becomes typed zeros, and `present` says so. No row is lost."""
     joined = rows.join(optional.select(key, *zeros, F.lit(True).alias("_p")), key, "left")

@@ -36,6 +36,11 @@ def reshard(df: DataFrame, order: list[str], rows_a_shard: int) -> DataFrame:
     return global_index(df, order).withColumn("shard", F.floor(F.col("index") / rows_a_shard))
 
 
+def shard_counts(sharded: DataFrame, source: str) -> DataFrame:
+    """Rows of each source in each shard."""
+    return sharded.groupBy("shard", source).agg(F.count(F.lit(1)).alias("rows"))
+
+
 def publish_if_valid(df: DataFrame, path: str, checks: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Write df to a new folder under path; name it in path/_current only if every row of checks(what was written) has passed.
 

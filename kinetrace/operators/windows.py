@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.plans.shared import running_before
+
 
 def check_monotonic(frames: DataFrame, video: str = "video", frame: str = "frame", pts: str = "pts") -> DataFrame:
     """One row a video: rows, non-finite values, steps that don't rise, and whether the timeline is good."""
@@ -60,14 +62,15 @@ def complete_windows(starts: DataFrame, frames: DataFrame, size: int) -> DataFra
 
 def native_anchors(frames: DataFrame, history: int, future: int) -> DataFrame:
     """Anchors inside an interval: kept, with history - 1 earlier frames and at least `future` kept later ones. frames has video, interval, frame, kept."""
-    later = Window.partitionBy("video", "interval").orderBy("frame").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("video", "interval").orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, -1)
     return frames.withColumn("targets", F.coalesce(F.count_if("kept").over(later), F.lit(0))).filter(F.col("kept") & (F.col("frame") >= history - 1) & (F.col("targets") >= future))
 
 
-def spread_indices(indices: Column, count: int) -> Column:
-    """`count` of an array's values, at places floor(i * (n - 1) / (count - 1))."""
-    at = lambda i: F.floor(i * (F.size(indices) - 1) / F.lit(max(count - 1, 1))).cast("int")
-    return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.get(indices, at(i)))
+def spread_indices(indices: Column, count: Column | int) -> Column:
+    """`count` of an array's values, at places floor(i * (n - 1) / (count - 1)); one alone is the last."""
+    k = count if isinstance(count, Column) else F.lit(count)
+    at = lambda i: F.floor(i * (F.size(indices) - 1) / F.greatest(k - 1, F.lit(1))).cast("int")
+    return F.when(k == 1, F.slice(indices, -1, 1)).otherwise(F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.get(indices, at(i))))
 
 
 def hex_draw(seed: int, *keys: str) -> Column:
@@ -91,6 +94,21 @@ def sample_window(anchors: DataFrame, seed: int, core: tuple[int, ...] = (8, 16)
     return able.withColumn("_place", place).filter("_place = 1").select("video", F.col("frame").alias("anchor"), "target_count")
 
 
+def window_targets(picks: DataFrame, frames: DataFrame, seed: int, history: int = 6, consecutive: float = 0.5) -> DataFrame:
+    """The frames of sampled windows: history up to the anchor, and target_count kept later frames of the anchor's interval.
+
+    By a draw on (seed, video) the targets are the next ones, or are spread over all that the interval still has. picks:
+    video, anchor, target_count. frames: video, interval, frame, kept. An interval's later frames are gathered in a row: an
+    action's length bounds them.
+    """
+    at = picks.join(frames.select("video", "interval", F.col("frame").alias("anchor")), ["video", "anchor"])
+    later = at.join(frames.filter("kept").select("video", "interval", "frame"), ["video", "interval"]).filter("frame > anchor")
+    rows = later.groupBy("video", "interval", "anchor", "target_count").agg(F.array_sort(F.collect_list("frame")).alias("_f")).filter(F.size("_f") >= F.col("target_count"))
+    mode = F.when(hex_draw(seed + 3, "video") < consecutive, "consecutive").otherwise("spread")
+    rows = rows.withColumns({"mode": mode, "history": F.sequence(F.col("anchor") - (history - 1), F.col("anchor"))})
+    return rows.withColumn("targets", F.when(F.col("mode") == "consecutive", F.slice("_f", F.lit(1), F.col("target_count"))).otherwise(spread_indices(F.col("_f"), F.col("target_count")))).drop("_f")
+
+
 def sample_start(index: Column, last_start: Column) -> Column:
     return F.pmod(index * 104729, last_start + 1)
 
@@ -161,11 +179,18 @@ def stable_rank(seed: str, namespace: Column, key: Column) -> Column:
 
 
 def holdout_groups(groups: DataFrame, seed: str, min_groups: int, target_rows: int) -> DataFrame:
-    """(source, group, rows): for each source the shortest prefix in stable rank order with enough groups and enough rows; `enough` says whether there is one."""
-    order = Window.partitionBy("source").orderBy("_rank")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = groups.withColumn("_rank", stable_rank(seed, F.col("source"), F.col("group")))
-    ranked = ranked.withColumns({"_n": F.row_number().over(order) - 1, "_rows": F.coalesce(F.sum("rows").over(before), F.lit(0))})
-    whole = Window.partitionBy("source")
-    enough = (F.count(F.lit(1)).over(whole) >= min_groups) & (F.sum("rows").over(whole) >= target_rows)
-    return ranked.withColumn("enough", enough).filter((F.col("_n") < min_groups) | (F.col("_rows") < target_rows)).drop("_n", "_rows", "_rank")
+    """(source, group, rows): for each source the shortest prefix in stable rank order with enough groups and enough rows; `enough` says whether there is one.
+
+    The first digits of the rank deal a source into buckets that rise with it, so that few sources make no long windows.
+    """
+    ranked = groups.withColumn("_rank", stable_rank(seed, F.col("source"), F.col("group"))).withColumn("_bucket", F.substring("_rank", 1, 3))
+    ranked = running_before(ranked, ["source"], "_bucket", ["_rank"], F.lit(1), "_n", "_groups")
+    ranked = running_before(ranked, ["source"], "_bucket", ["_rank"], F.col("rows"), "_rows", "_all")
+    enough = (F.col("_groups") >= min_groups) & (F.col("_all") >= target_rows)
+    return ranked.withColumn("enough", enough).filter((F.col("_n") < min_groups) | (F.col("_rows") < target_rows)).drop("_n", "_rows", "_rank", "_bucket", "_groups", "_all")
+
+
+def union_over_aliases(chosen: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Held-out groups of physical sources: one that is chosen for any logical source is held out for all that share its physical one. aliases: logical, physical."""
+    mapped = chosen.join(aliases, F.col("source") == F.col("logical"), "left").select(F.coalesce("physical", "source").alias("physical"), "group", "source")
+    return mapped.groupBy("physical", "group").agg(F.count_distinct("source").alias("sources"))

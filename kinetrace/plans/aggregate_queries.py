@@ -83,6 +83,15 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return A.ade_fde(_errors(spark, d), ["video", "window"], ["event_type"]).select("event_type", "steps", "windows", *[(F.round(c, 4)).alias(c) for c in ("ade", "fde", "selection")])
 
 
+def a11_camera(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of eight frames by video: distance to the first value, and a tenth of it for the camera, valid at other frames."""
+    frames = timelines(spark, d).withColumn("window", F.floor(F.col("frame") / 8))
+    first = frames.filter("frame % 8 = 0").select("video", "window", F.col("value").alias("_f"))
+    moved = F.abs(F.col("value") - F.col("_f"))
+    errors = frames.join(first, ["video", "window"]).select("video", "window", (F.col("frame") % 8).alias("step"), moved.alias("error"), (F.col("value") >= 8).alias("valid"), (moved / 10).alias("camera"), (F.col("event_type") != "error").alias("camera_ok"))
+    return A.ade_fde(errors, ["window"], ["video"], ("camera", "camera_ok")).select("video", "steps", "windows", *[F.round(c, 8).alias(c) for c in ("ade", "fde", "selection", "camera_error")])
+
+
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     vectors = read(spark, d, "embeddings")
     nxt = vectors.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("target"))
@@ -96,6 +105,13 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
     return A.joint_errors(joint.select("joint", *[at("embedding", k).alias(f"p{a}") for k, a in enumerate("xyz")], *[at("target", k).alias(f"t{a}") for k, a in enumerate("xyz")])).withColumns(_r("joint_error", "fingertip_error", "p90"))
 
 
+def a13_repeat_last(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of eight vectors, steps -3 to 4, each a hand of 21 joints."""
+    v = read(spark, d, "embeddings").select(F.floor(F.col("vec_id") / 8).alias("window"), (F.col("vec_id") % 8 - 3).alias("step"), (F.get("embedding", 63) > -0.1).alias("valid"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("joint"))
+    joints = v.select("window", "step", "valid", "joint", *[F.get("embedding", F.col("joint") * 3 + k).cast("double").alias(a) for k, a in enumerate("xyz")])
+    return A.joint_errors(A.repeat_last(joints, ["window"])).withColumns(_r("joint_error", "fingertip_error", "p90"))
+
+
 def a15(spark: SparkSession, d: str) -> DataFrame:
     _, pairs = _vectors(spark, d)
     wide = pairs.select(F.transform("embedding", lambda x: x.cast("double")).alias("p"), F.transform("target", lambda x: x.cast("double")).alias("t"))
@@ -154,6 +170,14 @@ def a24(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("c_mktsegment").agg(F.count_if(F.col("n").isNull()).alias("without"), F.count_if(F.col("n") < 5).alias("truncated"), F.count_if(F.col("most") > 200000).alias("beyond"), F.count(F.lit(1)).alias("segments"))
 
 
+def a24_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as segments of their customers' recordings: events as wrists of the user of the same number."""
+    frames = timelines(spark, d)
+    segments = read(spark, d, "orders").select(F.col("o_custkey").alias("recording"), "o_orderpriority", (F.col("o_orderkey") % 120).cast("int").alias("anchor"), (F.col("o_orderkey") % 120 + 16).cast("int").alias("last"))
+    wrists = frames.select(F.col("video").alias("recording"), "frame", (F.col("value") >= 5).alias("hand0"), (F.col("event_type") == "click").alias("hand1"))
+    return A.coverage_report(segments, frames.groupBy(F.col("video").alias("recording")).agg(F.count(F.lit(1)).alias("frames")), wrists, "o_orderpriority")
+
+
 def a25(spark: SparkSession, d: str) -> DataFrame:
     """Greatest distance from the anchor (frame 31 of each 64) by phase, then its median and 90 % quantile over segments."""
     frames = timelines(spark, d).select("video", F.floor(F.col("frame") / 64).alias("segment"), (F.col("frame") % 64 - 31).alias("t"), "value")
@@ -207,9 +231,9 @@ def a34(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "a1_frame_requests": a1, "a2_video_summary": a2, "a3_counters": a3, "a4_storage_estimate": a4, "a5_episode_capacity": a5, "a6_support_matrix": a6, "a7_quantiles": a7,
-    "a8_population_moments": a8, "a9_masked_mean": a9, "a10_macro_micro": a10, "a11_ade_fde": a11, "a13_joint_errors": a13, "a15_stream_mse": a15, "a16_topk_accuracy": a16,
+    "a8_population_moments": a8, "a9_masked_mean": a9, "a10_macro_micro": a10, "a11_ade_fde": a11, "a11_ade_fde_camera": a11_camera, "a13_joint_errors": a13, "a13_repeat_last": a13_repeat_last, "a15_stream_mse": a15, "a16_topk_accuracy": a16,
     "a17_class_mean_recall": a17, "a18_distinct_prompts": a18, "a19_split_statistics": a19, "a20_unique_key_check": a20, "a21_functional_dependency": a21, "a22_domain_check": a22,
-    "a23_split_profile": a23, "a24_coverage_report": a24, "a25_motion_by_phase": a25, "a26_temporal_bin_pool": a26, "a27_grid_mean_pool": a27, "a28_effective_rate": a28,
+    "a23_split_profile": a23, "a24_coverage_report": a24, "a24_coverage_of_windows": a24_windows, "a25_motion_by_phase": a25, "a26_temporal_bin_pool": a26, "a27_grid_mean_pool": a27, "a28_effective_rate": a28,
     "a29_select_best": a29, "a30_early_stop_scan": a30, "a31_sum_map": a31, "a32_single_value_check": a32, "a33_best_of_n": a33, "a34_compare_runs": a34,
 }
 
@@ -258,6 +282,14 @@ GROUP BY GROUPING SETS ((axis, source), (axis))""",
 WITH {_ERRORS} SELECT 'm' AS model, 'macro' AS source, round(avg(ade), 4) AS ade, round(avg(fde), 4) AS fde, sum(windows)::BIGINT AS windows FROM scored
 UNION ALL SELECT 'm', 'micro', round(sum(s) / sum(n), 4), round(sum(l) / sum(windows), 4), sum(windows)::BIGINT FROM scored""",
     "a11_ade_fde": f"WITH {_ERRORS} SELECT event_type, n::BIGINT AS steps, windows, round(ade, 4) AS ade, round(fde, 4) AS fde, round((ade + fde) / 2, 4) AS selection FROM scored",
+    "a11_ade_fde_camera": f"""
+WITH {FRAMES}, e AS (SELECT a.video, a.frame // 8 AS w, a.frame % 8 AS step, abs(a.value - b.value) AS error, a.value >= 8 AS valid, a.event_type <> 'error' AS cam FROM frames a JOIN frames b ON a.video = b.video AND b.frame = a.frame // 8 * 8),
+each AS (SELECT video, w, sum(error) FILTER (valid) AS s, count(*) FILTER (valid) AS n, arg_max(error, step) FILTER (valid) AS l, coalesce(sum(error / 10) FILTER (cam), 0) AS cs, count(*) FILTER (cam) AS cn FROM e GROUP BY ALL HAVING count(*) FILTER (valid) > 0)
+SELECT video, sum(n)::BIGINT AS steps, count(*) AS windows, round(sum(s) / sum(n), 8) AS ade, round(avg(l), 8) AS fde, round((sum(s) / sum(n) + avg(l)) / 2, 8) AS selection, round(sum(cs) / greatest(sum(cn), 1), 8) AS camera_error FROM each GROUP BY video""",
+    "a13_repeat_last": """
+WITH j AS (SELECT vec_id // 8 AS w, vec_id % 8 - 3 AS step, embedding[64] > -0.1 AS valid, j, embedding[j * 3 + 1]::DOUBLE AS x, embedding[j * 3 + 2]::DOUBLE AS y, embedding[j * 3 + 3]::DOUBLE AS z FROM (SELECT *, unnest(range(0, 21)) AS j FROM embeddings)),
+d AS (SELECT j, sqrt(pow(n.x - p.x, 2) + pow(n.y - p.y, 2) + pow(n.z - p.z, 2)) AS e FROM j n JOIN j p USING (w, j) WHERE p.step = 0 AND n.step > 0 AND n.valid)
+SELECT round(avg(e), 4) AS joint_error, round(avg(e) FILTER (j IN (4, 8, 12, 16, 20)), 4) AS fingertip_error, round(quantile_cont(e, 0.9), 4) AS p90 FROM d""",
     "a13_joint_errors": f"""
 WITH {_PAIRS}, d AS (SELECT j, sqrt(pow(p[j * 3 + 1] - t[j * 3 + 1], 2) + pow(p[j * 3 + 2] - t[j * 3 + 2], 2) + pow(p[j * 3 + 3] - t[j * 3 + 3], 2)) AS e FROM (SELECT p, t, unnest(range(0, 21)) AS j FROM pairs))
 SELECT round(avg(e), 4) AS joint_error, round(avg(e) FILTER (j IN (4, 8, 12, 16, 20)), 4) AS fingertip_error, round(quantile_cont(e, 0.9), 4) AS p90 FROM d""",
@@ -286,6 +318,11 @@ FROM (SELECT 'p_size' AS c, p_size::DOUBLE AS v, 0 AS a, 50 AS b FROM part UNION
     "a24_coverage_report": """
 SELECT c_mktsegment, count(*) FILTER (n IS NULL) AS "without", count(*) FILTER (n < 5) AS truncated, count(*) FILTER (most > 200000) AS beyond, count(*) AS segments
 FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_totalprice) AS most FROM orders GROUP BY 1) ON o_custkey = c_custkey GROUP BY 1""",
+    "a24_coverage_of_windows": f"""
+WITH {FRAMES}, n AS (SELECT video, count(*) AS n FROM frames GROUP BY 1), s AS (SELECT o_custkey AS r, o_orderpriority, o_orderkey % 120 AS a, o_orderkey % 120 + 16 AS z FROM orders)
+SELECT o_orderpriority, count(*) AS segments, count(*) FILTER (n IS NULL) AS without_pose, count(*) FILTER (a >= n) AS anchor_beyond, count(*) FILTER (z >= n) AS truncated, count(*) FILTER (z < n) AS whole,
+       count(*) FILTER (value >= 5) AS hand0, count(*) FILTER (event_type = 'click') AS hand1, count(*) FILTER (value >= 5 OR event_type = 'click') AS any_hand, count(*) FILTER (value >= 5 AND event_type = 'click') AS both_hands
+FROM s LEFT JOIN n ON n.video = r LEFT JOIN frames f ON f.video = r AND f.frame = a GROUP BY 1""",
     "a25_motion_by_phase": f"""
 WITH {FRAMES}, s AS (SELECT video, frame // 64 AS seg, frame % 64 - 31 AS t, value FROM frames),
 m AS (SELECT s.video, s.seg, CASE WHEN s.t <= 0 THEN 'history' WHEN s.t <= 8 THEN 'gap' ELSE 'execution' END AS phase, max(abs(s.value - a.value)) AS motion

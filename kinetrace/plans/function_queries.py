@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import exprs as E
 from kinetrace.functions import poses as P
+from kinetrace.operators import pose_metrics as M
 from kinetrace.plans.join_queries import moved_sql, pose_at, pose_sql, turned_sql
 from kinetrace.plans.proxy import FRAMES, read, timelines
 
@@ -100,6 +101,15 @@ def p15(spark: SparkSession, d: str) -> DataFrame:
     return base.select("vec_id", modes).select("vec_id", "r.mode", F.size("r.f.features").alias("size"), (F.round(E.total(F.col("r.f.features")), 4) + F.lit(0.0)).alias("total"), "r.f.valid")
 
 
+def p15_past_only(spark: SparkSession, d: str) -> DataFrame:
+    """Validity by side; every fourth vector is the future."""
+    above = lambda i: F.get("embedding", i) > 0
+    arrays = (_wide("embedding", 9), _wide("embedding", 18), _wide("embedding", 126))
+    made = lambda m: E.assemble_features(m, *arrays, (above(0), above(2)), (above(1), above(3)), F.col("vec_id") % 4 == 3)
+    modes = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), made(m).alias("f")) for m in ("c", "w", "h", "wh", "cw", "ch", "cwh")])).alias("r")
+    return read(spark, d, "embeddings").select("vec_id", modes).select("vec_id", "r.mode", F.size("r.f.features").alias("size"), (F.round(E.total(F.col("r.f.features")), 4) + F.lit(0.0)).alias("total"), "r.f.valid")
+
+
 def p16(spark: SparkSession, d: str) -> DataFrame:
     v = E.token_layer_norm(F.transform("embedding", lambda x: x.cast("double")))
     return read(spark, d, "embeddings").select("vec_id", F.posexplode(v).alias("i", "x")).withColumn("x", F.round("x", 5) + F.lit(0.0))
@@ -139,10 +149,36 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
     return errors.groupBy("label").agg(F.round(F.avg("camera_cm"), 4).alias("camera_cm"), F.round(F.avg("camera_deg"), 4).alias("camera_deg"), F.round(F.avg("w.translation") * 100, 4).alias("wrist_cm"), F.round(F.avg("w.rotation"), 4).alias("wrist_deg"))
 
 
+def a12_metrics(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector is a step that predicts the next one; quaternions from component 28 on are the 15 rotations of either hand's fingers."""
+    v = read(spark, d, "embeddings").select("vec_id", "label", _wide("embedding", 64).alias("v"))
+    poses = lambda c: {"camera": pose_at(c, 1), "left": pose_at(c, 11), "right": pose_at(c, 21), "left_fingers": turns(c, 28), "right_fingers": turns(c, 30)}
+    turns = lambda c, k: F.transform(F.sequence(F.lit(0), F.lit(14)), lambda i: P.quaternion_to_matrix(F.slice(c, i * 2 + k, F.lit(4))))
+    named = lambda df, c, to: df.select("vec_id", *[x for x in ("label", "v") if to == "p"], *[p.alias(f"{to}_{n}") for n, p in poses(F.col(c)).items()])
+    nxt = named(v.withColumn("vec_id", F.col("vec_id") - 1), "v", "t")
+    ok = {n: F.get("v", 40 + i) > -0.1 for i, n in enumerate(("camera_ok", "left_ok", "right_ok", "left_fingers_ok", "right_fingers_ok"))}
+    steps = named(v, "v", "p").join(nxt, "vec_id").withColumns(ok | {"step": F.col("vec_id") % 4 + 1, "horizon_seconds": F.col("vec_id") % 16 / F.lit(4.0)})
+    return M.pose_metrics(steps, "label").withColumn("value", F.round("value", 4) + F.lit(0.0))
+
+
 def p20(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select("vec_id", E.all_finite(F.col("embedding"), 64).alias("ok"))
 
 
+def p20_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of two history steps and one later one, of ten coordinates in two streams, cut from each vector; signs of other components make masks."""
+    v = read(spark, d, "embeddings").select("vec_id", "label", _wide("embedding", 64).alias("v"))
+    part = lambda k, n: F.slice("v", k, n)
+    sign = lambda k, n: F.transform(part(k, n), lambda x: x > 0)
+    rows = v.select(
+        "vec_id", F.array(part(1, 10), F.when(F.col("label") == 0, part(11, 9)).otherwise(part(11, 10))).alias("history_state"), F.array(part(21, 10)).alias("future_state"), part(1, 2).alias("history_time"), F.transform(part(1, 1), lambda x: F.when(F.col("label") == 1, F.lit(float("inf"))).otherwise(x)).alias("future_time"),
+        F.array(sign(41, 2), sign(43, 2)).alias("history_stream_mask"), F.array(sign(45, 2)).alias("future_stream_mask"), F.array(sign(47, 2)).alias("future_query_mask"),
+        F.array(F.array_repeat(F.lit(False), 10), F.concat(F.array_repeat(F.get("v", 42) > 0.05, 4), F.array_repeat(F.get("v", 44) > 0, 6))).alias("history_state_mask"), F.array(F.array_repeat(F.lit(False), 10)).alias("future_state_mask"), part(1, 4).alias("intrinsics"),
+    )
+    checks = E.sample_checks(10, {"camera": (0, 4), "wrist": (4, 6)})
+    return rows.select("vec_id", F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(~ok, F.lit(n)) for n, ok in checks.items()]))), ",").alias("broken"))
+
+
 def p21(spark: SparkSession, d: str) -> DataFrame:
     by = read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.array("turn", F.length("text"))).alias("qpos"), F.collect_list("turn").alias("qvel"), F.collect_list(F.when(F.col("role") == "assistant", F.array("turn"))).alias("_a"), F.collect_list(F.array("turn")).alias("target"))
     rows = by.withColumn("actual", F.when(F.size("_a") > 1, F.col("_a")))
@@ -161,11 +197,18 @@ def p23(spark: SparkSession, d: str) -> DataFrame:
     return E.assign_split(rows, "name", rules).select("s_suppkey", "split", "matches")
 
 
+def p23_prefix(spark: SparkSession, d: str) -> DataFrame:
+    rules = read(spark, d, "nation").select(F.concat(F.lit("P"), "n_nationkey").alias("prefix"), F.when(F.col("n_regionkey") < 3, "train").otherwise("test").alias("split"))
+    rules = rules.unionByName(rules.filter("prefix = 'P3'").withColumn("split", F.lit("val")))
+    rows = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("P"), "c_nationkey", F.lit("_"), "c_custkey").alias("name"))
+    return E.assign_split(rows, "name", rules, "prefix").select("c_custkey", "split", "matches")
+
+
 QUERIES = {
     "p1_member_identity": p1, "p2_to_physical": p2, "p3_exclusion_reason": p3, "p4_pack_state": p4, "p5_stream_validity": p5, "p6_coordinate_mask": p6, "p7_normalize_intrinsics": p7,
     "p8_relative_time": p8, "p9_frame_time": p9, "p10_map_rate": p10, "p11_confidence_gate": p11, "p12_compose_prompt": p12, "p13_safe_name": p13, "p14_phase": p14,
-    "p15_assemble_features": p15, "p16_token_layer_norm": p16, "p17_l2_normalize": p17, "p18_standardize": p18, "p19_pose_expressions": p19, "a12_pose_errors": a12, "p20_check_finite": p20,
-    "p21_robot_contract": p21, "p22_pad_group": p22, "p23_assign_split": p23,
+    "p15_assemble_features": p15, "p15_past_only": p15_past_only, "p16_token_layer_norm": p16, "p17_l2_normalize": p17, "p18_standardize": p18, "p19_pose_expressions": p19, "a12_pose_errors": a12, "a12_pose_metrics": a12_metrics, "p20_check_finite": p20, "p20_sample_checks": p20_sample,
+    "p21_robot_contract": p21, "p22_pad_group": p22, "p23_assign_split": p23, "p23_assign_by_prefix": p23_prefix,
 }
 
 
@@ -184,10 +227,22 @@ def _relative(name: str, camera: str, wrist: str) -> str:
 ORACLE = {
     "a12_pose_errors": f"""
 WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
-p AS (SELECT a.label, {pose_sql("ca", 1, "a.v")}, {pose_sql("cb", 1, "b.v")}, {pose_sql("wa", 11, "a.v")}, {pose_sql("wb", 11, "b.v")} FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
-q AS (SELECT *, {_relative("ra", "ca", "wa")}, {_relative("rb", "cb", "wb")} FROM p),
+p AS MATERIALIZED (SELECT a.label, {pose_sql("ca", 1, "a.v")}, {pose_sql("cb", 1, "b.v")}, {pose_sql("wa", 11, "a.v")}, {pose_sql("wb", 11, "b.v")} FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+q AS MATERIALIZED (SELECT *, {_relative("ra", "ca", "wa")}, {_relative("rb", "cb", "wb")} FROM p),
 d AS (SELECT label, {_apart("camera", "ca", "cb")}, {_apart("wrist", "ra", "rb")} FROM q)
 SELECT label, round(avg(camera_m) * 100, 4) AS camera_cm, round(avg(camera_deg), 4) AS camera_deg, round(avg(wrist_m) * 100, 4) AS wrist_cm, round(avg(wrist_deg), 4) AS wrist_deg FROM d GROUP BY label""",
+    "a12_pose_metrics": f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+p AS MATERIALIZED (SELECT a.vec_id, a.label, a.v, b.v AS u, {pose_sql("ca", 1, "a.v")}, {pose_sql("cb", 1, "b.v")}, {pose_sql("la", 11, "a.v")}, {pose_sql("lb", 11, "b.v")}, {pose_sql("ra", 21, "a.v")}, {pose_sql("rb", 21, "b.v")} FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+q AS MATERIALIZED (SELECT *, {_relative("sla", "ca", "la")}, {_relative("slb", "cb", "lb")}, {_relative("sra", "ca", "ra")}, {_relative("srb", "cb", "rb")} FROM p),
+d AS MATERIALIZED (SELECT vec_id, label, v, u, {_apart("c", "ca", "cb")}, {_apart("l", "la", "lb")}, {_apart("r", "ra", "rb")}, {_apart("sl", "sla", "slb")}, {_apart("sr", "sra", "srb")},
+  {", ".join(f"degrees(list_avg(list_transform(range(0, 15), lambda k: 2 * acos(least(1, abs(list_cosine_similarity(v[{o} + 2 * k:{o + 3} + 2 * k], u[{o} + 2 * k:{o + 3} + 2 * k]))))))) AS {n}" for n, o in (("fl", 28), ("fr", 30)))} FROM q),
+m AS (SELECT label, unnest([
+  {", ".join(f"{{'m': '{m}', 'v': ({x})::DOUBLE, 'ok': {ok}}}" for m, x, ok in (
+    ("camera_cm", "c_m * 100", "v[41] > -0.1"), ("camera_deg", "c_deg", "v[41] > -0.1"), ("horizon_seconds", "vec_id % 16 / 4.0", "vec_id % 4 = 0"), ("wrist_cm", "l_m * 100", "v[42] > -0.1"), ("wrist_deg", "l_deg", "v[42] > -0.1"),
+    ("wrist_cm", "r_m * 100", "v[43] > -0.1"), ("wrist_deg", "r_deg", "v[43] > -0.1"), ("finger_deg", "fl", "v[44] > -0.1"), ("finger_deg", "fr", "v[45] > -0.1"), ("relative_cm", "sl_m * 100", "v[41] > -0.1 AND v[42] > -0.1"),
+    ("relative_deg", "sl_deg", "v[41] > -0.1 AND v[42] > -0.1"), ("relative_cm", "sr_m * 100", "v[41] > -0.1 AND v[43] > -0.1"), ("relative_deg", "sr_deg", "v[41] > -0.1 AND v[43] > -0.1")))}]) AS x FROM d)
+SELECT label, x.m AS measure, round(coalesce(avg(x.v) FILTER (x.ok), 0), 4) + 0.0::DOUBLE AS value, count(*) FILTER (x.ok) AS n FROM m GROUP BY ALL""",
     "p1_member_identity": r"""
 SELECT page_id, replace(regexp_extract(url, '//([^/?#]+)', 1), '.', '-') AS source, lower(regexp_extract(url, '//[^/]*/(\w+)', 1)) || '_x' AS video, page_id::INT AS episode FROM pages""",
     "p2_to_physical": "SELECT n_nationkey, CASE n_name WHEN 'NATION_1' THEN 'NATION_0' WHEN 'NATION_7' THEN 'NATION_5' ELSE n_name END AS physical FROM nation",
@@ -224,6 +279,13 @@ m(mode) AS (VALUES ('c'), ('w'), ('h'), ('wh'), ('cw'), ('ch'), ('cwh'))
 SELECT vec_id, mode, 9 * contains(mode, 'c')::INT + 20 * contains(mode, 'w')::INT + 128 * contains(mode, 'h')::INT AS size,
        round(CASE WHEN contains(mode, 'c') THEN cs ELSE 0 END + CASE WHEN contains(mode, 'w') AND w THEN ws + 2 ELSE 0 END + CASE WHEN contains(mode, 'h') AND h THEN hs + 2 ELSE 0 END, 4) + 0.0::DOUBLE AS total,
        contains(mode, 'c') OR (contains(mode, 'w') AND w) OR (contains(mode, 'h') AND h) AS valid FROM b, m""",
+    "p15_past_only": """
+WITH s AS (SELECT vec_id, vec_id % 4 = 3 AS f, embedding[1] > 0 AS w0, embedding[3] > 0 AS w1, embedding[2] > 0 AS h0, embedding[4] > 0 AS h1, list_transform(range(0, 126), lambda i: embedding[i % 64 + 1]::DOUBLE) AS v FROM embeddings),
+b AS (SELECT *, list_sum(v[1:9]) AS c, CASE WHEN w0 THEN list_sum(v[1:9]) + 1 ELSE 0 END + CASE WHEN w1 THEN list_sum(v[10:18]) + 1 ELSE 0 END AS ws, CASE WHEN h0 THEN list_sum(v[1:63]) + 1 ELSE 0 END + CASE WHEN h1 THEN list_sum(v[64:126]) + 1 ELSE 0 END AS hs FROM s),
+m(mode) AS (VALUES ('c'), ('w'), ('h'), ('wh'), ('cw'), ('ch'), ('cwh')),
+g AS (SELECT *, NOT f AND (contains(mode, 'c') OR (contains(mode, 'w') AND (w0 OR w1)) OR (contains(mode, 'h') AND (h0 OR h1))) AS valid FROM b, m)
+SELECT vec_id, mode, 9 * contains(mode, 'c')::INT + 20 * contains(mode, 'w')::INT + 128 * contains(mode, 'h')::INT AS size,
+       round(CASE WHEN valid THEN CASE WHEN contains(mode, 'c') THEN c ELSE 0 END + CASE WHEN contains(mode, 'w') THEN ws ELSE 0 END + CASE WHEN contains(mode, 'h') THEN hs ELSE 0 END ELSE 0 END, 4) + 0.0::DOUBLE AS total, valid FROM g""",
     "p16_token_layer_norm": """
 WITH x AS (SELECT vec_id, i - 1 AS i, embedding[i]::DOUBLE AS v FROM (SELECT vec_id, embedding, unnest(range(1, 65)) AS i FROM embeddings))
 SELECT vec_id, i::INT AS i, round((v - avg(v) OVER w) / sqrt(var_pop(v) OVER w + 1e-6), 5) + 0.0::DOUBLE AS x FROM x WINDOW w AS (PARTITION BY vec_id)""",
@@ -237,6 +299,10 @@ SELECT l_returnflag, round(avg((l_extendedprice - m) / s), 6) AS mean, round(std
 WITH q AS (SELECT vec_id, abs(embedding[1]::DOUBLE) AS w, sqrt(pow(embedding[2]::DOUBLE, 2) + pow(embedding[3]::DOUBLE, 2) + pow(embedding[4]::DOUBLE, 2)) AS v FROM embeddings)
 SELECT vec_id, round(2 * atan2(v, w), 5) AS angle, true AS round_trip FROM q""",
     "p20_check_finite": "SELECT vec_id, len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AS ok FROM embeddings",
+    "p20_sample_checks": """
+SELECT vec_id, array_to_string(list_filter([CASE WHEN label = 1 THEN 'future_finite' END,
+  CASE WHEN v[45] > 0 AND NOT v[44] > 0 THEN 'history_coordinates_in_streams' END,
+  CASE WHEN label = 0 THEN 'history_shape' END, CASE WHEN (v[45] > 0 AND NOT v[47] > 0) OR (v[46] > 0 AND NOT v[48] > 0) THEN 'supervision_is_asked' END], lambda x: x IS NOT NULL), ',') AS broken FROM (SELECT vec_id, label, embedding AS v FROM embeddings)""",
     "p21_robot_contract": """
 SELECT conv_id, count(*)::INT AS length, true AS same_length, true AS sizes_ok, CASE WHEN count(*) FILTER (role = 'assistant') > 1 THEN 'actual' ELSE 'commanded' END AS pose_source FROM conversations GROUP BY 1""",
     "p22_pad_group": """
@@ -246,4 +312,7 @@ SELECT conv_id, turn, m::INT AS size, (m - len(words) + len(list_filter(words, l
     "p23_assign_split": """
 SELECT s_suppkey, CASE WHEN n_nationkey IS NULL THEN NULL WHEN n_regionkey < 3 THEN 'train' ELSE 'test' END AS split, (n_nationkey IS NOT NULL)::BIGINT AS matches
 FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey <> 7""",
+    "p23_assign_by_prefix": """
+SELECT c_custkey, CASE WHEN c_nationkey = 3 THEN NULL WHEN n_regionkey < 3 THEN 'train' WHEN n_regionkey IS NOT NULL THEN 'test' END AS split, CASE WHEN c_nationkey = 3 THEN 2 WHEN n_nationkey IS NULL THEN 0 ELSE 1 END::BIGINT AS matches
+FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey""",
 }

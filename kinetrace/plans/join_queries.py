@@ -92,8 +92,7 @@ def j12(spark: SparkSession, d: str) -> DataFrame:
 
 def pose_at(v: Column, k: int) -> Column:
     """The pose that a vector's components k to k + 6 (from 1) make: a quaternion and a translation."""
-    turn = P.quaternion_to_matrix(F.slice(v, k, 4))
-    return F.concat(*[F.concat(F.slice(turn, 3 * i + 1, 3), F.slice(v, k + 4 + i, 1)) for i in range(3)], F.array(*[F.lit(x) for x in (0.0, 0.0, 0.0, 1.0)]))
+    return P.rigid(F.slice(v, k, 4), F.slice(v, k + 4, 3))
 
 
 def j12_poses(spark: SparkSession, d: str) -> DataFrame:
@@ -118,10 +117,18 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return poses.select("video", "window", "step", (F.round(F.get("pose", 3), 4) + F.lit(0.0)).alias("x"), (F.round(F.get("pose", 7), 4) + F.lit(0.0)).alias("y"))
 
 
-def j14(spark: SparkSession, d: str) -> DataFrame:
+def _sides(spark: SparkSession, d: str) -> list[DataFrame]:
     rows = read(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_extendedprice").alias("value"))
-    side = lambda flag: rows.filter(F.col("l_returnflag") == flag).select("l_partkey", "id", "value")
-    return J.match_windows(side("A"), side("R"), ["l_partkey"], "value", 2000.0).select("l_partkey", "a", "b", F.round("error", 4).alias("error"), "within")
+    return [rows.filter(F.col("l_returnflag") == flag).select("l_partkey", "id", "value") for flag in "AR"]
+
+
+def j14(spark: SparkSession, d: str) -> DataFrame:
+    return J.match_windows(*_sides(spark, d), ["l_partkey"], "value", 2000.0).select("l_partkey", "a", "b", F.round("error", 4).alias("error"), "within")
+
+
+def j14_report(spark: SparkSession, d: str) -> DataFrame:
+    a, b = _sides(spark, d)
+    return J.match_report(J.match_windows(a, b, ["l_partkey"], "value", 2000.0), a, b, ["l_partkey"]).withColumn("value", F.round("value", 4))
 
 
 def j15(spark: SparkSession, d: str) -> DataFrame:
@@ -130,6 +137,12 @@ def j15(spark: SparkSession, d: str) -> DataFrame:
     return J.compare_tables(a, b, ["p_partkey"], ["p_retailprice", "p_size"]).withColumn("max_error", F.round("max_error", 6))
 
 
+def j15_by_source(spark: SparkSession, d: str) -> DataFrame:
+    a = read(spark, d, "part")
+    b = a.withColumns({"p_retailprice": F.col("p_retailprice") * (1 + (F.col("p_partkey") % 5) * 1e-5), "p_size": F.col("p_size") + (F.col("p_partkey") % 50 == 0).cast("int")})
+    return J.compare_tables(a, b, ["p_partkey"], ["p_retailprice", "p_size"], by="p_brand").withColumn("max_error", F.round("max_error", 6))
+
+
 def j16(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderstatus")
     return J.existence_counters(read(spark, d, "customer"), {"orders": orders, "open": orders.filter("o_orderstatus = 'O'")}, "c_custkey", "c_mktsegment")
@@ -147,6 +160,14 @@ def j18(spark: SparkSession, d: str) -> DataFrame:
     return ok.select("k", F.lit("eligible").alias("status")).unionByName(unknown.select("k", F.lit("unknown").alias("status")))
 
 
+def j18_eligibility(spark: SparkSession, d: str) -> DataFrame:
+    """Customers who ordered: the list is those with a balance, the device their market segment, and archives are those of nations with suppliers."""
+    customers = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), "c_mktsegment", "c_nationkey", "c_acctbal")
+    held = customers.join(read(spark, d, "supplier").filter("s_acctbal > 0").select(F.col("s_nationkey").alias("c_nationkey")).distinct(), "c_nationkey", "left_semi")
+    asked = read(spark, d, "orders").select(F.col("o_custkey").alias("k")).distinct()
+    return J.eligibility(customers.filter("c_acctbal > 0"), asked, "k", {"c_mktsegment": F.lit("BUILDING")}, held)
+
+
 def j19(spark: SparkSession, d: str) -> DataFrame:
     return J.attach_or_mask(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels"), "doc_id", {"quality": F.lit(0), "toxic": F.lit(0)})
 
@@ -154,8 +175,8 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "j1_attach_pts": j1, "j2_attach_frame_features": j2, "j3_attach_sample_features": j3, "j4_attach_prompt_features": j4, "j5_align_one_to_one": j5, "j6_drop_excluded": j6,
     "j7_split_membership": j7, "j8_interval_join_first": j8_first, "j8_interval_join_all": j8_all, "j9_nearest_time_join": j9, "j10_densify_nearest": j10, "j11_intersect_streams": j11,
-    "j12_to_anchor_frame": j12, "j12_poses_to_anchor": j12_poses, "j13_compose_odometry": j13, "j14_match_windows": j14, "j15_compare_tables": j15, "j16_existence_counters": j16, "j17_fan_out_once": j17,
-    "j18_eligible_set": j18, "j19_attach_or_mask": j19,
+    "j12_to_anchor_frame": j12, "j12_poses_to_anchor": j12_poses, "j13_compose_odometry": j13, "j14_match_windows": j14, "j14_match_report": j14_report, "j15_compare_tables": j15, "j15_compare_by_source": j15_by_source, "j16_existence_counters": j16, "j17_fan_out_once": j17,
+    "j18_eligible_set": j18, "j18_eligibility": j18_eligibility, "j19_attach_or_mask": j19,
 }
 
 _SPANS = f"""{FRAMES}, spans AS (SELECT video, frame AS a, frame + 4 + event_id % 9 AS b, event_id FROM frames WHERE event_type = 'error'),
@@ -247,6 +268,24 @@ WITH j AS (SELECT a.k AS ak, b.k AS bk, a.p AS ap, b.p AS bp, a.s AS s, b.s AS b
   FULL JOIN (SELECT p_partkey AS k, p_retailprice * (1 + (p_partkey % 5) * 1e-5) AS p, p_size + (p_partkey % 50 = 0)::INT AS s FROM part) b ON a.k = b.k),
 l AS (SELECT 'p_retailprice' AS c, abs(ap - bp) AS e, abs(bp) AS m, ak IS NULL OR bk IS NULL AS alone FROM j UNION ALL SELECT 'p_size', abs(s - bs), abs(bs), ak IS NULL OR bk IS NULL FROM j)
 SELECT c AS "column", round(max(e), 6)::DOUBLE AS max_error, count(*) FILTER (e > 1e-5 + 1e-5 * m) AS not_close, count(*) FILTER (alone) AS unmatched FROM l GROUP BY c""",
+    "j14_match_report": """
+WITH r AS (SELECT l_partkey, l_returnflag, l_orderkey * 10 + l_linenumber AS id, min(l_extendedprice) AS v FROM lineitem GROUP BY ALL),
+p AS (SELECT x.l_partkey, x.id AS a, y.id AS b, abs(x.v - y.v) AS e FROM r x JOIN r y USING (l_partkey) WHERE x.l_returnflag = 'A' AND y.l_returnflag = 'R'),
+m AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY l_partkey, a ORDER BY e, b) = 1 AND row_number() OVER (PARTITION BY l_partkey, b ORDER BY e, a) = 1)
+SELECT measure, round(value, 4)::DOUBLE AS value FROM (
+  SELECT 'pairs' AS measure, count(*) AS value FROM m UNION ALL SELECT 'within', count(*) FILTER (e <= 2000) FROM m UNION ALL SELECT 'max', max(e) FROM m
+  UNION ALL SELECT 'p50', quantile_cont(e, 0.5) FROM m UNION ALL SELECT 'p95', quantile_cont(e, 0.95) FROM m
+  UNION ALL SELECT 'unmatched a', count(*) FROM r WHERE l_returnflag = 'A' AND (l_partkey, id) NOT IN (SELECT (l_partkey, a) FROM m)
+  UNION ALL SELECT 'unmatched b', count(*) FROM r WHERE l_returnflag = 'R' AND (l_partkey, id) NOT IN (SELECT (l_partkey, b) FROM m))""",
+    "j15_compare_by_source": """
+WITH l AS (
+  SELECT p_brand, 'p_retailprice' AS c, abs(p_retailprice - b) AS e, abs(b) AS m FROM (SELECT *, p_retailprice * (1 + (p_partkey % 5) * 1e-5) AS b FROM part)
+  UNION ALL SELECT p_brand, 'p_size', abs(p_size - b), b FROM (SELECT *, p_size + (p_partkey % 50 = 0)::INT AS b FROM part))
+SELECT p_brand, c AS "column", round(max(e), 6)::DOUBLE AS max_error, count(*) FILTER (e > 1e-5 + 1e-5 * m) AS not_close, 0::BIGINT AS unmatched FROM l GROUP BY ALL""",
+    "j18_eligibility": """
+SELECT o.k, CASE WHEN c_custkey IS NULL OR c_acctbal <= 0 THEN 'not listed' WHEN c_mktsegment <> 'BUILDING' THEN 'wrong device'
+  WHEN c_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) THEN 'absent archive' ELSE 'eligible' END AS status
+FROM (SELECT DISTINCT o_custkey AS k FROM orders) o LEFT JOIN customer ON c_custkey = o.k""",
     "j16_existence_counters": """
 SELECT c_mktsegment, count(*) AS rows, count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders)) AS missing_orders,
        count(*) FILTER (c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'O')) AS missing_open FROM customer GROUP BY 1""",

@@ -90,6 +90,10 @@ def k2(spark: SparkSession, d: str) -> DataFrame:
     return K.reshard(read(spark, d, "lineitem").select(*ORDER), ORDER, 2048).groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), F.min("index").alias("first"), F.max("index").alias("last"), F.min("l_orderkey").alias("least"), F.max("l_orderkey").alias("most"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
+def k2_sources(spark: SparkSession, d: str) -> DataFrame:
+    return K.shard_counts(K.reshard(read(spark, d, "lineitem").select(*ORDER, "l_returnflag"), [*ORDER, "l_returnflag"], 2048), "l_returnflag")
+
+
 def k3(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders")
     n = orders.count()
@@ -243,7 +247,7 @@ def x3(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "s2_scan_members": s2, "s3_read_manifest": s3, "s4_read_action_csv": s4, "s5_read_clip_json": s5, "s6_read_frame_keyed_json": s6, "s7_read_key_list": s7, "s9_list_media": s9, "s10_read_training_log": s10,
-    "k1_write_manifests": k1, "k2_reshard": k2, "k3_publish_if_valid": k3, "k4_pending": k4, "k5_quarantine": k5, "k6_fingerprint": k6, "k7_reconcile_counts": k7,
+    "k1_write_manifests": k1, "k2_reshard": k2, "k2_shard_counts": k2_sources, "k3_publish_if_valid": k3, "k4_pending": k4, "k5_quarantine": k5, "k6_fingerprint": k6, "k7_reconcile_counts": k7,
     "t1_topk_per_row": t1, "t2_bounded_sample": t2, "t3_probe_rows": t3, "t4_order_check": t4, "t5_seeded_shuffle": t5, "t6_balanced_buckets": t6, "t7_examples": t7,
     "u1_merge_partitions": u1, "u2_leakage": u2, "u3_set_diff": u3, "u4_union_keys": u4, "r1_ingest_requests_stream": r1, "r2_incremental_counters_stream": r2,
     "x1_extract_features": x1, "x2_extract_text_features": x2, "x3_build_timelines": x3,
@@ -269,6 +273,8 @@ SELECT event_id, (props->>'k')::INT AS k, CASE WHEN event_type <> 'error' AND ev
     "k2_reshard": f"""
 WITH i AS (SELECT *, row_number() OVER (ORDER BY {", ".join(ORDER)}) - 1 AS i FROM lineitem)
 SELECT i // 2048 AS shard, count(*) AS rows, min(i) AS first, max(i) AS last, min(l_orderkey) AS least, max(l_orderkey) AS most, round(sum(l_quantity), 2) AS quantity FROM i GROUP BY 1""",
+    "k2_shard_counts": f"""
+SELECT shard, l_returnflag, count(*) AS rows FROM (SELECT l_returnflag, (row_number() OVER (ORDER BY {", ".join(ORDER)}, l_returnflag) - 1) // 2048 AS shard FROM lineitem) GROUP BY ALL""",
     "k3_publish_if_valid": "SELECT unnest(['count', 'unique', 'positive']) AS \"check\", true AS passed, count(*) AS published FROM orders",
     "k4_pending": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "k5_quarantine": """

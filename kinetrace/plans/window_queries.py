@@ -65,6 +65,12 @@ def w6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.sample_window(_anchors(spark, sf_dir, 1).select("video", "frame", "targets"), 11)
 
 
+def w6_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = timelines(spark, sf_dir).select("video", "frame", F.floor(F.col("frame") / 40).alias("interval"), (F.col("value") >= 5).alias("kept"))
+    out = W.window_targets(w6(spark, sf_dir), frames, 11, H)
+    return out.select("video", "interval", "anchor", "target_count", "mode", F.get("history", 0).cast("long").alias("first"), F.array_join(F.transform("targets", lambda x: x.cast("string")), ",").alias("targets"))
+
+
 def w7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select("o_orderkey", W.sample_start(F.col("o_orderkey"), F.col("o_custkey")).alias("start"))
 
@@ -121,6 +127,14 @@ def w15(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.holdout_groups(groups, "holdout-v1", 5, 120)
 
 
+def w15_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers held out by order priority; two priorities share a physical source."""
+    groups = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("source"), F.col("o_custkey").alias("group")).agg(F.count(F.lit(1)).alias("rows"))
+    first = F.array(*[F.struct(F.lit(a).alias("logical"), F.lit("1-URGENT").alias("physical")) for a in ("2-HIGH", "5-LOW")])
+    aliases = read(spark, sf_dir, "region").filter("r_regionkey = 0").select(F.inline(first))
+    return W.union_over_aliases(W.holdout_groups(groups, "holdout-v1", 5, 20), aliases)
+
+
 def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
     from kinetrace.operators.publish import global_index
 
@@ -130,8 +144,8 @@ def w16(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "forecast_baselines": forecast_baselines, "w1_check_monotonic": w1, "w2_repair_duplicates": w2, "w3_make_windows": w3, "w4_complete_windows": w4,
-    "w5_native_anchors": w5, "w6_sample_window": w6, "w7_sample_start": w7, "w8_context_indices": w8, "w9_oracle_window": w9, "w10_velocity": w10, "w10_velocity_from_history": w10_history,
-    "w11_last_valid_step": w11, "w12_horizon_weighted_error": w12, "w14_moving_average": w14, "w15_holdout_groups": w15, "w16_round_robin": w16,
+    "w5_native_anchors": w5, "w6_sample_window": w6, "w6_window_targets": w6_targets, "w7_sample_start": w7, "w8_context_indices": w8, "w9_oracle_window": w9, "w10_velocity": w10, "w10_velocity_from_history": w10_history,
+    "w11_last_valid_step": w11, "w12_horizon_weighted_error": w12, "w14_moving_average": w14, "w15_holdout_groups": w15, "w15_union_over_aliases": w15_aliases, "w16_round_robin": w16,
 }
 
 _WINDOWS = f"""windows AS (
@@ -182,6 +196,17 @@ chosen AS (
                      WHEN len(fits) > 0 THEN fits[floor({_DRAW.format("'12|' || video")} * len(fits))::INT + 1] END AS target_count FROM support)
 SELECT video, frame AS anchor, target_count FROM able JOIN chosen USING (video) WHERE target_count IS NOT NULL AND targets >= target_count
 QUALIFY row_number() OVER (PARTITION BY video ORDER BY {_DRAW.format("'13|' || video || '|' || frame")}, frame) = 1""",
+    "w6_window_targets": f"""
+WITH {FRAMES}, {_ANCHORS}, able AS (SELECT * FROM anchors WHERE targets >= 1),
+support AS (SELECT video, max(targets) AS most, list_filter([8, 16], lambda k: k <= max(targets)) AS fits FROM able GROUP BY video),
+chosen AS (
+  SELECT video, CASE WHEN ({_DRAW.format("'11|' || video")} < 0.1 OR len(fits) = 0) AND most >= 24 THEN 24
+                     WHEN len(fits) > 0 THEN fits[floor({_DRAW.format("'12|' || video")} * len(fits))::INT + 1] END AS k FROM support),
+picks AS (SELECT video, frame AS anchor, k FROM able JOIN chosen USING (video) WHERE k IS NOT NULL AND targets >= k QUALIFY row_number() OVER (PARTITION BY video ORDER BY {_DRAW.format("'13|' || video || '|' || frame")}, frame) = 1),
+later AS (SELECT p.video, anchor, k, anchor // 40 AS interval, list(f.frame ORDER BY f.frame) AS l, {_DRAW.format("'14|' || p.video")} < 0.5 AS dense
+  FROM picks p JOIN frames f ON f.video = p.video AND f.frame > anchor AND f.frame // 40 = anchor // 40 AND f.value >= 5 GROUP BY ALL)
+SELECT video, interval::BIGINT AS interval, anchor, k AS target_count, CASE WHEN dense THEN 'consecutive' ELSE 'spread' END AS mode, (anchor - {H - 1})::BIGINT AS first,
+       array_to_string(CASE WHEN dense THEN l[1:k] ELSE list_transform(range(0, k), lambda i: l[i * (len(l) - 1) // (k - 1) + 1]) END, ',') AS targets FROM later""",
     "w7_sample_start": "SELECT o_orderkey, o_orderkey * 104729 % (o_custkey + 1) AS start FROM orders",
     "w8_context_indices": """
 SELECT l_orderkey, l_linenumber, l_partkey, list_min(a)::INT AS first, list_max(a)::INT AS last, len(a)::INT AS n, len(list_filter(a, lambda x: x = 0))::INT AS repeats, list_sum(a)::BIGINT AS total
@@ -215,5 +240,10 @@ ranked AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(sum(rows) OVER (w RO
   count(*) OVER (PARTITION BY source) >= 5 AND sum(rows) OVER (PARTITION BY source) >= 120 AS enough FROM g
   WINDOW w AS (PARTITION BY source ORDER BY sha256('holdout-v1' || chr(0) || source || chr(0) || "group")))
 SELECT source, "group", rows, enough FROM ranked WHERE k < 5 OR before < 120""",
+    "w15_union_over_aliases": """
+WITH g AS (SELECT o_orderpriority AS source, o_custkey AS "group", count(*) AS rows FROM orders GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER w - 1 AS k, coalesce(sum(rows) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM g
+  WINDOW w AS (PARTITION BY source ORDER BY sha256('holdout-v1' || chr(0) || source || chr(0) || "group")))
+SELECT CASE WHEN source IN ('2-HIGH', '5-LOW') THEN '1-URGENT' ELSE source END AS physical, "group", count(DISTINCT source) AS sources FROM ranked WHERE k < 5 OR before < 20 GROUP BY ALL""",
     "w16_round_robin": 'SELECT doc_id, row_number() OVER (ORDER BY source, doc_id) - 1 AS "index", (row_number() OVER (ORDER BY source, doc_id) - 1) % 8 AS worker FROM documents',
 }

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinetrace.functions.poses import rigid
 from kinetrace.plans.shared import shipped
 from kinetrace.sources import schemas
 
@@ -81,15 +82,33 @@ def read_action_csv(spark: SparkSession, path: str, view: str, anchor_gap: int =
 
 
 def hand_poses(hands: Column) -> list[Column]:
-    """Of a clip's hands JSON: position of each side's wrist, and whether it is there; a missing hand is invalid, not an error."""
+    """Of a clip's hands JSON: position of each side's wrist, its pose in the world, and whether it is there; a missing hand or pose is invalid, not an error."""
     parsed = F.from_json(hands, schemas.CLIP_HANDS)
     out = []
     for side in ("left", "right"):
-        xyz = F.try_element_at(parsed, F.lit(side))["umetrack_pose"]["T_world_from_wrist"]["translation_xyz"]
-        out += [xyz.alias(f"{side}_xyz"), xyz.isNotNull().alias(f"{side}_valid")]
+        held = F.try_element_at(parsed, F.lit(side))["umetrack_pose"]["T_world_from_wrist"]
+        xyz = held["translation_xyz"]
+        out += [xyz.alias(f"{side}_xyz"), rigid(held["quaternion_wxyz"], xyz).alias(f"{side}_pose"), xyz.isNotNull().alias(f"{side}_valid")]
     return out
 
 
+def camera_pose(cameras: Column, name: str) -> Column:
+    """Pose in the world of a clip's camera, from its cameras JSON; null where it isn't there."""
+    held = F.try_element_at(F.from_json(cameras, schemas.CLIP_CAMERA), F.lit(name))["T_world_from_camera"]
+    return rigid(held["quaternion_wxyz"], held["translation_xyz"])
+
+
+def read_clip_json(spark: SparkSession, paths: str, camera: str) -> DataFrame:
+    """A row a frame from files <clip>/<frame>.cameras.json and <frame>.hands.json: the camera's and both wrists' poses; a missing file leaves its part invalid."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("_p"))
+    part = F.regexp_extract("_p", r"([^/]+)/([0-9]+)\.(cameras|hands)\.json$", 3)
+    rows = files.withColumn("_part", part).filter("_part <> ''")
+    at = lambda k: F.regexp_extract("_p", r"([^/]+)/([0-9]+)\.(cameras|hands)\.json$", k)
+    of = lambda k: F.max(F.when(F.col("_part") == k, F.col("value"))).alias(k)
+    wide = rows.groupBy(at(1).alias("clip"), at(2).cast("long").alias("frame")).agg(of("cameras"), of("hands"))
+    return wide.select("clip", "frame", camera_pose(F.col("cameras"), camera).alias("camera_pose"), *hand_poses(F.col("hands")))
+
+
 def frame_keyed_json(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
     """A JSON object frame -> name -> numbers to long rows: frame, name, value (array)."""
     outer = rows.select(*keep, F.explode(F.from_json(column, "MAP<STRING, MAP<STRING, ARRAY<DOUBLE>>>")).alias("_f", "_m"))
@@ -128,9 +147,11 @@ def media_only(rows: DataFrame, path: str, suffixes: list[str]) -> DataFrame:
 
 
 def list_media(spark: SparkSession, root: str, suffixes: list[str]) -> DataFrame:
-    """path, length, modificationTime of media below root; contents are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    return media_only(found, "path", suffixes)
+    """path, length, modificationTime of media below root, by path; contents are not read. None at all is an error."""
+    found = media_only(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime"), "path", suffixes)
+    if found.isEmpty():
+        raise FileNotFoundError(f"no media below {root}")
+    return found.orderBy("path")
 
 
 def training_log(lines: DataFrame, line: str = "value") -> DataFrame:
