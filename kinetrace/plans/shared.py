@@ -56,6 +56,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return _written(df, name)[0]
 
 
+def bucketed(df: DataFrame, table: str, path: str, keys: list[str], buckets: int, by: str | None = None) -> None:
+    """Write df as a table at path, bucketed and sorted by keys: one file a bucket (and value of `by`), as rows move to their bucket before they are written."""
+    rows = df.repartition(buckets, *keys).sortWithinPartitions(*([by] if by else []), *keys)
+    out = rows.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(buckets, *keys).sortBy(*keys)
+    (out.partitionBy(by) if by else out).saveAsTable(table)
+
+
 class Scratch:
     """Tables in the shared folder for the steps of one job, deleted when it is done. What it returns must be stored outside.
 
@@ -63,7 +70,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.paths = spark, {}
+        self.spark, self.paths, self.tables = spark, {}, {}
 
     def __enter__(self) -> Scratch:
         return self
@@ -78,7 +85,18 @@ class Scratch:
         self.paths[name] = path
         return out
 
+    def bucketed(self, df: DataFrame, name: str, keys: list[str], buckets: int, by: str | None = None) -> DataFrame:
+        """As `stored`, bucketed and sorted by keys, so that joins and groups on them don't shuffle; `by` also parts it into folders."""
+        table = f"{name}_{uuid.uuid4().hex}"
+        path = f"{shared_dir(self.spark)}/{table}"
+        bucketed(df, table, path, keys, buckets, by)
+        self.drop(name)
+        self.paths[name], self.tables[name] = path, table
+        return self.spark.table(table)
+
     def drop(self, name: str) -> None:
+        if table := self.tables.pop(name, None):
+            self.spark.sql(f"DROP TABLE IF EXISTS {table}")
         if name in self.paths:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(name))
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
