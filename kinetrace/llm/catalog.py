@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from kinetrace.llm import chat, html, language, mixing, neardup, packing, quality, sharding, token_counts, vectors
+from kinetrace.llm import centroids, chat, html, language, mixing, neardup, packing, quality, sharding, token_counts, toxicity, vectors, vq
 
-MODULES = [chat, html, language, mixing, neardup, packing, quality, sharding, token_counts, vectors]
+MODULES = [centroids, chat, html, language, mixing, neardup, packing, quality, sharding, token_counts, toxicity, vectors, vq]
 
 
 def queries() -> dict:
