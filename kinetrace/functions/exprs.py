@@ -190,6 +190,53 @@ def sample_checks(width: int, streams: dict[str, tuple[int, int]]) -> dict[str,
     return {name: F.coalesce(ok, F.lit(False)) for name, ok in out.items()}
 
 
+def visual_checks(text_size: int, fingertips: int = 30, joints: int = 126, channels: int = 3) -> dict[str, Column]:
+    """Rules of a training sample's optional parts, each true where the part is absent (null) or fits history_time or future_time.
+
+    context_image_shapes: (channels, height, width) of an image a history step, all alike; context_visual_features,
+    future_visual_latents: a row of numbers a step, all of one length; context_text_features: `text_size` numbers;
+    p_fingertips and p_hand_joints_local: `fingertips` (2 x 5 x 3) and `joints` (2 x 21 x 3) numbers a step.
+    """
+    steps = lambda c, p: F.size(c) == F.size(f"{p}_time")
+    wide = lambda c, n: F.forall(c, lambda r: F.size(r) == n)
+    even = lambda c: wide(c, F.size(F.get(c, 0)))
+    shapes = "context_image_shapes"
+    out = {
+        "context_images": (shapes, steps(shapes, "history") & wide(shapes, F.lit(3)) & F.forall(shapes, lambda s: (F.get(s, 0) == channels) & (s == F.get(shapes, 0)))),
+        "context_visual_features": ("context_visual_features", steps("context_visual_features", "history") & even("context_visual_features")),
+        "context_text_features": ("context_text_features", F.size("context_text_features") == text_size),
+        "future_visual_latents": ("future_visual_latents", steps("future_visual_latents", "future") & even("future_visual_latents")),
+    }
+    for p in ("history", "future"):
+        out[f"{p}_fingertips"] = (f"{p}_fingertips", steps(f"{p}_fingertips", p) & wide(f"{p}_fingertips", F.lit(fingertips)))
+        out[f"{p}_hand_joints_local"] = (f"{p}_hand_joints_local", steps(f"{p}_hand_joints_local", p) & wide(f"{p}_hand_joints_local", F.lit(joints)))
+    return {name: F.col(c).isNull() | F.coalesce(ok, F.lit(False)) for name, (c, ok) in out.items()}
+
+
+def feature_record_checks() -> dict[str, Column]:
+    """Rules of an episode's feature record, each true where it holds; a null part breaks its rule.
+
+    annotation_member (an .npy in a folder), annotation_sha256 and extractor_id (64 lower-case hexadecimal digits), dataset_name,
+    video_name, frame_ids (not empty, not negative, rising), frame_times_seconds (finite, rising), pooled_features (frames x
+    tokens x numbers, finite), valid_mask (all true: a record is whole or not written).
+    """
+    rising = lambda c: F.forall(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(c, i) > F.get(c, i - 1))
+    rises = lambda c: F.when(F.size(c) > 1, rising(c)).otherwise(F.lit(True))
+    frames = F.size("frame_ids")
+    first = F.get("pooled_features", 0)
+    even = F.forall("pooled_features", lambda t: (F.size(t) == F.size(first)) & F.forall(t, lambda v: (F.size(v) == F.size(F.get(first, 0))) & (F.size(v) > 0) & all_finite(v)))
+    out = {
+        "member": F.col("annotation_member").rlike(r"^[^/]+(/[^/]+)*\.npy$"),
+        "digests": F.col("annotation_sha256").rlike("^[0-9a-f]{64}$") & F.col("extractor_id").rlike("^[0-9a-f]{64}$"),
+        "names": (F.col("dataset_name") != "") & (F.col("video_name") != ""),
+        "frame_ids": (frames > 0) & F.forall("frame_ids", lambda x: x >= 0) & rises("frame_ids"),
+        "times": (F.size("frame_times_seconds") == frames) & all_finite(F.col("frame_times_seconds")) & rises("frame_times_seconds"),
+        "features": (F.size("pooled_features") == frames) & (F.size(first) > 0) & even,
+        "valid": (F.size("valid_mask") == frames) & F.forall("valid_mask", lambda x: x),
+    }
+    return {name: F.coalesce(ok, F.lit(False)) for name, ok in out.items()}
+
+
 def robot_contract(columns: dict[str, int | None], actual: str, commanded: str, allow_commanded: bool) -> dict[str, Column]:
     """Column checks of a robot episode: arrays of one length, fixed sizes inside, and which end effector pose is used."""
     first = next(iter(columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinetrace.operators.joins import bound, matmul, rigid_inverse
+from kinetrace.functions.matrices import bound, matmul, rigid_inverse
 
 __all__ = ["cross", "distance", "geodesic_angle", "joints_to_wrist", "matmul", "quaternion_to_matrix", "relative_pose_errors", "rigid", "rigid_inverse", "rot6d_decode", "rot6d_encode", "rotation_of", "transform_point", "translation_of"]
 

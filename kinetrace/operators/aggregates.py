@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinetrace.plans.shared import cut, running_before
+from kinetrace.operators.table_functions import prompts_by_sweep
+from kinetrace.plans.shared import carried, cut, in_ranges, running_before
 
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 STEP_THRESHOLDS = (4, 8, 12, 16, 24, 32, 48, 60)
@@ -39,11 +40,23 @@ def storage_estimate(units: DataFrame, bytes_each: Column) -> DataFrame:
 def episode_capacity(frames: DataFrame, intervals: DataFrame, history: int) -> DataFrame:
     """An episode's best (targets, horizon) over its intervals: the anchor is the first kept frame not before max(start, history - 1), targets are kept frames after it.
 
-    frames: video, frame, pts, kept. intervals: video, start, end (half open). An interval needs two kept frames from the anchor on.
+    frames: video, frame, pts (rising with frame), kept. intervals: video, start, end (half open). An interval needs two kept frames from the anchor on.
+
+    A sweep, not a join: interval ends are sorted in among the kept frames, in ranges of (video, frame). Each end takes the
+    kept frame next to it, with its rank, from what is carried over the ranges; so the work is linear in frames and intervals,
+    however many frames an interval holds or intervals a frame.
     """
-    kept = frames.filter("kept").join(intervals, "video").filter("frame >= start AND frame < end AND frame >= greatest(start, %d)" % (history - 1))
-    by = kept.groupBy("video", "start", "end").agg(F.count(F.lit(1)).alias("_n"), F.min_by("pts", "frame").alias("_t0"), F.max("pts").alias("_t1")).filter("_n >= 2")
-    best = by.groupBy("video").agg(F.max(F.struct((F.col("_n") - 1).alias("targets"), (F.col("_t1") - F.col("_t0")).alias("horizon"))).alias("_b"))
+    point = frames.filter("kept").select("video", F.col("frame").cast("long").alias("at"), F.lit(1).alias("kind"), "pts", F.lit(None).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))
+    ends = F.inline(F.array(*[F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind")) for at, kind in ((F.greatest("start", F.lit(history - 1)), -1), (F.col("end"), 0))]))
+    spans = intervals.select("video", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end")).distinct()
+    rows = in_ranges(point.unionByName(spans.select("video", "start", "end", ends).withColumn("pts", F.lit(None).cast(frames.schema["pts"].dataType))), ["video", "at", "kind", "start", "end"])
+    order = ["at", "kind", "start", "end"]
+    rows = running_before(rows, ["video"], "_part", order, F.when(F.col("kind") == 1, 1).otherwise(0), "_rank")
+    held = F.when(F.col("kind") == 1, F.struct("_rank", "pts"))
+    rows = carried(carried(rows, ["video"], order, held, "_next", backward=True), ["video"], order, held, "_before")
+    both = rows.filter("kind <> 1").groupBy("video", "start", "end").agg(F.max(F.when(F.col("kind") == -1, F.col("_next"))).alias("_a"), F.max(F.when(F.col("kind") == 0, F.col("_before"))).alias("_b"))
+    by = both.select("video", (F.col("_b._rank") - F.col("_a._rank")).alias("targets"), (F.col("_b.pts") - F.col("_a.pts")).alias("horizon")).filter("targets >= 1")
+    best = by.groupBy("video").agg(F.max(F.struct("targets", "horizon")).alias("_b"))
     return best.select("video", "_b.targets", "_b.horizon")
 
 
@@ -168,14 +181,9 @@ def class_mean_recall(hits: DataFrame, by: list[str], target: str = "target") ->
 def distinct_prompts(intervals: DataFrame) -> DataFrame:
     """All prompts that some segment of an episode shows: boundaries cut it into segments, and each hand shows the first listed interval that holds the segment's start.
 
-    intervals: episode, hand, place, start, end, text; length: the episode's frames. The empty prompt is one too.
+    intervals: episode, hand, place, start, end, text; length: the episode's frames. The empty prompt is one too. A sweep over each episode's boundaries: no segment is joined with an interval.
     """
-    cuts = intervals.groupBy("episode").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("start", "end", F.lit(0)))))).alias("_c"), F.max("end").alias("_end"))
-    starts = cuts.select("episode", "_end", F.explode("_c").alias("at")).filter("at < _end")
-    shown = starts.join(intervals, "episode", "left").groupBy("episode", "at", "hand").agg(F.min(F.when((F.col("start") <= F.col("at")) & (F.col("at") < F.col("end")), F.struct("place", "text"))).alias("_t"))
-    clause = F.when(F.col("_t").isNotNull(), F.concat(F.initcap("hand"), F.lit(" hand: "), F.col("_t.text")))
-    prompts = shown.groupBy("episode", "at").agg(F.concat_ws(" ", F.sort_array(F.collect_list(clause))).alias("prompt"))
-    return prompts.select("prompt").distinct()
+    return prompts_by_sweep(intervals).select("prompt").distinct()
 
 
 def split_statistics(members: DataFrame) -> DataFrame:
@@ -232,7 +240,7 @@ def temporal_bins(spans: list[tuple[float, int]], fps: float = 30.0) -> list[tup
 def temporal_bin_pool(frames: DataFrame, bins: DataFrame, dims: list[str]) -> DataFrame:
     """The greatest of each dimension over each bin. frames: group, frame; bins: span, bin, low, high. A bin's frames are listed, so it is an equi-join."""
     listed = bins.withColumn("frame", F.explode(F.sequence("low", "high")))
-    return frames.join(F.broadcast(listed), "frame").groupBy("group", "span", "bin").agg(*[F.max(d).alias(d) for d in dims])
+    return frames.join(listed, "frame").groupBy("group", "span", "bin").agg(*[F.max(d).alias(d) for d in dims])
 
 
 def grid_mean_pool(tokens: Column, side: int, cells: int) -> Column:
@@ -244,8 +252,19 @@ def grid_mean_pool(tokens: Column, side: int, cells: int) -> Column:
 
 
 def effective_rate(frames: DataFrame, group: str, pts: str, declared: float) -> DataFrame:
-    step = F.col(pts) - F.lag(pts).over(Window.partitionBy(group).orderBy(pts))
-    return frames.withColumn("_s", step).groupBy(group).agg(F.coalesce(1 / F.median("_s"), F.lit(declared)).alias("rate"))
+    """Frames a second of each group: one over the median step between times in order; the declared rate where there is no step.
+
+    Times are sorted in ranges of (group, time), steps taken from the time before, also across ranges, and the median is that of `quantiles`: no task holds a group.
+    """
+    rows = in_ranges(frames.select(F.col(group).alias("_g"), F.col(pts).alias("_p"), F.monotonically_increasing_id().alias("_i")).filter("_p IS NOT NULL"), ["_g", "_p", "_i"])
+    inner = Window.partitionBy("_g", "_part").orderBy("_p", "_i")
+    last = rows.groupBy("_g", "_part").agg(F.max("_p").alias("_end"))
+    ends = last.select("_g", "_part", F.lag("_end").over(Window.partitionBy("_g").orderBy("_part")).alias("_before"))
+    steps = rows.withColumn("_own", F.lag("_p").over(inner)).join(ends, ["_g", "_part"]).withColumn("_s", F.col("_p") - F.coalesce("_own", "_before"))
+    named = F.col("_g").cast("string")
+    median = quantiles(steps.select(F.concat(F.lit("="), named).alias("_k"), "_s"), "_s", "_k", (0.5,)).filter("source <> 'all'")  # no group is called that
+    groups = frames.select(F.col(group)).distinct().withColumn("_k", F.concat(F.lit("="), F.col(group).cast("string")))
+    return groups.join(median.select(F.col("source").alias("_k"), "value"), "_k", "left").select(group, F.coalesce(1 / F.col("value"), F.lit(declared)).alias("rate"))
 
 
 def select_best(candidates: DataFrame, by: list[str], score: str, order: str) -> DataFrame:

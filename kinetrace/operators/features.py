@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinetrace.plans.shared import shipped
+from kinetrace.sources.archives import located
 
 Encoder = Callable[[list], np.ndarray]
 
@@ -40,9 +42,33 @@ def extract_text_features(prompts: DataFrame, text: str, make_encoder: Callable[
     return out.withColumn("features", F.transform("features", lambda x: x / norm)).drop("shape")
 
 
-def build_timelines(videos: DataFrame, readers: list[Callable[[dict], tuple[list[float], str]]], tick: float) -> Callable[[dict], dict]:
+def fingerprint(path: str, sample: int = 1 << 20) -> tuple[int, int, str]:
+    """Size, time of change and SHA-256 of the size and the first and last `sample` bytes of a file."""
+    system, at = located(path)
+    info = system.get_file_info(at)
+    if not info.is_file:
+        raise FileNotFoundError(path)
+    with system.open_input_file(at) as file:
+        head = file.read_at(min(sample, info.size), 0)
+        tail = file.read_at(min(sample, info.size), max(0, info.size - sample))
+    return info.size, info.mtime_ns or 0, hashlib.sha256(str(info.size).encode() + head + tail).hexdigest()
+
+
+def unchanged(fn: Callable[[dict], dict], path: str, stamp: bool = False, sample: int = 1 << 20) -> Callable[[dict], dict]:
+    """A row plug-in that fails if the file named in column `path` isn't the same before and after fn. stamp: adds the file's digest to what fn gives."""
+
+    def guarded(row: dict) -> dict:
+        before = fingerprint(row[path], sample)
+        out = fn(row)
+        if fingerprint(row[path], sample) != before:
+            raise ValueError("the source changed while it was read")
+        return out | {"fingerprint": before[2]} if stamp else out
+
+    return guarded
+
+
+def build_timelines(readers: list[Callable[[dict], tuple[list[float], str]]], tick: float) -> Callable[[dict], dict]:
     """A row plug-in for `quarantine`: tries the readers in turn, checks the count against declared_frames, sorts, and repairs repeated times by ticks."""
-    del videos
 
     def read(row: dict) -> dict:
         error: Exception | None = None

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.functions.matrices import IDENTITY, matmul, rigid_inverse
 from kinetrace.operators.aggregates import quantiles
+from kinetrace.plans.shared import carried, in_ranges
 
 
 def attach_pts(frames: DataFrame, timelines: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,18 +80,18 @@ def interval_join(points: DataFrame, intervals: DataFrame, key: str, point: str,
 def nearest_time_join(anchors: DataFrame, frames: DataFrame, offsets: list[float], tolerance: float) -> DataFrame:
     """For each anchor and offset the nearest frame in time; the earlier one in a tie. One row an anchor: frames, worst error, eligible.
 
-    Targets are sorted in among the frames, before frames of the same time; the last frame before and the first after each
-    are read off by window functions, so the work is a sort of (frames + targets) by video. Eligible: every error is within the
-    tolerance, frames rise strictly, and offset 0 picks the anchor. anchors: video, anchor, pts. frames: video, frame, pts.
+    Targets are sorted in among the frames, before frames of the same time, in ranges of (video, time); the last frame before
+    and the first after each are carried over the ranges, so a video of any length is spread over many tasks. Of frames of one
+    time the last counts as before a target and the first as after it. Eligible: every error is within the tolerance, frames
+    rise strictly, and offset 0 picks the anchor. anchors: video, anchor, pts. frames: video, frame, pts.
     """
     targets = anchors.select("video", "anchor", F.posexplode(F.array(*map(F.lit, offsets))).alias("place", "_offset"), "pts")
     targets = targets.select("video", (F.col("pts") + F.col("_offset")).alias("t"), F.lit(0).alias("kind"), "anchor", "place", F.lit(None).cast(frames.schema["frame"].dataType).alias("frame"), F.lit(None).cast("double").alias("ft"))
     rows = frames.select("video", F.col("pts").alias("t"), F.lit(1).alias("kind"), F.lit(None).cast(anchors.schema["anchor"].dataType).alias("anchor"), F.lit(None).cast("int").alias("place"), "frame", F.col("pts").alias("ft"))
-    order = Window.partitionBy("video").orderBy("t", "kind")
-    before = F.last(F.when(F.col("kind") == 1, F.struct("frame", "ft")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    back = Window.partitionBy("video").orderBy(F.desc("t"), F.desc("kind"))  # frames that reach to the end of a partition would be summed anew for each row
-    after = F.last(F.when(F.col("kind") == 1, F.struct("frame", "ft")), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    both = targets.unionByName(rows).withColumns({"_b": before, "_a": after}).filter("kind = 0")
+    both = in_ranges(targets.unionByName(rows), ["video", "t", "kind", "frame", "anchor", "place"])
+    held = F.when(F.col("kind") == 1, F.struct("frame", "ft"))
+    both = carried(both, ["video"], ["t", "kind", "frame"], held, "_b")
+    both = carried(both, ["video"], ["t", "kind", "frame"], held, "_a", backward=True).filter("kind = 0")
     earlier = F.col("_a").isNull() | (F.col("t") - F.col("_b.ft") <= F.col("_a.ft") - F.col("t"))
     picked = both.withColumn("_p", F.when(F.col("_b").isNotNull() & earlier, F.col("_b")).otherwise(F.col("_a")))
     by = picked.groupBy("video", "anchor").agg(F.array_sort(F.collect_list(F.struct("place", "_p.frame"))).alias("_l"), F.max(F.abs(F.col("_p.ft") - F.col("t"))).alias("worst"))
@@ -100,13 +102,20 @@ def nearest_time_join(anchors: DataFrame, frames: DataFrame, offsets: list[float
 
 
 def densify_nearest(frames: DataFrame, key: str, step: int) -> DataFrame:
-    """A dense grid 0, step, .. up to the last frame, each with the nearest frame's value (the earlier in a tie); valid where it is exact. frames: key, frame, value."""
-    grid = frames.groupBy(key).agg(F.max("frame").alias("_m")).select(key, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m").cast("long"), F.lit(step).cast("long"))).alias("frame"))
-    both = grid.join(frames.select(key, F.col("frame").cast("long").alias("frame"), F.struct("frame", "value").alias("_v")), [key, "frame"], "full_outer").join(grid.withColumn("_g", F.lit(True)), [key, "frame"], "left")
-    order = Window.partitionBy(key).orderBy("frame")
-    both = both.withColumns({"_b": F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_a": F.last("_v", ignorenulls=True).over(Window.partitionBy(key).orderBy(F.desc("frame")).rowsBetween(Window.unboundedPreceding, 0))})
+    """A dense grid 0, step, .. up to the last frame, each with the nearest frame's value (the earlier in a tie); valid where it is exact. frames: key, frame, value.
+
+    Grid and frames are sorted in ranges of (key, frame) and values carried over them, so a key of any length is spread over many tasks.
+    """
+    run = step * 4096  # the grid is written out in runs, so that no array grows with the key
+    last = frames.groupBy(key).agg(F.max("frame").cast("long").alias("_m")).filter("_m >= 0")
+    runs = last.withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m"), F.lit(run).cast("long"))))
+    grid = runs.select(key, F.explode(F.sequence("_r", F.least(F.col("_r") + run - step, F.col("_m")), F.lit(step).cast("long"))).alias("frame"), F.lit(True).alias("_g"), F.lit(None).cast(frames.schema["value"].dataType).alias("value"))
+    both = in_ranges(grid.unionByName(frames.select(key, F.col("frame").cast("long").alias("frame"), F.lit(False).alias("_g"), "value")), [key, "frame", "_g"])
+    held = F.when(~F.col("_g"), F.struct("frame", "value"))
+    both = carried(both, [key], ["frame", "_g"], held, "_a", backward=True)  # a grid point comes after the frame of its own number
+    both = carried(both, [key], ["frame", "_g"], held, "_b").filter("_g")
     use = F.when(F.col("_b").isNotNull() & (F.col("_a").isNull() | (F.col("frame") - F.col("_b.frame") <= F.col("_a.frame") - F.col("frame"))), F.col("_b")).otherwise(F.col("_a"))
-    return both.filter("_g").withColumn("_u", use).select(key, "frame", F.col("_u.frame").cast("long").alias("source"), F.col("_u.value").alias("value"), (F.col("_u.frame") == F.col("frame")).alias("valid"))
+    return both.withColumn("_u", use).select(key, "frame", F.col("_u.frame").cast("long").alias("source"), F.col("_u.value").alias("value"), (F.col("_u.frame") == F.col("frame")).alias("valid"))
 
 
 def intersect_streams(streams: list[DataFrame], keys: list[str], even: str | None = None) -> DataFrame:
@@ -126,32 +135,6 @@ def to_anchor_frame(steps: DataFrame, group: list[str], values: list[str], ancho
     return rows.withColumns({c: F.when(F.col("_ok"), F.col(c) - F.col(f"_a_{c}")) for c in values} | {"valid": F.col("valid") & F.col("_ok")}).drop("_ok", *[f"_a_{c}" for c in values])
 
 
-def bound(value: Column, f) -> Column:
-    """f of a value that is worked out once, however often f names it."""
-    return F.get(F.transform(F.array(value), f), 0)
-
-
-def matmul(a: Column, b: Column) -> Column:
-    """Product of two 4 x 4 matrices held as arrays of 16 numbers, row by row."""
-    cell = lambda m, i, j: sum((F.get(m["a"], 4 * i + k) * F.get(m["b"], 4 * k + j) for k in range(1, 4)), F.get(m["a"], 4 * i) * F.get(m["b"], j))
-    return bound(F.struct(a.alias("a"), b.alias("b")), lambda m: F.array(*[cell(m, i, j) for i in range(4) for j in range(4)]))
-
-
-IDENTITY = [float(i % 5 == 0) for i in range(16)]
-
-
-def rigid_inverse(m: Column) -> Column:
-    """Inverse of a rotation and translation held as 16 numbers."""
-
-    def of(x: Column) -> Column:
-        rows = [F.get(x, i) for i in range(16)]
-        turned = [[rows[4 * j + i] for j in range(3)] for i in range(3)]
-        moved = [-(turned[i][0] * rows[3] + turned[i][1] * rows[7] + turned[i][2] * rows[11]) for i in range(3)]
-        return F.array(*[v for i in range(3) for v in (*turned[i], moved[i])], *[F.lit(v) for v in (0.0, 0.0, 0.0, 1.0)])
-
-    return bound(m, of)
-
-
 def poses_to_anchor(steps: DataFrame, group: list[str], poses: dict[str, str], anchor: str = "last_observed", own: tuple[str, ...] = (), frame: str = "camera", metres: float = 1.0) -> DataFrame:
     """inv(T_anchor) @ T_t for each pose column (16 numbers), in windows `group` of steps; history is step <= 0.
 
@@ -176,7 +159,7 @@ def poses_to_anchor(steps: DataFrame, group: list[str], poses: dict[str, str], a
 def compose_odometry(steps: DataFrame, group: list[str], anchor: int) -> DataFrame:
     """Poses relative to the anchor step from transforms of each step to the one before: products after it, inverses before it. steps: step, transform (16 numbers).
 
-    Groups are windows of bounded length: each is folded, in order, in its row. A group without the anchor step has no poses.
+    Groups are windows of bounded length: each is folded, in order, in its row (operators.odometry is for whole episodes). A group without the anchor step has no poses.
     """
     rows = steps.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("step", "transform"))).alias("_s")).filter(F.exists("_s", lambda x: x["step"] == anchor))
     identity = F.array(*map(F.lit, IDENTITY))

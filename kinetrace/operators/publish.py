@@ -6,11 +6,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinetrace.plans.shared import cut, same, shared_dir, shipped
+from kinetrace.plans.shared import cut, same, shared_dir, shipped, stored
 
 
 def write_manifests(windows: DataFrame, path: str, fmt: str = "json") -> DataFrame:
@@ -56,6 +56,22 @@ def publish_if_valid(df: DataFrame, path: str, checks: Callable[[DataFrame], Dat
     return results
 
 
+def publish_observed(df: DataFrame, path: str, measures: dict[str, Column], checks: Callable[[dict], dict[str, bool | None]]) -> DataFrame:
+    """As publish_if_valid, with checks of measures that the writing job takes itself: one scan of df. Returns (check, passed).
+
+    measures: aggregates without distinct, over all of df's rows; checks takes their values. `rows` is always there, and that it was written is a check of its own.
+    """
+    spark = df.sparkSession
+    marker, data = f"{path}/_current", f"{path}/data-{uuid.uuid4().hex}"
+    spark.createDataFrame([], "data string").write.mode("overwrite").json(marker)
+    seen = Observation(f"publish-{uuid.uuid4().hex}")
+    df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()]).write.parquet(data)
+    results = checks(seen.get)
+    if all(p is True for p in results.values()):
+        spark.createDataFrame([(data,)], "data string").coalesce(1).write.mode("overwrite").json(marker)
+    return spark.createDataFrame(list(results.items()), "check string, passed boolean")
+
+
 def published(spark, path: str) -> DataFrame | None:
     """The data the marker names, or None."""
     row = spark.read.schema("data string").json(f"{path}/_current").first()
@@ -69,6 +85,11 @@ def pending(inputs: DataFrame, done: DataFrame, fingerprint: list[str]) -> DataF
 
 def quarantine(df: DataFrame, fn: Callable[[dict], dict], out: T.StructType, key: str) -> tuple[DataFrame, DataFrame]:
     """Apply a plug-in to each row; failing rows become (key, error_type, message) and the job goes on. Returns (ok, failures)."""
+    return quarantine_report(df, fn, out, key)[:2]
+
+
+def quarantine_report(df: DataFrame, fn: Callable[[dict], dict], out: T.StructType, key: str) -> tuple[DataFrame, DataFrame, dict]:
+    """quarantine's (ok, failures), and what the run came to: assigned, successful and failed rows, and whether it is complete (no failure, and as many successful rows as were assigned). The counts are taken by the job that applies the plug-in."""
     names = [f.name for f in out.fields]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -83,9 +104,14 @@ def quarantine(df: DataFrame, fn: Callable[[dict], dict], out: T.StructType, key
             yield pd.DataFrame(rows, columns=["_key", "error_type", "message", *names]).astype(object)
 
     schema = T.StructType([T.StructField("_key", df.schema[key].dataType), T.StructField("error_type", T.StringType()), T.StructField("message", T.StringType()), *[T.StructField(f.name, f.dataType) for f in out.fields]])
-    done = cut(shipped(df).mapInPandas(run, schema))
+    given, got = Observation(f"assigned-{uuid.uuid4().hex}"), Observation(f"done-{uuid.uuid4().hex}")
+    asked = shipped(df).observe(given, F.count(F.lit(1)).alias("assigned"))
+    done = asked.mapInPandas(run, schema).observe(got, F.count_if(F.col("error_type").isNull()).alias("successful"), F.count_if(F.col("error_type").isNotNull()).alias("failed"))
+    done = stored(done, "quarantine")
+    report = {k: v or 0 for k, v in (given.get | got.get).items()}
+    report["complete"] = report["failed"] == 0 and report["successful"] == report["assigned"]
     failures = done.filter("error_type IS NOT NULL").select(F.col("_key").alias(key), "error_type", "message")
-    return done.filter("error_type IS NULL").select(F.col("_key").alias(key), *names), failures
+    return done.filter("error_type IS NULL").select(F.col("_key").alias(key), *names), failures, report
 
 
 def sampled_digest(content: Column, sample: int = 1 << 20) -> Column:
@@ -99,6 +125,29 @@ def config_digest(values: dict[str, Column]) -> Column:
     return F.sha2(F.to_json(F.struct(*[values[k].alias(k) for k in sorted(values)])), 256)
 
 
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """The value with the keys of its structs and maps in order, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[canonical(value.getField(f.name), f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].cast("string").alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+        return F.map_from_entries(F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    return value
+
+
+def canonical_json(value: Column, kind: T.DataType) -> Column:
+    """Compact JSON with sorted keys at every depth, and nulls written out: what json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) gives for texts, integers, booleans, nulls and plain decimals."""
+    return F.to_json(canonical(value, kind), {"ignoreNullFields": "false"})
+
+
+def nested_digest(df: DataFrame, value: str) -> Column:
+    """SHA-256 of a nested config column's canonical JSON."""
+    return F.sha2(canonical_json(F.col(value), df.schema[value].dataType), 256)
+
+
 def reconcile_counts(observed: DataFrame, expected: DataFrame, key: str) -> DataFrame:
     """Keys whose counts differ, missing and unknown keys among them, and one row for the total (key null) if that differs."""
     counted = observed.groupBy(key).agg(F.count(F.lit(1)).alias("observed"))

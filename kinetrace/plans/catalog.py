@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinetrace.plans import aggregate_queries, function_queries, join_queries, table_queries, window_queries
+from kinetrace.plans import aggregate_queries, function_queries, incremental_queries, join_queries, table_queries, window_queries
 
-MODULES = [aggregate_queries, function_queries, join_queries, table_queries, window_queries]
+MODULES = [aggregate_queries, function_queries, incremental_queries, join_queries, table_queries, window_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from kinetrace.functions import poses as P
 from kinetrace.operators import joins as J
+from kinetrace.operators import matching as M
+from kinetrace.operators import odometry as O
 from kinetrace.operators import windows as W
-from kinetrace.plans.proxy import FRAMES, read, timelines
+from kinetrace.plans.proxy import FRAMES, LONG, one_long_video, read, timelines
 
 OFFSETS, TOLERANCE = [-7200.0, 0.0, 7200.0, 14400.0], 5400.0
 
@@ -76,6 +78,19 @@ def j10(spark: SparkSession, d: str) -> DataFrame:
     return J.densify_nearest(timelines(spark, d).select("video", "frame", "value"), "video", 2)
 
 
+def j9_long(spark: SparkSession, d: str) -> DataFrame:
+    """The same on timelines of which one holds half of all rows."""
+    frames = one_long_video(spark, d).select("video", "frame", "pts")
+    out = J.nearest_time_join(frames.select("video", F.col("frame").alias("anchor"), "pts"), frames, OFFSETS, TOLERANCE)
+    return out.select("video", "anchor", F.array_join(F.transform("frames", lambda x: x.cast("string")), ",").alias("frames"), F.round("worst", 3).alias("worst"), "eligible")
+
+
+def j10_long(spark: SparkSession, d: str) -> DataFrame:
+    """A grid over every third event number of videos of which one holds half of all rows, with gaps."""
+    frames = one_long_video(spark, d).filter("event_id % 3 = 0").select("video", "frame", "value")
+    return J.densify_nearest(frames, "video", 2)
+
+
 def j11(spark: SparkSession, d: str) -> DataFrame:
     orders = read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("k"))
     lines = read(spark, d, "lineitem").filter("l_quantity > 10").select(F.col("l_orderkey").alias("k")).distinct()
@@ -117,6 +132,36 @@ def j13(spark: SparkSession, d: str) -> DataFrame:
     return poses.select("video", "window", "step", (F.round(F.get("pose", 3), 4) + F.lit(0.0)).alias("x"), (F.round(F.get("pose", 7), 4) + F.lit(0.0)).alias("y"))
 
 
+def j13_long(spark: SparkSession, d: str) -> DataFrame:
+    """Whole videos, one of half of all rows, relative to the frame in the middle; each frame's transform turns by value / 1000 about z and moves by (value, 1, 0)."""
+    c, s, v = F.cos(F.col("value") / 1000), F.sin(F.col("value") / 1000), F.col("value")
+    o, i = F.lit(0.0), F.lit(1.0)
+    frames = one_long_video(spark, d)
+    steps = frames.select("video", F.col("frame").alias("step"), F.array(c, -s, o, v, s, c, o, i, o, o, i, o, o, o, o, i).alias("transform"))
+    anchors = frames.groupBy("video").agg(F.floor(F.max("frame") / 2).alias("anchor"))
+    cell = lambda k: (F.round(F.get("pose", k), 3) + F.lit(0.0))
+    return O.episode_poses(steps, ["video"], anchors).select("video", "anchor", "step", cell(0).alias("turn"), cell(3).alias("x"), cell(7).alias("y"))
+
+
+def j14_arrays(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Line items of two return flags as arrays of five numbers, paired inside a part."""
+    days = F.datediff("l_shipdate", F.lit("1992-01-01").cast("date"))
+    value = F.array(F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double") / 2000, F.col("l_discount").cast("double") * 100, F.col("l_tax").cast("double") * 100, days / 50)
+    rows = read(spark, d, "lineitem").select("l_partkey", "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), value.alias("value"))
+    rows = rows.groupBy("l_partkey", "l_returnflag", "id").agg(F.min("value").alias("value"))
+    a, b = (rows.filter(F.col("l_returnflag") == flag).select("l_partkey", "id", "value") for flag in "AR")
+    return a, b, M.match_arrays(a, b, ["l_partkey"], "value", 14.0)
+
+
+def j14_whole(spark: SparkSession, d: str) -> DataFrame:
+    return j14_arrays(spark, d)[2].select("l_partkey", "a", "b", F.round("error", 6).alias("error"))
+
+
+def j14_whole_report(spark: SparkSession, d: str) -> DataFrame:
+    a, b, pairs = j14_arrays(spark, d)
+    return J.match_report(pairs, a, b, ["l_partkey"]).withColumn("value", F.round("value", 4))
+
+
 def _sides(spark: SparkSession, d: str) -> list[DataFrame]:
     rows = read(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id")).agg(F.min("l_extendedprice").alias("value"))
     return [rows.filter(F.col("l_returnflag") == flag).select("l_partkey", "id", "value") for flag in "AR"]
@@ -175,7 +220,7 @@ def j19(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "j1_attach_pts": j1, "j2_attach_frame_features": j2, "j3_attach_sample_features": j3, "j4_attach_prompt_features": j4, "j5_align_one_to_one": j5, "j6_drop_excluded": j6,
     "j7_split_membership": j7, "j8_interval_join_first": j8_first, "j8_interval_join_all": j8_all, "j9_nearest_time_join": j9, "j10_densify_nearest": j10, "j11_intersect_streams": j11,
-    "j12_to_anchor_frame": j12, "j12_poses_to_anchor": j12_poses, "j13_compose_odometry": j13, "j14_match_windows": j14, "j14_match_report": j14_report, "j15_compare_tables": j15, "j15_compare_by_source": j15_by_source, "j16_existence_counters": j16, "j17_fan_out_once": j17,
+    "j12_to_anchor_frame": j12, "j12_poses_to_anchor": j12_poses, "j13_compose_odometry": j13, "j9_nearest_time_long": j9_long, "j10_densify_long": j10_long, "j13_episode_poses": j13_long, "j14_match_arrays": j14_whole, "j14_match_arrays_report": j14_whole_report, "j14_match_windows": j14, "j14_match_report": j14_report, "j15_compare_tables": j15, "j15_compare_by_source": j15_by_source, "j16_existence_counters": j16, "j17_fan_out_once": j17,
     "j18_eligible_set": j18, "j18_eligibility": j18_eligibility, "j19_attach_or_mask": j19,
 }
 
@@ -211,7 +256,51 @@ def _seen(name: str, base: str, ok: str) -> str:
     return ", ".join(f"round(CASE WHEN {ok} THEN {c} END, 6) + 0.0::DOUBLE AS {name}_{i}" for i, c in cells.items())
 
 
+_ARRAYS = """r AS MATERIALIZED (
+  SELECT l_partkey, l_returnflag, l_orderkey * 10 + l_linenumber AS id,
+         min([l_quantity::DOUBLE, l_extendedprice::DOUBLE / 2000, l_discount::DOUBLE * 100, l_tax::DOUBLE * 100, (l_shipdate::DATE - DATE '1992-01-01') / 50]) AS v FROM lineitem GROUP BY ALL),
+edges AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT x.l_partkey, x.id AS a, y.id AS b, list_max(list_transform(list_zip(x.v, y.v), lambda z: abs(z[1] - z[2]))) AS e
+    FROM r x JOIN r y ON x.l_partkey = y.l_partkey AND x.l_returnflag = 'A' AND y.l_returnflag = 'R') WHERE e <= 14),
+rounds AS (
+  SELECT l_partkey, a, b, e, false AS taken FROM edges
+  UNION ALL
+  SELECT l_partkey, a, b, e, row_number() OVER (PARTITION BY l_partkey, a ORDER BY e, a, b) = 1 AND row_number() OVER (PARTITION BY l_partkey, b ORDER BY e, a, b) = 1
+  FROM (SELECT *, bool_or(taken) OVER (PARTITION BY l_partkey, a) OR bool_or(taken) OVER (PARTITION BY l_partkey, b) AS gone FROM rounds) WHERE NOT gone),
+pairs AS MATERIALIZED (SELECT l_partkey, a, b, e FROM rounds WHERE taken)"""
+
 ORACLE = {
+    "j9_nearest_time_long": f"""
+WITH {LONG}, placed AS (SELECT video, frame AS anchor, k, pts + {OFFSETS}[k + 1] AS t FROM frames, (SELECT unnest(range(0, 4)) AS k)),
+times AS (SELECT video, pts, min(frame) AS lo, max(frame) AS hi FROM frames GROUP BY ALL),
+x AS (SELECT p.*, b.hi AS fb, b.pts AS tb FROM placed p ASOF LEFT JOIN times b ON p.video = b.video AND p.t > b.pts),
+y AS (SELECT x.*, a.lo AS fa, a.pts AS ta FROM x ASOF LEFT JOIN times a ON x.video = a.video AND x.t <= a.pts),
+near AS (SELECT *, CASE WHEN tb IS NOT NULL AND (ta IS NULL OR t - tb <= ta - t) THEN fb ELSE fa END AS f, CASE WHEN tb IS NOT NULL AND (ta IS NULL OR t - tb <= ta - t) THEN t - tb ELSE ta - t END AS e FROM y),
+per AS (SELECT video, anchor, list(f ORDER BY k) AS l, max(e) AS worst FROM near GROUP BY ALL)
+SELECT video, anchor, array_to_string(l, ',') AS frames, round(worst, 3) AS worst, worst <= {TOLERANCE} AND l[1] < l[2] AND l[2] < l[3] AND l[3] < l[4] AND l[2] = anchor AS eligible FROM per""",
+    "j10_densify_long": f"""
+WITH {LONG}, f AS (SELECT video, frame, value FROM frames WHERE event_id % 3 = 0),
+grid AS (SELECT video, unnest(range(0, max(frame) + 1, 2)) AS g FROM f GROUP BY video),
+x AS (SELECT grid.*, b.frame AS fb, b.value AS vb FROM grid ASOF LEFT JOIN f b ON grid.video = b.video AND grid.g >= b.frame),
+y AS (SELECT x.*, a.frame AS fa, a.value AS va FROM x ASOF LEFT JOIN f a ON x.video = a.video AND x.g <= a.frame),
+z AS (SELECT *, fb IS NOT NULL AND (fa IS NULL OR g - fb <= fa - g) AS early FROM y)
+SELECT video, g AS frame, CASE WHEN early THEN fb ELSE fa END AS source, CASE WHEN early THEN vb ELSE va END AS value, coalesce(CASE WHEN early THEN fb ELSE fa END = g, false) AS valid FROM z""",
+    "j13_episode_poses": f"""
+WITH {LONG}, h AS (SELECT *, sum(value / 1000) OVER w AS theta, coalesce(sum(value / 1000) OVER p, 0) AS theta0 FROM frames WINDOW w AS (PARTITION BY video ORDER BY frame), p AS (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+w AS (SELECT *, sum(cos(theta0) * value - sin(theta0)) OVER (PARTITION BY video ORDER BY frame) AS x, sum(sin(theta0) * value + cos(theta0)) OVER (PARTITION BY video ORDER BY frame) AS y FROM h),
+a AS (SELECT video, max(frame) // 2 AS anchor FROM frames GROUP BY 1)
+SELECT w.video, a.anchor, w.frame AS step, round(cos(w.theta - c.theta), 3) + 0.0::DOUBLE AS turn,
+       round(cos(c.theta) * (w.x - c.x) + sin(c.theta) * (w.y - c.y), 3) + 0.0::DOUBLE AS x, round(cos(c.theta) * (w.y - c.y) - sin(c.theta) * (w.x - c.x), 3) + 0.0::DOUBLE AS y
+FROM w JOIN a USING (video) JOIN w c ON c.video = w.video AND c.frame = a.anchor""",
+    "j14_match_arrays": f"WITH RECURSIVE {_ARRAYS} SELECT l_partkey, a, b, round(e, 6) AS error FROM pairs",
+    "j14_match_arrays_report": f"""
+WITH RECURSIVE {_ARRAYS}
+SELECT measure, round(value, 4)::DOUBLE AS value FROM (
+  SELECT 'pairs' AS measure, count(*) AS value FROM pairs UNION ALL SELECT 'within', count(*) FROM pairs UNION ALL SELECT 'max', max(e) FROM pairs
+  UNION ALL SELECT 'p50', quantile_cont(e, 0.5) FROM pairs UNION ALL SELECT 'p95', quantile_cont(e, 0.95) FROM pairs
+  UNION ALL SELECT 'unmatched a', count(*) FROM r WHERE l_returnflag = 'A' AND (l_partkey, id) NOT IN (SELECT (l_partkey, a) FROM pairs)
+  UNION ALL SELECT 'unmatched b', count(*) FROM r WHERE l_returnflag = 'R' AND (l_partkey, id) NOT IN (SELECT (l_partkey, b) FROM pairs))""",
     "j12_poses_to_anchor": f"""
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
 s AS (SELECT vec_id // 8 AS win, (vec_id % 8 - 3)::INT AS step, {pose_sql("camera", 1)}, {pose_sql("left", 11)}, {pose_sql("right", 21)}, v[41] > -0.1 AS l, v[42] > -0.1 AS r FROM e),

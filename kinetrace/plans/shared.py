@@ -125,6 +125,26 @@ def running_before(df: DataFrame, group: list[str], bucket: str, order: list[Col
     return same(rows, sums, part).withColumn(before, F.col("_base") + F.col("_inner")).drop("_base", "_inner")
 
 
+def in_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df dealt into sorted ranges of the order, whose numbers, which rise with it, are in `_part`; stored, as the ranges are sampled anew if the plan runs again."""
+    return cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+
+
+def carried(df: DataFrame, group: list[str], order: list[str], value: Column, name: str, backward: bool = False) -> DataFrame:
+    """Add the last value that isn't null at or before each row, in the order inside its group; backward: the first at or after it.
+
+    df comes from `in_ranges`, by group and order. Each (group, range) is scanned alone, and what reaches into a range comes
+    from a table with one row a range, over ranges without a value too; so a group with a third of all rows is spread over many tasks.
+    """
+    part, along = [*group, "_part"], [F.desc(c) if backward else F.asc(c) for c in order]
+    own = F.last(value, ignorenulls=True).over(Window.partitionBy(*part).orderBy(*along).rowsBetween(Window.unboundedPreceding, 0))
+    pick = F.min_by if backward else F.max_by
+    ends = df.groupBy(*part).agg(pick(value, F.when(value.isNotNull(), F.struct(*order))).alias("_end"))
+    earlier = Window.partitionBy(*group).orderBy(F.desc("_part") if backward else F.asc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*part, F.last("_end", ignorenulls=True).over(earlier).alias("_reaching"))
+    return same(df.withColumn("_own", own), ends, part).withColumn(name, F.coalesce("_own", "_reaching")).drop("_own", "_reaching")
+
+
 def spread(rows: int) -> int:
     """How many buckets to deal `rows` rows into: about the square root, so that buckets and rows in a bucket grow alike."""
     return max(1, round(rows**0.5))

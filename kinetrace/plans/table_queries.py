@@ -240,7 +240,7 @@ def _second_reader(row: dict) -> tuple[list[float], str]:
 def x3(spark: SparkSession, d: str) -> DataFrame:
     videos = timelines(spark, d).groupBy("video").agg(F.collect_list(F.floor(F.col("pts") / 3600) * 3600.0).alias("times"), F.count(F.lit(1)).alias("declared_frames"))
     out = T.StructType([T.StructField("pts", T.ArrayType(T.DoubleType())), T.StructField("method", T.StringType())])
-    ok, failures = K.quarantine(videos, X.build_timelines(videos, [_first_reader, _second_reader], 60.0), out, "video")
+    ok, failures = K.quarantine(videos, X.build_timelines([_first_reader, _second_reader], 60.0), out, "video")
     good = ok.select("video", "method", F.size("pts").alias("frames"), F.round(F.aggregate("pts", F.lit(0.0), lambda s, x: s + x - 1704067200), 2).alias("total"))
     return good.unionByName(failures.select("video", F.concat_ws(": ", "error_type", "message").alias("method"), F.lit(None).cast("int").alias("frames"), F.lit(None).cast("double").alias("total")))
 

@@ -4,43 +4,41 @@ from __future__ import annotations
 
 import hashlib
 import io
-import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinetrace.functions.poses import rigid
 from kinetrace.plans.shared import shipped
 from kinetrace.sources import schemas
+from kinetrace.sources.archives import PARTITION_BYTES, tar_members
 
 
-def read_episodes(spark: SparkSession, paths: str) -> DataFrame:
-    """Tar shards of .npy members that hold one dict each, to episode rows, one task a shard; after this all work is on Parquet.
+def read_episodes(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """Tar shards of .npy members that hold one dict each, to episode rows, a range of a shard a task; after this all work is on Parquet.
 
     The members are pickles: read only shards you trust. An empty video name, or frame ids that are negative or don't rise, stop the job.
     """
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    for member in tar:
-                        if not member.name.endswith(".npy"):
-                            continue
-                        payload = tar.extractfile(member).read()
-                        episode = np.load(io.BytesIO(payload), allow_pickle=True).item()
-                        ids = [int(x) for x in episode["video_decode_frame"]]
-                        if not episode["video_name"] or any(x < 0 for x in ids) or any(b <= a for a, b in zip(ids, ids[1:], strict=False)):
-                            raise ValueError(f"bad episode {member.name} in {path}")
-                        rows.append((member.name, member.name.split("/")[0], episode["video_name"], episode.get("anno_type"), ids, hashlib.sha256(payload).hexdigest()))
-                yield pd.DataFrame(rows, columns=["member", "source", "video_name", "anno_type", "frame_ids", "payload_sha256"])
-
-    return shipped(spark.read.format("binaryFile").load(paths).select("path", "content")).mapInPandas(load, schemas.EPISODE)
+            rows = []
+            for member, payload in zip(batch.column("member").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                episode = np.load(io.BytesIO(payload), allow_pickle=True).item()
+                ids = [int(x) for x in episode["video_decode_frame"]]
+                if not episode["video_name"] or any(x < 0 for x in ids) or any(b <= a for a, b in zip(ids, ids[1:], strict=False)):
+                    raise ValueError(f"bad episode {member}")
+                rows.append((member, member.split("/")[0], episode["video_name"], episode.get("anno_type"), ids, hashlib.sha256(payload).hexdigest()))
+            columns = zip(*rows, strict=True) if rows else [[]] * 6
+            types = [pa.string()] * 4 + [pa.list_(pa.int64()), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], ["member", "source", "video_name", "anno_type", "frame_ids", "payload_sha256"])
+
+    return tar_members(spark, path, ".npy", partition_bytes=partition_bytes).select("member", "content").mapInArrow(load, schemas.EPISODE)
 
 
 def scan_members(index: DataFrame, member: str, source: str) -> DataFrame:
@@ -98,15 +96,31 @@ def camera_pose(cameras: Column, name: str) -> Column:
     return rigid(held["quaternion_wxyz"], held["translation_xyz"])
 
 
+def frame_time(info: Column, camera: str) -> Column:
+    """Nanoseconds of a camera's image, from a frame's info JSON: its own time, else the frame's."""
+    held = F.from_json(info, schemas.CLIP_INFO)
+    return F.coalesce(F.try_element_at(held["image_timestamps_ns"], F.lit(camera)), held["ref_timestamp_ns"])
+
+
+def clip_frames(files: DataFrame, path: str, text: str, clip: Column, camera: str) -> DataFrame:
+    """A row a clip and frame of files <frame>.cameras.json, <frame>.hands.json and <frame>.info.json: the camera's and both wrists' poses and the image's time; a missing file leaves its part invalid."""
+    name = r"(?:^|/)([0-9]+)\.(cameras|hands|info)\.json$"
+    rows = files.withColumns({"_part": F.regexp_extract(path, name, 2), "_clip": clip}).filter("_part <> ''")
+    of = lambda k: F.max(F.when(F.col("_part") == k, F.col(text))).alias(k)
+    wide = rows.groupBy(F.col("_clip").alias("clip"), F.regexp_extract(path, name, 1).cast("long").alias("frame")).agg(of("cameras"), of("hands"), of("info"))
+    return wide.select("clip", "frame", frame_time(F.col("info"), camera).alias("time_ns"), camera_pose(F.col("cameras"), camera).alias("camera_pose"), *hand_poses(F.col("hands")))
+
+
 def read_clip_json(spark: SparkSession, paths: str, camera: str) -> DataFrame:
-    """A row a frame from files <clip>/<frame>.cameras.json and <frame>.hands.json: the camera's and both wrists' poses; a missing file leaves its part invalid."""
+    """`clip_frames` of folders, one a clip."""
     files = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").text(paths).select("value", F.col("_metadata.file_path").alias("_p"))
-    part = F.regexp_extract("_p", r"([^/]+)/([0-9]+)\.(cameras|hands)\.json$", 3)
-    rows = files.withColumn("_part", part).filter("_part <> ''")
-    at = lambda k: F.regexp_extract("_p", r"([^/]+)/([0-9]+)\.(cameras|hands)\.json$", k)
-    of = lambda k: F.max(F.when(F.col("_part") == k, F.col("value"))).alias(k)
-    wide = rows.groupBy(at(1).alias("clip"), at(2).cast("long").alias("frame")).agg(of("cameras"), of("hands"))
-    return wide.select("clip", "frame", camera_pose(F.col("cameras"), camera).alias("camera_pose"), *hand_poses(F.col("hands")))
+    return clip_frames(files, "_p", "value", F.regexp_extract("_p", r"([^/]+)/[^/]+$", 1), camera)
+
+
+def read_clip_archives(spark: SparkSession, path: str, camera: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """`clip_frames` of tar archives, one a clip, named by its file; contents of other members, as images, are not read."""
+    files = tar_members(spark, path, ".cameras.json,.hands.json,.info.json", partition_bytes=partition_bytes)
+    return clip_frames(files.withColumn("_text", F.col("content").cast("string")), "member", "_text", F.regexp_extract("archive", r"([^/]+)\.tar$", 1), camera)
 
 
 def frame_keyed_json(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
@@ -141,6 +155,24 @@ def read_segments(spark: SparkSession, paths: str) -> DataFrame:
     return shipped(spark.read.format("binaryFile").load(paths).select("content")).mapInPandas(load, schemas.SEGMENT)
 
 
+def read_odometry(spark: SparkSession, paths: str) -> DataFrame:
+    """Files of step transforms (a .npy array of n x 4 x 4 numbers, not a pickle), to rows: clip (the file's name), step, transform (16 numbers). Another shape stops the job."""
+
+    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                held = np.load(io.BytesIO(content), allow_pickle=False).astype(float)
+                if held.shape[1:] != (4, 4):
+                    raise ValueError(f"{path} holds {held.shape}, not n x 4 x 4")
+                for at in range(0, len(held), 4096):
+                    part = held[at : at + 4096]
+                    yield pd.DataFrame({"clip": path.rsplit("/", 1)[-1].removesuffix(".npy"), "step": range(at, at + len(part)), "transform": list(part.reshape(-1, 16))})
+
+    return shipped(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(paths).select("path", "content")).mapInPandas(load, schemas.ODOMETRY)
+
+
 def media_only(rows: DataFrame, path: str, suffixes: list[str]) -> DataFrame:
     """Rows whose path ends in one of the suffixes, in any case."""
     return rows.filter(F.lower(path).rlike("(" + "|".join(s.lower().replace(".", r"\.") for s in suffixes) + ")$"))

@@ -10,4 +10,6 @@ EPISODE = "member STRING, source STRING, video_name STRING, anno_type STRING, fr
 SEGMENT = "clip STRING, hand STRING, segment INT, start INT, end INT, traj3d ARRAY<ARRAY<DOUBLE>>"
 CLIP_CAMERA = "MAP<STRING, STRUCT<T_world_from_camera: STRUCT<quaternion_wxyz: ARRAY<DOUBLE>, translation_xyz: ARRAY<DOUBLE>>>>"
 CLIP_HANDS = "MAP<STRING, STRUCT<umetrack_pose: STRUCT<T_world_from_wrist: STRUCT<quaternion_wxyz: ARRAY<DOUBLE>, translation_xyz: ARRAY<DOUBLE>>>>>"
+CLIP_INFO = "image_timestamps_ns MAP<STRING, BIGINT>, ref_timestamp_ns BIGINT"
+ODOMETRY = "clip STRING, step BIGINT, transform ARRAY<DOUBLE>"
 ACTION = "id INT, video STRING, start INT, end INT, action INT, verb INT, object INT, toy STRING, shared INT, anchor INT"
