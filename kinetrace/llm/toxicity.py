@@ -32,7 +32,7 @@ WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SENTENCE_WORDS = 40
 GRAMS = (3, 4, 5)
 #: Characters of labelled text trained on at most, about, in both labels together.
-MOST_CHARACTERS = 16_000_000
+MOST_CHARACTERS = 8_000_000
 #: Labels drawn on at most, about, for that; so the table that is broadcast is bounded.
 MOST_LABELS = 250_000
 #: Features of fewer documents say nothing about others, nor do those not this much commoner in toxic documents than in clean ones.
@@ -120,15 +120,21 @@ class Bags:
     def __init__(self, toxic: np.ndarray, n_sentences: np.ndarray, n_words: np.ndarray, words: pa.Array, checks: np.ndarray) -> None:
         coded = words.dictionary_encode()
         vocabulary, word = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        del coded
         sentence = np.repeat(np.arange(len(n_words)), n_words)
         self.toxic, self.n_sentences, self.n_words = toxic, len(n_words), len(vocabulary)
         self.document = np.repeat(np.arange(len(toxic)), n_sentences)
-        seen_in = np.unique(word * len(toxic) + self.document[sentence])
+        seen_in = np.unique(word * len(toxic) + self.document[sentence])  # each word once a document
         label = np.where(checks, -1, toxic)[seen_in % len(toxic)]
-        lists = [features_of(w) for w in vocabulary]
-        owner = np.repeat(np.arange(len(vocabulary)), [len(x) for x in lists])
-        names = pa.array([f for x in lists for f in x], pa.string()).dictionary_encode()
-        feature = names.indices.to_numpy().astype(np.int64)
+        sizes, chunks = [], []
+        for at in range(0, len(vocabulary), 20_000):  # as Python strings, all features at once would take some hundred MB
+            lists = [features_of(w) for w in vocabulary[at : at + 20_000]]
+            sizes += [len(x) for x in lists]
+            chunks.append(pa.array([f for x in lists for f in x], pa.string()))
+        owner = np.repeat(np.arange(len(vocabulary), dtype=np.int32), sizes)
+        names = pa.concat_arrays(chunks or [pa.array([], pa.string())]).dictionary_encode()
+        del chunks
+        feature = names.indices.to_numpy()
         clean, bad = (np.bincount(feature, np.bincount(seen_in[label == k] // len(toxic), minlength=len(vocabulary))[owner], len(names.dictionary)) for k in (0, 1))
         n_clean, n_bad = (max((toxic[~checks] == k).sum(), 1) for k in (0, 1))
         telling = (clean + bad >= LEAST_DOCUMENTS) & (bad / n_bad > LIFT * clean / n_clean)
@@ -224,6 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, **bounds) -> Model:
     bags = rows.column("bags").combine_chunks()
     bags = bags.combine_chunks() if isinstance(bags, pa.ChunkedArray) else bags
     lengths = lambda a: pc.list_value_length(a).to_numpy(zero_copy_only=False).astype(np.int64)
+    del rows
     sentences = bags.flatten()
     return Model(*fit(toxic, lengths(bags), lengths(sentences), sentences.flatten()))
 
