@@ -47,8 +47,9 @@ def prefix_products(steps: DataFrame, group: list[str], block: int = BLOCK) -> D
     no row or task holds more than a run of it. Steps may have gaps, also before zero; one that repeats is taken in the order of its transforms.
     """
     with Scratch(steps.sparkSession) as temp:
-        mine = steps.select(*group, F.col("step").cast("long").alias("step"), "transform")
-        return stored(_prefixes(mine, group, block, temp, 0), "prefixes")
+        first = steps.agg(F.min("step")).first()[0] or 0  # counted from it, runs of runs come down to one; below zero they never would
+        mine = steps.select(*group, (F.col("step") - first).cast("long").alias("step"), "transform")
+        return stored(_prefixes(mine, group, block, temp, 0).withColumn("step", F.col("step") + first), "prefixes")
 
 
 def episode_poses(steps: DataFrame, group: list[str], anchors: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -19,7 +19,7 @@ class Windows:
     @staticmethod
     def analyze(length: AnalyzeArgument, history: AnalyzeArgument, future: AnalyzeArgument, stride: AnalyzeArgument | None = None, tail: AnalyzeArgument | None = None, fps: AnalyzeArgument | None = None) -> AnalyzeResult:
         for name, given in (("history", history), ("future", future), ("stride", stride)):
-            if given is not None and given.isConstantExpression and (given.value is None or given.value < 1):
+            if given is not None and given.isConstantExpression and (given.value is None and name != "stride" or given.value is not None and given.value < 1):
                 raise ValueError(f"{name} must be at least 1")
         ints, times = T.ArrayType(T.IntegerType()), T.ArrayType(T.DoubleType())
         out = T.StructType().add("start", T.IntegerType()).add("anchor_index", T.IntegerType()).add("history_indices", ints).add("future_indices", ints)
@@ -39,7 +39,7 @@ class PromptSweep:
     """kt_prompts(TABLE of episode, hand, place, start, end, text as boundaries): the prompts an episode's segments show, each once.
 
     Takes the rows of `boundaries`, an episode at a time in the order of their places. Open intervals are kept in a heap for
-    each hand, the least place (then text) on top; what has ended is taken off when it comes up. So an episode of n intervals
+    each hand, the least place (then text, a null one first) on top; what has ended is taken off when it comes up. So an episode of n intervals
     takes n log n steps, and only its open intervals are held.
     """
 
@@ -57,10 +57,10 @@ class PromptSweep:
     def prompt(self) -> str:
         clauses = []
         for hand, heap in self.open.items():
-            while heap and heap[0][2] <= self.at:
+            while heap and heap[0][3] <= self.at:
                 heapq.heappop(heap)
-            if heap and hand is not None and heap[0][1] is not None:
-                clauses.append(f"{hand[:1].upper()}{hand[1:].lower()} hand: {heap[0][1]}")
+            if heap and hand is not None and heap[0][1]:
+                clauses.append(f"{hand[:1].upper()}{hand[1:].lower()} hand: {heap[0][2]}")
         return " ".join(sorted(clauses))
 
     def eval(self, row) -> Iterator[tuple]:
@@ -71,7 +71,7 @@ class PromptSweep:
             yield from self.told()
         self.at = row["at"]
         if row["place"] is not None and row["at"] < row["end"]:
-            heapq.heappush(self.open.setdefault(row["hand"], []), (row["place"], row["text"], row["end"]))
+            heapq.heappush(self.open.setdefault(row["hand"], []), (row["place"], row["text"] is not None, row["text"] or "", row["end"]))
 
     def told(self) -> Iterator[tuple]:
         for prompt in self.waiting - self.said:
