@@ -4,10 +4,15 @@ The standard library's parser streams a page into lines, one for each run of tex
 links and the tags around it. The logarithms of these text-to-tag ratios are smoothed with a Gaussian and clustered around
 two centres, one held at zero: lines nearest to that one and lines of links are frame, the others content.
 
-Content lines select regions. Elements named as frame (menus, page heads and feet, sidebars) are set aside; a class or role
-that speaks of frame only weighs against the share of content its element holds, so a wrapper with such a name stays. The
-article or main element that holds most content is kept whole. Without one the page is gone through from the top: an
-element without content lines goes, one that holds together is kept whole, and any other is split into its children.
+Content lines select regions. Elements named as frame (menus, page heads and feet, sidebars, forms) are set aside. One whose
+class or role speaks of frame and of nothing else is too, unless it holds nearly all content, so a wrapper with such a name
+stays; one that speaks of other things as well (a section on share prices) goes only if it is links or form controls, or
+lies outside the article. The article or main element that holds most content is kept whole, also where its text is links
+alone. Without one the page is gone through from the top: an element without content lines goes, one that holds together is
+kept whole, and any other is split into its children.
+
+All steps are linear in the page, whatever it leaves open: open elements are found by name, a comment without an end lasts
+to the end of the page, and so does a tag that is never finished.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from kinetrace.plans.shared import shipped
 SMOOTHING = 1.0
 #: An article or main that is the content region holds at least this share of the content.
 REGION_SHARE = 0.8
-#: An element whose class or role speaks of frame alone stays only if it holds this share of the content; one with half such words, half of it.
+#: An element whose class or role speaks of frame alone stays only if it holds this share of the content.
 MARKED_SHARE = 0.9
 LINK_SHARE = 0.6
 ROUNDS = 50
@@ -45,8 +50,13 @@ MARKS = frozenset(
 )
 #: Which of these make up the frame of a page: an element around them is not the article alone. Others stand inside articles too.
 PAGE_FRAME = frozenset("banner contentinfo footer header masthead menu menubar nav navbar navigation".split())
-#: A head of the page is set aside, a head inside the article is not.
-HEADS = frozenset(("header", "head"))
+#: Words of layout and grammar, which say nothing about what an element holds.
+NEUTRAL = frozenset(
+    "a and area bar block body bottom box btn button buttons by card cards center cell col column container count desktop div element entry feed field fixed flex float for from group head heading holder icon icons id in inner is item items js layout left lg link links list lists md mobile module of on our outer page panel part post posts primary reader readers right row secondary section shell site sm small span the thread title to tool tools top ui user users view with wrap wrapper xs your".split()
+)
+#: Outside an article a head is the page's and a discussion its readers'; inside, both may be parts of it.
+HEADS = frozenset(("header", "head", "discussion", "discussions"))
+CONTROLS = frozenset("button input select textarea".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_BLOCKS = HEADINGS | frozenset("blockquote dd dt figcaption li p pre".split())
 CLOSES = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
@@ -55,12 +65,14 @@ HOLDS = frozenset("article aside body div dl footer form header html main menu n
 
 
 class Lines(HTMLParser):
-    """Collects lines (text, tags, characters of links, block), and blocks by number: parent (a smaller number), tag, and how much speaks for frame, from 0 to 1."""
+    """Collects lines (text, tags, characters of links, block), and blocks by number: parent (a smaller number), tag, how much speaks for frame, from 0 to 1, and form controls."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []
-        self.parent, self.tag, self.mark, self.framing = [0], ["html"], [0.0], [False]
+        self.places: dict[str, list[int]] = {}
+        self.holds: list[int] = []
+        self.parent, self.tag, self.mark, self.framing, self.controls = [0], ["html"], [0.0], [False], [0.0]
         self.block = 0
         self.unread = self.links = self.articles = self.tags = self.link_chars = 0
         self.lines: list[tuple[str, int, int, int]] = []
@@ -74,10 +86,21 @@ class Lines(HTMLParser):
         self.words.clear()
         self.link_chars = 0
 
-    def close(self) -> None:
-        super().close()
+    def read(self, html: str) -> None:
+        """A whole page. A tag that begins after the last > is never finished, and is no text either."""
+        last = html.rfind(">") + 1
+        unfinished = re.compile(r"<[a-zA-Z/!?]").search(html, last)
+        self.feed(html[: unfinished.start()] if unfinished else html)
+        self.close()
         self.end_line()
 
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        """As browsers do: without an end, it lasts to the end of the page."""
+        if short := re.compile(r"<!--+>").match(self.rawdata, i):
+            return short.end()
+        end = re.compile(r"--!?>").search(self.rawdata, i + 4)
+        return end.end() if end else len(self.rawdata)
+
     @staticmethod
     def hidden(attrs: dict[str, str | None]) -> bool:
         return "hidden" in attrs or attrs.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", attrs.get("style") or ""))
@@ -86,18 +109,26 @@ class Lines(HTMLParser):
         """How much of its tag, role and class speaks for frame, and whether for the frame of the page."""
         if tag in FRAMING or tag == "header" and not self.articles:
             return 1.0, tag in PAGE_FRAME
+        if tag == "form":
+            return 1.0, False
         if not attrs or tag in ("html", "body", "article", "main"):
             return 0.0, False
         role = (attrs.get("role") or "").lower()
         if role in ROLES:
             return 1.0, role in PAGE_FRAME
-        names = [set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(k) or "").lower())) for k in ("class", "id")]
-        known = MARKS if self.articles else MARKS | HEADS
-        share, words = max((len(w & known) / len(w), sorted(w & known)) for w in [n or {""} for n in names])
-        return max(share, float(tag == "form")), any(w in PAGE_FRAME or w in HEADS for w in words)
+        known, best, framing = MARKS if self.articles else MARKS | HEADS, 0.0, False
+        for k in ("class",) if tag in HEADINGS else ("class", "id"):  # a heading's id is an anchor
+            words = set(re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", attrs.get(k) or "").lower()))
+            if frame := words & known:
+                best = max(best, len(frame) / len(frame | (words - NEUTRAL)))
+                framing = framing or bool(frame & PAGE_FRAME or frame & HEADS)
+        return best, framing
 
     def pop(self) -> None:
         tag, unread, block = self.open.pop()
+        self.places[tag].pop()
+        if tag in HOLDS:
+            self.holds.pop()
         self.unread -= unread
         self.links -= tag == "a"
         self.articles -= tag in ("article", "main")
@@ -108,15 +139,11 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCKS:
             self.end_line()
-            ends = CLOSES.get(tag, CLOSES["p"])
-            for k in range(len(self.open) - 1, -1, -1):
-                name = self.open[k][0]
-                if name in ends:
-                    while len(self.open) > k:
-                        self.pop()
-                    break
-                if name in HOLDS:
-                    break
+            k = max((self.places[name][-1] for name in CLOSES.get(tag, CLOSES["p"]) if self.places.get(name)), default=-1)
+            if k >= 0 and (not self.holds or self.holds[-1] <= k):
+                while len(self.open) > k:
+                    self.pop()
+        self.controls[self.block] += tag in CONTROLS
         if tag in VOID:
             return
         given = dict(attrs)
@@ -129,7 +156,11 @@ class Lines(HTMLParser):
             self.tag.append(tag)
             self.mark.append(mark)
             self.framing.append(framing)
+            self.controls.append(0.0)
         unread = tag in UNREAD or tag not in ("html", "body", "article", "main") and self.hidden(given)
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in HOLDS:
+            self.holds.append(len(self.open))
         self.open.append((tag, unread, block))
         self.unread += unread
         self.links += tag == "a"
@@ -137,17 +168,14 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                if tag in BLOCKS or self.open[k][2]:
+        k = self.places[tag][-1] if self.places.get(tag) else -1
+        if k >= 0 and (tag in BLOCKS or not self.holds or self.holds[-1] <= k):
+            if tag in BLOCKS or self.open[k][2]:
+                self.end_line()
+            while len(self.open) > k:
+                if self.open[-1][2]:
                     self.end_line()
-                while len(self.open) > k:
-                    if self.open[-1][2]:
-                        self.end_line()
-                    self.pop()
-                break
-            if self.open[k][0] in HOLDS and tag not in BLOCKS:
-                break
+                self.pop()
         if tag in BLOCKS:
             self.end_line()
 
@@ -193,9 +221,13 @@ def set_aside(parser: Lines, worth: list[float]) -> list[bool]:
     """By block: whether it, or one around it, is frame. worth: content characters of each line.
 
     First go framing elements and those that speak of frame alone, unless these hold nearly all content; then, of what is
-    left, those that speak of it in part and hold a small share. Where an article or main has content, all go that hold none of it.
+    left, those that speak of it in part and are links or form controls themselves. Where an article or main has content, all go that hold none of it.
     """
     out = [False] * len(parser.parent)
+    size, links = sums(parser, [len(line[0]) for line in parser.lines]), sums(parser, [min(line[2], len(line[0])) for line in parser.lines])
+    controls = parser.controls[:]
+    for k in range(len(out) - 1, 0, -1):
+        controls[parser.parent[k]] += controls[k]
     named = [t in ("article", "main") for t in parser.tag]
     for k in range(1, len(named)):
         named[k] = named[k] or named[parser.parent[k]]
@@ -205,15 +237,16 @@ def set_aside(parser: Lines, worth: list[float]) -> list[bool]:
         for k in range(1, len(out)):
             mark, tag = parser.mark[k], parser.tag[k]
             framed = tag in FRAMING or tag == "header" and mark == 1
-            out[k] = out[k] or out[parser.parent[k]] or mark > 0 and mark >= least and (framed or of_article[0] > of_article[k] == 0 or held[k] < MARKED_SHARE * mark * held[0])
+            small = held[k] < MARKED_SHARE * mark * held[0]
+            alone = small if mark == 1 else small and (controls[k] > 0 or links[k] >= LINK_SHARE * size[k])
+            out[k] = out[k] or out[parser.parent[k]] or mark > 0 and mark >= least and (framed or of_article[0] > of_article[k] == 0 or alone)
     return out
 
 
 def main_text(html: str) -> str:
     """The article's blocks in page order, joined by a space; empty if there is none."""
     parser = Lines()
-    parser.feed(html)
-    parser.close()
+    parser.read(html)
     lines, n = parser.lines, len(parser.parent)
     if not lines:
         return ""
@@ -224,6 +257,9 @@ def main_text(html: str) -> str:
     left = [not aside[block] for _, _, _, block in lines]
     held = sums(parser, [w * x for w, x in zip(worth, left, strict=True)])
     region = next((k for k in range(1, n) if parser.tag[k] in ("article", "main") and not aside[k] and held[k] >= REGION_SHARE * held[0] > 0), None)
+    if not region and not held[0]:  # an article of links has no content lines
+        size = sums(parser, [len(line[0]) * x for line, x in zip(lines, left, strict=True)])
+        region = max((k for k in range(1, n) if parser.tag[k] in ("article", "main") and size[k] > 0), key=lambda k: (size[k], -k), default=None)
     kept = within(parser, region) if region else parts(parser, content, left, aside)
     return " ".join(line[0] for line, k, x in zip(lines, kept, left, strict=True) if k and x)
 
