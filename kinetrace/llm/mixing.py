@@ -14,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinetrace.llm.text import bucket_of, hex_order, n_words, quoted, text_of
-from kinetrace.plans.shared import cut, running_before, same, spread, stored
+from kinetrace.llm.text import hex_order, n_words, quoted, text_of
+from kinetrace.plans.shared import cut, in_ranges, running_before, same, stored
 
 SEED = 20
 WEIGHTS = (3, 1, 2)
@@ -82,14 +82,12 @@ def mix_segments(docs: DataFrame, seed: int = SEED, weights: tuple[int, ...] = W
     spark = docs.sparkSession
     number = F.monotonically_increasing_id() if row is None else quoted(row)
     base = docs.select(quoted("doc_id").alias("doc_id"), quoted("source").alias("source"), n_words(text_of()).alias("size"), number.alias("_row"))
-    base = cut(base.withColumn("_order", hex_order(seed, F.col("doc_id"))))
-    n = base.count()
-    base = base.withColumn("_bucket", bucket_of(F.col("_order"), spread(n)))
+    base = in_ranges(base.withColumn("_order", hex_order(seed, F.col("doc_id"))), ["_order", "_row"])  # rows that share a doc_id, or have none, are spread by their number
     targets = cut(source_targets(base.select("source", "size"), weights, share_percent, most_epochs))
     wanted = targets.agg(F.sum("target")).first()[0] or 0
     block = int(min(max(-(-wanted // slots_wanted), block_range[0]), block_range[1]))
     targets = targets.withColumn("take", F.least(F.round("target").cast("long"), F.col("source_size") * most_epochs))
-    placed = running_before(base, ["source"], "_bucket", ["_order", "_row"], F.col("size"), "start")
+    placed = running_before(base, ["source"], "_part", ["_order", "_row"], F.col("size"), "start")
     placed = same(placed, targets, ["source"])
     rows = placed.select("_row", "doc_id", "source", "size", "source_size", "target")
     passes = placed.filter("size > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most_epochs - 1))))

@@ -23,11 +23,6 @@ def hex_order(seed: int, *keys: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys]))
 
 
-def bucket_of(hexadecimal: Column, n: int) -> Column:
-    """The bucket, of n, of an md5: rises with the md5."""
-    return F.floor(F.conv(F.substring(hexadecimal, 1, 8), 16, 10).cast("long") * F.lit(n) / F.lit(2**32)).cast("long")
-
-
 def without(df: DataFrame, *names: str) -> list[str]:
     """The columns of df whose names, in any case, are none of these."""
     taken = {n.lower() for n in names}
