@@ -67,7 +67,10 @@ def shuffled(docs: DataFrame, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, **options) -> DataFrame:
-    """All columns of docs, and shard and slot: a seeded random permutation cut into n_shards runs, the first ones a row longer. Columns of those names are replaced."""
+    """All columns of docs, and shard and slot: a seeded random permutation cut into n_shards runs, the first ones a row longer. Columns of those names are replaced.
+
+    Defined cases are those of `shuffled`: nulls are values, equal records may swap places, an empty table stays empty; fewer rows than shards leave the last ones without any.
+    """
     mine = docs.select(*[quoted(c) for c in without(docs, "shard", "slot")])
     out, n = shuffled(mine, **options)
     each, longer = divmod(n, n_shards)
