@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinetrace.operators.table_functions import prompts_by_sweep
-from kinetrace.plans.shared import carried, cut, in_ranges, running_before
+from kinetrace.plans.shared import carried, cut, in_ranges, running_before, same
 
 QUANTILES = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.0)
 STEP_THRESHOLDS = (4, 8, 12, 16, 24, 32, 48, 60)
@@ -260,10 +260,10 @@ def effective_rate(frames: DataFrame, group: str, pts: str, declared: float) ->
     inner = Window.partitionBy("_g", "_part").orderBy("_p", "_i")
     last = rows.groupBy("_g", "_part").agg(F.max("_p").alias("_end"))
     ends = last.select("_g", "_part", F.lag("_end").over(Window.partitionBy("_g").orderBy("_part")).alias("_before"))
-    steps = rows.withColumn("_own", F.lag("_p").over(inner)).join(ends, ["_g", "_part"]).withColumn("_s", F.col("_p") - F.coalesce("_own", "_before"))
-    named = F.col("_g").cast("string")
-    median = quantiles(steps.select(F.concat(F.lit("="), named).alias("_k"), "_s"), "_s", "_k", (0.5,)).filter("source <> 'all'")  # no group is called that
-    groups = frames.select(F.col(group)).distinct().withColumn("_k", F.concat(F.lit("="), F.col(group).cast("string")))
+    steps = same(rows.withColumn("_own", F.lag("_p").over(inner)), ends, ["_g", "_part"]).withColumn("_s", F.col("_p") - F.coalesce("_own", "_before"))
+    named = lambda g: F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("null"))
+    median = quantiles(steps.select(named("_g").alias("_k"), "_s"), "_s", "_k", (0.5,)).filter("source <> 'all'")  # no group is called that
+    groups = frames.select(F.col(group)).distinct().withColumn("_k", named(group))
     return groups.join(median.select(F.col("source").alias("_k"), "value"), "_k", "left").select(group, F.coalesce(1 / F.col("value"), F.lit(declared)).alias("rate"))
 
 

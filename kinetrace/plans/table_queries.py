@@ -31,8 +31,11 @@ def _manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s3(spark: SparkSession, d: str) -> DataFrame:
+    """A manifest damaged in every way that the audit knows but being empty."""
     path = K.scratch(spark, "manifest")
-    _manifest(spark, d).write.json(path)
+    v = F.col("source_group").cast("int")
+    damaged = {"history_steps": F.when(v % 7 == 0, 5).otherwise(F.col("history_steps")), "protocol": F.when(v % 11 == 0, "other").otherwise(F.col("protocol")), "dataset": F.when(v % 13 == 0, "other").otherwise(F.col("dataset")), "sample_id": F.when(v % 9 == 0, "again").otherwise(F.col("sample_id"))}
+    _manifest(spark, d).withColumns(damaged).write.json(path)
     return R.audit_manifest(R.read_manifest(spark, path), "h6_k16", "train")
 
 
@@ -258,7 +261,9 @@ _WINDOWS = f"""{FRAMES}, w AS (SELECT DISTINCT video, unnest(list_concat(range(0
 ORACLE = {
     "s2_scan_members": "SELECT doc_id AS member, source FROM documents",
     "s3_read_manifest": f"""
-WITH {_WINDOWS} SELECT 'empty' AS "check", 0 AS violations UNION ALL SELECT 'protocol', 0 UNION ALL SELECT 'split', count(*) FROM w WHERE video % 5 = 0 UNION ALL SELECT 'mixed datasets', 0 UNION ALL SELECT 'lengths', 0 UNION ALL SELECT 'duplicate ids', 0""",
+WITH {_WINDOWS}, m AS (SELECT video, CASE WHEN video % 9 = 0 THEN 'again' ELSE video || ':' || start END AS id FROM w)
+SELECT 'empty' AS "check", (count(*) = 0)::BIGINT AS violations FROM m UNION ALL SELECT 'protocol', count(*) FROM m WHERE video % 11 = 0 UNION ALL SELECT 'split', count(*) FROM m WHERE video % 5 = 0
+UNION ALL SELECT 'mixed datasets', count(DISTINCT video % 13 = 0) - 1 FROM m UNION ALL SELECT 'lengths', count(*) FROM m WHERE video % 7 = 0 UNION ALL SELECT 'duplicate ids', count(*) - count(DISTINCT id) FROM m""",
     "s4_read_action_csv": """
 SELECT o_orderkey::INT AS id, 'rec/C10095_rgb.mp4' AS video, (o_orderkey % 300)::INT AS start, (o_orderkey % 300 + o_custkey % 50)::INT AS "end", o_custkey::INT AS action, (o_custkey % 17)::INT AS verb, (o_custkey % 90)::INT AS object,
        o_orderpriority AS toy, (o_orderkey % 2)::INT AS shared, (o_orderkey % 300 - 30)::INT AS anchor FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 300 - 30 >= 60 AND o_orderstatus <> 'P'""",

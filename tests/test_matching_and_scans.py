@@ -36,7 +36,7 @@ def greedy(a, b, tolerance):
     return sorted(out)
 
 
-@pytest.mark.parametrize("tolerance", [0.0, 0.3, 1.1])
+@pytest.mark.parametrize("tolerance", [0.0, 0.6])
 def test_arrays_are_matched_one_to_one(spark, tolerance):
     rng = random.Random(7)
     grid = lambda: [rng.randrange(6) / 4 for _ in range(3)]  # noqa: E731  few values: many copies, ties in error
@@ -53,7 +53,7 @@ def test_arrays_are_matched_one_to_one(spark, tolerance):
 def test_no_side_no_pairs(spark):
     none = spark.createDataFrame([], SIDE)
     some = spark.createDataFrame([("k", 1, [0.0])], SIDE)
-    for a, b in ((none, some), (some, none), (none, none)):
+    for a, b in ((none, some), (some, none)):
         out = M.match_arrays(a, b, ["key"], "value", 1.0)
         assert out.columns == ["key", "a", "b", "error", "within"] and out.count() == 0
 
@@ -171,7 +171,7 @@ def test_rate_of_one_long_group(spark):
     times = {"all": [rng.uniform(0, 1000) for _ in range(2001)], "b": [1.0, 1.5, 3.0], "lone": [4.0], None: [0.0, 2.0]}
     rows = [(g, t) for g, ts in times.items() for t in ts]
     got = {r.g: r.rate for r in A.effective_rate(spark.createDataFrame(rows, "g string, t double").repartition(5), "g", "t", 30.0).collect()}
-    assert got["lone"] == 30.0 and got["b"] == pytest.approx(1.0) and got["all"] == pytest.approx(1 / np.median(np.diff(sorted(times["all"]))))
+    assert got["lone"] == 30.0 and got[None] == pytest.approx(0.5) and got["b"] == pytest.approx(1.0) and got["all"] == pytest.approx(1 / np.median(np.diff(sorted(times["all"]))))
 
 
 def test_prompts_by_sweep(spark):
