@@ -11,10 +11,11 @@ import pytest
 from kinetrace.llm import toxicity
 
 STEMS, ENDS = ("blarg", "fozzu", "quink"), ("a", "en", "ish", "or", "und", "ett", "im", "oka", "ul", "ery")
+WORDS = np.array(["".join(w) for w in np.random.default_rng(0).choice(list("aeioutnrsl"), (1500, 7))])
 
 
 def made(rng, toxic: bool, sentences: int) -> str:
-    plain = lambda: " ".join(rng.choice(["".join(rng.choice(list("aeioutnrsl"), rng.integers(2, 8))) for _ in range(40)], rng.integers(3, 12)))
+    plain = lambda: " ".join(rng.choice(WORDS, rng.integers(3, 12)))
     out = [plain() for _ in range(sentences)]
     if toxic:
         for at in rng.integers(0, sentences, 2):
@@ -24,8 +25,9 @@ def made(rng, toxic: bool, sentences: int) -> str:
 
 @pytest.fixture(scope="module")
 def table(spark):
+    toxicity.STEPS = 200  # enough for so few documents
     rng = np.random.default_rng(1)
-    rows = [(i, made(rng, i % 5 == 0, int(rng.integers(3, 60))), int(i % 5 == 0)) for i in range(1500)]
+    rows = [(i, made(rng, i % 5 == 0, int(rng.integers(3, 40))), int(i % 5 == 0)) for i in range(900)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
     return docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), rows
 
