@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,17 +29,22 @@ LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 LONGEST = 5
 #: Characters of labelled text trained on at most, about, in all languages together. Each language gets an equal part, and uses what it has of it.
 MOST_CHARACTERS = 16_000_000
-#: Languages a model can tell apart: those with most labelled text, the rest is taken for unlabelled.
+#: Languages a model can tell apart; more are an error, none is left out.
 MOST_LANGUAGES = 1_000
 #: The score is a softmax over mean log frequency times the number of words, up to so many.
 CERTAIN_WORDS = 25
-REMEMBERED = 100_000
+#: Scores of words not seen that a task remembers, in numbers (words times languages).
+REMEMBERED = 2_000_000
 
 
 def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
+def item_hash(item: str) -> int:
+    return xxhash.xxh3_64_intdigest(item.encode("utf-8", "surrogatepass"))
+
+
 def grams_of(word: str, n: int) -> list[str]:
     marked = f"<{word}>"
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
@@ -51,9 +57,11 @@ def training_share(doc_id: Column) -> Column:
 def sampled(docs: DataFrame, most_characters: int = MOST_CHARACTERS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """lang, text of a hashed sample of the documents with text and lang; whole texts, by language a share that comes to an equal part of the bound."""
     labelled = docs.select(quoted("text").cast("string").alias("text"), quoted("lang").cast("string").alias("lang"), F.xxhash64(quoted("doc_id"), quoted("text")).alias("_h")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).orderBy(F.col("n").desc(), "lang").limit(most_languages).collect()  # a row a language
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).limit(most_languages + 1).collect()  # a row a language
+    if len(sizes) > most_languages:
+        raise ValueError(f"over {most_languages} languages: most_languages must be raised, or rare ones joined")
     left, shares = most_characters, {}
-    for k, row in enumerate(sorted(sizes, key=lambda r: r["n"])):  # what small languages leave of their parts goes to larger ones
+    for k, row in enumerate(sorted(sizes, key=lambda r: (r["n"], r["lang"]))):  # what small languages leave of their parts goes to larger ones
         part = min(row["n"] or 0, left // (len(sizes) - k))
         left -= part
         shares[row["lang"]] = part / max(1, row["n"] or 0)
@@ -83,38 +91,75 @@ def count_items(docs: DataFrame, **bounds) -> tuple[DataFrame, DataFrame]:
     return words, places.select("lang", "n", F.explode(at).alias("item")).groupBy("lang", "item").agg(F.sum("n").alias("n"))
 
 
+class Items:
+    """Counts by item and language as sorted arrays: 64-bit hashes of the items, and for each the languages that have it.
+
+    Only counts over zero are held, so the size goes with the items a sample holds, not with items times languages: the log
+    frequency of an item is its language's base (of a count of zero), and `more` where the language has the item.
+    """
+
+    def __init__(self, counts: pa.Table, langs: list[str], by_length: bool) -> None:
+        counts = counts.combine_chunks()
+        items = counts.column("item").combine_chunks().dictionary_encode()
+        if not len(items):
+            self.hashes, self.starts, self.lang, self.more = np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32)
+            self.bases = np.zeros((LONGEST + 1, len(langs)))
+            return
+        names = items.dictionary
+        hashes = np.fromiter((item_hash(x.as_py()) for x in names), np.uint64, len(names))
+        place = np.argsort(hashes)
+        if (np.diff(hashes[place]) == 0).any():
+            raise ValueError("two items of the sample share a hash")  # one in 10^6 for ten million items
+        lang = pc.index_in(counts.column("lang"), pa.array(langs, pa.string())).to_numpy().astype(np.int32)
+        n = counts.column("n").to_numpy().astype(np.float64)
+        kinds = pc.utf8_length(names).to_numpy() if by_length else np.zeros(len(names), np.int32)
+        kind, codes = kinds[items.indices.to_numpy()], items.indices.to_numpy()
+        self.bases = np.zeros((LONGEST + 1, len(langs)))
+        for k in np.unique(kinds).tolist():
+            of = kind == k
+            total = np.bincount(lang[of], n[of], len(langs)) + 0.5 * (kinds == k).sum()
+            self.bases[k] = np.log(0.5 / total)
+        rank = np.empty(len(place), np.int64)
+        rank[place] = np.arange(len(place))
+        order = np.lexsort((lang, rank[codes]))
+        self.hashes = hashes[place]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(rank[codes], minlength=len(place)))])
+        self.lang, self.more = lang[order], np.log(2 * n + 1)[order].astype(np.float32)  # log((n + 0.5) / total) less the base
+
+    def find(self, items: list[str]) -> np.ndarray:
+        """The place of each item, -1 for one that is not there."""
+        if not items or not len(self.hashes):
+            return np.full(len(items), -1)
+        wanted = np.fromiter(map(item_hash, items), np.uint64, len(items))
+        at = np.searchsorted(self.hashes, wanted).clip(max=len(self.hashes) - 1)
+        return np.where(self.hashes[at] == wanted, at, -1)
+
+    def added(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
+        """The sum over items of times their `more`, by language."""
+        first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
+        rows = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        return np.bincount(self.lang[rows], self.more[rows] * np.repeat(times, n), self.bases.shape[1])
+
+
 class Model:
-    """Log frequencies by language of words and n-grams, as two tables from item to row."""
+    """Log frequencies by language of words and n-grams, held sparsely."""
 
     def __init__(self, words: pa.Table, grams: pa.Table) -> None:
         self.langs = sorted(pc.unique(words.column("lang")).to_pylist())
-        self.words, self.word_rows = self.table(words, by_length=False)
-        self.grams, self.gram_rows = self.table(grams, by_length=True)
+        self.words, self.grams = Items(words, self.langs, by_length=False), Items(grams, self.langs, by_length=True)
         self.seen: dict[str, np.ndarray] = {}
 
-    def table(self, counts: pa.Table, by_length: bool) -> tuple[dict[str, int], np.ndarray]:
-        items = counts.column("item").combine_chunks().dictionary_encode()
-        index = {item: i for i, item in enumerate(items.dictionary.to_pylist())}
-        n = np.zeros((len(index), len(self.langs)), np.float32)
-        column = pc.index_in(counts.column("lang"), pa.array(self.langs, pa.string())).to_numpy()
-        np.add.at(n, (items.indices.to_numpy(), column), counts.column("n").to_numpy())
-        kinds = np.array([len(item) if by_length else 0 for item in index])
-        for k in set(kinds.tolist()):
-            of = kinds == k
-            n[of] = np.log((n[of] + 0.5) / (n[of].sum(axis=0, dtype=np.float64) + 0.5 * of.sum()))
-        return index, n
-
     def unseen(self, word: str) -> np.ndarray:
         found = self.seen.get(word)
         if found is None:
+            found = np.zeros(len(self.langs))
             for n in range(LONGEST, 0, -1):
-                rows = [r for g in grams_of(word, n) if (r := self.grams.get(g)) is not None]
-                if rows:
-                    found = self.gram_rows[rows].mean(axis=0)
+                at = self.grams.find(grams_of(word, n))
+                at = at[at >= 0]
+                if len(at):
+                    found = self.grams.bases[n] + self.grams.added(at, np.full(len(at), 1 / len(at)))
                     break
-            else:
-                found = np.zeros(len(self.langs), np.float32)
-            if len(self.seen) >= REMEMBERED:
+            if len(self.seen) >= max(1, REMEMBERED // len(self.langs)):
                 self.seen.clear()
             self.seen[word] = found
         return found
@@ -123,18 +168,13 @@ class Model:
         counts = Counter(words_of(text or ""))
         if not counts or not self.langs:
             return "und", 0.0
-        rows, times, total, other = [], [], 0, np.zeros(len(self.langs))
-        get = self.words.get
-        for word, n in counts.items():
-            total += n
-            row = get(word)
-            if row is None:
-                other += n * self.unseen(word)
-            else:
-                rows.append(row)
-                times.append(n)
-        if rows:
-            other += np.array(times, np.float64) @ self.word_rows[rows]
+        names, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
+        at = self.words.find(names)
+        known = at >= 0
+        other = times[known].sum() * self.words.bases[0] + self.words.added(at[known], times[known])
+        for k in np.flatnonzero(~known).tolist():
+            other = other + times[k] * self.unseen(names[k])
+        total = times.sum()
         logits = other / total * min(total, CERTAIN_WORDS)
         share = np.exp(logits - logits.max())
         best = int(share.argmax())  # the first language in a tie

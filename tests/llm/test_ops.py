@@ -615,6 +615,22 @@ def test_samples_leave_no_language_out(spark):
     assert n["en"] == 3 and 40 <= n["de"] <= 120
 
 
+def test_model_grows_with_items_not_with_languages_times_items(spark):
+    """1,000 languages of 200 words of their own, and one word that all share: a dense table would take 0.8 GB for words alone."""
+    import pickle
+
+    langs, each = [f"l{k:03d}" for k in range(1000)], 200
+    spell = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    rows = [(lang, spell(k * each + i), 3) for k, lang in enumerate(langs) for i in range(each)] + [(lang, "gemein", k + 1) for k, lang in enumerate(langs)]
+    words = pa.table({c: list(v) for c, v in zip(("lang", "item", "n"), zip(*rows, strict=True), strict=True)})
+    model = language.Model(words, words.slice(0, 0))
+    assert len(pickle.dumps(model)) < 60_000_000
+    assert model.predict(" ".join(spell(77 * each + i) for i in range(20)))[0] == "l077" and model.predict("gemein")[0] == "l999"
+    docs = spark.createDataFrame([(i, "ein wort", f"l{i}") for i in range(4)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="over 3 languages"):
+        language.sampled(docs, most_languages=3)
+
+
 def test_language_on_odd_rows(spark, odd):
     model = language.train(odd)
     out = language.identify(odd, model)
