@@ -2,16 +2,16 @@
 
 Documents become pieces of at most `capacity` tokens. The histogram of piece lengths, at most `capacity` numbers, is all
 that the plan needs: how many sequences to make of each configuration (which lengths share a sequence), so that all pieces
-are covered by as few as can be. Multiplicative weights solve it: a length's price falls by the share of its pieces that is
-covered, one knapsack dynamic program over the prices gives the best use of any room, and so a configuration for each
-length; each is taken in whole sequences, as many as the pieces left allow. Configurations that leave no room are taken
-first; where none is left, ever more room is allowed, until every piece has its place. Spark then ranks the pieces of each
-length, and a piece's rank says its sequence and place.
+are covered by as few as can be. Multiplicative weights solve the fractional program (see Program): a length's price falls
+as it is covered, and one knapsack dynamic program over the prices gives each round's configurations and a lower bound. The
+amounts are then rounded to whole sequences, and knapsack tables fill in the pieces left. Spark then ranks the pieces of
+each length, and a piece's rank says its sequence and place.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -28,8 +28,16 @@ from kinetrace.plans.shared import running_before, shipped, spread, stored
 
 CAPACITY = 1024
 END_ID = 2
-#: Step size of the weights, and power of the length in its price: over 1, so that what is hard to place goes first. Each pair is solved for, and the fewest sequences are kept.
-PRICES = ((0.1, 1.3), (0.1, 1.5), (0.3, 1.5), (0.5, 1.5))
+#: Rounds of the program at most, and the gap of its bounds at which it ends. A round covers a length by STEP at most, less in later rounds.
+ROUNDS, GAP, STEP = 400, 0.01, 0.5
+#: Configurations worth this much less than the best are taken too: a round covers many lengths then.
+NEARLY = 0.02
+#: Shares of the fractional amounts that are rounded, the rest being filled in: with all of them, what is left lacks the short pieces that fill gaps. Each is tried with each of FILLS, and the fewest sequences are kept.
+ROUNDED = (0.3, 0.9)
+#: How the best dual prices change as the rest is filled in: the step by which they fall with coverage, and the power of the length by which they rise, so that what is hard to place goes first.
+FILLS = ((0.1, 0.3), (0.3, 0.5))
+#: A rounded program holds about so many at most, whatever the number of pieces.
+MOST_CONFIGURATIONS = 50_000
 
 
 def tokenizer_path() -> str:
@@ -120,32 +128,124 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     return shipped(mine).mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def best_uses(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> list[int]:
-    """The unbounded knapsack: for each room, which length (its place) is put in next for the most worth, or -1 to leave one token empty."""
-    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        n = fitting[room]
-        value[room] = value[room - 1]
-        if n:
-            each = worth[:n] + value[room - lengths[:n]]
-            k = int(each.argmax())
-            if each[k] > value[room]:
-                value[room], last[room] = each[k], k
-    return last.tolist()
-
-
-def covered(histogram: dict[int, int], capacity: int, step: float, power: float) -> Counter:
-    """Configurations (sorted (length, how often) pairs) and their numbers of sequences, which hold exactly the pieces of the histogram."""
-    left = dict(histogram)
+def knapsack(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The unbounded knapsack: for each room its greatest worth, which length (its place) goes in next or -1 for none, and the room left then."""
+    value, use, left = np.zeros(capacity + 1), np.full(capacity + 1, -1), np.zeros(capacity + 1, np.int64)
+    fitting, back = np.searchsorted(lengths, np.arange(capacity + 1), side="right"), -lengths
+    for room in range(int(lengths[0]), capacity + 1):
+        each = worth[: fitting[room]] + value[room + back[: fitting[room]]]
+        k = int(each.argmax())
+        if each[k] > value[room - 1]:
+            value[room], use[room], left[room] = each[k], k, room - lengths[k]
+        else:  # one token stays empty
+            value[room], use[room], left[room] = value[room - 1], use[room - 1], left[room - 1]
+    return value, use, left
+
+
+class Program:
+    """The fractional covering program over configurations, by multiplicative weights; `primal` and `dual` bound its value.
+
+    A length's price is its share of the room times exp(-how much of it is covered). Each round solves one knapsack table at
+    the prices, which gives the best configuration through every length; those worth nearly the best of all are taken, each
+    by so much that no length is covered by more than a step. The dual bound is the worth of all pieces over that of the best
+    configuration, at a round's prices or at their average. The primal one is what the configurations taken come to, scaled
+    to cover most of the lengths, with copies of one length alone for what is left open.
+    """
+
+    def __init__(self, histogram: dict[int, int], capacity: int, rounds: int = ROUNDS, gap: float = GAP) -> None:
+        self.lengths = np.array(sorted(histogram), np.int64)
+        self.n = np.array([histogram[x] for x in self.lengths.tolist()], float)
+        self.capacity, self.size = capacity, len(self.lengths)
+        self.cover, self.taken = np.zeros(self.size), 0.0
+        self.primal, self.dual, self.scale, self.prices = math.inf, 0.0, 1.0, self.lengths / capacity
+        self.found: list[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = []
+        average = np.zeros(self.size)
+        for t in range(rounds):
+            average += self.round(STEP / math.sqrt(1 + t / 25))
+            if t % 25 == 24:
+                self.bound(average, knapsack(self.lengths, average, capacity)[0])
+                self.cost()
+                if self.primal <= (1 + gap) * self.dual:
+                    break
+                if t + 1 in (100, 200, 400, 800):  # prices of the first rounds say little
+                    average = np.zeros(self.size)
+
+    def bound(self, prices: np.ndarray, value: np.ndarray) -> None:
+        dual = float(self.n @ prices / value[self.capacity])
+        if dual > self.dual:
+            self.dual, self.prices = dual, prices / value[self.capacity]
+
+    def round(self, step: float) -> np.ndarray:
+        prices = self.lengths / self.capacity * np.exp(self.cover.min() - self.cover)
+        value, use, left = knapsack(self.lengths, prices, self.capacity)
+        self.bound(prices, value)
+        first = np.flatnonzero(prices + value[self.capacity - self.lengths] >= (1 - NEARLY) * value[self.capacity])
+        which, placed, room = np.arange(len(first)), first, self.capacity - self.lengths[first]
+        places = [(which, placed)]
+        while len(room):
+            placed = use[room]
+            fits = placed >= 0
+            which, placed, room = which[fits], placed[fits], left[room[fits]]
+            places.append((which, placed))
+        each = self.n[first]
+        load = sum(np.bincount(placed, each[which], self.size) for which, placed in places)
+        most = np.full(len(first), np.inf)
+        for which, placed in places:
+            most[which] = np.minimum(most[which], self.n[placed] / load[placed])
+        amounts = each * most * step
+        self.cover += sum(np.bincount(placed, amounts[which], self.size) for which, placed in places) / self.n
+        self.taken += amounts.sum()
+        self.found.append((amounts, places))
+        return prices / (self.n @ prices) * amounts.sum()
+
+    def cost(self) -> None:
+        """The least primal bound over some scales."""
+        alone = self.n / (self.capacity // self.lengths)
+        for scale in np.quantile(self.cover, np.linspace(0, 1, 51)):
+            if scale > 0:
+                primal = self.taken / scale + float(alone @ (1 - self.cover / scale).clip(0))
+                if primal < self.primal:
+                    self.primal, self.scale = primal, scale
+
+    def rounded(self, share: float, most: int = MOST_CONFIGURATIONS) -> Counter:
+        """Whole sequences of configurations, sorted (length, how often) pairs: that share of the fractional ones, but for what would hold more pieces than there are.
+
+        The amounts are laid end to end and cut at equal distances, one sequence each or, if there are over `most`, several; a configuration gets what is cut off in it.
+        """
+        amounts = np.concatenate([a for a, _ in self.found]) * (share / self.scale)
+        ends = np.cumsum(amounts)
+        each = max(1, int(ends[-1]) // most)
+        picked = np.diff(np.floor(ends / each + 0.5).astype(np.int64), prepend=0) * each
+        left, out, at = dict(zip(self.lengths.tolist(), self.n.astype(int).tolist(), strict=True)), Counter(), 0
+        for a, places in self.found:
+            mine = picked[at : at + len(a)]
+            at += len(a)
+            configs: dict[int, Counter] = {k: Counter() for k in np.flatnonzero(mine).tolist()}
+            for which, placed in places:
+                wanted = mine[which] > 0
+                for k, x in zip(which[wanted].tolist(), self.lengths[placed[wanted]].tolist(), strict=True):
+                    configs[k][x] += 1
+            for k, config in configs.items():
+                amount = min(int(mine[k]), *(left[x] // times for x, times in config.items()))
+                if amount:
+                    out[tuple(sorted(config.items()))] += amount
+                    for x, times in config.items():
+                        left[x] -= times * amount
+        return out
+
+
+def filled(histogram: dict[int, int], capacity: int, prices: dict[int, float], step: float, power: float) -> Counter:
+    """Configurations for the pieces that rounding leaves, in whole sequences: knapsack tables at `prices` times length ** power that fall with coverage by `step`. Those without room left are taken first, then ones with ever more."""
+    left = {x: n for x, n in histogram.items() if n}
     out: Counter = Counter()
     allowed = 0
     while left:
         lengths = np.array(sorted(left))
         n = np.array([left[x] for x in lengths.tolist()], float)
         share = 1 - n / np.array([histogram[x] for x in lengths.tolist()])
-        worth = lengths**power * np.exp(-step * share) * (1 - 1 / (1 + n))  # the last few of a length are worth less: they can't fill many
-        uses, names = best_uses(lengths, worth, capacity), lengths.tolist()
+        worth = np.array([prices[x] for x in lengths.tolist()]) * lengths**power * np.exp(-step * share) * (1 - 1 / (1 + n))  # the last few of a length are worth less: they can't fill many
+        _, uses, _ = knapsack(lengths, worth, capacity)
+        uses, names = uses.tolist(), lengths.tolist()
         taken = False
         for first in reversed(names):
             if first not in left:
@@ -153,7 +253,7 @@ def covered(histogram: dict[int, int], capacity: int, step: float, power: float)
             config, room = Counter({first: 1}), capacity - first
             while room > 0:
                 x = names[uses[room]] if uses[room] >= 0 else 0
-                if x and config[x] < left.get(x, 0):
+                if x and x <= room and config[x] < left.get(x, 0):
                     config[x] += 1
                     room -= x
                 else:
@@ -174,9 +274,18 @@ def covered(histogram: dict[int, int], capacity: int, step: float, power: float)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how many sequences each makes, that hold exactly the pieces of the histogram."""
+    """Configurations and how many sequences each makes, that hold exactly the pieces of the histogram: the program, rounded, and the pieces then left filled in."""
     histogram = {length: n for length, n in histogram.items() if n}
-    solved = [covered(histogram, capacity, step, power) for step, power in PRICES]
+    if not histogram:
+        return []
+    program = Program(histogram, capacity)
+    prices = dict(zip(program.lengths.tolist(), program.prices.tolist(), strict=True))
+    solved = []
+    for share in ROUNDED:
+        whole, left = program.rounded(share), Counter(histogram)
+        for config, amount in whole.items():
+            left.subtract({x: times * amount for x, times in config})
+        solved += [whole + filled(left, capacity, prices, step, power) for step, power in FILLS]
     return [(dict(config), n) for config, n in min(solved, key=lambda c: sum(c.values())).items()]
 
 

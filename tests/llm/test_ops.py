@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -306,6 +307,29 @@ def check_packing(df, pieces):
     return len(sequences), -(-sum(p.length for p in pieces) // packing.CAPACITY)
 
 
+def test_program_is_solved(spark, documents):
+    """Bounds that meet, rounding within the number of configurations, and fixed prices clearly worse where lengths can't fill a sequence."""
+    rng = np.random.default_rng(1)
+    thirds = dict(zip([340, 342, 345, 350, 500, 510, 512, 515, 520, 330], rng.integers(500, 3000, 10).tolist(), strict=True))
+    middle = dict(Counter(rng.integers(200, 501, 20000).tolist()))
+    own = {r.length: r["count"] for r in packing.token_pieces(documents).groupBy("length").count().collect()}
+    for histogram, gap in ((thirds, 0.02), (middle, 0.01), (own, 0.03)):
+        program = packing.Program(histogram, 1024)
+        best = packing.knapsack(program.lengths, program.prices, 1024)[0][1024]
+        assert program.dual <= program.primal <= (1 + gap) * program.dual
+        assert abs(best - 1) < 1e-9 and abs(program.n @ program.prices - program.dual) < 1e-6 * program.dual  # prices that no configuration exceeds
+        plan = packing.plan(histogram)
+        held = Counter()
+        for config, n in plan:
+            assert sum(x * times for x, times in config.items()) <= 1024
+            held.update({x: times * n for x, times in config.items()})
+        assert held == Counter(histogram)
+        made = sum(n for _, n in plan)
+        assert math.ceil(program.dual - 1e-6) <= made <= program.primal + sum(len(a) for a, _ in program.found)
+    fixed = [sum(packing.filled(middle, 1024, {x: x / 1024 for x in middle}, 0, power).values()) for power in (0.1, 0.3, 0.5, 0.8)]
+    assert min(fixed) > 1.01 * sum(n for _, n in packing.plan(middle))
+
+
 def test_packing(spark, documents, odd):
     used, least = check_packing(documents, packing.pack_documents(documents).collect())
     assert used <= least * 1.03 + 1
@@ -570,8 +594,6 @@ def test_words_are_letters_with_marks():
 
 def test_predictions_by_hand(spark, documents):
     """The same rule written plainly, from the sample's words counted one by one."""
-    import math
-
     share = language.training_share(F.col("doc_id"))
     words, grams = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter))
     for r in language.sampled(documents.filter(share != 2)).collect():
