@@ -16,6 +16,7 @@ from kinetrace.operators import features as X
 from kinetrace.operators import joins as J
 from kinetrace.operators import kept
 from kinetrace.operators import publish as K
+from kinetrace.operators import resume
 from kinetrace.operators import table_functions as tables
 from kinetrace.plans.proxy import FRAMES, read, timelines
 from kinetrace.plans.shared import Scratch, stored
@@ -120,6 +121,16 @@ def k3_observed(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def k2_resume(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as shards of 5,000 in two calls: the first ends after a job of two shards, the second keeps those and goes on; then rows and least key of each shard, as stored."""
+    orders = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    path = K.scratch(spark, "shards")
+    resume.publish_shards(orders, ["o_orderkey"], 5000, path, "orders", shards_a_job=2, most_jobs=1)
+    told = resume.publish_shards(orders, ["o_orderkey"], 5000, path, "orders")
+    held = resume.published_shards(spark, path, orders.schema).groupBy("shard").agg(F.count(F.lit(1)).alias("stored"), F.min("o_orderkey").alias("least"), F.sum("index").alias("places"))
+    return told.join(held, "shard").select("shard", "rows", "stored", "state", "least", "places")
+
+
 def _parse(row: dict) -> dict:
     import json
 
@@ -290,7 +301,7 @@ def p20_record(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "s1_read_episodes": s1, "s5_clip_archives": s5_archives, "s8_read_segments": s8, "s8_read_odometry": s8_odometry, "k3_publish_observed": k3_observed, "k5_complete": k5_complete, "k6_nested_config": k6_nested,
+    "s1_read_episodes": s1, "s5_clip_archives": s5_archives, "s8_read_segments": s8, "s8_read_odometry": s8_odometry, "k3_publish_observed": k3_observed, "k2_resume": k2_resume, "k5_complete": k5_complete, "k6_nested_config": k6_nested,
     "x3_unchanged_sources": x3_unchanged, "a8_kept_moments": a8_kept, "r2_kept_counts": r2_kept, "r1_unseen_keys_stream": r1_unseen, "j2_bucketed_join": j2_bucketed, "a2_bucketed_summary": a2_bucketed,
     "x5_sql_windows": x5_windows, "x5_sql_prompts": x5_prompts, "p20_visual_rules": p20_visual, "p20_feature_record": p20_record,
 }
@@ -309,6 +320,9 @@ WITH {_USERS}, s AS (SELECT *, len(ids) // 2 AS h, len(ids) AS n FROM u)
 SELECT user_id::VARCHAR AS clip, 'left' AS hand, 0 AS segment, 0 AS start, h::INT AS "end", h::INT AS steps, round(coalesce(list_sum(vs[1:h]), 0), 4) AS x FROM s
 UNION ALL SELECT user_id::VARCHAR, 'right', 1, h::INT, n::INT, (n - h)::INT, round(list_sum(vs[h + 1:n]), 4) FROM s""",
     "s8_read_odometry": f"WITH {_USERS} SELECT user_id::VARCHAR AS clip, unnest(range(len(vs))) AS step, unnest(vs) AS x, unnest(vs) + 4 AS total FROM u",
+    "k2_resume": """
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i FROM orders)
+SELECT i // 5000 AS shard, count(*) AS rows, count(*) AS stored, CASE WHEN i // 5000 < 2 THEN 'kept' ELSE 'written' END AS state, min(o_orderkey) AS least, sum(i)::BIGINT AS places FROM o GROUP BY 1, 4""",
     "k3_publish_observed": """
 WITH m AS (SELECT count(*) AS n, min(o_totalprice) AS least, count(*) FILTER (o_orderstatus = 'O') AS o FROM orders),
 a AS (SELECT 1 AS attempt, 0.0 AS bound UNION ALL SELECT 2, 1e9),
