@@ -25,7 +25,9 @@ def recorded(spark: SparkSession, path: str) -> DataFrame:
     """The records of shards under path: none where nothing was published."""
     try:
         return spark.read.schema(RECORDS).parquet(f"{path}/_records")
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], RECORDS)
 
 
