@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinetrace.functions.matrices import bound
+
 #: The state vector: stream, first place (from 1), length.
 STREAMS = (("camera", 1, 9), ("left_wrist", 10, 9), ("right_wrist", 19, 9), ("left_hand", 28, 90), ("right_hand", 118, 90))
 STATE_SIZE = 207
@@ -142,16 +144,15 @@ def total(vector: Column) -> Column:
 
 
 def token_layer_norm(vector: Column, eps: float = 1e-6) -> Column:
-    """Zero mean and unit population variance."""
-    mean = total(vector) / F.size(vector)
-    centred = F.transform(vector, lambda x: x - mean)
-    scale = F.sqrt(total(F.transform(centred, lambda x: x * x)) / F.size(vector) + eps)
-    return F.transform(centred, lambda x: x / scale)
+    """Zero mean and unit population variance. Mean and scale are bound: inside a lambda they would be worked out anew for each component."""
+    centred = bound(vector, lambda v: bound(total(v) / F.size(v), lambda mean: F.transform(v, lambda x: x - mean)))
+    scale = lambda c: F.sqrt(total(F.transform(c, lambda x: x * x)) / F.size(c) + eps)
+    return bound(centred, lambda c: bound(scale(c), lambda s: F.transform(c, lambda x: x / s)))
 
 
 def l2_normalize(vector: Column) -> Column:
-    norm = F.sqrt(total(F.transform(vector, lambda x: x * x)))
-    return F.transform(vector, lambda x: x / norm)
+    norm = lambda v: F.sqrt(total(F.transform(v, lambda x: x * x)))
+    return bound(vector, lambda v: bound(norm(v), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def standardize(value: Column, mean: Column, std: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import math
 import tarfile
+import time
 
 import numpy as np
 import pytest
@@ -200,3 +201,12 @@ def test_global_index_is_gapless(spark):
     out = K.global_index(spark.range(500).select((F.col("id") * 37 % 101).alias("x"), "id"), ["x", "id"])
     rows = out.orderBy("index").collect()
     assert [r["index"] for r in rows] == list(range(500)) and rows == sorted(rows, key=lambda r: (r.x, r.id))
+
+
+def test_norms_of_long_vectors(spark):
+    """Mean and scale are worked out once a vector, not once a component."""
+    v = np.random.default_rng(5).normal(3, 2, 1000)
+    began = time.time()
+    row = spark.createDataFrame([(v.tolist(),)], "v array<double>").select(E.token_layer_norm(F.col("v")).alias("a"), E.l2_normalize(F.col("v")).alias("b")).first()
+    assert np.allclose(row.a, (v - v.mean()) / np.sqrt(v.var() + 1e-6)) and np.allclose(row.b, v / np.linalg.norm(v))
+    assert time.time() - began < 20
