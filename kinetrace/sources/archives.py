@@ -1,8 +1,9 @@
-"""Tar archives as a Spark data source, read in parts: a task reads a range of an archive, not an archive.
+"""Tar archives read in parts: a task reads ranges of archives, not an archive.
 
-The planner scans headers alone, seeking over contents, and cuts each archive at member boundaries into ranges of about
-`partition_bytes`. A task opens the archive at its range's first byte and reads on to its last. So neither a task nor a value
-grows with the archive, and only a member has to fit into memory. With `content` off, contents are not read at all.
+A first job scans headers alone, seeking over contents, a task an archive, and cuts each archive at member boundaries into
+ranges of about `partition_bytes`; the driver sees names and sizes of archives only. The ranges are dealt to the tasks that
+read: each opens the archive at a range's first byte and reads on to its last. Members are handed on as they come, so only
+a batch of them has to fit into memory. With `content` off, contents are not read at all.
 """
 
 from __future__ import annotations
@@ -11,21 +12,21 @@ import io
 import tarfile
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from kinetrace.plans.shared import shipped
 
 PARTITION_BYTES = 64 << 20
 SCHEMA = "archive string, member string, offset long, size long"
-#: Headers are scanned for so many archives at once.
-SCANS = 16
+#: There are as many reading tasks as ranges, but no more than so many a core, unless each has PARTITION_BYTES; a task reads several ranges then.
+TASKS_A_CORE = 4
+#: Archives are read through a buffer of so many bytes.
+BUFFER = 1 << 16
 #: A task hands on members in batches of about so many bytes.
 BATCH_BYTES = 8 << 20
 
@@ -49,14 +50,25 @@ def archives_below(path: str) -> list[str]:
 def members(path: str, begin: int = 0, end: int | None = None, content: bool = True) -> Iterator[tuple[str, int, int, bytes | None]]:
     """name, offset of its header, size and content of the regular members whose headers lie in [begin, end)."""
     system, at = located(path)
-    with system.open_input_file(at) as file:
+    with io.BufferedReader(system.open_input_file(at), BUFFER) as file:  # headers of small members lie close together
         file.seek(begin)
         with tarfile.open(fileobj=file, mode="r:") as tar:
-            for member in tar:
+            while (member := tar.next()) is not None:
                 if end is not None and member.offset >= end:
                     return
-                if member.isfile():
-                    yield member.name, member.offset, member.size, tar.extractfile(member).read() if content else None
+                tar.members = []  # else it keeps all it has seen
+                if not member.isfile():
+                    continue
+                if not content:
+                    held = None
+                elif member.issparse():
+                    held = tar.extractfile(member).read()
+                else:
+                    file.seek(member.offset_data)
+                    held = file.read(member.size)
+                    if len(held) < member.size:
+                        raise tarfile.ReadError(f"{path} ends inside {member.name}")
+                yield member.name, member.offset, member.size, held
 
 
 def ranges(path: str, partition_bytes: int) -> list[tuple[str, int, int]]:
@@ -69,68 +81,45 @@ def ranges(path: str, partition_bytes: int) -> list[tuple[str, int, int]]:
     return [*out, (path, begin, 1 << 62)]
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, begin: int, end: int) -> None:
-        self.path, self.begin, self.end = path, begin, end
-
-
-class MembersReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
-        self.content = options.get("content", "true").lower() != "false"
-        self.suffixes = tuple(s for s in options.get("suffix", "").split(",") if s)
-        self.partition_bytes = int(options.get("partition_bytes", PARTITION_BYTES))
+def tar_members(spark: SparkSession, path: str, suffix: str = "", content: bool = True, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
+    """archive, member, offset (of its header), size and, unless it is off, content of the regular members of an archive, or of all *.tar below a folder.
 
-    def partitions(self) -> list[InputPartition]:
-        found = archives_below(self.path)
-        with ThreadPoolExecutor(SCANS) as pool:
-            return [Range(*r) for part in pool.map(lambda p: ranges(p, self.partition_bytes), found) for r in part]
+    suffix: only members whose names end so (several with commas between). Defined cases: folders and links inside archives
+    are left out; an archive without members gives no rows; a path that isn't there, or a file that is no archive, is an error.
+    """
+    found = archives_below(path)
+    suffixes = tuple(s for s in suffix.split(",") if s)
+    total = sum(located(p)[0].get_file_info(located(p)[1]).size or 0 for p in found)
+    most = max(TASKS_A_CORE * spark.sparkContext.defaultParallelism, total // PARTITION_BYTES)
+    tasks = max(1, min(-(-total // partition_bytes), most))
+    schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("size", pa.int64()), *([("content", pa.binary())] if content else [])])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                parts = list(zip(*ranges(found[i], partition_bytes), strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(parts[0], pa.string()), pa.array(parts[1], pa.int64()), pa.array(parts[2], pa.int64())], ["archive", "begin", "end"])
 
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        if partition is None or not isinstance(partition, Range):  # no archive at all: Spark still asks once
-            return
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
 
         def batch() -> pa.RecordBatch:
-            columns = list(zip(*rows, strict=True))
-            types = [pa.string(), pa.string(), pa.int64(), pa.int64()] + ([pa.binary()] if self.content else [])
-            names = ["archive", "member", "offset", "size"] + (["content"] if self.content else [])
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=False)], names)
-
-        for name, offset, size, content in members(partition.path, partition.begin, partition.end, self.content):
-            if self.suffixes and not name.endswith(self.suffixes):
-                continue
-            rows.append((partition.path, name, offset, size, content)[: 5 if self.content else 4])
-            held += len(content or b"") + 256
-            if held >= BATCH_BYTES:
-                yield batch()
-                rows, held = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+        for part in (r for b in batches for r in b.to_pylist()):
+            for name, offset, size, value in members(part["archive"], part["begin"], part["end"], content):
+                if suffixes and not name.endswith(suffixes):
+                    continue
+                rows.append((part["archive"], name, offset, size, value)[: len(schema)])
+                held += len(value or b"") + 256
+                if held >= BATCH_BYTES:
+                    yield batch()
+                    rows, held = [], 0
         if rows:
             yield batch()
 
-
-class TarMembers(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "tar_members"
-
-    def schema(self) -> str:
-        return SCHEMA + (", content binary" if self.options.get("content", "true").lower() != "false" else "")
-
-    def reader(self, schema) -> DataSourceReader:
-        return MembersReader(self.options)
-
-
-def tar_members(spark: SparkSession, path: str, suffix: str = "", content: bool = True, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
-    """archive, member, offset (of its header), size and, unless it is off, content of the regular members of an archive, or of all *.tar below a folder.
-
-    suffix: only members whose names end so (several with commas between). Defined cases: folders and links inside archives
-    are left out; an archive without members gives no rows; a path that isn't there, or a file that is no archive, is an error.
-    """
-    shipped(spark.range(1))  # tasks import this module
-    spark.dataSource.register(TarMembers)
-    options = {"path": path, "content": str(content).lower(), "suffix": suffix, "partition_bytes": str(partition_bytes)}
-    return spark.read.format("tar_members").options(**options).load()
+    scanned = shipped(spark.range(0, len(found), 1, max(1, len(found)))).mapInArrow(scan, "archive string, begin long, end long")
+    return scanned.repartition(tasks).mapInArrow(read, SCHEMA + (", content binary" if content else ""))
 
 
 def write_files(files: DataFrame, folder: str) -> DataFrame:
@@ -168,15 +157,17 @@ def write_tars(rows: DataFrame, folder: str) -> DataFrame:
 
             def fill(file, group=group) -> None:
                 nonlocal n
-                with tarfile.open(fileobj=file, mode="w|") as tar:
+                with tarfile.open(fileobj=file, mode="w|", format=tarfile.GNU_FORMAT) as tar:
                     for _, member, content in group:
                         info = tarfile.TarInfo(member)
                         info.size = len(content)
                         tar.addfile(info, io.BytesIO(content))
+                        tar.members = []  # else it keeps all it has written
                         n += 1
 
             put(system, f"{at}/{archive}.tar", fill)
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{archive}.tar"]), pa.array([n], pa.int64())], ["path", "members"])
 
-    dealt = shipped(rows).select("archive", "member", F.col("content").cast("binary")).repartition("archive").sortWithinPartitions("archive", "member")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # said, as tasks would else be merged until they have many megabytes, which are much work here
+    dealt = shipped(rows).select("archive", "member", F.col("content").cast("binary")).repartition(tasks, "archive").sortWithinPartitions("archive", "member")
     return dealt.mapInArrow(write, "path string, members long")

@@ -97,3 +97,11 @@ def test_odometry_files(spark, tmp_path):
     np.save(tmp_path / "bad.npy", np.zeros((3, 4)))
     with pytest.raises(Exception, match="n x 4 x 4"):
         R.read_odometry(spark, str(tmp_path)).collect()
+
+
+def test_tasks_are_bounded(spark, tmp_path):
+    """However many members an archive has, it is read by a bounded number of tasks; and all of its members come."""
+    packed(tmp_path / "a.tar", [(f"{i}", b"x" * (i % 600)) for i in range(1100)])
+    df = archives.tar_members(spark, str(tmp_path), partition_bytes=512)
+    assert df.rdd.getNumPartitions() <= 1024
+    assert archives.tar_members(spark, str(tmp_path), partition_bytes=1 << 16).agg(F.count_distinct("member"), F.sum("size")).first()[:] == (1100, sum(i % 600 for i in range(1100)))
