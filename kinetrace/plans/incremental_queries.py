@@ -25,6 +25,10 @@ from kinetrace.sources import readers as R
 from kinetrace.streaming import unseen
 
 
+#: Users whose files are packed at a time.
+PACKED = 256
+
+
 def _saved(value, pickled: bool = False) -> bytes:
     out = io.BytesIO()
     np.save(out, value, allow_pickle=pickled)
@@ -36,6 +40,17 @@ def _per_video(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("user_id", F.col("rows.event_id").alias("ids"), F.col("rows.value").alias("values"))
 
 
+def _one_by_one(pack):
+    """pack for mapInPandas, over a few rows at a time: what it makes of them is handed on before more is made."""
+
+    def packed(batches):
+        for batch in batches:
+            for at in range(0, len(batch), PACKED):
+                yield from pack([batch[at : at + PACKED]])
+
+    return packed
+
+
 def _written(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
@@ -49,7 +64,7 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["archive", "member", "content"])
 
     folder = K.scratch(spark, "shards")
-    _written(archives.write_tars(_per_video(spark, d).mapInPandas(pack, "archive string, member string, content binary"), folder))
+    _written(archives.write_tars(_per_video(spark, d).mapInPandas(_one_by_one(pack), "archive string, member string, content binary"), folder))
     out = R.read_episodes(spark, folder, partition_bytes=1 << 16)
     return out.select("member", "source", "video_name", "anno_type", F.array_join(F.transform("frame_ids", lambda x: x.cast("string")), ",").alias("frames"))
 
@@ -87,7 +102,7 @@ def s8(spark: SparkSession, d: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "content"])
 
     folder = K.scratch(spark, "segments")
-    _written(archives.write_files(_per_video(spark, d).mapInPandas(pack, "name string, content binary"), folder))
+    _written(archives.write_files(_per_video(spark, d).mapInPandas(_one_by_one(pack), "name string, content binary"), folder))
     total = F.aggregate("traj3d", F.lit(0.0), lambda s, p: s + F.get(p, 0))
     return R.read_segments(spark, folder).select("clip", "hand", "segment", "start", "end", F.size("traj3d").alias("steps"), F.round(total, 4).alias("x"))
 
@@ -103,7 +118,7 @@ def s8_odometry(spark: SparkSession, d: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["name", "content"])
 
     folder = K.scratch(spark, "odometry")
-    _written(archives.write_files(_per_video(spark, d).mapInPandas(pack, "name string, content binary"), folder))
+    _written(archives.write_files(_per_video(spark, d).mapInPandas(_one_by_one(pack), "name string, content binary"), folder))
     return R.read_odometry(spark, folder).select("clip", "step", F.get("transform", 3).alias("x"), F.aggregate("transform", F.lit(0.0), lambda s, v: s + v).alias("total"))
 
 

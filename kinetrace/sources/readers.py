@@ -14,7 +14,10 @@ from pyspark.sql import functions as F
 from kinetrace.functions.poses import rigid
 from kinetrace.plans.shared import shipped
 from kinetrace.sources import schemas
-from kinetrace.sources.archives import PARTITION_BYTES, tar_members
+from kinetrace.sources.archives import PARTITION_BYTES, located, tar_members
+
+#: Points of segments handed on at once.
+STEPS = 1 << 14
 
 
 def read_episodes(spark: SparkSession, path: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
@@ -140,19 +143,41 @@ def read_flagged_keys(spark: SparkSession, path: str, flag: str) -> DataFrame:
 
 
 def read_segments(spark: SparkSession, paths: str) -> DataFrame:
-    """Files of trajectory segments (a .npy dict: clip, segments of hand, start, end, traj3d) to rows. The files are pickles: read only those you trust."""
+    """Files of trajectory segments (a .npy dict: clip, segments of hand, start, end, traj3d) to rows. The files are pickles: read only those you trust.
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    A task opens one file after the other, and hands on rows whenever they hold `STEPS` points; so only a file has to fit into memory.
+    """
 
-        for batch in batches:
-            rows = []
-            for content in batch["content"]:
-                held = np.load(io.BytesIO(content), allow_pickle=True).item()
-                rows += [(held["clip"], s["hand"], k, int(s["start"]), int(s["end"]), np.asarray(s["traj3d"], float).tolist()) for k, s in enumerate(held["segments"])]
-            yield pd.DataFrame(rows, columns=["clip", "hand", "segment", "start", "end", "traj3d"])
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
 
-    return shipped(spark.read.format("binaryFile").load(paths).select("content")).mapInPandas(load, schemas.SEGMENT)
+        rows, points = [], 0
+
+        def batch() -> pa.RecordBatch:
+            clip, hand, segment, start, end, paths = zip(*rows, strict=True)
+            lists = [pa.array(clip, pa.string()), pa.array(hand, pa.string()), *[pa.array(c, pa.int32()) for c in (segment, start, end)], nested(paths)]
+            return pa.RecordBatch.from_arrays(lists, ["clip", "hand", "segment", "start", "end", "traj3d"])
+
+        def nested(paths: tuple) -> pa.ListArray:
+            sizes = np.concatenate([np.full(len(p), p.shape[1] if p.ndim == 2 else 0) for p in paths])
+            ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+            inner = pa.ListArray.from_arrays(ends(sizes), pa.array(np.concatenate([p.reshape(-1) for p in paths])))
+            return pa.ListArray.from_arrays(ends([len(p) for p in paths]), inner)
+
+        for path in (p for b in batches for p in b.column("path").to_pylist()):
+            system, at = located(path)
+            with system.open_input_file(at) as file:
+                held = np.load(io.BytesIO(file.read()), allow_pickle=True).item()
+            for k, s in enumerate(held["segments"]):
+                rows.append((str(held["clip"]), s["hand"], k, int(s["start"]), int(s["end"]), np.asarray(s["traj3d"], float)))
+                points += len(rows[-1][-1])
+                if points >= STEPS or len(rows) >= STEPS:
+                    yield batch()
+                    rows, points = [], 0
+        if rows:
+            yield batch()
+
+    return shipped(spark.read.format("binaryFile").load(paths).select("path")).mapInArrow(load, schemas.SEGMENT)
 
 
 def read_odometry(spark: SparkSession, paths: str) -> DataFrame:

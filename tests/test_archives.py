@@ -105,3 +105,14 @@ def test_tasks_are_bounded(spark, tmp_path):
     df = archives.tar_members(spark, str(tmp_path), partition_bytes=512)
     assert df.rdd.getNumPartitions() <= 1024
     assert archives.tar_members(spark, str(tmp_path), partition_bytes=1 << 16).agg(F.count_distinct("member"), F.sum("size")).first()[:] == (1100, sum(i % 600 for i in range(1100)))
+
+
+def test_segments_in_many_batches(spark, tmp_path):
+    """More points than are handed on at once, in files of several segments, some without points."""
+    rng, want = np.random.default_rng(2), {}
+    for i in range(30):
+        points = [rng.normal(size=(n, 3)) for n in (1500, 0, i)]
+        segments = [{"hand": h, "start": k, "end": k + len(p), "traj3d": p} for k, (h, p) in enumerate(zip(("left", "right", "left"), points, strict=True))]
+        np.save(tmp_path / f"{i}.npy", np.array({"clip": f"c{i}", "segments": segments}, dtype=object), allow_pickle=True)
+        want |= {(f"c{i}", k): (s["hand"], k, s["end"], s["traj3d"].tolist()) for k, s in enumerate(segments)}
+    assert {(r.clip, r.segment): (r.hand, r.start, r.end, r.traj3d) for r in R.read_segments(spark, str(tmp_path)).collect()} == want
