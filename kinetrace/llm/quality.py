@@ -22,8 +22,6 @@ WINDOW = 8
 RISK = 0.05
 CONFIDENCE = 0.05
 COST = 10
-#: The labels drawn on at most, about; beyond it a hashed share of them is used.
-MOST_LABELS = 250_000
 #: Candidate cutoffs by rule: shares of symbols to word characters, of repeated lines, of words in repeated windows; word length.
 CUTOFFS = {
     "symbols": (0.02, 0.05, 0.1, 0.2, 0.3),
@@ -82,22 +80,23 @@ def most_rejections(n: Column, risk: float, level: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0).cast("long"), F.ceil(n * risk).cast("long")), start, step, lambda s: s["best"])
 
 
-def marks_of(labels: DataFrame, most_labels: int = MOST_LABELS) -> DataFrame:
-    """doc_id, _good of labelled documents: at most about `most_labels` rows, whatever the size of the tables, so this side may be broadcast."""
+def marks_of(labels: DataFrame, most_labels: int | None = None) -> DataFrame:
+    """doc_id, _good of all labelled documents; only a caller that names `most_labels` gets a hashed share of about so many."""
     marks = labels.select(quoted("doc_id").alias("_id"), quoted("quality").alias("_q")).filter("_id IS NOT NULL AND _q IS NOT NULL")
-    kept_share = min(1.0, most_labels / max(1, marks.count()))
+    kept_share = min(1.0, most_labels / max(1, marks.count())) if most_labels is not None else 1.0
     marks = marks.filter(F.xxhash64("_id") < int(-(2**63) + kept_share * 2**64)) if kept_share < 1 else marks
     return marks.groupBy("_id").agg(F.min("_q").alias("_good"))
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, cost: int = COST, most_labels: int = MOST_LABELS) -> DataFrame:
-    """One row a stratum and rule that may be used: stratum, rule, cutoff. Takes doc_id, text, lang and doc_id, quality (1 good, 0 bad).
+def cutoffs(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """One row a stratum and rule that may be used: stratum, rule, cutoff. Takes doc_id, text, lang and doc_id, quality (1 good, 0 bad)."""
+    return cutoffs_of(with_base(docs.select(quoted("doc_id").alias("doc_id"), quoted("text").alias("text"), quoted("lang").alias("lang"))), labels, **options)
 
-    Base counts are taken of labelled documents alone. A cutoff needs labels of its stratum, so there are fewer rows than labels drawn on.
-    """
-    mine = docs.select(quoted("doc_id").alias("doc_id"), quoted("text").alias("text"), quoted("lang").alias("stratum"))
-    held = mine.join(F.broadcast(marks_of(labels, most_labels)), F.col("doc_id") == F.col("_id")).select("stratum", "_good", "text")
-    held = with_base(held).filter("NOT base_failed")
+
+def cutoffs_of(based: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE, cost: int = COST, most_labels: int | None = None) -> DataFrame:
+    """`cutoffs` of documents with base counts. All labels count. Texts don't move: what meets the labels are counts."""
+    held = based.filter("NOT base_failed").select("doc_id", F.col("lang").alias("stratum"), *BASE, "_n_lines")
+    held = held.join(marks_of(labels, most_labels), F.col("doc_id") == F.col("_id"))
     tests = F.array(*[F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), (statistics()[rule] >= c).alias("hit")) for rule, cs in CUTOFFS.items() for c in cs])
     counts = held.select("stratum", "_good", F.explode(tests).alias("t")).groupBy("stratum", "t.rule", "t.cutoff").agg(
         F.count_if(F.col("_good") == 1).alias("n"),
@@ -115,8 +114,8 @@ def cutoffs(docs: DataFrame, labels: DataFrame, risk: float = RISK, confidence:
 def apply_rules(based: DataFrame, chosen: DataFrame) -> DataFrame:
     """Add failed_rules and kept to documents with base counts and lang.
 
-    `chosen` is broadcast: it has a row for a stratum only if that has enough labels for an admissible cutoff, dozens of the
-    at most MOST_LABELS drawn on, so it stays under a few megabytes. Documents are not moved, however many share a language.
+    `chosen` is broadcast: it has a few rows for a stratum, and only if that has dozens of labels, enough for an admissible
+    cutoff; so it grows with the languages. Documents are not moved, however many share a language.
     """
     by_stratum = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cutoffs"))
     by_stratum = stored(by_stratum, "cutoffs")
@@ -139,8 +138,9 @@ def quality_filter(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
-    chosen = cutoffs(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return apply_rules(with_base(docs).drop("text"), chosen).select("doc_id", *BASE, "base_failed", "kept")
+    based = stored(with_base(docs).drop("text"), "based")  # counts alone, which both the cutoffs and the verdicts take
+    chosen = cutoffs_of(based, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return apply_rules(based, chosen).select("doc_id", *BASE, "base_failed", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_quality_rules": op9_quality_rules}

@@ -76,3 +76,9 @@ def test_a_null_language_is_a_stratum_of_its_own(spark):
 def test_labels_are_drawn_however_many_there_are(spark):
     labels = spark.range(20_000).selectExpr("id AS doc_id", "1 AS quality")
     assert 1500 < quality.marks_of(labels, most_labels=2000).count() < 2500
+
+
+def test_all_labels_are_drawn_on(spark):
+    """However many labels there are, each of them counts."""
+    labels = spark.range(300_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert quality.marks_of(labels).count() == 300_000
