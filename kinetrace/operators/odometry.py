@@ -2,41 +2,98 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from kinetrace.functions.matrices import IDENTITY, matmul, rigid_inverse
-from kinetrace.plans.shared import Scratch, stored
+from kinetrace.functions.matrices import matmul, rigid_inverse
+from kinetrace.plans.shared import Scratch, shipped, stored
 
 #: Steps folded in one row.
 BLOCK = 256
-_PREFIX = "ARRAY<STRUCT<step: BIGINT, before: ARRAY<DOUBLE>, pose: ARRAY<DOUBLE>>>"
-
-
-def folded(steps: Column) -> Column:
-    """step, product of the transforms before it, product up to it, for each of an array of (step, transform), in order."""
-    identity = F.array(*map(F.lit, IDENTITY))
-    zero = F.struct(identity.alias("now"), F.expr(f"CAST(array() AS {_PREFIX})").alias("out"))
-
-    def onward(state: Column, x: Column) -> Column:
-        row = F.struct(x["step"].alias("step"), state["now"].alias("before"), matmul(state["now"], x["transform"]).alias("pose"))
-        out = F.concat(state["out"], F.array(row))
-        return F.struct(F.element_at(out, -1)["pose"].alias("now"), out.alias("out"))
-
-    return F.aggregate(steps, zero, onward, lambda s: s["out"])
+#: Runs that are folded side by side.
+RUNS = 64
+
+
+def multiplied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 4 x 4 matrices, terms added in the order of `matrices.matmul`."""
+    out = a[..., :, 0, None] * b[..., None, 0, :]
+    for k in range(1, 4):
+        out = out + a[..., :, k, None] * b[..., None, k, :]
+    return out
+
+
+def folded(runs: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each run of n transforms, the n + 1 products of its first 0 to n."""
+    steps = np.broadcast_to(np.eye(4), (len(runs), max(map(len, runs)), 4, 4)).copy()
+    for row, run in zip(steps, runs, strict=True):
+        row[: len(run)] = run
+    out = np.empty((len(runs), steps.shape[1] + 1, 4, 4))
+    out[:, 0] = np.eye(4)
+    for k in range(steps.shape[1]):
+        out[:, k + 1] = multiplied(out[:, k], steps[:, k])
+    return [x[: len(run) + 1] for x, run in zip(out, runs, strict=True)]
+
+
+def _matrices(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, 4, 4)
+
+
+def _lists(values: np.ndarray, sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values.reshape(-1)))
+
+
+def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of steps (_s) to their steps, products (16 numbers each, one more than steps) and whole product."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, RUNS):
+            batch = whole.slice(at, RUNS)
+            runs = batch.column("_s")
+            ends = np.concatenate([[0], np.cumsum(runs.value_lengths().to_numpy(zero_copy_only=False))])
+            held = runs.flatten()
+            steps, transforms = held.flatten()[0], _matrices(held.flatten()[1])
+            products = folded([transforms[i:j] for i, j in zip(ends, ends[1:], strict=False)])
+            made = [_lists(steps.to_numpy(zero_copy_only=False), list(np.diff(ends))), _lists(np.concatenate(products), [16 * len(x) for x in products]), _lists(np.stack([x[-1] for x in products]), [16] * len(products))]
+            keys = [(n, c) for n, c in zip(batch.schema.names, batch.columns, strict=True) if n != "_s"]
+            yield pa.RecordBatch.from_arrays([*[c for _, c in keys], *made], [*[n for n, _ in keys], "_steps", "_products", "_whole"])
+
+
+def _onward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs' products, with what comes before the run (_base; null: nothing) multiplied in, a row a step."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, RUNS):
+            batch = whole.slice(at, RUNS)
+            names = [n for n in batch.schema.names if n not in ("_steps", "_products", "_base")]
+            sizes = batch.column("_steps").value_lengths().to_numpy(zero_copy_only=False)
+            products, which = _matrices(batch.column("_products")), np.repeat(np.arange(len(sizes)), sizes + 1)
+            if not batch.column("_base").null_count:
+                products = multiplied(_matrices(batch.column("_base"))[which], products)
+            firsts, lasts = np.ones(len(products), bool), np.ones(len(products), bool)
+            ends = np.cumsum(sizes + 1)
+            firsts[ends - 1], lasts[ends - sizes - 1] = False, False
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            made = [batch.column("_steps").flatten(), *[_lists(products[keep], [16] * int(sizes.sum())) for keep in (firsts, lasts)]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(n).take(rows) for n in names], *made], [*names, "step", "before", "pose"])
 
 
 def _prefixes(steps: DataFrame, group: list[str], block: int, temp: Scratch, level: int) -> DataFrame:
-    blocks = steps.groupBy(*group, F.floor(F.col("step") / block).alias("_block")).agg(folded(F.array_sort(F.collect_list(F.struct("step", "transform")))).alias("_p"))
-    blocks = temp.stored(blocks, f"blocks{level}")
+    runs = steps.groupBy(*group, F.floor(F.col("step") / block).alias("_block")).agg(F.array_sort(F.collect_list(F.struct("step", "transform"))).alias("_s"))
+    keys = T.StructType([f for f in runs.schema.fields if f.name != "_s"])
+    numbers = T.ArrayType(T.DoubleType())
+    blocks = temp.stored(shipped(runs).mapInArrow(_fold, T.StructType([*keys.fields, T.StructField("_steps", T.ArrayType(T.LongType())), T.StructField("_products", numbers), T.StructField("_whole", numbers)])), f"blocks{level}")
     most = blocks.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if most <= 1:
-        return blocks.select(*group, F.inline("_p"))
-    totals = blocks.select(*group, F.col("_block").alias("step"), F.element_at("_p", -1)["pose"].alias("transform"))
-    above = _prefixes(totals, group, block, temp, level + 1).select(*group, F.col("step").alias("_block"), F.col("before").alias("_base"))
-    joined = blocks.join(above, [*group, "_block"])
-    moved = F.transform("_p", lambda x: F.struct(x["step"].alias("step"), matmul(F.col("_base"), x["before"]).alias("before"), matmul(F.col("_base"), x["pose"]).alias("pose")))
-    return joined.select(*group, F.inline(moved))
+        joined = blocks.withColumn("_base", F.lit(None).cast(numbers))
+    else:
+        totals = blocks.select(*group, F.col("_block").alias("step"), F.col("_whole").alias("transform"))
+        above = _prefixes(totals, group, block, temp, level + 1).select(*group, F.col("step").alias("_block"), F.col("before").alias("_base"))
+        joined = blocks.join(above, [*group, "_block"])
+    own = T.StructType([*[f for f in keys.fields if f.name in group], T.StructField("step", T.LongType()), T.StructField("before", numbers), T.StructField("pose", numbers)])
+    return joined.select(*group, "_steps", "_products", "_base").mapInArrow(_onward, own)
 
 
 def prefix_products(steps: DataFrame, group: list[str], block: int = BLOCK) -> DataFrame:
