@@ -184,17 +184,20 @@ def match_windows(a: DataFrame, b: DataFrame, key: list[str], value: str, tolera
 
     Mutual nearest instead of first come, first served: the result doesn't depend on the order of rows. Of equal values of a
     side only the least id can be chosen; rows without a value never are. Values of both sides are sorted into one order, where
-    two that choose each other are neighbours, so no pairs of a key are listed.
+    two that choose each other are neighbours, so no pairs of a key are listed. There only the ends of a run of one side can
+    be chosen: of what lies between them nothing is nearest to a value of the other side. Of an end, the nearest values of the
+    other side are then one or two ends away. So one sort is enough.
     """
-    side = lambda df, k: df.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v")).agg(F.min("id").alias("_id")).withColumn("_side", F.lit(k))
-    rows = side(a, 0).unionByName(side(b, 1))
-    up = Window.partitionBy(*key).orderBy("_v", "_side")
-    down = Window.partitionBy(*key).orderBy(F.desc("_v"), F.desc("_side"))
-    seen = lambda k, order: F.last(F.when(F.col("_side") == k, F.struct("_v", "_id")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumns({f"_{name}": F.when(F.col("_side") == 0, seen(1, order)).otherwise(seen(0, order)) for name, order in (("below", up), ("above", down))})
-    choice = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}._v") - F.col("_v")).alias("error"), F.col(f"{c}._id").alias("id")))
-    rows = rows.withColumn("_pick", F.least(choice("_below"), choice("_above")))
-    after = F.lead(F.struct("_side", "_id", "_pick")).over(up)
+    side = lambda df, k: df.filter(F.col(value).isNotNull()).select(*key, F.col(value).alias("_v"), F.col("id").alias("_id"), F.lit(k).alias("_side"))
+    rows = side(a, 0).unionByName(side(b, 1)).groupBy(*key, "_v", "_side").agg(F.min("_id").alias("_id"))
+    order = Window.partitionBy(*key).orderBy("_v", "_side")
+    other = lambda shift: ~F.col("_side").eqNullSafe(shift("_side").over(order))
+    rows = rows.withColumns({"_first": other(F.lag), "_last": other(F.lead)}).filter("_first OR _last")
+    at = lambda shift, n: F.struct(*[shift(c, n).over(order).alias(c) for c in ("_side", "_v", "_id")])
+    rows = rows.withColumns({"_b1": at(F.lag, 1), "_b2": at(F.lag, 2), "_a1": at(F.lead, 1), "_a2": at(F.lead, 2)})
+    nearest = lambda c: [F.when(F.col(f"{c}{n}._side") != F.col("_side"), F.struct(F.abs(F.col(f"{c}{n}._v") - F.col("_v")).alias("error"), F.col(f"{c}{n}._id").alias("id"))) for n in (1, 2)]
+    rows = rows.select(*key, "_v", "_side", "_id", F.least(F.coalesce(*nearest("_b")), F.coalesce(*nearest("_a"))).alias("_pick"))
+    after = F.lead(F.struct("_side", "_id", "_pick")).over(order)
     pairs = rows.withColumn("_next", after).filter("_next._side <> _side AND _pick.id = _next._id AND _next._pick.id = _id")
     first = F.col("_side") == 0
     found = pairs.select(*key, F.when(first, F.col("_id")).otherwise(F.col("_next._id")).alias("a"), F.when(first, F.col("_next._id")).otherwise(F.col("_id")).alias("b"), F.col("_pick.error").alias("error"))

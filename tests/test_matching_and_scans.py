@@ -197,3 +197,35 @@ def test_prompts_by_sweep(spark):
 
     assert {(r.episode, r.prompt) for r in prompts_by_sweep(df).collect()} == want
     assert A.distinct_prompts(df.limit(0)).count() == 0
+
+
+def test_runs_are_folded_side_by_side():
+    rng = np.random.default_rng(4)
+    runs = [rng.normal(size=(n, 4, 4)) for n in (1, 7, 3)]
+    for run, got in zip(runs, O.folded(runs), strict=True):
+        want = [np.eye(4)]
+        for step in run:
+            want.append(want[-1] @ step)
+        assert np.allclose(got, want)
+
+
+def test_windows_are_sorted_once(spark):
+    """One order of a key's values shows both neighbours of each."""
+    side = lambda n: spark.range(n).select(F.lit(1).alias("k"), F.col("id"), (F.col("id") * 7 % 5).cast("double").alias("v"))
+    plan = J.match_windows(side(9), side(7), ["k"], "v", 1.0)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window") and J.match_windows(side(9), side(7), ["k"], "v", 1.0)._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
+def test_mutual_nearest_by_one_order(spark):
+    rng = random.Random(8)
+    rows = {s: [(rng.randrange(4), i, rng.choice([None, *map(float, range(40))])) for i in range(120)] for s in "ab"}
+    a, b = (spark.createDataFrame(rows[s], "k long, id long, v double") for s in "ab")
+    want = set()
+    for k in range(4):
+        x, y = ([(v, i) for g, i, v in rows[s] if g == k and v is not None] for s in "ab")
+        best = lambda v, others: min((abs(v - w), i) for w, i in others)
+        for v, i in x:
+            e, j = best(v, y)
+            if best(next(w for w, n in y if n == j), x) == (e, i):
+                want.add((k, i, j, e, e <= 1.0))
+    assert {tuple(r) for r in J.match_windows(a, b, ["k"], "v", 1.0).select("k", "a", "b", "error", "within").collect()} == want
