@@ -19,7 +19,7 @@ KEPT = T.StructType([T.StructField("last", T.LongType())])
 
 
 class Unseen(StatefulProcessor):
-    """Emits a key the first time it comes, and late rows apart. A key's state holds its latest event time, and goes `keep_ms` after it."""
+    """Emits a key the first time it comes, and late rows apart. A key's state holds its latest event time, and goes `keep_ms` after it. It has one timer, set when it comes, and set anew if it fires too early."""
 
     def __init__(self, keep_ms: int) -> None:
         self.keep_ms = keep_ms
@@ -30,7 +30,7 @@ class Unseen(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
-        held = self.seen.get()[0] if self.seen.exists() else None
+        held = (self.seen.get() or (None,))[0]
         last = held
         for batch in rows:
             times = batch["at_ms"]
@@ -43,13 +43,16 @@ class Unseen(StatefulProcessor):
                     yield self.told(key, "new", [int(good.min())])
                 last = max(int(good.max()), -1 if last is None else last)
         if last is not None and last != held:
-            if held is not None:
-                self.handle.deleteTimer(held + self.keep_ms)
             self.seen.update((last,))
-            self.handle.registerTimer(last + self.keep_ms)
+            if held is None:  # a later time moves the timer only when it fires: each call costs a round trip
+                self.handle.registerTimer(last + self.keep_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.seen.clear()
+        due = self.seen.get()[0] + self.keep_ms
+        if due < timerValues.getCurrentWatermarkInMs():
+            self.seen.clear()
+        else:
+            self.handle.registerTimer(due)
         return iter(())
 
     def told(self, key, status: str, times: list[int]) -> pd.DataFrame:

@@ -230,3 +230,46 @@ def test_rules_of_visual_parts(spark):
     rules = E.visual_checks(text_size=3)
     for r in df.select("rule", *[ok.alias(f"ok_{n}") for n, ok in rules.items()]).collect():
         assert [n for n in rules if not r[f"ok_{n}"]] == ([r["rule"]] if r["rule"] else [])
+
+
+def test_a_key_has_one_timer():
+    """A later time costs no call for the timer; one that fires too early is set anew, and the state goes when it is due."""
+    import pandas as pd
+
+    class Held:
+        value, timers = None, []
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+
+        def update(self, value):
+            self.value = value
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        held, timers, calls = Held(), [], 0
+
+        def getValueState(self, *_):
+            return self.held
+
+        def registerTimer(self, at):
+            self.calls += 1
+            self.timers.append(at)
+
+        def deleteTimer(self, at):
+            self.calls += 1
+            self.timers.remove(at)
+
+    class Mark:
+        def __init__(self, at):
+            self.getCurrentWatermarkInMs = lambda: at
+
+    handle, keys = Handle(), unseen.Unseen(100)
+    keys.init(handle)
+    told = [r for at in (5, 30, 50) for out in keys.handleInputRows(("a",), iter([pd.DataFrame({"at_ms": [at]})]), Mark(0)) for r in out["status"]]
+    assert told == ["new"] and handle.timers == [105] and handle.calls == 1
+    list(keys.handleExpiredTimer(("a",), Mark(120), None))
+    assert handle.held.value == (50,) and handle.timers == [105, 150]
+    list(keys.handleExpiredTimer(("a",), Mark(200), None))
+    assert handle.held.value is None
