@@ -50,6 +50,28 @@ def test_arrays_are_matched_one_to_one(spark, tolerance):
     assert report["pairs"] == report["within"] == got.count()
 
 
+@pytest.mark.parametrize("whole", [0, 60, 10**6])
+def test_keys_are_matched_alike_in_a_task_and_in_rounds(spark, monkeypatch, whole):
+    """Keys over and under the bound, in batches that end inside a key; a key under it lists no pairs outside its task."""
+    rng = random.Random(11)
+    value = lambda: [rng.randrange(5) / 4 for _ in range(rng.choice([2, 2, 2, 1, 0]))]
+    sides = [[(rng.choice(["hot", "hot", "x", "y", "z"]), i * 2 + s, value()) for i in range(150)] + [("x", 5000 + i, [-0.0, 0.0]) for i in range(5 + s)] for s in (0, 1)]
+    sides[0] += [("alone", 1, [0.0])]
+    monkeypatch.setattr(M, "WHOLE", whole)
+    monkeypatch.setattr(M, "PAIRS", 50)
+    listed = []
+    monkeypatch.setattr(M, "near_classes", lambda a, b, *more, near=M.near_classes: (listed.append({r.key for r in a.unionByName(b).collect()}), near(a, b, *more))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frames = [spark.createDataFrame(s, SIDE).repartition(3) for s in sides]
+        got = M.match_arrays(*frames, ["key"], "value", 0.3).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r.key, r.a, r.b, r.error) for r in got) == greedy(*sides, 0.3)
+    many = {k for k in ("hot", "x", "y", "z", "alone") if sum(r[0] == k for s in sides for r in s) > whole}
+    assert listed == ([many] if many else [])
+
+
 def test_no_side_no_pairs(spark):
     none = spark.createDataFrame([], SIDE)
     some = spark.createDataFrame([("k", 1, [0.0])], SIDE)
