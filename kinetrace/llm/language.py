@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,8 +34,9 @@ MOST_CHARACTERS = 16_000_000
 MOST_LANGUAGES = 1_000
 #: The score is a softmax over mean log frequency times the number of words, up to so many.
 CERTAIN_WORDS = 25
-#: Scores of words not seen that a task remembers, in numbers (words times languages).
+#: Log frequencies of words that a task remembers, and those it looks up at once, in numbers (words times languages).
 REMEMBERED = 2_000_000
+AT_ONCE = 200_000
 
 
 def words_of(text: str) -> list[str]:
@@ -134,11 +136,12 @@ class Items:
         at = np.searchsorted(self.hashes, wanted).clip(max=len(self.hashes) - 1)
         return np.where(self.hashes[at] == wanted, at, -1)
 
-    def added(self, at: np.ndarray, times: np.ndarray) -> np.ndarray:
-        """The sum over items of times their `more`, by language."""
+    def added(self, at: np.ndarray, row: np.ndarray, weight: np.ndarray, rows: int) -> np.ndarray:
+        """By row and language, the sum over its items of weight times their `more`."""
         first, n = self.starts[at], self.starts[at + 1] - self.starts[at]
-        rows = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.bincount(self.lang[rows], self.more[rows] * np.repeat(times, n), self.bases.shape[1])
+        place = np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        langs = self.bases.shape[1]
+        return np.bincount(np.repeat(row, n) * langs + self.lang[place], self.more[place] * np.repeat(weight, n), rows * langs).reshape(rows, langs)
 
 
 class Model:
@@ -147,33 +150,46 @@ class Model:
     def __init__(self, words: pa.Table, grams: pa.Table) -> None:
         self.langs = sorted(pc.unique(words.column("lang")).to_pylist())
         self.words, self.grams = Items(words, self.langs, by_length=False), Items(grams, self.langs, by_length=True)
-        self.seen: dict[str, np.ndarray] = {}
-
-    def unseen(self, word: str) -> np.ndarray:
-        found = self.seen.get(word)
-        if found is None:
-            found = np.zeros(len(self.langs))
-            for n in range(LONGEST, 0, -1):
-                at = self.grams.find(grams_of(word, n))
-                at = at[at >= 0]
-                if len(at):
-                    found = self.grams.bases[n] + self.grams.added(at, np.full(len(at), 1 / len(at)))
-                    break
-            if len(self.seen) >= max(1, REMEMBERED // len(self.langs)):
-                self.seen.clear()
-            self.seen[word] = found
-        return found
+        self.seen: dict[str, int] = {}
+        self.table: np.ndarray | None = None
+
+    def frequencies(self, words: list[str]) -> np.ndarray:
+        """Log frequencies by language of each word."""
+        at = self.words.find(words)
+        out, known, left = np.zeros((len(words), len(self.langs))), at >= 0, np.flatnonzero(at < 0)
+        out[known] = self.words.bases[0] + self.words.added(at[known], np.arange(known.sum()), np.ones(known.sum()), known.sum())
+        for n in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            grams = [grams_of(words[k], n) for k in left.tolist()]
+            at, row = self.grams.find(list(chain.from_iterable(grams))), np.repeat(np.arange(len(left)), [len(g) for g in grams])
+            row, at = row[at >= 0], at[at >= 0]
+            hits = np.bincount(row, minlength=len(left))
+            told = hits > 0
+            out[left[told]] = self.grams.bases[n] + self.grams.added(at, row, 1 / hits[row], len(left))[told]
+            left = left[~told]
+        return out
+
+    def remembered(self, words: list[str]) -> np.ndarray:
+        """As `frequencies`; words that are remembered are not looked up again."""
+        if self.table is None:
+            self.table = np.empty((max(1, REMEMBERED // len(self.langs)), len(self.langs)))
+        new = [w for w in words if w not in self.seen]
+        if len(self.seen) + len(new) > len(self.table):
+            self.seen.clear()
+            new = words
+        if new:
+            self.table[len(self.seen) : len(self.seen) + len(new)] = self.frequencies(new)
+            self.seen.update(zip(new, range(len(self.seen), len(self.seen) + len(new)), strict=True))
+        return self.table[np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         counts = Counter(words_of(text or ""))
         if not counts or not self.langs:
             return "und", 0.0
         names, times = list(counts), np.fromiter(counts.values(), np.float64, len(counts))
-        at = self.words.find(names)
-        known = at >= 0
-        other = times[known].sum() * self.words.bases[0] + self.words.added(at[known], times[known])
-        for k in np.flatnonzero(~known).tolist():
-            other = other + times[k] * self.unseen(names[k])
+        step = min(max(1, AT_ONCE // len(self.langs)), max(1, REMEMBERED // len(self.langs)))
+        other = sum(times[k : k + step] @ self.remembered(names[k : k + step]) for k in range(0, len(names), step))
         total = times.sum()
         logits = other / total * min(total, CERTAIN_WORDS)
         share = np.exp(logits - logits.max())

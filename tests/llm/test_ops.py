@@ -659,3 +659,21 @@ def test_language_on_odd_rows(spark, odd):
     assert out.count() == odd.count() and {r.lang_pred for r in out.filter("text IS NULL OR NOT text RLIKE '[a-z]'").collect()} == {"und"}
     assert language.language_filter(odd).columns == odd.columns and unharmed(language.language_filter(odd))
     assert language.identify(odd.limit(0), language.train(odd.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("remembered", [1, 20, 2_000_000])
+def test_words_are_looked_up_once_while_they_are_remembered(monkeypatch, remembered):
+    known = {("de", "haus"): 3, ("de", "und"): 5, ("en", "house"): 3, ("en", "and"): 4}
+    table = lambda items: pa.table([pa.array(c) for c in zip(*[(lang, w, n) for (lang, w), n in items.items()], strict=True)], ["lang", "item", "n"])
+    grams = Counter()
+    for (lang, w), n in known.items():
+        grams.update({(lang, g): n for size in range(1, 6) for g in language.grams_of(w, size)})
+    texts = ["Haus und Hausund", "house and houses", "xq", None, "und " * 30 + "hous 1 landed", "haus house"] * 3
+    each = [language.Model(table(known), table(grams)).predict(t) for t in texts]
+    model, asked = language.Model(table(known), table(grams)), Counter()
+    monkeypatch.setattr(language, "REMEMBERED", remembered)
+    monkeypatch.setattr(model.words, "find", lambda items, f=model.words.find: (asked.update(items), f(items))[1])
+    for got, (lang, score) in zip([model.predict(t) for t in texts], each, strict=True):
+        assert got[0] == lang and got[1] == pytest.approx(score)
+    assert set(asked) == {w for t in texts for w in language.words_of(t or "")}
+    assert remembered < 100 or set(asked.values()) == {1}
