@@ -246,7 +246,7 @@ def merged(members: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, s
         labels = relabelled(labels, ends.select(F.col("ca").alias("a"), F.col("cb").alias("b")), temp)
         members = temp.stored(rows.filter("rep <> _pivot").select("key", "rep"), "members")
     rows = opened(members, labels, temp)
-    return labels if rows.isEmpty() else relabelled(labels, cluster_links(rows, known, sets, percent, temp), temp)
+    return labels if rows.isEmpty() else renamed(labels, cluster_links(rows, known, sets, percent, temp), temp)
 
 
 def opened(members: DataFrame, labels: DataFrame, temp: Scratch) -> DataFrame:
@@ -335,12 +335,17 @@ def confirmed(pairs: DataFrame, known: DataFrame, sets: DataFrame, percent: int,
     return checked.filter(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).select("a", "b")
 
 
-def relabelled(labels: DataFrame, links: DataFrame, temp: Scratch) -> DataFrame:
-    """labels (rep, component, size) after merging the components that links (a, b: components) connect."""
+def renamed(labels: DataFrame, links: DataFrame, temp: Scratch) -> DataFrame:
+    """(rep, component) of labels after merging the components that links (a, b: components) connect."""
     found = components(links, temp, "merged").select(F.col("node").alias("component"), F.col("component").alias("_new"))
-    renamed = temp.stored(labels.select("rep", "component").join(found, "component", "left").select("rep", F.coalesce("_new", "component").alias("component")), "renamed")
-    sizes = temp.stored(renamed.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component_sizes")
-    return temp.stored(renamed.join(sizes, "component").select("rep", "component", "size"), "labels")
+    return labels.select("rep", "component").join(found, "component", "left").select("rep", F.coalesce("_new", "component").alias("component"))
+
+
+def relabelled(labels: DataFrame, links: DataFrame, temp: Scratch) -> DataFrame:
+    """As `renamed`, with the sizes of components: labels (rep, component, size)."""
+    merged = temp.stored(renamed(labels, links, temp), "renamed")
+    sizes = temp.stored(merged.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component_sizes")
+    return temp.stored(merged.join(sizes, "component").select("rep", "component", "size"), "labels")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from kinetrace.llm import mixing, quality, sharding
+from kinetrace.llm.components import components
+from kinetrace.plans.shared import Scratch
 from tests.helpers import SF
 
 
@@ -82,3 +84,23 @@ def test_all_labels_are_drawn_on(spark):
     """However many labels there are, each of them counts."""
     labels = spark.range(300_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
     assert quality.marks_of(labels).count() == 300_000
+
+
+def test_components_stop_as_soon_as_all_are_stars(spark, monkeypatch):
+    """Links that are stars already take no round, and what they take in none differs from a plain union of sets."""
+    names = []
+    monkeypatch.setattr(Scratch, "stored", lambda self, df, name, f=Scratch.stored: (names.append(name), f(self, df, name))[1])
+    rng = np.random.default_rng(8)
+    path = [(i, i + 1) for i in range(900, 930)]
+    star = [(0, i) for i in range(1, 60)] + [(300, 301), (302, 300), (5, 5)]
+    for links in (star, star + path + rng.integers(400, 800, (300, 2)).tolist(), []):
+        names.clear()
+        root = {x: x for link in links for x in link}
+        for a, b in links:
+            low, high = sorted((root[a], root[b]))
+            root |= {x: low for x, r in root.items() if r == high}
+        linked = {x for a, b in links if a != b for x in (a, b)}
+        with Scratch(spark) as temp:
+            got = components(spark.createDataFrame(links, "a long, b long").repartition(3), temp, "found").collect()
+        assert sorted((r.node, r.component) for r in got) == sorted((x, r) for x, r in root.items() if x in linked)
+        assert len(links) > 100 or names.count("least") == 0
