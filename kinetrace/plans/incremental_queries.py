@@ -70,20 +70,25 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
 
 
 def s5_archives(spark: SparkSession, d: str) -> DataFrame:
-    """Events as frames of clips, in tar archives with JSON and other members."""
-    e = read(spark, d, "events")
+    """Events as frames of clips, in compressed tar archives with JSON and other members: plain ones take a kilobyte a member, 37 times as much.
+
+    Events are dealt to their archives, and members made of them there.
+    """
+    clip = F.format_string("clip-%02d", F.col("user_id") % 24)
+    e = archives.dealt_to_archives(read(spark, d, "events").select(clip.alias("archive"), "event_id", "event_type", "value"), "event_id")
     pose = lambda x: F.struct(F.array(*[F.lit(v) for v in (1.0, 0.0, 0.0, 0.0)]).alias("quaternion_wxyz"), F.array(x, F.col("event_id").cast("double"), F.lit(0.0)).alias("translation_xyz"))
     hand = F.struct(F.struct(pose(F.col("value")).alias("T_world_from_wrist")).alias("umetrack_pose"))
     side = F.when(F.col("event_id") % 2 == 0, "left").otherwise("right")
     parts = {
-        "hands.json": F.when(F.col("event_type") != "error", F.to_json(F.map_from_arrays(F.array(side), F.array(hand)))),
         "cameras.json": F.to_json(F.map_from_arrays(F.array(F.when(F.col("event_id") % 3 == 0, "other").otherwise("main")), F.array(F.struct(pose(F.col("value") + 1).alias("T_world_from_camera"))))),
+        "hands.json": F.when(F.col("event_type") != "error", F.to_json(F.map_from_arrays(F.array(side), F.array(hand)))),
         "info.json": F.to_json(F.struct(F.when(F.col("event_id") % 4 == 0, F.map_from_arrays(F.array(F.lit("main")), F.array(F.col("event_id") * 1000))).alias("image_timestamps_ns"), (F.col("event_id") * 10).alias("ref_timestamp_ns"))),
         "main.jpg": F.lit("image"),
     }
-    rows = e.select(F.format_string("clip-%02d", F.col("user_id") % 24).alias("archive"), F.inline(F.array(*[F.struct(F.format_string(f"%09d.{k}", "event_id").alias("member"), v.alias("content")) for k, v in parts.items()])))
+    name = F.format_string("%09d", "event_id")
+    rows = e.select("archive", F.inline(F.array(*[F.struct(F.concat(name, F.lit(f".{k}")).alias("member"), v.alias("content")) for k, v in parts.items()])))
     folder = K.scratch(spark, "clips")
-    _written(archives.write_tars(rows.filter("content IS NOT NULL"), folder))
+    _written(archives.write_tars(rows.filter("content IS NOT NULL"), folder, compressed=True, dealt=True))
     out = R.read_clip_archives(spark, folder, "main", partition_bytes=1 << 18)
     x = lambda c: F.get(c, 3)
     return out.select("clip", "frame", "time_ns", x("camera_pose").alias("camera_x"), x("left_pose").alias("left_x"), "left_valid", x("right_pose").alias("right_x"), "right_valid")

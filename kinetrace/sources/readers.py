@@ -84,7 +84,10 @@ def read_action_csv(spark: SparkSession, path: str, view: str, anchor_gap: int =
 
 def hand_poses(hands: Column) -> list[Column]:
     """Of a clip's hands JSON: position of each side's wrist, its pose in the world, and whether it is there; a missing hand or pose is invalid, not an error."""
-    parsed = F.from_json(hands, schemas.CLIP_HANDS)
+    return _hand_poses(F.from_json(hands, schemas.CLIP_HANDS))
+
+
+def _hand_poses(parsed: Column) -> list[Column]:
     out = []
     for side in ("left", "right"):
         held = F.try_element_at(parsed, F.lit(side))["umetrack_pose"]["T_world_from_wrist"]
@@ -94,24 +97,25 @@ def hand_poses(hands: Column) -> list[Column]:
 
 
 def camera_pose(cameras: Column, name: str) -> Column:
-    """Pose in the world of a clip's camera, from its cameras JSON; null where it isn't there."""
-    held = F.try_element_at(F.from_json(cameras, schemas.CLIP_CAMERA), F.lit(name))["T_world_from_camera"]
+    """Pose in the world of a clip's camera, from its cameras, parsed; null where it isn't there."""
+    held = F.try_element_at(cameras, F.lit(name))["T_world_from_camera"]
     return rigid(held["quaternion_wxyz"], held["translation_xyz"])
 
 
 def frame_time(info: Column, camera: str) -> Column:
-    """Nanoseconds of a camera's image, from a frame's info JSON: its own time, else the frame's."""
-    held = F.from_json(info, schemas.CLIP_INFO)
-    return F.coalesce(F.try_element_at(held["image_timestamps_ns"], F.lit(camera)), held["ref_timestamp_ns"])
+    """Nanoseconds of a camera's image, from a frame's info, parsed: its own time, else the frame's."""
+    return F.coalesce(F.try_element_at(info["image_timestamps_ns"], F.lit(camera)), info["ref_timestamp_ns"])
 
 
 def clip_frames(files: DataFrame, path: str, text: str, clip: Column, camera: str) -> DataFrame:
     """A row a clip and frame of files <frame>.cameras.json, <frame>.hands.json and <frame>.info.json: the camera's and both wrists' poses and the image's time; a missing file leaves its part invalid."""
-    name = r"(?:^|/)([0-9]+)\.(cameras|hands|info)\.json$"
-    rows = files.withColumns({"_part": F.regexp_extract(path, name, 2), "_clip": clip}).filter("_part <> ''")
+    name, base = r"^([0-9]+)\.(cameras|hands|info)\.json$", F.substring_index(path, "/", -1)
+    rows = files.withColumns({"_part": F.regexp_extract(base, name, 2), "_clip": clip}).filter("_part <> ''")
     of = lambda k: F.max(F.when(F.col("_part") == k, F.col(text))).alias(k)
-    wide = rows.groupBy(F.col("_clip").alias("clip"), F.regexp_extract(path, name, 1).cast("long").alias("frame")).agg(of("cameras"), of("hands"), of("info"))
-    return wide.select("clip", "frame", frame_time(F.col("info"), camera).alias("time_ns"), camera_pose(F.col("cameras"), camera).alias("camera_pose"), *hand_poses(F.col("hands")))
+    wide = rows.groupBy(F.col("_clip").alias("clip"), F.regexp_extract(base, name, 1).cast("long").alias("frame")).agg(of("cameras"), of("hands"), of("info"))
+    held = {"cameras": schemas.CLIP_CAMERA, "hands": schemas.CLIP_HANDS, "info": schemas.CLIP_INFO}
+    parsed = wide.select("clip", "frame", *[F.from_json(k, schema).alias(k) for k, schema in held.items()])  # once, however often it is named below
+    return parsed.select("clip", "frame", frame_time(F.col("info"), camera).alias("time_ns"), camera_pose(F.col("cameras"), camera).alias("camera_pose"), *_hand_poses(F.col("hands")))
 
 
 def read_clip_json(spark: SparkSession, paths: str, camera: str) -> DataFrame:
@@ -123,7 +127,7 @@ def read_clip_json(spark: SparkSession, paths: str, camera: str) -> DataFrame:
 def read_clip_archives(spark: SparkSession, path: str, camera: str, partition_bytes: int = PARTITION_BYTES) -> DataFrame:
     """`clip_frames` of tar archives, one a clip, named by its file; contents of other members, as images, are not read."""
     files = tar_members(spark, path, ".cameras.json,.hands.json,.info.json", partition_bytes=partition_bytes)
-    return clip_frames(files.withColumn("_text", F.col("content").cast("string")), "member", "_text", F.regexp_extract("archive", r"([^/]+)\.tar$", 1), camera)
+    return clip_frames(files.withColumn("_text", F.col("content").cast("string")), "member", "_text", F.regexp_extract(F.substring_index("archive", "/", -1), r"^([^/]+)\.(?:tar|tar\.gz|tgz)$", 1), camera)
 
 
 def frame_keyed_json(rows: DataFrame, column: str, keep: list[str]) -> DataFrame:
